@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstack.functions.arrays import explode_items
 from quillstack.functions.text import (
     CLOSE_MARK, OPEN_MARK, UNIT_MARK, estimate_tokens, has_content, regex_literal, strip,
 )
@@ -77,9 +78,7 @@ def parse_paragraphs(df: DataFrame, content: str = "parsed_content") -> DataFram
 
     parts = [tagged("segment", "segments"), tagged("table", "tables"), tagged("figure", "figures")]
     kept = [c for c in df.columns if c != content]
-    return rows.select(*kept, F.posexplode(F.concat(*parts)).alias("position", "__item")).select(
-        *kept, "position", "__item.*"
-    )
+    return explode_items(rows, F.concat(*parts), "__item", "position", kept).select(*kept, "position", "__item.*")
 
 
 def char_windows(text: Column, size: int, overlap: int) -> Column:
@@ -169,7 +168,7 @@ def units_of(text: Column, config: ChunkConfig) -> Column:
 def explode_chunks(df: DataFrame, chunks: Column, text: str = "text") -> DataFrame:
     """One row per chunk of an array column, with its index; the source text column is dropped."""
     kept = [c for c in df.columns if c != text]
-    return df.select(*kept, F.posexplode(chunks).alias("index", "chunk"))
+    return explode_items(df, chunks, "chunk", "index", kept)
 
 
 def recursive_chunks(df: DataFrame, config: ChunkConfig, paragraphs_col: str = "paragraphs") -> DataFrame:
@@ -190,7 +189,7 @@ def recursive_chunks(df: DataFrame, config: ChunkConfig, paragraphs_col: str = "
     )
     if config.size is None:
         chunks = F.transform(units, lambda u: F.struct(strip(u["text"]).alias("text"), u["metadata"].alias("metadata")))
-        return df.select(*kept, F.posexplode(chunks).alias("index", "__c")).select(*kept, "index", "__c.*")
+        return explode_items(df, chunks, "__c", "index", kept).select(*kept, "index", "__c.*")
     if config.use_token_count:
         rows = df.withColumn("__units", units)
         texts = F.transform("__units", lambda u: u["text"])
@@ -199,7 +198,7 @@ def recursive_chunks(df: DataFrame, config: ChunkConfig, paragraphs_col: str = "
             "__merged",
             lambda m: F.struct(m["text"].alias("text"), F.col("__units")[m["first"]]["metadata"].alias("metadata")),
         )
-        return rows.select(*kept, F.posexplode(chunks).alias("index", "__c")).select(*kept, "index", "__c.*")
+        return explode_items(rows, chunks, "__c", "index", kept).select(*kept, "index", "__c.*")
 
     # One entry per paragraph: its kept text and metadata, then the offset at which each starts.
     merged = F.filter(
@@ -234,7 +233,7 @@ def recursive_chunks(df: DataFrame, config: ChunkConfig, paragraphs_col: str = "
             ]["metadata"].alias("metadata"),
         ),
     )
-    return rows.select(*kept, F.posexplode(chunks).alias("index", "__c")).select(*kept, "index", "__c.*")
+    return explode_items(rows, chunks, "__c", "index", kept).select(*kept, "index", "__c.*")
 
 
 def markdown_sections(text: Column, headers: list[str] | None = None) -> Column:
@@ -289,7 +288,7 @@ def markdown_chunks(
     )
     unheaded = F.transform(plain, lambda w: F.struct(F.lit("").alias("section"), w.alias("text")))
     chunks = F.when((F.size(sections) == 1) & (sections[0]["header"] == ""), unheaded).otherwise(headed)
-    return df.select(*kept, F.posexplode(chunks).alias("index", "__c")).select(*kept, "index", "__c.*")
+    return explode_items(df, chunks, "__c", "index", kept).select(*kept, "index", "__c.*")
 
 
 def token_windows(text: Column, max_tokens: int, overlap_tokens: int = 0) -> Column:
