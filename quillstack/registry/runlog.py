@@ -1 +1,344 @@
-""
+"""Run-log analytics."""
+
+from __future__ import annotations
+
+import datetime
+
+from pyspark.sql import functions as F
+
+from quillstack.functions.jsonpath import json_field, json_long
+from quillstack.functions.windows import page
+from quillstack.operators import runlog as rl
+from quillstack.registry import register
+from quillstack.session import load_table
+
+AS_OF = datetime.datetime(2024, 1, 15, 12, 0, 0)
+MIDNIGHT = "TIMESTAMP '2024-01-15 00:00:00'"
+K = "json_extract_string(props, '$.k')::BIGINT"
+TEN_DAYS = 864_000
+
+
+def events(spark, folder):
+    k = F.get_json_object("props", "$.k").cast("long")
+    return load_table(spark, folder, "events").withColumn("task_id", F.col("user_id")).withColumn("k", k)
+
+
+@register(
+    "e1_e2_event_counts",
+    f"""
+SELECT count(*) FILTER (event_type = 'view') AS starts, count(*) FILTER (event_type = 'purchase') AS ends,
+  count(*) FILTER (event_type IN ('view', 'click')) AS calls,
+  count(*) FILTER (event_type = 'view' AND ts >= {MIDNIGHT}) AS starts_today,
+  count(*) FILTER (event_type = 'purchase' AND ts >= {MIDNIGHT}) AS ends_today,
+  count(*) FILTER (event_type IN ('view', 'click') AND ts >= {MIDNIGHT}) AS calls_today
+FROM events WHERE {K} % 10 <> 9
+""",
+)
+def e1(spark, folder):
+    """Build events (k ending in 9) do not count."""
+    live = events(spark, folder).filter("k % 10 <> 9")
+    return rl.event_counts(live, {"starts": ["view"], "ends": ["purchase"], "calls": ["view", "click"]}, AS_OF)
+
+
+@register(
+    "e3_success_rate",
+    """
+SELECT count(DISTINCT user_id) AS tasks, count(DISTINCT user_id) FILTER (event_type = 'signup' AND value > 60) AS completed,
+  round(count(DISTINCT user_id) FILTER (event_type = 'signup' AND value > 60) / count(DISTINCT user_id) * 100, 1) AS success_rate FROM events
+""",
+)
+def e3(spark, folder):
+    rows = events(spark, folder)
+    done = F.when((F.col("event_type") == "signup") & (F.col("value") > 60), F.lit("done")).otherwise(F.lit("other"))
+    return rl.success_rate(rows.withColumn("event_type", done), ["done"])
+
+
+PAIRS = f"""
+WITH k AS (SELECT *, {K} % 10 AS step FROM events WHERE {K} % 10 <> 0),
+en AS (SELECT user_id, step, max(ts) AS end_ts FROM k WHERE event_type = 'purchase' GROUP BY ALL),
+p AS (SELECT event_id, (epoch_us(end_ts) - epoch_us(ts)) / 1000000 AS seconds FROM k JOIN en USING (user_id, step) WHERE event_type = 'view')
+"""
+
+
+def pairs(spark, folder):
+    rows = events(spark, folder).withColumn("step", F.col("k") % 10)
+    return rl.paired_latency(rows, ["view"], ["purchase"], ["task_id", "step"], TEN_DAYS)
+
+
+@register("e4_paired_latency", PAIRS + f"SELECT event_id, seconds FROM p WHERE seconds > 0 AND seconds <= {TEN_DAYS}")
+def e4(spark, folder):
+    return pairs(spark, folder).select("event_id", "seconds")
+
+
+@register(
+    "e4_mean_latency",
+    PAIRS + f"SELECT count(*) AS pairs, round(avg(seconds), 2) AS mean_seconds FROM p WHERE seconds > 0 AND seconds <= {TEN_DAYS}",
+)
+def e4_mean(spark, folder):
+    return rl.mean_latency(pairs(spark, folder))
+
+
+@register("e5_models_today", f"SELECT count(DISTINCT 'm' || ({K} % 5)) AS n FROM events WHERE ts >= {MIDNIGHT} AND {K} % 10 < 3")
+def e5(spark, folder):
+    model = F.concat(F.lit("m"), (F.col("k") % 5).cast("string"))
+    return rl.distinct_values(events(spark, folder).filter("k % 10 < 3"), model, AS_OF)
+
+
+TOKEN_DATA = f"""CASE event_id % 5 WHEN 0 THEN '{{"total_tokens":' || ({K}) || '}}' WHEN 1 THEN '{{"usage":{{"total_tokens":' || ({K}) || '}}}}'
+ WHEN 2 THEN '{{"prompt_tokens":' || ({K}) || ',"completion_tokens":5}}' WHEN 3 THEN '{{"total_tokens":"x","prompt_tokens":7}}' ELSE props END"""
+
+
+def token_data():
+    case, k = F.col("event_id") % 5, F.col("k").cast("string")
+    return (
+        F.when(case == 0, F.concat(F.lit('{"total_tokens":'), k, F.lit("}")))
+        .when(case == 1, F.concat(F.lit('{"usage":{"total_tokens":'), k, F.lit("}}")))
+        .when(case == 2, F.concat(F.lit('{"prompt_tokens":'), k, F.lit(',"completion_tokens":5}')))
+        .when(case == 3, F.lit('{"total_tokens":"x","prompt_tokens":7}'))
+        .otherwise(F.col("props"))
+    )
+
+
+@register(
+    "e6_total_tokens",
+    f"""
+SELECT event_type, sum(CASE event_id % 5 WHEN 0 THEN {K} WHEN 1 THEN {K} WHEN 2 THEN {K} + 5 WHEN 3 THEN 7 END)::BIGINT AS tokens,
+  count(*) FILTER (event_id % 5 <> 4) AS counted FROM events GROUP BY event_type
+""",
+)
+def e6(spark, folder):
+    rows = events(spark, folder).withColumn("tokens", rl.total_tokens(token_data()))
+    return rows.groupBy("event_type").agg(F.sum("tokens").alias("tokens"), F.count("tokens").alias("counted"))
+
+
+@register(
+    "e7_json_fields",
+    f"SELECT event_id, coalesce(CASE WHEN event_id % 3 <> 2 THEN json_extract_string(props, '$.k') END, '-') AS k, "
+    f"coalesce(CASE WHEN event_id % 3 <> 2 THEN {K} END, -1) AS k_int FROM events",
+)
+def e7(spark, folder):
+    """Control characters inside the JSON are dropped; text that is no JSON gives null."""
+    case = F.col("event_id") % 3
+    raw = F.when(case == 1, F.replace("props", F.lit(":"), F.lit("\x01:\x1f"))).when(case == 2, F.lit("{k: ")).otherwise(F.col("props"))
+    return load_table(spark, folder, "events").select(
+        "event_id", F.coalesce(json_field(raw, "k"), F.lit("-")).alias("k"), F.coalesce(json_long(raw, "k"), F.lit(-1)).alias("k_int")
+    )
+
+
+@register("e8_top_tools", f"SELECT event_type || '-' || ({K} % 7) AS tool, count(*) AS n FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def e8(spark, folder):
+    return rl.top_counts(events(spark, folder), F.concat_ws("-", "event_type", F.col("k") % 7), "tool")
+
+
+@register(
+    "e9_model_shares",
+    f"SELECT 'm' || ({K} % 5) AS model, count(*) AS n, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM events) AS share FROM events GROUP BY 1",
+)
+def e9(spark, folder):
+    return rl.shares(events(spark, folder), F.concat(F.lit("m"), (F.col("k") % 5).cast("string")), "model")
+
+
+ORDER_DAY = datetime.datetime(1998, 6, 1, 8, 0, 0)
+
+
+@register(
+    "e10_dashboard",
+    "SELECT count(*) AS tasks, count(*) FILTER (o_orderdate >= TIMESTAMP '1998-06-01 00:00:00') AS active_today FROM orders",
+)
+def e10(spark, folder):
+    return rl.dashboard(load_table(spark, folder, "orders"), "o_orderdate", ORDER_DAY)
+
+
+@register(
+    "e11_owner_events",
+    """
+SELECT event_type, count(*) AS n FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7 OR c_nationkey = 3)
+GROUP BY event_type
+""",
+)
+def e11(spark, folder):
+    tasks = load_table(spark, folder, "customer").filter("c_nationkey IN (3, 7)").select(F.col("c_custkey").alias("task_id"))
+    return rl.of_owner(events(spark, folder), tasks).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "e12_task_page",
+    """
+WITH t AS (SELECT o_orderkey AS id, o_orderpriority AS title, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS agent_type,
+   epoch_us(o_orderdate) AS created_us, coalesce(c_name, '?') AS agent FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_nationkey < 12)
+SELECT id, title, coalesce(agent_type, 'standard') AS agent_type, created_us, agent, (SELECT count(*) FROM t WHERE title ILIKE '%h_gh%' ESCAPE '~'
+   AND coalesce(agent_type, 'standard') IN ('standard', 'F')) AS total
+FROM t WHERE title ILIKE '%high%' AND coalesce(agent_type, 'standard') IN ('standard', 'F') ORDER BY created_us DESC, id LIMIT 20 OFFSET 40
+""",
+)
+def e12(spark, folder):
+    """High-priority orders as tasks, third page of twenty, with the agent's name where known."""
+    tasks = load_table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("agent_type"),
+        F.unix_micros("o_orderdate").alias("created_us"), F.col("o_custkey").alias("agent_id"),
+    )
+    found = rl.filter_tasks(tasks, "HIGH", include=["standard", "F"])
+    shown = page(found, [F.col("created_us").desc(), F.col("id")], 3, 20)
+    agents = load_table(spark, folder, "customer").filter("c_nationkey < 12").select(
+        F.col("c_custkey").alias("agent_id"), F.col("c_name").alias("agent")
+    )
+    # Names are looked up for the page only.
+    return shown.join(agents, "agent_id", "left").select(
+        "id", "title", F.coalesce("agent_type", F.lit("standard")).alias("agent_type"), "created_us",
+        F.coalesce("agent", F.lit("?")).alias("agent"), "total",
+    )
+
+
+@register(
+    "e13_latest_tasks",
+    "SELECT o_orderkey AS id, o_orderstatus AS status, epoch_us(o_orderdate) AS updated_us FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10",
+)
+def e13(spark, folder):
+    rows = load_table(spark, folder, "orders").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).limit(10)
+    return rows.select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.unix_micros("o_orderdate").alias("updated_us")
+    )
+
+
+@register(
+    "e14_token_usage",
+    """
+SELECT coalesce(task, -1) AS task, coalesce(model, '*') AS model, input_tokens, output_tokens, input_tokens + output_tokens AS total_tokens, calls, level
+FROM (SELECT l_orderkey AS task, l_returnflag AS model, sum(l_quantity)::BIGINT AS input_tokens, sum(l_linenumber)::BIGINT AS output_tokens,
+      count(*) AS calls, grouping_id(l_orderkey, l_returnflag) AS level FROM lineitem GROUP BY ROLLUP (l_orderkey, l_returnflag))
+""",
+)
+def e14(spark, folder):
+    usage = load_table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("task"), F.col("l_returnflag").alias("model"),
+        F.col("l_quantity").cast("long").alias("input_tokens"), F.col("l_linenumber").cast("long").alias("output_tokens"),
+    )
+    out = rl.token_usage(usage, ["task", "model"])
+    return out.withColumn("task", F.coalesce("task", F.lit(-1))).withColumn("model", F.coalesce("model", F.lit("*")))
+
+
+PARTS = f"""SELECT ['task', 'step', 'action', 'system'][1 + {K} % 4] AS scope, ['start', 'end', 'update', 'error', 'info'][1 + ({K} // 4) % 5] AS action,
+ ['dag', 'llm', 'tool', 'react', 'message', 'general'][1 + event_id % 6] AS category FROM events"""
+
+
+@register(
+    "e15_event_names",
+    f"""
+WITH p AS ({PARTS}), m(key, name) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in rl.EVENT_NAMES.items())})
+SELECT CASE WHEN action = 'error' THEN 'trace_error' ELSE coalesce(m.name, concat_ws('_', scope, action, category)) END AS name, count(*) AS n
+FROM p LEFT JOIN m ON m.key = concat_ws('_', scope, action, category) GROUP BY 1
+""",
+)
+def e15(spark, folder):
+    def pick(values, index):
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+
+    k = F.col("k")
+    scope = pick(["task", "step", "action", "system"], k % 4)
+    action = pick(["start", "end", "update", "error", "info"], F.floor(k / 4) % 5)
+    category = pick(["dag", "llm", "tool", "react", "message", "general"], F.col("event_id") % 6)
+    named = events(spark, folder).select(rl.event_name(scope, action, category).alias("name"))
+    return named.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "e16_merge_segments",
+    """
+WITH s AS (SELECT user_id, event_id AS ord, event_type AS speaker, epoch_us(ts) / 1000000 AS start, epoch_us(ts) / 1000000 + value AS fin FROM events),
+l AS (SELECT *, lag(speaker) OVER w AS ps, lag(fin) OVER w AS pf FROM s WINDOW w AS (PARTITION BY user_id ORDER BY start, ord)),
+i AS (SELECT *, sum(CASE WHEN pf IS NULL OR speaker <> ps OR start - pf > 86400 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY start, ord) AS island FROM l)
+SELECT user_id, island::BIGINT AS island, any_value(speaker) AS speaker, round(min(start), 3) AS start, round(arg_max(fin, (start, ord)), 3) AS fin,
+  string_agg('t' || ord, ' ' ORDER BY start, ord) AS text,
+  round(list_reduce(list(ord % 11 ORDER BY start, ord)::DOUBLE[], lambda a, c: (a + c) / 2), 6) AS confidence, count(*) AS segments
+FROM i GROUP BY user_id, island
+""",
+)
+def e16(spark, folder):
+    start = F.unix_micros("ts") / 1_000_000
+    rows = load_table(spark, folder, "events").select(
+        "user_id", F.col("event_id").alias("order"), F.col("event_type").alias("speaker"), start.alias("start"),
+        (start + F.col("value")).alias("end"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("text"),
+        (F.col("event_id") % 11).cast("double").alias("confidence"),
+    )
+    merged = rl.merge_segments(rows, ["user_id"], 86_400)
+    return merged.select(
+        "user_id", "island", "speaker", F.round("start", 3).alias("start"), F.round("end", 3).alias("fin"), "text",
+        F.round("confidence", 6).alias("confidence"), "segments",
+    )
+
+
+@register(
+    "e17_job_progress",
+    """
+SELECT l_orderkey AS job, count(*) AS steps, count(*) FILTER (l_linestatus = 'F') AS finished, avg((l_linestatus = 'F')::INT) AS progress,
+  coalesce(min(l_linenumber) FILTER (l_linestatus <> 'F'), 0) AS current_step FROM lineitem GROUP BY l_orderkey
+""",
+)
+def e17(spark, folder):
+    steps = load_table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("step"), (F.col("l_linestatus") == "F").alias("done")
+    )
+    return rl.job_progress(steps, "job", "step", "done").withColumn("current_step", F.coalesce("current_step", F.lit(0)))
+
+
+JOBS = """j AS (SELECT o_orderkey AS job, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'failed' ELSE 'running' END AS status,
+  o_orderdate AS updated FROM orders)"""
+
+
+def jobs(spark, folder):
+    status = F.when(F.col("o_orderstatus") == "F", F.lit("completed")).when(F.col("o_orderstatus") == "P", F.lit("failed")).otherwise(F.lit("running"))
+    return load_table(spark, folder, "orders").select(F.col("o_orderkey").alias("job"), status.alias("status"), F.col("o_orderdate").alias("updated"))
+
+
+@register("e18_active_jobs", f"WITH {JOBS} SELECT job, status FROM j WHERE status = 'running'")
+def e18(spark, folder):
+    return rl.active_jobs(jobs(spark, folder)).select("job", "status")
+
+
+@register(
+    "e18_retained_jobs",
+    f"WITH {JOBS} SELECT status, count(*) AS n FROM j WHERE status = 'running' OR updated >= TIMESTAMP '1998-05-31 08:00:00' GROUP BY status",
+)
+def e18_kept(spark, folder):
+    kept = rl.retained_jobs(jobs(spark, folder), "updated", ORDER_DAY)
+    return kept.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "e19_execution_context",
+    f"""
+WITH t AS (SELECT user_id, ts, event_id, event_type AS tool, value > 20 AS success,
+    CASE WHEN event_id % 9 = 0 THEN ' ' WHEN event_id % 4 = 0 THEN repeat('long result ', 30) ELSE 'k is ' || ({K} % 4) END AS result FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM t QUALIFY n <= 8),
+s AS (SELECT user_id, n, '- Tool ' || tool || ' previously returned: ' || CASE WHEN length(trim(result)) > 240 THEN trim(result)[1:237] || '...' ELSE trim(result) END AS line
+      FROM r WHERE success AND trim(result) <> ''),
+u AS (SELECT user_id, line, min(n) AS n FROM s GROUP BY user_id, line)
+SELECT user_id, '{rl.CONTEXT_HEADER}' || string_agg(line, chr(10) ORDER BY n DESC) AS content, count(*) AS lines FROM u GROUP BY user_id
+""",
+)
+def e19(spark, folder):
+    result = (
+        F.when(F.col("event_id") % 9 == 0, F.lit(" ")).when(F.col("event_id") % 4 == 0, F.repeat(F.lit("long result "), F.lit(30)))
+        .otherwise(F.concat(F.lit("k is "), (F.col("k") % 4).cast("string")))
+    )
+    rows = events(spark, folder).select(
+        "user_id", "ts", "event_id", F.col("event_type").alias("tool"), (F.col("value") > 20).alias("success"), result.alias("result")
+    )
+    return rl.execution_context(rows, "user_id")
+
+
+@register(
+    "e20_latest_selection",
+    f"""
+WITH s AS (SELECT user_id, ts, event_id, value > 20 AS selected, CASE WHEN {K} % 5 = 0 THEN ' ' ELSE event_type END AS name FROM events)
+SELECT user_id, true AS selected, name FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+WHERE selected AND trim(name) <> ''
+""",
+)
+def e20(spark, folder):
+    rows = events(spark, folder).select(
+        "user_id", "ts", "event_id", (F.col("value") > 20).alias("selected"),
+        F.when(F.col("k") % 5 == 0, F.lit(" ")).otherwise(F.col("event_type")).alias("name"),
+    )
+    return rl.latest_selection(rows, "user_id")
