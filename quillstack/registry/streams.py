@@ -1 +1,143 @@
-""
+"""Streaming queries, worked off with ``availableNow`` and compared with the batch result."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillstack.registry import register
+from quillstack.registry import sqltext as q
+from quillstack.session import load_table
+from quillstack.streaming import streams as st
+
+K = "json_extract_string(props, '$.k')::BIGINT"
+TEN_DAYS = 864_000
+
+
+def stream(spark, folder, name):
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    # A pattern matches the table whether it is one file or a folder of files.
+    return st.read_stream(spark, f"{folder}/{{{name}.parquet}}", schema)
+
+
+def events(spark, folder):
+    return stream(spark, folder, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+
+
+@register(
+    "r1_tool_counters",
+    f"""
+SELECT event_type || '-' || ({K} % 5) AS tool, count(*) AS usage_count, count(*) FILTER (value > 20) AS success_count,
+  count(*) FILTER (value <= 20) AS error_count, epoch_us(max(ts)) AS last_us FROM events GROUP BY 1
+""",
+)
+def r1(spark, folder):
+    rows = events(spark, folder).withColumn("tool", F.concat_ws("-", "event_type", F.col("k") % 5))
+    state = st.run_to_table(st.tool_counters(rows, "tool", F.col("value") > 20), ["tool"], label="tools")
+    return state.withColumn("last_us", F.unix_micros("last_used_at")).drop("last_used_at")
+
+
+@register(
+    "r2_paired_events",
+    f"""
+WITH e AS (SELECT *, {K} % 10 AS step FROM events WHERE {K} % 10 <> 0)
+SELECT s.user_id, s.step, s.event_id AS start_id, n.event_id AS end_id, (epoch_us(n.ts) - epoch_us(s.ts)) / 1000000 AS seconds
+FROM e s JOIN e n ON s.user_id = n.user_id AND s.step = n.step AND n.ts > s.ts AND epoch_us(n.ts) - epoch_us(s.ts) <= {TEN_DAYS}000000
+WHERE s.event_type = 'view' AND n.event_type = 'purchase'
+""",
+)
+def r2(spark, folder):
+    rows = events(spark, folder).withColumn("step", F.col("k") % 10).filter("step <> 0")
+    starts, ends = rows.filter("event_type = 'view'"), rows.filter("event_type = 'purchase'")
+    return st.run_to_files(st.paired_events(starts, ends, ["user_id", "step"], TEN_DAYS), "pairs")
+
+
+@register(
+    "r3_calls_per_day",
+    """
+SELECT epoch_us(date_trunc('day', ts)) AS day_us, count(*) AS calls FROM events
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1
+""",
+)
+def r3(spark, folder):
+    """Days that the watermark has closed."""
+    days = st.run_to_files(st.calls_per_day(events(spark, folder)), "days")
+    return days.select(F.unix_micros("day").alias("day_us"), "calls")
+
+
+@register(
+    "r4_token_totals",
+    """
+SELECT l_orderkey AS task, sum(l_quantity)::BIGINT AS input_tokens, sum(l_linenumber)::BIGINT AS output_tokens, count(*) AS calls
+FROM lineitem GROUP BY 1
+""",
+)
+def r4(spark, folder):
+    usage = stream(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("task"), F.col("l_quantity").cast("long").alias("input_tokens"),
+        F.col("l_linenumber").cast("long").alias("output_tokens"),
+    )
+    return st.run_to_table(st.token_totals(usage), ["task"], label="tokens")
+
+
+@register(
+    "r5_job_progress",
+    """
+SELECT user_id AS job, count(*) AS steps, count(*) FILTER (event_type IN ('purchase', 'signup')) AS finished,
+  count(*) FILTER (event_type IN ('purchase', 'signup')) / count(*) AS progress FROM events GROUP BY user_id
+""",
+)
+def r5(spark, folder):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    st.use_rocksdb(spark)
+    try:
+        rows = stream(spark, folder, "events").select(
+            F.col("user_id").alias("job"), F.col("event_type").isin("purchase", "signup").alias("done")
+        )
+        return st.run_to_table(st.job_progress(rows), ["job"], label="jobs")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+@register(
+    "r6_sessions",
+    """
+WITH l AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
+i AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p > INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM l),
+s AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 12 HOUR AS b, count(*) AS events FROM i GROUP BY user_id, n)
+SELECT user_id, epoch_us(a) AS start_us, epoch_us(b) AS end_us, events FROM s WHERE b <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)
+""",
+)
+def r6(spark, folder):
+    """Sessions per user with pauses of at most twelve hours that the watermark has closed."""
+    closed = st.run_to_files(st.sessions(events(spark, folder), ["user_id"], "12 hours", "1 day"), "sessions")
+    return closed.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events")
+
+
+@register(
+    "r7_incremental_chunks",
+    f"""
+WITH u AS (SELECT sha256(text) AS content_hash, max(text) AS text FROM documents GROUP BY 1),
+c AS (SELECT content_hash, unnest(range(0, len(l))) AS index, unnest(l) AS chunk FROM (SELECT content_hash, {q.kept(q.windows('text', 1000, 200))} AS l FROM u))
+SELECT content_hash, index, chunk, sha256(content_hash || '|' || index) AS chunk_id FROM c
+""",
+)
+def r7(spark, folder):
+    """Documents arrive as files, exact copies are ingested once."""
+    docs = stream(spark, folder, "documents").withColumn("arrived", F.timestamp_seconds(F.col("doc_id")))
+    chunks = st.new_chunks(docs, "text", "arrived", 1000, 200, late="36500 days")
+    return st.run_to_table(chunks, ["chunk_id"], "append", "ingest")
+
+
+@register(
+    "r8_persist_events",
+    """
+SELECT event_id, user_id, event_type, epoch_us(ts) AS ts_us FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey < 15)
+""",
+)
+def r8(spark, folder):
+    """The stream delivers every event twice; events of unknown tasks are skipped."""
+    rows = stream(spark, folder, "events")
+    twice = rows.unionByName(stream(spark, folder, "events"))
+    tasks = load_table(spark, folder, "customer").filter("c_nationkey < 15").select(F.col("c_custkey").alias("user_id"))
+    kept = st.run_to_files(st.known_events(twice, tasks, "user_id", "60 days"), "persisted")
+    return kept.select("event_id", "user_id", "event_type", F.unix_micros("ts").alias("ts_us"))
