@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillstack.functions.arrays import explode_items
 from quillstack.operators.chunk import fixed_size_chunks
@@ -136,40 +137,32 @@ def new_chunks(files: DataFrame, text: str, arrived: str, size: int, overlap: in
     return rows.withColumn("chunk_id", F.sha2(F.concat_ws("|", "content_hash", "index"), 256))
 
 
-PROGRESS = T.StructType([
-    T.StructField("job", T.LongType()), T.StructField("steps", T.LongType()), T.StructField("finished", T.LongType()),
-    T.StructField("progress", T.DoubleType()),
-])
+PROGRESS = "job long, steps long, finished long, progress double"
+PROGRESS_STATE = "steps long, finished long"
+EXPIRY_MS = 24 * 3600 * 1000
 
 
-class JobProgress(StatefulProcessor):
-    """Steps and finished steps per job. The state of a job expires a day after its last event."""
+def _count_steps(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Add a batch's steps to the job's counts; a job without events for a day of event time is forgotten."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    steps, finished = state.get if state.exists else (0, 0)
+    latest = 0
+    for batch in batches:
+        steps += len(batch)
+        finished += int(batch["done"].sum())
+        latest = max(latest, int(batch["ts"].max().timestamp() * 1000))
+    state.update((steps, finished))
+    state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + EXPIRY_MS)
+    yield pd.DataFrame({"job": [key[0]], "steps": [steps], "finished": [finished], "progress": [finished / steps]})
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        state = T.StructType([T.StructField("steps", T.LongType()), T.StructField("finished", T.LongType())])
-        self._counts = handle.getValueState("counts", state, ttlDurationMs=24 * 3600 * 1000)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self._counts.get() if self._counts.exists() else (0, 0)
-        steps, finished = known[0], known[1]
-        for batch in rows:
-            steps += len(batch)
-            finished += int(batch["done"].sum())
-        self._counts.update((steps, finished))
-        yield pd.DataFrame({"job": [key[0]], "steps": [steps], "finished": [finished], "progress": [finished / steps]})
+def job_progress(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """Live progress per job (columns job, ts, done). A job's rows arrive in Arrow batches; only its two counts are kept.
 
-    def close(self) -> None:
-        pass
-
-
-def job_progress(events: DataFrame) -> DataFrame:
-    """Live progress per job (columns job, done). Needs the RocksDB state store."""
-    return events.groupBy("job").transformWithStateInPandas(JobProgress(), PROGRESS, "Update", "ProcessingTime")
-
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keep streaming state in RocksDB, which also lets it outgrow the executors' memory."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    Expiry follows event time: with a processing-time timeout a query that works off its input would never end.
+    """
+    return events.withWatermark("ts", late).groupBy("job").applyInPandasWithState(
+        _count_steps, PROGRESS, PROGRESS_STATE, "update", GroupStateTimeout.EventTimeTimeout
+    )
