@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,3 +20,12 @@ def explode_items(
     place = position or "__position"
     rows = df.select(*kept, F.posexplode_outer(items).alias(place, value)).filter(F.col(place).isNotNull())
     return rows if position else rows.drop(place)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it.
+
+    Spark computes a column expression again at each place it stands, and inside a lambda once per array item. A lambda
+    variable is computed once.
+    """
+    return F.transform(F.array(value), lambda bound: body(bound))[0]

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.functions.arrays import explode_items
+from quillstack.functions.arrays import explode_items, let
 from quillstack.functions.text import (
     CLOSE_MARK, OPEN_MARK, UNIT_MARK, estimate_tokens, has_content, regex_literal, strip,
 )
@@ -84,19 +84,17 @@ def parse_paragraphs(df: DataFrame, content: str = "parsed_content") -> DataFram
 def char_windows(text: Column, size: int, overlap: int) -> Column:
     """Windows of ``size`` characters, each starting ``max(size - overlap, 1)`` after the last; ends with the text.
 
-    The text is cut once into steps and windows are joined from them, which stays linear for long texts
-    (``substring`` would walk from the start for each window).
+    One regular expression steps through the text and captures each window by look-ahead, which stays linear for long
+    texts (``substring`` would walk from the start for each window).
     """
     step = max(size - overlap, 1)
-    per_window = -(-size // step)
-    count = F.ceil(F.greatest(F.length(text) - size, F.lit(0)) / F.lit(step)).cast("int") + 1
-    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), count - 1),
-            lambda i: F.substring(F.array_join(F.slice(pieces, i + 1, F.lit(per_window)), ""), 1, size),
-        )
-    )
+    pattern = F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{step}}}")
+
+    def windows(t: Column) -> Column:
+        count = F.ceil(F.greatest(F.length(t) - size, F.lit(0)) / F.lit(step)).cast("int") + 1
+        return F.slice(F.regexp_extract_all(t, pattern, F.lit(1)), F.lit(1), count)
+
+    return let(text, windows)
 
 
 def kept_chunks(windows: Column) -> Column:
@@ -127,7 +125,6 @@ def protected_segments(text: Column, patterns: list[str] | None = None) -> Colum
     marked = text
     for pattern in PROTECTED_PATTERNS if patterns is None else patterns:
         marked = F.regexp_replace(marked, f"(?sm)({pattern})", f"{OPEN_MARK}$1{CLOSE_MARK}")
-    pieces = F.split(marked, f"(?=[{OPEN_MARK}{CLOSE_MARK}])")
     start = F.struct(
         F.lit(0).alias("depth"), F.array().cast("array<struct<protected:boolean,text:string>>").alias("segments")
     )
@@ -145,8 +142,12 @@ def protected_segments(text: Column, patterns: list[str] | None = None) -> Colum
         segments = F.when(body == "", done).when((depth > 0) & last["protected"], joined).otherwise(pushed)
         return F.struct(depth.alias("depth"), segments.alias("segments"))
 
-    single = F.array(F.struct(F.lit(False).alias("protected"), text.alias("text")))
-    return F.when(F.contains(marked, F.lit(OPEN_MARK)), F.aggregate(pieces, start, take)["segments"]).otherwise(single)
+    def segments_of(m: Column) -> Column:
+        pieces = F.split(m, f"(?=[{OPEN_MARK}{CLOSE_MARK}])")
+        single = F.array(F.struct(F.lit(False).alias("protected"), m.alias("text")))
+        return F.when(F.contains(m, F.lit(OPEN_MARK)), F.aggregate(pieces, start, take)["segments"]).otherwise(single)
+
+    return let(marked, segments_of)
 
 
 def split_units_protected(
@@ -262,17 +263,20 @@ def markdown_chunks(
 ) -> DataFrame:
     """Chunks per markdown section with the section's header; texts without any header are chunked recursively."""
     kept = [c for c in df.columns if c != text]
-    sections = markdown_sections(F.col(text), headers)
+    rows = df.withColumn("__sections", markdown_sections(F.col(text), headers))
+    sections = F.col("__sections")
 
     def windows_of(section: Column) -> Column:
         if config.separators == tuple(DEFAULT_SEPARATORS):
             return F.array(section) if config.size is None else char_windows(section, config.size, config.overlap)
-        units = split_units(section, config.separators)
-        units = F.when(F.size(units) > 0, units).otherwise(F.array(section))
-        if config.size is None:
-            return units
-        total = F.array_join(units, "")
-        return F.when(F.length(total) <= config.size, units).otherwise(char_windows(total, config.size, config.overlap))
+        def cut(units: Column) -> Column:
+            units = F.when(F.size(units) > 0, units).otherwise(F.array(section))
+            if config.size is None:
+                return units
+            total = F.array_join(units, "")
+            return F.when(F.length(total) <= config.size, units).otherwise(char_windows(total, config.size, config.overlap))
+
+        return let(split_units(section, config.separators), cut)
 
     plain = kept_chunks(
         units_of(F.col(text), config) if config.size is None
@@ -288,7 +292,7 @@ def markdown_chunks(
     )
     unheaded = F.transform(plain, lambda w: F.struct(F.lit("").alias("section"), w.alias("text")))
     chunks = F.when((F.size(sections) == 1) & (sections[0]["header"] == ""), unheaded).otherwise(headed)
-    return explode_items(df, chunks, "__c", "index", kept).select(*kept, "index", "__c.*")
+    return explode_items(rows, chunks, "__c", "index", kept).select(*kept, "index", "__c.*")
 
 
 def token_windows(text: Column, max_tokens: int, overlap_tokens: int = 0) -> Column:
@@ -345,7 +349,7 @@ def attach_media_context(chunks: Column, table_size: int = 0, image_size: int =
     if table_size <= 0 and image_size <= 0:
         return chunks
 
-    def widened(text: Column, i: Column) -> Column:
+    def widened(text: Column, i: Column, chunks: Column) -> Column:
         size = F.lit(0)
         if image_size > 0:
             size = F.when(is_image_chunk(text), image_size).otherwise(size)
@@ -357,7 +361,7 @@ def attach_media_context(chunks: Column, table_size: int = 0, image_size: int =
         suffix = F.when(F.length(after) > 0, F.concat(F.lit("\n\n"), strip(F.left(after, size))))
         return F.when(size > 0, F.concat(F.coalesce(prefix, F.lit("")), text, F.coalesce(suffix, F.lit("")))).otherwise(text)
 
-    return F.transform(chunks, widened)
+    return let(chunks, lambda bound: F.transform(bound, lambda text, i: widened(text, i, bound)))
 
 
 def is_table_chunk(text: Column) -> Column:

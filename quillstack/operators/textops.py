@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstack.functions.arrays import explode_items
+from quillstack.functions.arrays import explode_items, let
 from quillstack.functions.text import NOT_SPACE, regex_literal, replacement_literal
 from quillstack.functions.windows import salted_join
 
@@ -141,8 +141,12 @@ def insert_lines(text: Column, content: str, number: int | None = None, pattern:
     if number is None:
         added = F.transform(lines, lambda x: F.when(x.rlike(f"(?m){pattern}"), F.concat(x, _closed(content))).otherwise(x))
         return F.array_join(added, "")
-    joined = F.concat(F.slice(lines, 1, number - 1), F.array(_closed(content)), F.slice(lines, number, F.size(lines) + 1))
-    return F.when(F.size(lines) >= number - 1, F.array_join(joined, "")).otherwise(text)
+
+    def inserted(ls: Column) -> Column:
+        joined = F.concat(F.slice(ls, 1, number - 1), F.array(_closed(content)), F.slice(ls, number, F.size(ls) + 1))
+        return F.when(F.size(ls) >= number - 1, F.array_join(joined, ""))
+
+    return F.coalesce(let(lines, inserted), text)
 
 
 def delete_lines(text: Column, number: int | None = None, pattern: str | None = None) -> Column:

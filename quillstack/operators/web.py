@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.functions.arrays import explode_items
+from quillstack.functions.arrays import explode_items, let
 from quillstack.functions.text import has_content, strip
 from quillstack.functions.windows import salted_join
 
@@ -112,10 +112,13 @@ def table_markdown(html: Column) -> Column:
         )
         return F.transform(inner, plain)
 
-    lines = F.transform(F.filter(F.transform(rows, cells), lambda c: F.size(c) > 0), _table_line)
-    header = F.concat(lines[0], F.lit("\n|"), F.repeat(F.lit(" --- |"), F.regexp_count(lines[0], F.lit(r"(?<!\\)\|")) - 1))
-    body = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
-    return F.when(F.size(lines) == 0, F.lit("")).otherwise(F.array_join(F.concat(F.array(header), body), "\n"))
+    def assembled(lines: Column) -> Column:
+        columns = F.regexp_count(lines[0], F.lit(r"(?<!\\)\|")) - 1
+        header = F.concat(lines[0], F.lit("\n|"), F.repeat(F.lit(" --- |"), columns))
+        body = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
+        return F.when(F.size(lines) == 0, F.lit("")).otherwise(F.array_join(F.concat(F.array(header), body), "\n"))
+
+    return let(F.transform(F.filter(F.transform(rows, cells), lambda c: F.size(c) > 0), _table_line), assembled)
 
 
 def _table_line(cells: Column) -> Column:
@@ -126,15 +129,18 @@ def html_to_markdown(html: Column, selectors: list[str] | None = None) -> Column
     """Markdown with headings, links, images, emphasis, lists and tables; lines are not wrapped."""
     body = F.regexp_replace(remove_unwanted(html, selectors), tag_pattern("head"), "")
     body = F.regexp_replace(body, r"(?i)<!doctype[^>]*>", "")
-    parts = F.split(body, r"(?i)(?=<table\b)|(?<=</table>)")
-    tables = F.transform(
-        parts,
-        lambda p: F.when(p.rlike(r"(?i)\A<table\b"), F.concat(F.lit("\n\n"), table_markdown(p), F.lit("\n\n"))).otherwise(
-            _apply(p, MARKDOWN_RULES)
-        ),
-    )
-    text = F.when(body.rlike(r"(?i)<table\b"), F.array_join(tables, "")).otherwise(_apply(body, MARKDOWN_RULES))
-    return strip(_apply(unescape(text), TIDY_RULES))
+
+    def converted(page: Column) -> Column:
+        parts = F.split(page, r"(?i)(?=<table\b)|(?<=</table>)")
+        mixed = F.transform(
+            parts,
+            lambda p: F.when(
+                p.rlike(r"(?i)\A<table\b"), F.concat(F.lit("\n\n"), table_markdown(p), F.lit("\n\n"))
+            ).otherwise(_apply(p, MARKDOWN_RULES)),
+        )
+        return F.when(page.rlike(r"(?i)<table\b"), F.array_join(mixed, "")).otherwise(_apply(page, MARKDOWN_RULES))
+
+    return strip(_apply(unescape(let(body, converted)), TIDY_RULES))
 
 
 def is_valid_content(text: Column, min_length: int = 100) -> Column:

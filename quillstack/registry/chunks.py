@@ -8,19 +8,19 @@ from quillstack.functions.windows import page
 from quillstack.operators import chunk as ck
 from quillstack.registry import register
 from quillstack.registry import sqltext as q
-from quillstack.session import load_table
+from quillstack.session import load_table, spread
 
 SEPARATORS = ["\n", ". "]
 MARKDOWN = "'# ' || lang || chr(10) || text || chr(10) || '## ' || source || chr(10) || text"
 
 
 def docs(spark, folder):
-    return load_table(spark, folder, "documents").select("doc_id", "text")
+    return spread(load_table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
 
 
 def markdown_docs(spark, folder):
     text = F.concat(F.lit("# "), "lang", F.lit("\n"), "text", F.lit("\n## "), "source", F.lit("\n"), "text")
-    return load_table(spark, folder, "documents").select("doc_id", text.alias("text"))
+    return spread(load_table(spark, folder, "documents"), "doc_id").select("doc_id", text.alias("text"))
 
 
 @register(

@@ -11,11 +11,11 @@ from quillstack.plans import search as plans
 from quillstack.registry import register
 from quillstack.registry import sqltext as q
 from quillstack.registry.vectors import L2, query_vector
-from quillstack.session import load_table, shared_dir
+from quillstack.session import load_table, shared_dir, spread
 
 
 def documents(spark, folder):
-    return load_table(spark, folder, "documents")
+    return spread(load_table(spark, folder, "documents"), "doc_id")
 
 
 def query_text(spark, folder, item=0):

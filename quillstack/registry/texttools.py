@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from quillstack.operators import textops as tx
 from quillstack.registry import register
 from quillstack.registry import sqltext as q
-from quillstack.session import load_table, shared_dir
+from quillstack.session import load_table, shared_dir, spread
 from quillstack.sources import files
 
 WORD = q.quote(q.NOT_SPACE + "+")
 
 
 def docs(spark, folder):
-    return load_table(spark, folder, "documents")
+    return spread(load_table(spark, folder, "documents"), "doc_id")
 
 
 @register(

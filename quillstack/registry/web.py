@@ -10,11 +10,11 @@ from quillstack.operators import web as wb
 from quillstack.plans.ingest import ingest_pages
 from quillstack.registry import register
 from quillstack.registry import sqltext as q
-from quillstack.session import load_table
+from quillstack.session import load_table, spread
 
 
 def pages(spark, folder):
-    return load_table(spark, folder, "pages")
+    return spread(load_table(spark, folder, "pages"), "page_id")
 
 
 def sql_rules(expr, rules):

@@ -45,6 +45,16 @@ def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core rows to work on when the input is only a few splits.
+
+    Text expressions cost far more than moving such a small input once. An input with at least as many splits as
+    cores, which is any large one, is returned unchanged, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def _checkpoint_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
