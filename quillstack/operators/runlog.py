@@ -30,6 +30,7 @@ ERROR_NAME = "trace_error"
 # Statuses of jobs that have ended.
 FINISHED = ["completed", "failed", "cancelled"]
 
+# Longest pairing in seconds, longest tool result, and the wording of the context message.
 MAX_LATENCY = 3600
 TOOL_RESULT_LENGTH = 240
 CONTEXT_HEADER = (

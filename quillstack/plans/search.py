@@ -103,11 +103,13 @@ def check_collections(requested: DataFrame, allowed: DataFrame, existing: DataFr
 
 
 def search_collections(
-    corpus: DataFrame, requested: list[str], vector: list[float], top_k: int, min_score: float = 0.0,
+    corpus: DataFrame, requested: list[str] | None, vector: list[float], top_k: int, min_score: float = 0.0,
     user_id: int | None = None, is_admin: bool = False,
 ) -> DataFrame:
-    """Best ``top_k`` per collection in one job, filtered by score, in one global order."""
-    rows = tenant_filter(corpus, user_id, is_admin).filter(F.col("collection").isin(requested))
+    """Best ``top_k`` per collection in one job, filtered by score, in one global order; None searches all collections."""
+    rows = tenant_filter(corpus, user_id, is_admin)
+    if requested is not None:
+        rows = rows.filter(F.col("collection").isin(requested))
     scored = rows.withColumn("distance", squared_l2(F.col("vector"), query_literal(vector))).drop("vector")
     scored = scored.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.col("distance"))).filter(F.col("score") >= min_score)
     return top_per_group(scored, ["collection"], [F.col("distance"), *map(F.col, IDS)], top_k).orderBy(

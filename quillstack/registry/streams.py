@@ -118,8 +118,8 @@ SELECT content_hash, index, chunk, sha256(content_hash || '|' || index) AS chunk
 )
 def r7(spark, folder):
     """Documents arrive as files, exact copies are ingested once."""
-    docs = stream(spark, folder, "documents").withColumn("arrived", F.timestamp_seconds(F.col("doc_id")))
-    chunks = st.new_chunks(docs, "text", "arrived", 1000, 200, late="36500 days")
+    docs = stream(spark, folder, "documents").withColumn("arrived", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")))
+    chunks = st.new_chunks(docs, "text", "arrived", 1000, 200, late="3650 days")
     return st.run_to_table(chunks, ["chunk_id"], "append", "ingest")
 
 
