@@ -62,5 +62,19 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def left(text: Column, n: int) -> Column:
-    return F.substring(text, 1, n)
+def count_runs(text: Column, inside: str, outside: str) -> Column:
+    """Number of runs of ``inside`` characters; ``outside`` is the opposite character class.
+
+    Each run shrinks to one character, so nothing is collected into an array as ``regexp_count`` does.
+    """
+    runs = F.length(F.regexp_replace(text, f"{outside}*+{inside}++{outside}*+", "x"))
+    return F.when(text.rlike(inside), runs).when(text.isNotNull(), F.lit(0))
+
+
+def count_words(text: Column) -> Column:
+    """Size of ``words`` without building it."""
+    return count_runs(F.lower(text), r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]")
+
+
+def count_char(text: Column, char: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))

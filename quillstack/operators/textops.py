@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstack.functions.arrays import explode_items, let
-from quillstack.functions.text import NOT_SPACE, regex_literal, replacement_literal
+from quillstack.functions.text import (
+    NOT_SPACE, SPACE_CLASS, count_char, count_runs, regex_literal, replacement_literal,
+)
 from quillstack.functions.windows import salted_join
 
 PREVIEW_CHARS = 500
@@ -23,11 +25,11 @@ SECRET_FORMS = [
 
 
 def line_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit("\n")) + 1
+    return count_char(text, "\n") + 1
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(NOT_SPACE + "+"))
+    return count_runs(text, NOT_SPACE, f"[{SPACE_CLASS}]")
 
 
 def preview(text: Column, size: int = PREVIEW_CHARS) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.functions.arrays import explode_items
-from quillstack.functions.text import words
+from quillstack.functions.text import count_words, words
 
 # Prefix lengths indexed for scripts written without blanks.
 PREFIX_MIN = 2
@@ -58,6 +58,11 @@ def postings(corpus: DataFrame, ids: list[str], text: str = "text") -> DataFrame
     )
 
 
+def collection_totals(corpus: DataFrame, text: str = "text") -> DataFrame:
+    """One row: documents and their mean length in words."""
+    return corpus.agg(F.count(F.lit(1)).alias("docs"), F.avg(count_words(F.col(text))).alias("mean_len"))
+
+
 def query_hits(corpus: DataFrame, ids: list[str], wanted: list[str], text: str = "text") -> DataFrame:
     """(document, term, tf) for the query's terms only: other words are dropped inside the row, before the shuffle."""
     docs = _documents(corpus, ids, text)
@@ -82,9 +87,7 @@ class TextIndex:
         # Frequent terms would make one writer per bucket slow, so each bucket has several.
         spread = rows.repartition("bucket", F.pmod(F.xxhash64(*ids), F.lit(8)))
         spread.sortWithinPartitions("bucket", "term").write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/postings")
-        sizes = corpus.select(*ids, F.size(words(F.col(text))).cast("long").alias("doc_len"))
-        totals = sizes.agg(F.count(F.lit(1)).alias("docs"), F.avg("doc_len").alias("mean_len"))
-        totals.write.mode("errorifexists").parquet(f"{path}/totals")
+        collection_totals(corpus, text).write.mode("errorifexists").parquet(f"{path}/totals")
         return TextIndex(path, ids, buckets)
 
     def lookup(self, spark: SparkSession, wanted: list[str]) -> DataFrame:
@@ -123,8 +126,7 @@ def score_hits(hits: DataFrame, totals: DataFrame, ids: list[str], k: int) -> Da
 
 def bm25_scan(corpus: DataFrame, query: str, k: int, ids: list[str], text: str = "text") -> DataFrame:
     """Rank without a stored index: ids, bm25 and score of the best ``k``. Only matching words are shuffled."""
-    lengths = _documents(corpus, ids, text)
-    totals = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("doc_len").alias("mean_len"))
+    totals = collection_totals(corpus, text)
     return score_hits(query_hits(corpus, ids, query_terms(query) or [""], text), totals, ids, k)
 
 
