@@ -23,6 +23,10 @@ def apply_session_conf(spark: SparkSession) -> SparkSession:
     """Set the run-time settings on an existing session and return it."""
     for key, value in SESSION_CONF.items():
         spark.conf.set(key, value)
+    # One machine with Spark's default of 200 shuffle tasks mostly starts tasks, above all in streams.
+    context = spark.sparkContext
+    if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
     return spark
 
 
