@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm import bpe, mixing, topk
+from quillstack.llm import bpe, fingerprint, language, mixing, topk
 from quillstack.llm.common import word_count, written
 from quillstack.session import apply_session_conf, load_table
 
@@ -36,6 +36,34 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op3_bottom_k_sketch")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every whole text and of its edited text, and their likeness."""
+    docs = load_table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("sketch", fingerprint.sketch(F.col("text")))
+    docs = fingerprint.with_next(docs, "doc_id", ["text", "sketch"])
+    docs = docs.withColumn("edited", fingerprint.edited(F.col("text"), F.col("next_text")))
+    docs = docs.withColumn("edited_sketch", fingerprint.sketch(F.col("edited")))
+    return docs.select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.as_text(F.col("sketch")).alias("fingerprint"),
+        fingerprint.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprint.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        fingerprint.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        fingerprint.containment(F.col("edited_sketch"), F.col("sketch")).alias("edited_contained"),
+        fingerprint.distinct_shingles(F.col("sketch")).alias("n_shingles"),
+    )
+
+
+@query("op5_language_mixture")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """The languages of every whole text, learned from the documents that are not held out."""
+    docs = load_table(spark, folder, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", language.held_out())
+    profiles = language.learn(docs.filter("NOT held_out"))
+    return language.predict(docs.select("doc_id", "text", "held_out"), profiles).drop("text")
+
+
 @query("op7_prefix_bpe")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every whole text and the text they decode to, as digests."""
