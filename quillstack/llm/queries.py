@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm import bpe, fingerprint, language, mixing, topk
+from quillstack.llm import bpe, fingerprint, language, mixing, quotes, rollups, topk, urls
 from quillstack.llm.common import word_count, written
-from quillstack.session import apply_session_conf, load_table
+from quillstack.session import apply_session_conf, load_table, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,6 +36,55 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+#: Tokens of the second counting rule: runs of Latin letters, single digits, single other signs.
+PIECES = r"[A-Za-z]+|[0-9]|[^A-Za-z0-9\x20\x09-\x0D]"
+
+
+@query(
+    "op2_delta_rollups",
+    rf"""
+    WITH counted AS (
+        SELECT doc_id, source, lang, text,
+               coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS words,
+               coalesce(len(regexp_extract_all(text, '{PIECES}')), 0) AS pieces
+        FROM documents
+    ), firsts AS (SELECT coalesce(text, '') AS text, min(doc_id) AS first_id FROM documents GROUP BY 1
+    ), kept AS (
+        SELECT c.* FROM counted c JOIN firsts f ON coalesce(c.text, '') = f.text AND c.doc_id = f.first_id
+    ), tokens AS (
+        SELECT source, lang, 'words-1' AS tokenizer, CASE WHEN lang = 'fr' THEN pieces ELSE words END AS n FROM kept
+        UNION ALL SELECT source, lang, 'pieces-1', pieces FROM kept
+    )
+    SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS tokens
+    FROM tokens GROUP BY 1, 2, 3
+    """,
+)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals after three batches, two of them sent twice: all documents, French recounted, later copies deleted."""
+    text = F.col("text")
+    docs = load_table(spark, folder, "documents").select(
+        "doc_id", "source", "lang", word_count(text).alias("words"), F.coalesce(F.regexp_count(text, F.lit(PIECES)), F.lit(0)).cast("long").alias("pieces"),
+        F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest"),
+    )
+    docs = written(docs, "rollup-counts")
+
+    def changes(rows: DataFrame, op: str, words: str) -> DataFrame:
+        both = F.array(*[F.struct(F.lit(n).alias("tokenizer"), F.expr(c).cast("long").alias("tokens")) for n, c in (("words-1", words), ("pieces-1", "pieces"))])
+        return rows.select(F.lit(op).alias("op"), "source", "lang", F.inline(both)).withColumn("was_tokens", F.lit(0).cast("long"))
+
+    table = rollups.Rollups(spark, shared_dir(spark, "rollups"))
+    load = changes(docs, "insert", "words")
+    recount = docs.filter("lang = 'fr'").select(
+        F.lit("revise").alias("op"), "source", "lang", F.lit("words-1").alias("tokenizer"), F.col("pieces").alias("tokens"), F.col("words").alias("was_tokens")
+    )
+    first = docs.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    copies = docs.join(first, "digest").filter("doc_id > first_id")
+    dropped = changes(copies, "delete", "CASE WHEN lang = 'fr' THEN pieces ELSE words END")
+    for name, batch in (("1.load", load), ("2.recount", recount), ("1.load", load), ("3.copies", dropped), ("3.copies", dropped)):
+        table.commit(name, batch)
+    return table.totals()
+
+
 @query("op3_bottom_k_sketch")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every whole text and of its edited text, and their likeness."""
@@ -55,6 +104,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op4_segmented_urls")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """A verdict for every page's url."""
+    return urls.judge(load_table(spark, folder, "pages"))
+
+
 @query("op5_language_mixture")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """The languages of every whole text, learned from the documents that are not held out."""
@@ -76,6 +131,25 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op8_quotation_links")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Replies found in mail made of the conversations: each turn quotes the two before it, the older one twice deep."""
+    turns = load_table(spark, folder, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+
+    def before(n: int) -> DataFrame:
+        marks = "> " * n
+        return turns.dropDuplicates(["conv_id", "turn"]).select(
+            "conv_id", (F.col("turn") + n).alias("turn"),
+            F.concat(F.lit(marks), F.regexp_replace("text", "\n", "\n" + marks), F.lit("\n")).alias(f"quote_{n}"),
+        )
+
+    mail = turns.join(before(1), ["conv_id", "turn"], "left").join(before(2), ["conv_id", "turn"], "left")
+    mail = mail.select(
+        "conv_id", "turn", "role", F.concat(F.coalesce("quote_2", F.lit("")), F.coalesce("quote_1", F.lit("")), "text").alias("text")
+    )
+    return quotes.link_quotes(written(mail, "mail"))
+
+
 @query("op9_split_tree_mix")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """How many words of every document the mix takes."""
