@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm import bpe, fingerprint, language, mixing, quotes, rollups, topk, urls
+from quillstack.llm import bpe, fingerprint, language, mixing, neardup, quotes, rollups, spans, topk, urls
 from quillstack.llm.common import word_count, written
 from quillstack.session import apply_session_conf, load_table, shared_dir
 
@@ -36,6 +36,12 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_order_minhash_classes")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of near-duplicates of every document."""
+    return neardup.classes(load_table(spark, folder, "documents"))
+
+
 #: Tokens of the second counting rule: runs of Latin letters, single digits, single other signs.
 PIECES = r"[A-Za-z]+|[0-9]|[^A-Za-z0-9\x20\x09-\x0D]"
 
@@ -119,6 +125,14 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text", "held_out"), profiles).drop("text")
 
 
+@query("op6_compacted_spans")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every whole text without the windows of 20 words that occur earlier."""
+    docs = load_table(spark, folder, "documents").select("doc_id", "text")
+    left = spans.remove_spans(docs, spans.repeated_spans(docs))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query("op7_prefix_bpe")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every whole text and the text they decode to, as digests."""
