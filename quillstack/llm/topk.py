@@ -23,9 +23,9 @@ from quillstack.llm.common import map_batches, written
 
 #: Rows of a block of candidates and of a block of queries; both bound a task's memory.
 ROWS_PER_BLOCK, QUERIES_PER_BLOCK = 2048, 1024
-PIVOTS = 24
-#: Candidates evaluated at a time, in bound order.
-STEP = 256
+PIVOTS = 16
+#: Candidates evaluated at a time, in bound order, and tasks among which a query block's candidates are dealt.
+STEP, SLOTS = 256, 24
 
 
 def quantized(rows: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
@@ -42,22 +42,31 @@ def quantized(rows: DataFrame, id_col: str, vector: str, scale: int) -> DataFram
 def _packed(rows: DataFrame, per_block: int, dims: int, label: str) -> DataFrame:
     """(block, n, ids, vectors): rows packed as bytes into blocks of ``per_block`` rows at most."""
 
+    def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        part = pa.Table.from_batches(parts).combine_chunks()
+        v = part.column(1).chunk(0)
+        sizes = pa.compute.list_value_length(v).to_numpy(zero_copy_only=False)
+        out = np.zeros((part.num_rows, dims), np.int64)
+        if (sizes == dims).all():
+            out[:] = v.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+        else:
+            for i, x in enumerate(v.to_pylist()):
+                out[i, : len(x)] = x
+        ids = part.column(0).chunk(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.RecordBatch.from_pydict({"n": pa.array([len(ids)], pa.int64()), "ids": [ids.tobytes()], "vectors": [out.tobytes()]})
+
     def pack(batches):
+        held, size = [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, per_block):
                 part = batch.slice(at, per_block)
-                v = part.column(1)
-                sizes = pa.compute.list_value_length(v).to_numpy(zero_copy_only=False)
-                out = np.zeros((part.num_rows, dims), np.int64)
-                if (sizes == dims).all():
-                    out[:] = v.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-                else:
-                    for i, x in enumerate(v.to_pylist()):
-                        out[i, : len(x)] = x
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield pa.RecordBatch.from_pydict(
-                    {"n": pa.array([len(ids)], pa.int64()), "ids": [ids.tobytes()], "vectors": [out.tobytes()]}
-                )
+                if held and size + part.num_rows > per_block:
+                    yield block(held)
+                    held, size = [], 0
+                held.append(part)
+                size += part.num_rows
+        if size:
+            yield block(held)
 
     blocks = rows.mapInArrow(pack, "n long, ids binary, vectors binary")
     return written(blocks.withColumn("block", F.monotonically_increasing_id()), label)
@@ -101,9 +110,11 @@ def top_k(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     table = spark.sparkContext.broadcast(_pivots(np.frombuffer(sample[0][0], np.int64).reshape(-1, dims)[:1024], pivots))
 
-    # Every candidate block is listed once for each query block (one per 1024 queries).
-    met = blocks.select("ids", "vectors", F.explode(F.sequence(F.lit(0), F.lit(n_asks - 1))).alias("ask"))
-    pairs = met.join(asks, "ask").select("ids", "vectors", "q_ids", "q_vectors")
+    # Every candidate block is listed once for each query block (one per 1024 queries); a query block is copied to
+    # SLOTS tasks, so that its candidates spread.
+    slots = F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot")
+    met = blocks.select("ids", "vectors", F.explode(F.sequence(F.lit(0), F.lit(n_asks - 1))).alias("ask"), F.pmod(F.xxhash64("block"), F.lit(SLOTS)).alias("slot"))
+    pairs = met.join(asks.select("*", slots), ["ask", "slot"]).select("ids", "vectors", "q_ids", "q_vectors")
 
     def make():
         p = table.value
