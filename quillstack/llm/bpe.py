@@ -13,19 +13,20 @@ import json
 import math
 import re
 import unicodedata
+import zlib
 from array import array
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import map_batches
+from quillstack.llm.common import map_batches, once_per_worker
 
-#: Words a task remembers with their ids, and pairs it remembers; when full they start anew.
-WORDS_KEPT, PAIRS_KEPT = 300_000, 1_000_000
+#: Pieces of text a worker remembers with their ids, and pairs of tokens; when full they start anew.
+PIECES_KEPT, PAIRS_KEPT = 400_000, 1_000_000
 
 
 def byte_letters() -> list[str]:
@@ -71,7 +72,6 @@ class PrefixBpe:
                 self.matches.add_word(form[t], (i, len(form[t])))
         self.size = {vocab[t]: len(f) for t, f in form.items()}
         self.matches.make_automaton()
-        self.known: dict[str, array] = {}
 
     def _edge(self, token: int, side: int, until: float) -> list[tuple[int, float]]:
         """The tokens that stand at one end of ``token`` while it is made, each with the rank that uses it up."""
@@ -122,15 +122,12 @@ class PrefixBpe:
         ids.reverse()
         return ids
 
-    def __missing__(self, word: str) -> array:
-        if len(self.known) >= WORDS_KEPT:
-            self.known.clear()
-        ids = self.known[word] = self.word(word)
-        return ids
 
+class Encoder(dict):
+    """The whole tokenizer: added tokens, normaliser (NFC, blanks, lower case), splitting pattern, model.
 
-class Encoder:
-    """The whole tokenizer: added tokens, normaliser (NFC, blanks, lower case), splitting pattern, model."""
+    No step looks across a space, so the ids of the pieces between spaces are remembered, as bytes of 32-bit integers.
+    """
 
     def __init__(self, text: str) -> None:
         spec = json.loads(text)
@@ -138,33 +135,37 @@ class Encoder:
         split, level = spec["pre_tokenizer"]["pretokenizers"]
         if steps != ["NFC", "Replace", "Lowercase"] or split["behavior"] != "Removed" or not split["invert"] or level["type"] != "ByteLevel":
             raise ValueError("this tokenizer file has other steps than NFC, blanks, lower case, pattern and bytes")
-        if spec["decoder"] is not None or spec["post_processor"] is not None:
-            raise ValueError("this tokenizer file has a decoder or post-processor")
+        if spec["decoder"] is not None or spec["post_processor"] is not None or any(" " in x["content"] for x in spec["added_tokens"]):
+            raise ValueError("this tokenizer file has a decoder, a post-processor or added tokens with spaces")
         self.model = PrefixBpe(spec)
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.added = re.compile("|".join(map(re.escape, sorted(self.model.added, key=len, reverse=True))) or r"(?!)")
 
-    def words(self, text: str) -> list[str]:
+    def _words(self, text: str) -> list[str]:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
             # Lower case letter by letter: a final capital sigma has no form of its own.
-            text = text.replace("Σ", "σ").lower()
-        else:
-            text = text.lower()
-        return self.pattern.findall(text)
-
-    def encode(self, text: str) -> array:
-        known, model, out, at = self.model.known, self.model, array("i"), 0
-        pieces = []
-        for m in self.added.finditer(text):
-            pieces += [(text[at : m.start()], self.model.added[m.group()])]
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return self.pattern.findall(text.lower())
+
+    def __missing__(self, piece: str) -> bytes:
+        out, at = array("i"), 0
+        for m in self.added.finditer(piece):
+            for w in self._words(piece[at : m.start()]):
+                out += self.model.word(w)
+            out.append(self.model.added[m.group()])
             at = m.end()
-        for piece, token in [*pieces, (text[at:], None)]:
-            get, miss = known.get, model.__missing__
-            out.extend(chain.from_iterable([get(w) or miss(w) for w in self.words(piece)]))
-            if token is not None:
-                out.append(token)
-        return out
+        for w in self._words(piece[at:]):
+            out += self.model.word(w)
+        ids = out.tobytes()
+        if len(piece) < 64:
+            if len(self) >= PIECES_KEPT:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as bytes of 32-bit integers."""
+        return b"".join([self[p] for p in text.replace("\n", " ").split(" ")])
 
 
 def read_tokenizer(path: str) -> str:
@@ -187,14 +188,14 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, out: st
     where = kept.columns.index(text)
 
     def make():
-        encoder = Encoder(spec.value)
+        encoder = once_per_worker(f"bpe {zlib.crc32(spec.value.encode())}", lambda: Encoder(spec.value))
 
         def one(batch):
             ids = [encoder.encode(t or "") for t in batch.column(where).to_pylist()]
-            offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            offsets = np.cumsum([0, *map(len, ids)], dtype=np.int64) // 4
             flat = np.frombuffer(b"".join(ids), np.int32)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*batch.schema.names, out]
+                [*batch.columns, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))], [*batch.schema.names, out]
             )
 
         return one
@@ -210,15 +211,22 @@ def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, out: str
     where = kept.columns.index(ids)
 
     def make():
-        spec_ = json.loads(spec.value)
-        tokens = [""] * (1 + max([*spec_["model"]["vocab"].values(), *(x["id"] for x in spec_["added_tokens"])]))
-        for t, i in spec_["model"]["vocab"].items():
-            tokens[i] = t
-        for x in spec_["added_tokens"]:
-            tokens[x["id"]] = x["content"]
+        def table():
+            parsed = json.loads(spec.value)
+            tokens = [(i, t) for t, i in parsed["model"]["vocab"].items()] + [(x["id"], x["content"]) for x in parsed["added_tokens"]]
+            named = np.full(max(i for i, _ in tokens) + 1, "", object)
+            for i, t in tokens:
+                named[i] = t
+            return named
+
+        tokens = once_per_worker(f"tokens {zlib.crc32(spec.value.encode())}", table)
 
         def one(batch):
-            texts = [" ".join([tokens[i] for i in row] if row else ()) for row in batch.column(where).to_pylist()]
+            column = batch.column(where)
+            sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+            words = tokens[column.flatten().to_numpy(zero_copy_only=False)].tolist()
+            ends = np.cumsum(sizes).tolist()
+            texts = [" ".join(words[e - n : e]) for e, n in zip(ends, sizes.tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
 
         return one

@@ -41,6 +41,16 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     return df.mapInArrow(run, schema)
 
 
+def once_per_worker(name: str, make: Callable[[], object]) -> object:
+    """``make()``, kept for later tasks of the same Python worker; it must depend on ``name`` alone."""
+    import sys
+
+    kept = vars(sys).setdefault("_quillstack_kept", {})
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x + _GOLD

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,7 +89,7 @@ def windows_of(rows: DataFrame) -> DataFrame:
             first = ends - np.bincount(e.row, minlength=batch.num_rows)
             mark = np.zeros(len(e.hash) + 1, np.int64)
             wanted = batch.column(2)
-            owner = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(wanted).to_numpy(zero_copy_only=False))
+            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(wanted).to_numpy(zero_copy_only=False))
             flat = wanted.flatten()
             at, n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             np.add.at(mark, first[owner] + at, 1)

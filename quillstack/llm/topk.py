@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ def _packed(rows: DataFrame, per_block: int, dims: int, label: str) -> DataFrame
     def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         part = pa.Table.from_batches(parts).combine_chunks()
         v = part.column(1).chunk(0)
-        sizes = pa.compute.list_value_length(v).to_numpy(zero_copy_only=False)
+        sizes = pc.list_value_length(v).to_numpy(zero_copy_only=False)
         out = np.zeros((part.num_rows, dims), np.int64)
         if (sizes == dims).all():
             out[:] = v.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
