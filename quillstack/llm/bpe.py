@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from quillstack.llm.common import map_batches, once_per_worker
 
-#: Pieces of text a worker remembers with their ids, and pairs of tokens; when full they start anew.
-PIECES_KEPT, PAIRS_KEPT = 400_000, 1_000_000
+#: Pieces of text, words and pairs of tokens that a worker remembers: the first it meets, the frequent ones among them.
+KEPT = 500_000
 
 
 def byte_letters() -> list[str]:
@@ -65,6 +65,7 @@ class PrefixBpe:
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.matches = ahocorasick.Automaton()
         self.fits: dict[int, bool] = {}
+        self.words: dict[str, bytes] = {}
         sound: set[int] = set()
         for t, i in sorted(((t, vocab[t]) for t in form), key=lambda x: self.rank[x[1]]):
             if i not in self.parts or self._sound(i, sound):
@@ -96,31 +97,42 @@ class PrefixBpe:
         a, b = self.parts[token]
         return a in sound and b in sound and not self._crossed(a, b, self.rank[token], self.rank[token])
 
-    def word(self, word: str) -> array:
-        """Ids of one word (one match of the splitting pattern)."""
-        raw = word.encode("utf-8", "surrogatepass")
-        form = raw[:-1].decode("latin-1") + chr(256 + raw[-1])
-        last, fits = [-1] * (len(form) + 1), self.fits
+    def word(self, word: str) -> bytes:
+        """Ids of one word (one match of the splitting pattern), as bytes of 32-bit integers."""
+        ids = self.words.get(word)
+        if ids is None:
+            raw = word.encode("utf-8", "surrogatepass")
+            ids = self._last_tokens(raw[:-1].decode("latin-1") + chr(256 + raw[-1]))
+            if len(self.words) < KEPT:
+                self.words[word] = ids
+        return ids
+
+    def _last_tokens(self, form: str) -> bytes:
+        """The last token of every prefix, from left to right; then back from the whole word."""
+        last, known, done = [-1] * (len(form) + 1), self.fits.get, 0
         for end, (token, size) in self.matches.iter(form):
-            if last[end + 1] >= 0:
+            if end < done:  # this prefix has its token
                 continue
             before = end + 1 - size
             if before:
-                pair = last[before] << 20 | token
-                good = fits.get(pair)
+                good = known(last[before] << 20 | token)
                 if good is None:
-                    if len(fits) >= PAIRS_KEPT:
-                        fits.clear()
-                    good = fits[pair] = not self._crossed(last[before], token, math.inf)
+                    good = self._fit(last[before], token)
                 if not good:
                     continue
-            last[end + 1] = token
-        ids, at = array("i"), len(form)
+            done = end + 1
+            last[done] = token
+        ids, at, size = [], len(form), self.size
         while at:
             ids.append(last[at])
-            at -= self.size[last[at]]
-        ids.reverse()
-        return ids
+            at -= size[last[at]]
+        return array("i", ids[::-1]).tobytes()
+
+    def _fit(self, a: int, b: int) -> bool:
+        good = not self._crossed(a, b, math.inf)
+        if len(self.fits) < KEPT:
+            self.fits[a << 20 | b] = good
+        return good
 
 
 class Encoder(dict):
@@ -148,18 +160,14 @@ class Encoder(dict):
         return self.pattern.findall(text.lower())
 
     def __missing__(self, piece: str) -> bytes:
-        out, at = array("i"), 0
-        for m in self.added.finditer(piece):
-            for w in self._words(piece[at : m.start()]):
-                out += self.model.word(w)
-            out.append(self.model.added[m.group()])
-            at = m.end()
-        for w in self._words(piece[at:]):
-            out += self.model.word(w)
-        ids = out.tobytes()
-        if len(piece) < 64:
-            if len(self) >= PIECES_KEPT:
-                self.clear()
+        if self.added.search(piece):
+            out, at = [], 0
+            for m in self.added.finditer(piece):
+                out += [*map(self.model.word, self._words(piece[at : m.start()])), array("i", [self.model.added[m.group()]]).tobytes()]
+                at = m.end()
+            return b"".join([*out, *map(self.model.word, self._words(piece[at:]))])
+        ids = b"".join(map(self.model.word, self._words(piece)))
+        if len(self) < KEPT and len(piece) < 64:
             self[piece] = ids
         return ids
 
