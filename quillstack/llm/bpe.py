@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quillstack.llm.common import map_batches, once_per_worker
 
 #: Pieces of text, words and pairs of tokens that a worker remembers: the first it meets, the frequent ones among them.
-KEPT = 500_000
+KEPT = 150_000
 
 
 def byte_letters() -> list[str]:
