@@ -181,8 +181,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     usable = base.filter("doc IS NOT NULL AND text IS NOT NULL")
     made = written(sketches(usable), "neardup-sketches")
     same = written(made.groupBy("same").agg(F.min_by("keys", "doc").alias("keys"), F.min("doc").alias("rep")), "neardup-copies")
-    copies = made.select("doc", "same").join(same.select("same", "rep"), "same").groupBy("doc").agg(F.min("rep").alias("rep"))
-    copies = written(copies, "neardup-reps")
+    # A text may have very many copies: their rows are spread.
+    reps = written(salted_join(made.select("doc", "same"), same.select("same", "rep"), ["same"]).select("doc", "rep"), "neardup-reps")
+    copies = written(reps.groupBy("doc").agg(F.min("rep").alias("rep")), "neardup-copies")
     buckets = same.select("rep", F.explode("keys").alias("key"))
     # A bucket of two and more: the member with the least hash, which depends on the bucket, stands for it.
     middle = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep"))["rep"].alias("middle"), F.count("*").alias("n"))
@@ -196,8 +197,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     links = written(verified(pairs, texts), "neardup-links")
     release_shuffles(spark)
     # Rows of one id with different words tie their representatives together.
-    tied = made.select("doc", "same").join(same.select("same", "rep"), "same").filter("rep <> doc").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    tied = tied.join(copies.select(F.col("doc").alias("a"), F.col("rep").alias("one")), "a").filter("one <> b").select(F.col("one").alias("a"), "b")
+    tied = reps.join(copies.withColumnRenamed("rep", "a"), "doc").select("a", F.col("rep").alias("b")).filter("a <> b")
     joined = components(links.unionByName(tied))
     found = copies.join(joined, F.col("rep") == F.col("node"), "left").select("doc", "rep", F.coalesce("least", "rep").alias("least"))
     own = docs.select(F.col(id_col).cast("long").alias("doc")).join(found, "doc", "left")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstack.functions.windows import salted_join
 from quillstack.llm import bpe, fingerprint, language, mixing, neardup, quotes, rollups, spans, topk, urls
 from quillstack.llm.common import word_count, written
 from quillstack.session import apply_session_conf, load_table, shared_dir
@@ -84,7 +85,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("revise").alias("op"), "source", "lang", F.lit("words-1").alias("tokenizer"), F.col("pieces").alias("tokens"), F.col("words").alias("was_tokens")
     )
     first = docs.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    copies = docs.join(first, "digest").filter("doc_id > first_id")
+    copies = salted_join(docs, first, ["digest"]).filter("doc_id > first_id")
     dropped = changes(copies, "delete", "CASE WHEN lang = 'fr' THEN pieces ELSE words END")
     for name, batch in (("1.load", load), ("2.recount", recount), ("1.load", load), ("3.copies", dropped), ("3.copies", dropped)):
         table.commit(name, batch)
