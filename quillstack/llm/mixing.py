@@ -74,16 +74,14 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
 
 
 def completing(gap: float, offers: list[tuple]) -> list[tuple]:
-    """Of ``offers`` (words first), those that one after the other bring the sum nearest to ``gap``."""
-    chosen, offers = [], sorted(offers, key=lambda x: x[:2])
-    while offers:
-        best = min(offers, key=lambda x: (abs(gap - x[0]), x[1]))
-        if abs(gap - best[0]) >= abs(gap):
-            break
-        chosen.append(best)
-        offers.remove(best)
-        gap -= best[0]
-    return chosen
+    """Of ``offers`` (words first), the largest that fit ``gap`` one after the other, then one too large if that is nearer."""
+    chosen, offers = [], sorted(offers, key=lambda x: (-x[0], x[1]))
+    for offer in offers:
+        if offer[0] <= gap:
+            chosen.append(offer)
+            gap -= offer[0]
+    larger = [x for x in offers if gap < x[0] < 2 * gap and x not in chosen]
+    return chosen + larger[-1:]
 
 
 def plan(
