@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,15 +15,8 @@ from quillstack.functions.windows import salted_join
 # Elements whose content is never text.
 UNWANTED_TAGS = ["script", "style", "noscript", "iframe", "svg"]
 
-# Links that lead to no page.
-SKIPPED_PREFIXES = ["#", "javascript:", "mailto:", "tel:"]
-
-# Character references, the ampersand last.
-ENTITIES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&euro;", "€"),
-    ("&amp;", "&"),
-]
+#: Named character references of HTML 4 and the apostrophe, from the standard library; a no-break space becomes a blank.
+REFERENCES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'", "nbsp": " "}
 
 COMMENT = r"(?s)<!--.*?-->"
 
@@ -54,9 +50,22 @@ TIDY_RULES = [(r"[ \t]+\n", "\n"), (r"\n[ \t]+([^ \t*])", "\n$1"), (r"\n{3,}", "
 
 
 def unescape(text: Column) -> Column:
-    for reference, char in ENTITIES:
-        text = F.replace(text, F.lit(reference), F.lit(char))
-    return text
+    """Character references, named and numeric, replaced in one pass; unknown ones stay as they are."""
+    table = F.from_json(F.lit(json.dumps(REFERENCES)), "map<string,string>")
+
+    def decoded(piece: Column) -> Column:
+        name = F.regexp_extract(piece, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
+        digits = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 7))
+        code = digits.cast("int")
+        fits = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        sign = F.when(fits, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).when(~name.startswith("#"), F.element_at(table, name))
+        return F.coalesce(F.concat(sign, F.substr(piece, F.length(name) + 2)), F.concat(F.lit("&"), piece))
+
+    def joined(parts: Column) -> Column:
+        rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), decoded)
+        return F.array_join(F.concat(F.slice(parts, 1, 1), rest), "")
+
+    return F.when(text.contains("&"), let(F.split(text, "&"), joined)).otherwise(text)
 
 
 def remove_unwanted(html: Column, selectors: list[str] | None = None) -> Column:
@@ -89,7 +98,7 @@ def page_title(html: Column) -> Column:
 
     return F.coalesce(
         text_of(r"(?is)<title\b[^>]*>([^<]*)</title"),
-        text_of(r"(?is)<h1\b[^>]*>([^<]*)</h1"),
+        F.nullif(strip(unescape(F.regexp_replace(F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1", 1), r"<[^>]*>", ""))), F.lit("")),
         text_of(r'(?is)<meta\b[^>]*property\s*=\s*"og:title"[^>]*content\s*=\s*"([^"]*)"'),
         text_of(r'(?is)<meta\b[^>]*content\s*=\s*"([^"]*)"[^>]*property\s*=\s*"og:title"'),
     )
@@ -233,17 +242,20 @@ def should_crawl(url: Column, host: Column | None, include: list[str] | None = N
 def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str = "*", url: str = "url") -> DataFrame:
     """Add ``allowed``: the longest matching prefix decides, allow wins ties, no rule allows.
 
+    A host's rules for the agent itself hide those for ``*``.
+
     ``rules`` has host, agent, prefix, allow. Rules of one host become one row (a robots file is small), so urls are
     never multiplied by rules; hosts with very many urls are spread by salt.
     """
     own = rules.filter(F.col("agent").isin("*", agent))
     per_host = own.groupBy("host").agg(
-        F.collect_set(F.struct(F.length("prefix").alias("n"), F.col("allow").alias("allow"), F.col("prefix").alias("prefix"))).alias("__rules")
-    )
+        F.collect_set(F.struct(F.length("prefix").alias("n"), F.col("allow").alias("allow"), F.col("prefix").alias("prefix"), F.col("agent").alias("agent"))).alias("__rules")
+    ).withColumn("__named", F.exists("__rules", lambda r: r["agent"] != "*"))
     joined = salted_join(urls.withColumn("host", url_host(F.col(url))), per_host, ["host"], how="left")
-    matching = F.filter("__rules", lambda r: F.col(url).isNotNull() & url_path(F.col(url)).startswith(r["prefix"]))
+    group = F.filter("__rules", lambda r: ~F.col("__named") | (r["agent"] != "*"))
+    matching = F.filter(group, lambda r: F.col(url).isNotNull() & url_path(F.col(url)).startswith(r["prefix"]))
     best = F.array_max(matching)
-    return joined.withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).drop("__rules")
+    return joined.withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).drop("__rules", "__named")
 
 
 def clean_pages(pages: DataFrame, selectors: list[str] | None = None) -> DataFrame:

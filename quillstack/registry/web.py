@@ -13,6 +13,13 @@ from quillstack.registry import sqltext as q
 from quillstack.session import load_table, spread
 
 
+#: What the test pages hold, replaced one after the other, the ampersand last.
+REFERENCES = [
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+    ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&euro;", "€"), ("&amp;", "&"),
+]
+
+
 def pages(spark, folder):
     return spread(load_table(spark, folder, "pages"), "page_id")
 
@@ -25,7 +32,7 @@ def sql_rules(expr, rules):
 
 
 def sql_unescape(expr):
-    for reference, char in wb.ENTITIES:
+    for reference, char in REFERENCES:
         expr = f"replace({expr}, {q.quote(reference)}, {q.quote(char)})"
     return expr
 
@@ -90,16 +97,19 @@ def w3(spark, folder):
     "w4_robots",
     """
 WITH h AS (SELECT page_id, url, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/?#]*([^#]*)', 1) AS path FROM pages),
-r AS (SELECT DISTINCT host, '/en/' AS prefix, false AS allow FROM h WHERE starts_with(host, 'blog')
-      UNION SELECT DISTINCT host, '/en/3', true FROM h WHERE starts_with(host, 'blog')
-      UNION SELECT DISTINCT host, '/', false FROM h WHERE starts_with(host, 'm.')
-      UNION SELECT DISTINCT host, '/de', true FROM h WHERE starts_with(host, 'm.'))
+a AS (SELECT DISTINCT host, '*' AS agent, '/en/' AS prefix, false AS allow FROM h WHERE starts_with(host, 'blog')
+      UNION SELECT DISTINCT host, '*', '/en/3', true FROM h WHERE starts_with(host, 'blog')
+      UNION SELECT DISTINCT host, '*', '/', false FROM h WHERE starts_with(host, 'm.')
+      UNION SELECT DISTINCT host, 'reader', '/de', true FROM h WHERE starts_with(host, 'm.')
+      UNION SELECT DISTINCT host, 'other', '/', false FROM h),
+r AS (SELECT * FROM a WHERE agent = 'reader'
+      UNION SELECT * FROM a WHERE agent = '*' AND host NOT IN (SELECT host FROM a WHERE agent = 'reader'))
 SELECT h.page_id, coalesce(arg_max(r.allow, length(r.prefix)) FILTER (starts_with(h.path, r.prefix)), true) AS allowed
 FROM h LEFT JOIN r ON h.host = r.host GROUP BY h.page_id
 """,
 )
 def w4(spark, folder):
-    """Blogs forbid /en/ but not /en/3; mobile hosts forbid everything but /de; other agents' rules do not count."""
+    """Blogs forbid /en/ but not /en/3; mobile hosts forbid everything, but not to this agent; other agents' rules do not count."""
     hosts = pages(spark, folder).select(wb.url_host(F.col("url")).alias("host")).distinct()
 
     def rule(start, prefix, allow, agent="*"):
