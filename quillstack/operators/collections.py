@@ -34,6 +34,8 @@ def collection_counts(tables: dict[str, DataFrame]) -> DataFrame:
     would have to fit into one task.
     """
     counts = _tagged(tables, ["collection"]).groupBy("collection").agg(*_kind_counts())
+    if "documents" not in tables:
+        return counts.withColumn("names", F.lit(0).cast("long"))
     names = document_names(tables["documents"]).groupBy("collection").agg(F.count(F.lit(1)).alias("names"))
     return counts.join(names, "collection", "left").withColumn("names", F.coalesce("names", F.lit(0)))
 

@@ -29,6 +29,8 @@ REINDEX_UNINDEXED_ROWS = 10_000
 
 #: Query vectors handled in one pass over the corpus; larger sets take more passes.
 QUERY_BLOCK = 1024
+#: Tasks among which a block's corpus rows are dealt.
+SLOTS = 32
 
 
 def query_literal(query: list[float], dim: int | None = None) -> Column:
@@ -113,51 +115,59 @@ def dense_search(
 def dense_search_many(
     corpus: DataFrame, queries: DataFrame, k: int, vector_id: str = "vec_id", vector: str = "vector", query_id: str = "query_id"
 ) -> DataFrame:
-    """Exact ``k`` nearest rows for each of many queries (squared L2), with one pass over the corpus per 1024 queries.
+    """Exact ``k`` nearest rows for each of many queries (squared L2), in one job.
 
-    Each Arrow batch is compared with the block's query matrix and emits at most ``k`` rows per query, so what is
-    shuffled does not depend on how many corpus rows lie close to one query. The driver only ever holds one block.
+    Queries are dealt to blocks; every corpus row goes to one slot of each block, where the block's queries come first
+    and the rows stream past them. A slot keeps the best ``k`` of each query and emits only those. Vectors that are
+    null, hold nulls or have another length than the query are not compared.
     """
-    numbered = queries.select(query_id, vector).orderBy(query_id)
-    total = queries.count()
-    found = None
-    for start in range(0, total, QUERY_BLOCK):
-        block = numbered.offset(start).limit(QUERY_BLOCK).collect()
-        part = _search_block(corpus, [r[0] for r in block], np.array([r[1] for r in block], dtype=np.float64), k,
-                             vector_id, vector, query_id)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        raise ValueError("no queries")
-    return top_per_group(found, [query_id], [F.col("distance"), F.col(vector_id)], k)
-
-
-def _search_block(corpus, query_ids, matrix, k, vector_id, vector, query_id) -> DataFrame:
-    id_type = corpus.schema[vector_id].dataType
-    query_type = T.StringType() if query_ids and isinstance(query_ids[0], str) else T.LongType()
+    def usable(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(F.col(name).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        return rows.filter((F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+
+    asked, rows = usable(queries, query_id), usable(corpus, vector_id)
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    query_type, id_type = queries.schema[query_id].dataType, corpus.schema[vector_id].dataType
+    asked = asked.select(
+        F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot"),
+        F.lit(0).alias("kind"), F.col("id").alias("query"), F.lit(None).cast(id_type).alias("row"), "v",
+    )
+    rows = rows.select(
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("id", "v"), F.lit(SLOTS)).cast("int").alias("slot"),
+        F.lit(1).alias("kind"), F.lit(None).cast(query_type).alias("query"), F.col("id").alias("row"), "v",
+    )
+    dealt = asked.unionByName(rows).repartition("block", "slot").sortWithinPartitions("block", "slot", "kind")
     schema = T.StructType(
         [T.StructField(query_id, query_type), T.StructField(vector_id, id_type), T.StructField("distance", T.DoubleType())]
     )
-    squares = (matrix**2).sum(axis=1)
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, best = None, []
+
+        def out() -> Iterator[pd.DataFrame]:
+            for query, _, ids, distances in best:
+                yield pd.DataFrame({query_id: [query] * len(ids), vector_id: ids, "distance": distances})
+
         for batch in batches:
-            batch = batch[batch[vector].map(len) == matrix.shape[1]]
-            if batch.empty:
-                continue
-            rows = np.stack(batch[vector].to_numpy()).astype(np.float64)
-            ids = batch[vector_id].to_numpy()
-            rough = (rows**2).sum(axis=1)[None, :] + squares[:, None] - 2.0 * matrix @ rows.T
-            # Rounding may disturb near ties, so a few more than k are compared exactly.
-            take = min(k + 8, rows.shape[0])
-            best = np.argpartition(rough, take - 1, axis=1)[:, :take]
-            for position, columns in enumerate(best):
-                exact = ((rows[columns] - matrix[position]) ** 2).sum(axis=1)
-                order = np.lexsort((ids[columns], exact))[:k]
-                yield pd.DataFrame(
-                    {query_id: query_ids[position], vector_id: ids[columns][order], "distance": exact[order]}
-                )
-
-    return corpus.select(vector_id, vector).mapInPandas(nearest, schema)
+            for place, part in batch.groupby(["block", "slot"], sort=False):
+                if place != here:
+                    yield from out()
+                    here, best = place, []
+                for query, v in zip(part["query"][part["kind"] == 0], part["v"][part["kind"] == 0]):
+                    best.append((query, np.asarray(v), np.empty(0, object), np.empty(0)))
+                found = part[part["kind"] == 1]
+                for size, same in found.groupby(found["v"].map(len), sort=False):
+                    matrix, own = np.stack(same["v"].to_numpy()), same["row"].to_numpy()
+                    for i, (query, v, ids, distances) in enumerate(best):
+                        if len(v) == size:
+                            distances = np.concatenate([distances, ((matrix - v) ** 2).sum(axis=1)])
+                            ids = np.concatenate([ids, own])
+                            order = np.lexsort((ids, distances))[:k]
+                            best[i] = (query, v, ids[order], distances[order])
+        yield from out()
+
+    found = dealt.mapInPandas(nearest, schema)
+    return top_per_group(found, [query_id], [F.col("distance"), F.col(vector_id)], k)
 
 
 def vector_problem(vector: Column, dim: int) -> Column:
@@ -212,13 +222,11 @@ class CellIndex:
 
     @staticmethod
     def build(
-        df: DataFrame, path: str, cells: int, vector: str = "vector", seed: int = 7, training_rows: int = 1_000_000
+        df: DataFrame, path: str, cells: int, vector: str = "vector", seed: int = 7
     ) -> CellIndex:
-        """Train centroids (on a sample above ``training_rows``), then write every row under its cell."""
+        """Train centroids on all rows, then write every row under its cell."""
         rows = df.withColumn("__v", array_to_vector(vector))
-        total = rows.count()
-        train = rows if total <= training_rows else rows.sample(training_rows / total, seed=seed)
-        model = KMeans(k=cells, seed=seed, featuresCol="__v", predictionCol="cell", maxIter=10).fit(train)
+        model = KMeans(k=cells, seed=seed, featuresCol="__v", predictionCol="cell", maxIter=10).fit(rows)
         model.transform(rows).drop("__v").write.mode("errorifexists").partitionBy("cell").parquet(path)
         return CellIndex(path, [[float(x) for x in c] for c in model.clusterCenters()])
 
@@ -254,11 +262,3 @@ def embedding_report(df: DataFrame, group: list[str], vector: str = "vector") ->
     return df.groupBy(*group).agg(
         F.count(F.lit(1)).alias("total"), F.count(vector).alias("embedded"), F.count_if(F.col(vector).isNull()).alias("failed")
     )
-
-
-def require_some(df: DataFrame, vector: str = "vector") -> DataFrame:
-    """Embedded rows; raises when there were rows but none could be embedded (runs a job)."""
-    good = df.filter(F.col(vector).isNotNull())
-    if good.isEmpty() and not df.isEmpty():
-        raise RuntimeError("no text could be embedded")
-    return good

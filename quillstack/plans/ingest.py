@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,54 +27,66 @@ class Ingestion:
 
 
 def ingest(
-    known: dict[str, DataFrame], incoming: DataFrame, config: ck.ChunkConfig, model: str = "hashed", dim: int = 64
+    known: dict[str, DataFrame], incoming: DataFrame, config: ck.ChunkConfig, model: str = "hashed", dim: int = 64,
+    embed: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Ingestion:
-    """``incoming`` holds collection, source_path, content and uploaded_at.
+    """``incoming`` holds collection, source_path, content and uploaded_at, and may hold the owner as user_id.
 
-    Chunk ids follow from document, configuration and position, so a repeated run changes nothing: chunks that have a
-    vector of the model already are not embedded again.
+    ``embed`` adds ``vector`` to rows with ``text`` (default: hashed terms). Chunk ids follow from document,
+    configuration, position and text: a repeated run changes nothing, changed text is embedded anew, and chunks and
+    vectors of these documents and settings that the run does not give any more are dropped.
     """
+    if "user_id" not in incoming.columns:
+        incoming = incoming.withColumn("user_id", F.lit(None).cast("long"))
     documents, report = ids.register_documents(known["documents"], incoming)
     params = {"chunk_size": config.size, "chunk_overlap": config.overlap, "separators": list(config.separators)}
     settings = ids.config_hash(params)
     prepared = incoming.withColumn("doc_id", ids.document_id(F.col("collection"), F.col("source_path")))
-    prepared = prepared.groupBy("collection", "doc_id").agg(F.max_by("content", "uploaded_at").alias("text"))
+    prepared = prepared.groupBy("collection", "doc_id").agg(F.max_by(F.struct("content", "user_id"), "uploaded_at").alias("last"))
+    prepared = prepared.select("collection", "doc_id", F.col("last.content").alias("text"), F.col("last.user_id").alias("user_id"))
     rows = explode_items(
-        prepared, ck.fixed_size_chunks(F.col("text"), config.size, config.overlap), "chunk", "index", ["collection", "doc_id"]
+        prepared, ck.fixed_size_chunks(F.col("text"), config.size, config.overlap), "chunk", "index", ["collection", "doc_id", "user_id"]
     )
     rows = rows.select(
         "collection", "doc_id", F.lit(settings).alias("parse_hash"),
-        F.sha2(F.concat_ws("|", "doc_id", F.lit(settings), "index"), 256).alias("chunk_id"), "index",
-        F.col("chunk").alias("text"),
+        F.sha2(F.concat_ws("|", "doc_id", F.lit(settings), "index", F.sha2("chunk", 256)), 256).alias("chunk_id"), "index",
+        F.col("chunk").alias("text"), "user_id",
     )
     keys = ["collection", "doc_id", "parse_hash", "chunk_id"]
-    chunks = upsert(known["chunks"], rows, keys)
-    todo = pending(rows, known["embeddings"].filter(F.col("model_tag") == ids_tag(model)), keys)
-    vectors = hashed_embedding(todo, "text", dim).filter(F.col("vector").isNotNull())
-    vectors = vectors.withColumn("model", F.lit(model)).withColumn("model_tag", F.lit(ids_tag(model))).select(
-        *keys, "model", "model_tag", "vector"
+    # Rows of these documents and settings that are not given again are stale.
+    touched = prepared.select("collection", "doc_id", F.lit(settings).alias("parse_hash"))
+
+    def current(table: DataFrame) -> DataFrame:
+        mine = table.join(touched, ["collection", "doc_id", "parse_hash"], "left_semi")
+        others = table.join(touched, ["collection", "doc_id", "parse_hash"], "left_anti")
+        return others.unionByName(mine.join(rows.select(*keys), keys, "left_semi"))
+
+    chunks = upsert(current(known["chunks"]), rows, keys)
+    stored = current(known["embeddings"])
+    tag = ids.model_tag(F.lit(model))
+    todo = pending(rows, stored.filter(F.col("model_tag") == tag), keys)
+    vectors = embed(todo) if embed else hashed_embedding(todo, "text", dim)
+    vectors = vectors.filter(F.col("vector").isNotNull()).withColumn("model", F.lit(model)).withColumn("model_tag", tag).select(
+        *keys, "model", "model_tag", "vector", "user_id"
     )
-    embeddings = upsert(known["embeddings"], vectors, [*keys, "model"])
+    embeddings = upsert(stored, vectors, [*keys, "model"])
     counts = rows.groupBy("collection", "doc_id").agg(F.count(F.lit(1)).alias("chunks"))
     report = report.join(counts, ["collection", "doc_id"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
     return Ingestion(documents, chunks, embeddings, report)
 
 
-def ids_tag(model: str) -> str:
-    """Tag of a plain model name on the driver."""
-    return "".join(c if c.isalnum() else "_" for c in model.lower()).strip("_")
-
-
 def empty_state(incoming: DataFrame) -> dict[str, DataFrame]:
     """Empty tables to ingest into."""
     spark = incoming.sparkSession
+    if "user_id" not in incoming.columns:
+        incoming = incoming.withColumn("user_id", F.lit(None).cast("long"))
     return {
         "documents": incoming.limit(0).drop("content").withColumn("doc_id", F.lit("")).withColumn("content_hash", F.lit("")),
         "chunks": spark.createDataFrame(
-            [], "collection string, doc_id string, parse_hash string, chunk_id string, index int, text string"
+            [], "collection string, doc_id string, parse_hash string, chunk_id string, index int, text string, user_id long"
         ),
         "embeddings": spark.createDataFrame(
-            [], "collection string, doc_id string, parse_hash string, chunk_id string, model string, model_tag string, vector array<float>"
+            [], "collection string, doc_id string, parse_hash string, chunk_id string, model string, model_tag string, vector array<float>, user_id long"
         ),
     }
 

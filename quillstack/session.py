@@ -23,10 +23,6 @@ def apply_session_conf(spark: SparkSession) -> SparkSession:
     """Set the run-time settings on an existing session and return it."""
     for key, value in SESSION_CONF.items():
         spark.conf.set(key, value)
-    # One machine with Spark's default of 200 shuffle tasks mostly starts tasks, above all in streams.
-    context = spark.sparkContext
-    if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
-        spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
     return spark
 
 
@@ -50,13 +46,12 @@ def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core rows to work on when the input is only a few splits.
+    """Deal rows out by ``key`` to as many tasks as ``quillstack.text.partitions`` asks for; unset, the scan's splits stay.
 
-    Text expressions cost far more than moving such a small input once. An input with at least as many splits as
-    cores, which is any large one, is returned unchanged, so nothing is shuffled at scale.
+    For text tables that lie in fewer files than there are cores: text expressions cost more than one shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    parts = df.sparkSession.conf.get("quillstack.text.partitions", None)
+    return df.repartition(int(parts), key) if parts else df
 
 
 def _checkpoint_root(spark: SparkSession) -> str:

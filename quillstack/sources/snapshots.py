@@ -12,23 +12,28 @@ class SnapshotTable:
     folder a running query reads is never overwritten.
     """
 
-    def __init__(self, spark: SparkSession, root: str, partition_by: list[str] | None = None):
+    def __init__(self, spark: SparkSession, root: str, partition_by: list[str] | None = None, keep: int = 3):
         self.spark = spark
         self.root = root.rstrip("/")
         self.partition_by = partition_by or []
+        self.keep = keep
 
-    def versions(self) -> list[int]:
+    def _folders(self) -> dict[int, bool]:
+        """Every snapshot folder, and whether it is finished."""
         jvm = self.spark._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.root)
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(root):
-            return []
-        found = []
+            return {}
+        found = {}
         for status in fs.listStatus(root):
             name = status.getPath().getName()
-            if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-                found.append(int(name[2:]))
-        return sorted(found)
+            if name.startswith("v="):
+                found[int(name[2:])] = fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
+        return found
+
+    def versions(self) -> list[int]:
+        return sorted(v for v, done in self._folders().items() if done)
 
     def read(self, version: int | None = None) -> DataFrame:
         known = self.versions()
@@ -37,10 +42,20 @@ class SnapshotTable:
         return self.spark.read.parquet(f"{self.root}/v={known[-1] if version is None else version}")
 
     def write(self, df: DataFrame) -> int:
-        """Write the next snapshot and return its number; fails when another writer took the same number."""
-        version = (self.versions() or [0])[-1] + 1
+        """Write the next snapshot and return its number; fails when another writer took the same number.
+
+        The number is above every folder's, that of a write that broke off too. Of older snapshots the last ``keep`` stay.
+        """
+        version = max(self._folders(), default=0) + 1
         writer = df.write.mode("errorifexists")
         if self.partition_by:
             writer = writer.partitionBy(*self.partition_by)
         writer.parquet(f"{self.root}/v={version}")
+        self._drop_before(version)
         return version
+
+    def _drop_before(self, version: int) -> None:
+        jvm = self.spark._jvm
+        for old in sorted(v for v, done in self._folders().items() if done and v < version)[: -self.keep]:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/v={old}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

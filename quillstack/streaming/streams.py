@@ -41,6 +41,8 @@ def upsert_sink(
     """Keep a snapshot table current. Rows carry absolute values, so a batch that is replayed changes nothing."""
 
     def merge(batch: DataFrame, _: int) -> None:
+        if batch.isEmpty():
+            return
         if table.versions():
             table.write(upsert(table.read(), batch, keys))
         else:
@@ -143,11 +145,14 @@ EXPIRY_MS = 24 * 3600 * 1000
 
 
 def _count_steps(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Add a batch's steps to the job's counts; a job without events for a day of event time is forgotten."""
+    """Add a batch's steps to the job's counts; a finished job without events for a day of event time is forgotten."""
+    steps, finished = state.get if state.exists else (0, 0)
     if state.hasTimedOut:
-        state.remove()
+        if finished < steps:
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + EXPIRY_MS)
+        else:
+            state.remove()
         return
-    steps, finished = state.get if state.exists else (0, 0)
     latest = 0
     for batch in batches:
         steps += len(batch)
