@@ -43,9 +43,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and whether they decode to the tokens' text."""
+    """Token ids of every text, and a digest of the text they decode to."""
     prepared(spark)
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text")))
+    coded = bpe.encode(docs.select("doc_id", "source", "text"), decoded="decoded")
     return coded.select(
         "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
     )

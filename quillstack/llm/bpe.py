@@ -188,23 +188,47 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(docs: DataFrame, text: str = "text", path: str | None = None, out: str = "ids") -> DataFrame:
-    """``docs`` with an array<int> column of token ids of the whole text; null text has none. An ``out`` column is replaced."""
+def _tokens(spec: str) -> np.ndarray:
+    """The text of every id."""
+    parsed = json.loads(spec)
+    pairs = [(i, t) for t, i in parsed["model"]["vocab"].items()] + [(x["id"], x["content"]) for x in parsed["added_tokens"]]
+    named = np.full(max(i for i, _ in pairs) + 1, "", object)
+    for i, t in pairs:
+        named[i] = t
+    return named
+
+
+def _texts(tokens: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    words = tokens[ids].tolist()
+    return pa.array([" ".join(words[e - n : e]) for e, n in zip(np.cumsum(sizes).tolist(), sizes.tolist())], pa.string())
+
+
+def encode(docs: DataFrame, text: str = "text", path: str | None = None, out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with an array<int> column of token ids of the whole text; null text has none.
+
+    With ``decoded``, a column of that name holds what the ids decode to, made in the same pass. Columns of these names
+    are replaced.
+    """
     spec = docs.sparkSession.sparkContext.broadcast(read_tokenizer(path or default_path()))
-    kept = docs.drop(out)
-    schema = kept.select("*", F.expr("cast(array() as array<int>)").alias(out)).schema
+    new = [out, decoded] if decoded else [out]
+    kept = docs.drop(*new)
+    schema = kept.select("*", F.expr("cast(array() as array<int>)").alias(out), *[F.lit("").alias(c) for c in new[1:]]).schema
     where = kept.columns.index(text)
 
     def make():
-        encoder = once_per_worker(f"bpe {zlib.crc32(spec.value.encode())}", lambda: Encoder(spec.value))
+        name = zlib.crc32(spec.value.encode())
+        encoder = once_per_worker(f"bpe {name}", lambda: Encoder(spec.value))
+        tokens = once_per_worker(f"tokens {name}", lambda: _tokens(spec.value)) if decoded else None
 
         def one(batch):
             ids = [encoder.encode(t or "") for t in batch.column(where).to_pylist()]
-            offsets = np.cumsum([0, *map(len, ids)], dtype=np.int64) // 4
+            sizes = np.array([len(x) // 4 for x in ids], np.int64)
             flat = np.frombuffer(b"".join(ids), np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))], [*batch.schema.names, out]
-            )
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            columns = [*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(flat))]
+            if decoded:
+                columns.append(_texts(tokens, flat, sizes))
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *new])
 
         return one
 
@@ -219,23 +243,13 @@ def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, out: str
     where = kept.columns.index(ids)
 
     def make():
-        def table():
-            parsed = json.loads(spec.value)
-            tokens = [(i, t) for t, i in parsed["model"]["vocab"].items()] + [(x["id"], x["content"]) for x in parsed["added_tokens"]]
-            named = np.full(max(i for i, _ in tokens) + 1, "", object)
-            for i, t in tokens:
-                named[i] = t
-            return named
-
-        tokens = once_per_worker(f"tokens {zlib.crc32(spec.value.encode())}", table)
+        tokens = once_per_worker(f"tokens {zlib.crc32(spec.value.encode())}", lambda: _tokens(spec.value))
 
         def one(batch):
             column = batch.column(where)
             sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
-            words = tokens[column.flatten().to_numpy(zero_copy_only=False)].tolist()
-            ends = np.cumsum(sizes).tolist()
-            texts = [" ".join(words[e - n : e]) for e, n in zip(ends, sizes.tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*batch.columns, _texts(tokens, flat, sizes)], [*batch.schema.names, out])
 
         return one
 

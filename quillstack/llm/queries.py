@@ -138,7 +138,7 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every whole text and the text they decode to, as digests."""
     docs = load_table(spark, folder, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs).drop("text"))
+    coded = bpe.encode(docs, decoded="decoded")
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -371,3 +371,8 @@ def test_sha_of_query_columns(spark, folder):
     for r in rows:
         ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_decoding_in_the_same_pass(spark, corpus):
+    rows = bpe.encode(docs(spark, corpus), decoded="decoded")
+    assert all(r["decoded"] == r["again"] for r in bpe.decode(rows, out="again").collect())
