@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
@@ -51,7 +50,7 @@ TIDY_RULES = [(r"[ \t]+\n", "\n"), (r"\n[ \t]+([^ \t*])", "\n$1"), (r"\n{3,}", "
 
 def unescape(text: Column) -> Column:
     """Character references, named and numeric, replaced in one pass; unknown ones stay as they are."""
-    table = F.from_json(F.lit(json.dumps(REFERENCES)), "map<string,string>")
+    table = F.expr("map(" + ", ".join(rf"'{name}', '\u{ord(sign):04x}'" for name, sign in REFERENCES.items()) + ")")
 
     def decoded(piece: Column) -> Column:
         name = F.regexp_extract(piece, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
