@@ -69,8 +69,12 @@ def rendered_lines(messages: DataFrame) -> DataFrame:
     return messages.select("conv_id", "turn", line.alias("line"))
 
 
-def rendered_transcript(messages: DataFrame, limit: int) -> DataFrame:
-    """One text per conversation from at most ``limit`` messages (plus system messages), in order."""
-    lines = rendered_lines(truncate_messages(messages, limit))
+def rendered_transcript(messages: DataFrame) -> DataFrame:
+    """One text per conversation from all its messages, in order.
+
+    The text must fit into one row: bound long conversations first, by ``truncate_messages`` or ``fit_to_budget``;
+    ``rendered_lines`` has no such bound.
+    """
+    lines = rendered_lines(messages)
     ordered = F.sort_array(F.collect_list(F.struct("turn", "line")))
     return lines.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("transcript"))

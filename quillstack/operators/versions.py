@@ -42,14 +42,14 @@ def embed_candidates(embeddings: DataFrame) -> DataFrame:
 
 
 def list_candidates(
-    candidates: DataFrame, order: str, descending: bool = True, limit: int = 50, state: str | None = None
+    candidates: DataFrame, order: str, descending: bool = True, limit: int | None = None, state: str | None = None
 ) -> DataFrame:
-    """Candidates by time with the total before the limit; a limit of 0 or less means all."""
+    """Candidates by time with the total before the limit; without a limit, or one of 0 or less, all."""
     rows = candidates if state is None else candidates.filter(F.col("state") == state)
     rows = rows.withColumn("total", rows.agg(F.count(F.lit(1))).scalar())
     ids = [c for c in ("collection", "doc_id", "technical_id") if c in rows.columns]
     rows = rows.orderBy(F.col(order).desc() if descending else F.col(order).asc(), *ids)
-    return rows if limit <= 0 else rows.limit(limit)
+    return rows.limit(limit) if limit is not None and limit > 0 else rows
 
 
 POINTER_KEYS = TABLE_KEYS["main_pointers"]
@@ -68,9 +68,10 @@ def get_pointer(pointers: DataFrame, collection: str, doc_id, step: str, model_t
     )
 
 
-def list_pointers(pointers: DataFrame, collection: str, limit: int = 100) -> DataFrame:
-    rows = pointers.filter(F.col("collection") == collection)
-    return rows.orderBy(F.col("updated_at").desc(), "doc_id", "step_type", "model_tag").limit(limit)
+def list_pointers(pointers: DataFrame, collection: str, limit: int | None = None) -> DataFrame:
+    """Pointers of a collection, newest first; without a limit, all."""
+    rows = pointers.filter(F.col("collection") == collection).orderBy(F.col("updated_at").desc(), "doc_id", "step_type", "model_tag")
+    return rows if limit is None else rows.limit(limit)
 
 
 def delete_pointers(pointers: DataFrame, doomed: DataFrame) -> DataFrame:
@@ -218,7 +219,7 @@ def read_prompts(log: DataFrame, version: int | None = None, tie: str = "id") ->
 
 
 def list_prompts(
-    log: DataFrame, name_part: str | None = None, latest_only: bool = False, limit: int = 100, metadata: dict | None = None,
+    log: DataFrame, name_part: str | None = None, latest_only: bool = False, limit: int | None = None, metadata: dict | None = None,
     tie: str = "id",
 ) -> DataFrame:
     rows = read_prompts(log, tie=tie) if latest_only else log
@@ -226,7 +227,8 @@ def list_prompts(
         rows = rows.filter(F.contains(F.col("name"), F.lit(name_part)))
     for key, value in (metadata or {}).items():
         rows = rows.filter(F.try_variant_get(F.try_parse_json("metadata"), f"$.{key}", "string") == str(value))
-    return rows.orderBy(*PROMPT, F.col("version").desc(), tie).limit(limit)
+    rows = rows.orderBy(*PROMPT, F.col("version").desc(), tie)
+    return rows if limit is None else rows.limit(limit)
 
 
 def delete_versions(log: DataFrame, doomed: DataFrame, tie: str = "id") -> DataFrame:

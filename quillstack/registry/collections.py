@@ -134,16 +134,23 @@ def m8(spark, folder):
 @register(
     "m9_delete_collection",
     f"""
-WITH {KB} SELECT 'documents' AS table_name, count(*) AS rows FROM documents_t WHERE collection = 'src3' AND user_id = 1
+WITH {KB}, parses_o AS (SELECT p.*, user_id FROM parses_t p JOIN documents_t USING (collection, doc_id)),
+embeddings_o AS (SELECT e.*, user_id FROM embeddings_t e JOIN documents_t USING (collection, doc_id))
+SELECT 'documents' AS table_name, count(*) AS rows FROM documents_t WHERE collection = 'src3' AND user_id = 1
+UNION ALL SELECT 'parses', count(*) FROM parses_o WHERE collection = 'src3' AND user_id = 1
+UNION ALL SELECT 'parses left', count(*) FROM parses_o WHERE NOT coalesce(collection = 'src3' AND user_id = 1, false)
+UNION ALL SELECT 'embeddings', count(*) FROM embeddings_o WHERE collection = 'src3' AND user_id = 1
+UNION ALL SELECT 'embeddings left', count(*) FROM embeddings_o WHERE NOT coalesce(collection = 'src3' AND user_id = 1, false)
 UNION ALL SELECT 'chunks', count(*) FROM chunks_t WHERE collection = 'src3' AND user_id = 1
 UNION ALL SELECT 'documents left', count(*) FROM documents_t WHERE NOT coalesce(collection = 'src3' AND user_id = 1, false)
 UNION ALL SELECT 'chunks left', count(*) FROM chunks_t WHERE NOT coalesce(collection = 'src3' AND user_id = 1, false)
 """,
 )
 def m9(spark, folder):
-    """User 1 deletes their part of a collection; other owners' rows stay."""
+    """User 1 deletes their part of a collection from all tables; other owners' rows stay."""
     tables = kb_tables(spark, folder)
-    owned = {name: tables[name] for name in ("documents", "chunks")}
+    owner = tables["documents"].select("collection", "doc_id", "user_id")
+    owned = {n: df if "user_id" in df.columns else df.join(owner, ["collection", "doc_id"]) for n, df in tables.items()}
     left, counts = co.delete_where(owned, (F.col("collection") == "src3") & (F.col("user_id") == 1))
     for name, df in left.items():
         counts = counts.unionByName(

@@ -209,7 +209,8 @@ def n11_lines(spark, folder):
     f"WITH {CLEAN}, {TRUNCATED} SELECT conv_id, string_agg(upper(role) || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM tc GROUP BY conv_id",
 )
 def n11_text(spark, folder):
-    return tr.rendered_transcript(clean(spark, folder), 3)
+    """The transcripts that go into a prompt: cut to three messages (N10), then rendered."""
+    return tr.rendered_transcript(tr.truncate_messages(clean(spark, folder), 3))
 
 
 @register(

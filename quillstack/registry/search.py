@@ -194,8 +194,8 @@ def f6_contexts(spark, folder):
 
 @register(
     "f7_rerank_by_texts",
-    """
-WITH t AS (SELECT row_number() OVER (ORDER BY doc_id) AS rank, doc_id, substring(text, 1, 2) AS text FROM documents ORDER BY doc_id LIMIT 60),
+    f"""
+WITH {bm25_sql()}, {sparse_sql(100)}, t AS (SELECT rank, doc_id, text FROM sp JOIN documents USING (doc_id)),
 o AS (SELECT text, rank AS r, row_number() OVER (ORDER BY rank DESC) AS new_rank FROM t WHERE rank % 2 = 0),
 a AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY rank) AS n, min(rank) OVER (PARTITION BY text) AS f FROM t),
 b AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY new_rank) AS n FROM o)
@@ -204,9 +204,9 @@ FROM a LEFT JOIN b ON a.text = b.text AND a.n = b.n
 """,
 )
 def f7(spark, folder):
-    """A result list of sixty with many equal texts; the outside ranking names every second text in reverse order."""
-    top = documents(spark, folder).orderBy("doc_id").limit(60).select("doc_id", F.substring("text", 1, 2).alias("text"))
-    results = fusion.with_rank(top, [F.col("doc_id")])
+    """The 100 best of a text search, whole texts with copies among them; the outside ranking names every second in reverse."""
+    _, hits = two_lists(spark, folder, 100)
+    results = hits.select("doc_id", "rank").join(documents(spark, folder).select("doc_id", "text"), "doc_id")
     named = results.filter(F.col("rank") % 2 == 0)
     reranked = fusion.with_rank(named, [F.col("rank").desc()], "new_rank").select("text", "new_rank")
     return fusion.rerank_by_texts(results, reranked).select("doc_id", "rank", "final_rank")
