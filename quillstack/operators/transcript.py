@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstack.functions.text import estimate_tokens, has_content, strip
-from quillstack.functions.windows import running_sum, top_per_group
+from quillstack.functions.windows import running_sum, salted_join, top_per_group
 
 # Roles a transcript may hold.
 ROLES = ["user", "assistant", "system"]
@@ -25,7 +25,9 @@ def normalize_messages(messages: DataFrame, roles: list[str] | None = None) -> D
 def messages_before(messages: DataFrame, marks: DataFrame) -> DataFrame:
     """Messages before a given one per conversation (columns conv_id, before); an unknown message gives nothing."""
     known = marks.join(messages.select("conv_id", F.col("turn").alias("before")), ["conv_id", "before"], "left_semi")
-    return messages.join(known, "conv_id").filter(F.col("turn") < F.col("before")).drop("before")
+    # Of several marks in a conversation the last one counts, so a long conversation can be salted.
+    last = known.groupBy("conv_id").agg(F.max("before").alias("before"))
+    return salted_join(messages, last, ["conv_id"]).filter(F.col("turn") < F.col("before")).drop("before")
 
 
 def _is_system() -> Column:
@@ -53,7 +55,7 @@ def fit_to_budget(messages: DataFrame, tokens: int, bucket_turns: int = 256) ->
     summed = running_sum(
         others, ["conv_id"], [F.col("turn").desc()], "__bucket", estimate_tokens(F.col("text")), "__sum", descending=True
     )
-    kept = summed.join(used, "conv_id", "left").filter(F.col("__sum") + F.coalesce("__used", F.lit(0)) <= tokens)
+    kept = salted_join(summed, used, ["conv_id"], how="left").filter(F.col("__sum") + F.coalesce("__used", F.lit(0)) <= tokens)
     return system.unionByName(kept.select(*messages.columns))
 
 
