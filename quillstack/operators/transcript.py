@@ -23,9 +23,9 @@ def normalize_messages(messages: DataFrame, roles: list[str] | None = None) -> D
 
 
 def messages_before(messages: DataFrame, marks: DataFrame) -> DataFrame:
-    """Messages before a given one per conversation (columns conv_id, before); an unknown message gives nothing."""
+    """Messages before a given one per conversation (columns conv_id, before), the last if several; an unknown one gives nothing."""
     known = marks.join(messages.select("conv_id", F.col("turn").alias("before")), ["conv_id", "before"], "left_semi")
-    # Of several marks in a conversation the last one counts, so a long conversation can be salted.
+    # One row for each conversation, so a long one can be salted.
     last = known.groupBy("conv_id").agg(F.max("before").alias("before"))
     return salted_join(messages, last, ["conv_id"]).filter(F.col("turn") < F.col("before")).drop("before")
 

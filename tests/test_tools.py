@@ -7,6 +7,7 @@ from quillstack.functions.windows import previous_row, running_sum, salted_join
 from quillstack.operators import runlog as rl
 from quillstack.operators import textops as tx
 from quillstack.operators import transcript as tr
+from quillstack.operators import versions as ve
 
 
 def value(spark, column, text):
@@ -118,6 +119,26 @@ def test_budget_and_truncation(spark):
     assert sorted(r.turn for r in tr.fit_to_budget(df, 55, 2).collect()) == [0, 5, 9, 10, 11]
 
 
+def test_whole_transcripts_and_marks(spark):
+    df = spark.createDataFrame([("c", t, "user", f"m{t}") for t in range(300)], "conv_id string, turn int, role string, text string")
+    text = tr.rendered_transcript(df).first()["transcript"]
+    assert text.split("\n") == [f"USER: m{t}" for t in range(300)]
+    marks = spark.createDataFrame([("c", 7), ("c", 3), ("c", 900), ("d", 1)], "conv_id string, before int")
+    assert sorted(r.turn for r in tr.messages_before(df, marks).collect()) == list(range(7))
+
+
+def test_lists_are_whole_without_a_limit(spark):
+    made = spark.range(150).select(
+        F.lit("c").alias("collection"), F.col("id").cast("string").alias("doc_id"), F.lit("parse").alias("step_type"), F.lit("").alias("model_tag"),
+        F.lit("t").alias("technical_id"), F.timestamp_seconds("id").alias("updated_at"), F.timestamp_seconds("id").alias("created_at"),
+    )
+    assert ve.list_candidates(made, "created_at").count() == 150
+    assert ve.list_candidates(made, "created_at", limit=0).count() == 150
+    assert ve.list_candidates(made, "created_at", limit=20).count() == 20
+    assert ve.list_pointers(made, "c").count() == 150
+    assert ve.list_pointers(made, "c", 10).count() == 10
+
+
 def test_tokens_and_latency(spark):
     cases = {'{"total_tokens":5}': 5, '{"usage":{"total_tokens":7}}': 7, '{"prompt_tokens":1,"completion_tokens":2}': 3,
              '{"prompt_tokens":4}': 4, '{"total_tokens":"9"}': None, '{"total_tokens":1.5}': None, "{": None}
