@@ -8,9 +8,13 @@ a number of comparisons in proportion to its size. A pair is a link if 1 - edits
 0.8, the edits (words inserted, deleted or replaced) counted by a bit-parallel alignment inside a band of the allowed
 width. Classes are connected by links; the class id is the smallest document id.
 
-Texts with the same words are copies and share one representative. Texts of fewer than six words are only compared for
-equality. A null text or one without words is a class of its own, and so is a null id (class null). Rows that share an
-id are one document. Finding a pair is a matter of chance that the README gives; a link found is always verified.
+What the buckets leave apart is completed without chance. An edit changes two labelled word pairs at most, so two similar
+texts agree in a known number of them; of each text, so many of the rarest pairs are kept that similar texts must agree in
+some kept ones (a prefix filter). All texts that agree in enough of them and are not yet in one class are compared. Rarity
+is a count by hash bin: it orders the pairs and decides the cost, never the result.
+
+Texts with the same words are copies and share one representative. A null text or one without words is a class of its
+own, and so is a null id (class null). Rows that share an id are one document.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from quillstack.functions.windows import salted_join
 from quillstack.llm.common import U64, Words, grams, map_batches, mix, release_shuffles, written
 
 GRAM, SKETCHES, LEAST = 5, 32, 0.8
+#: Words of a rare run, how many of them two texts must share (fewer if the texts are too short), and bins of their counts.
+RUN, SHARED, BINS, CHUNK = 2, 4, 1 << 20, 1 << 12
 
 
 def edits_within(a: list, b: list, most: int) -> int | None:
@@ -78,26 +84,100 @@ def similar(a: list, b: list, least: float = LEAST) -> bool:
     return edits_within(a, b, most) is not None
 
 
-def sketches(docs: DataFrame, count: int = SKETCHES, gram: int = GRAM) -> DataFrame:
-    """(doc, same, keys) of (doc, text): a digest of the words, and a bucket key for each sketch; texts without words are left out."""
+def _labelled(words: Words, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row and label of every run of ``gram`` words; the label tells runs apart that are alike in the same text."""
+    sizes = words.counts()
+    runs = grams(words.hashes, gram, 7)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    inside = np.flatnonzero(row[: len(runs)] == row[gram - 1 :]) if len(runs) else np.empty(0, np.int64)
+    run, owner = runs[inside], row[inside]
+    # The number of earlier runs alike in the same text.
+    own = run ^ mix(owner.astype(U64))
+    order = np.argsort(own, kind="stable")
+    fresh = np.ones(len(own), bool)
+    fresh[1:] = own[order][1:] != own[order][:-1]
+    begin = np.flatnonzero(fresh)
+    seen = np.empty(len(own), U64)
+    seen[order] = np.arange(len(own)) - np.repeat(begin, np.diff(np.append(begin, len(own))))
+    return run, owner, mix(run + seen * U64(0x9E3779B97F4A7C15))
+
+
+def run_counts(docs: DataFrame) -> np.ndarray:
+    """How often runs of RUN words occur in (doc, text), by hash bin."""
+
+    def count(batches):
+        seen = np.zeros(BINS, np.int32)
+        for batch in batches:
+            words = Words(batch.column(1))
+            runs = grams(words.hashes, RUN, 7)
+            row = np.repeat(np.arange(batch.num_rows), words.counts())
+            runs = runs[row[: len(runs)] == row[RUN - 1 :]] if len(runs) else runs
+            seen += np.bincount((runs % U64(BINS)).astype(np.int64), minlength=BINS).astype(np.int32)
+        if seen.any():
+            yield pa.RecordBatch.from_pydict({"chunk": np.arange(BINS // CHUNK), "counts": [x.tobytes() for x in seen.reshape(-1, CHUNK)]})
+
+    def add(table):
+        total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in table.column("counts").to_pylist())
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
+
+    schema = "chunk long, counts binary"
+    out = np.zeros(BINS, np.int32)
+    for r in docs.select("doc", "text").mapInArrow(count, schema).groupBy("chunk").applyInArrow(add, schema).collect():
+        out[r[0] * CHUNK : (r[0] + 1) * CHUNK] = np.frombuffer(r[1], np.int32)
+    return out
+
+
+def shared_runs(sizes: np.ndarray, least: float = LEAST) -> np.ndarray:
+    """The number of labelled runs of RUN words that a text has in common with any similar text at least as long."""
+
+    def edits(n):
+        return np.floor(n * (1 - least) + 1e-9).astype(np.int64)
+
+    def common(n):
+        return n - RUN + 1 - RUN * edits(n)
+
+    # Least where one more edit becomes allowed: at the text's own length or at the next such one.
+    following = np.ceil((edits(sizes) + 1) / (1 - least) - 1e-9).astype(np.int64)
+    return np.where(following <= sizes / least + 1e-9, np.minimum(common(sizes), common(following)), common(sizes))
+
+
+def rare_runs(words: Words, counts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Of each row, the labels of its rarest runs, their places (-1: not the only such run), and how many it shares with every similar text."""
+    sizes = words.counts()
+    run, owner, label = _labelled(words, RUN)
+    need = shared_runs(sizes)
+    share = np.clip(need, 0, SHARED)
+    kept = np.where(need > 0, np.maximum(sizes - RUN + 1, 0) - need + share, 0)
+    # Any order that the label alone decides will do.
+    rank = counts[(run % U64(BINS)).astype(np.int64)].astype(U64) << U64(32) | label >> U64(32)
+    per = np.bincount(owner, minlength=len(sizes))
+    ends = np.cumsum(per)
+    place = np.arange(len(owner)) - np.repeat(ends - per, per)
+    _, which, times = np.unique(run ^ mix(owner.astype(U64)), return_inverse=True, return_counts=True)
+    place[times[which] > 1] = -1
+    out, places = [], []
+    for end, size, k in zip(ends.tolist(), np.diff(ends, prepend=0).tolist(), kept.tolist()):
+        own = slice(end - size, end)
+        first = np.argpartition(rank[own], k - 1)[:k] if 0 < k < size else slice(max(k, 0))
+        out.append(label[own][first])
+        places.append(place[own][first])
+    return out, places, share
+
+
+def sketches(docs: DataFrame, counts: np.ndarray, count: int = SKETCHES, gram: int = GRAM) -> DataFrame:
+    """(doc, same, keys, n, share, rare, places): a digest of the words, a bucket key for each sketch, number of words, rare runs.
+
+    Texts without words are left out.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def make():
+        table = shared.value
+
         def one(batch):
             words = Words(batch.column(1))
             sizes = words.counts()
-            runs = grams(words.hashes, gram, 7)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            inside = np.flatnonzero(row[: len(runs)] == row[gram - 1 :]) if len(runs) else np.empty(0, np.int64)
-            run, owner = runs[inside], row[inside]
-            # The number of earlier runs alike in the same text.
-            own = run ^ mix(owner.astype(U64))
-            order = np.argsort(own, kind="stable")
-            fresh = np.ones(len(own), bool)
-            fresh[1:] = own[order][1:] != own[order][:-1]
-            begin = np.flatnonzero(fresh)
-            seen = np.empty(len(own), U64)
-            seen[order] = np.arange(len(own)) - np.repeat(begin, np.diff(np.append(begin, len(own))))
-            label = mix(run + seen * U64(0x9E3779B97F4A7C15))
+            run, owner, label = _labelled(words, gram)
             per = np.bincount(owner, minlength=len(sizes))
             rows = np.flatnonzero(per >= 2)
             keep = np.isin(owner, rows) if len(rows) < len(sizes) else slice(None)
@@ -118,16 +198,24 @@ def sketches(docs: DataFrame, count: int = SKETCHES, gram: int = GRAM) -> DataFr
             at = np.full(len(sizes), -1)
             at[rows] = np.arange(len(rows))
             listed = [made[at[i]].view(np.int64) if at[i] >= 0 else np.empty(0, np.int64) for i in full]
-            offsets = np.cumsum([0, *map(len, listed)], dtype=np.int32)
-            flat = np.concatenate([np.empty(0, np.int64), *listed])
+            rare, places, share = rare_runs(words, table)
+            rare, places = [rare[i].view(np.int64) for i in full], [places[i] for i in full]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(full)), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                ["doc", "same", "keys"],
+                [
+                    batch.column(0).take(pa.array(full)), pa.array(digests, pa.binary()), _lists(listed),
+                    pa.array(sizes[full].astype(np.int64)), pa.array(share[full].astype(np.int64)), _lists(rare), _lists(places),
+                ],
+                ["doc", "same", "keys", "n", "share", "rare", "places"],
             )
 
         return one
 
-    return map_batches(docs, make, "doc long, same binary, keys array<long>")
+    return map_batches(docs, make, "doc long, same binary, keys array<long>, n long, share long, rare array<long>, places array<long>")
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *rows])))
 
 
 def _first(hit: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -174,13 +262,49 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFr
     return map_batches(rows, make, "a long, b long")
 
 
+def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar, written; ``docs`` has their texts (doc, text)."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    texts = written(docs.join(asked.hint("shuffle_hash"), "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")), "neardup-texts")
+    release_shuffles(docs.sparkSession)
+    links = written(verified(pairs, texts), "neardup-links")
+    release_shuffles(docs.sparkSession)
+    return links
+
+
+def apart(runs: DataFrame, least: float = LEAST) -> DataFrame:
+    """(a, b): the texts of (key, place, rep, n, share, class) that share enough keys to be similar, but no class.
+
+    In each bucket, the members outside the bucket's largest class are joined with all of other classes, so a large
+    group of near copies is not joined with itself. Runs that occur once in both texts must lie where the allowed edits
+    before and after them can bring them together.
+    """
+    runs = runs.repartition("key")  # dealt once for the counts and the join
+    largest = runs.groupBy("key", "class").agg(F.count("*").alias("c")).groupBy("key").agg(
+        F.max(F.struct("c", "class"))["class"].alias("main"), F.count("*").alias("classes")
+    )
+    members = written(runs.join(largest.filter("classes > 1").drop("classes"), "key"), "neardup-members")
+    most = F.floor(F.greatest("x.n", "y.n") * (1 - least) + 1e-9)
+    ahead, longer = F.col("x.place") - F.col("y.place"), F.col("x.n") - F.col("y.n")
+    near = (F.least("x.place", "y.place") < 0) | (F.abs(ahead) + F.abs(longer - ahead) <= most)
+    met = members.filter("class <> main").alias("x").join(members.alias("y"), "key").filter(
+        (F.col("x.class") != F.col("y.class")) & ((F.col("y.class") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
+        & (F.abs(longer) <= most) & near
+    )
+    both = met.groupBy(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).agg(
+        F.count("*").alias("met"), F.min(F.least("x.share", "y.share")).alias("share")
+    )
+    return both.filter("met >= share").select("a", "b")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, class_id, copy_of): a row for each row of ``docs``; copy_of is the smallest id with the same words."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
     usable = base.filter("doc IS NOT NULL AND text IS NOT NULL")
-    made = written(sketches(usable), "neardup-sketches")
-    same = written(made.groupBy("same").agg(F.min_by("keys", "doc").alias("keys"), F.min("doc").alias("rep")), "neardup-copies")
+    made = written(sketches(usable, run_counts(usable)), "neardup-sketches")
+    one = F.min_by(F.struct("keys", "n", "share", "rare", "places"), "doc").alias("one")
+    same = written(made.groupBy("same").agg(one, F.min("doc").alias("rep")).select("same", "rep", "one.*"), "neardup-copies")
     # A text may have very many copies: their rows are spread.
     reps = written(salted_join(made.select("doc", "same"), same.select("same", "rep"), ["same"]).select("doc", "rep"), "neardup-reps")
     copies = written(reps.groupBy("doc").agg(F.min("rep").alias("rep")), "neardup-copies")
@@ -191,14 +315,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     pairs = buckets.join(middle, "key").filter("rep <> middle").select(F.least("rep", "middle").alias("a"), F.greatest("rep", "middle").alias("b"))
     pairs = written(pairs.distinct(), "neardup-pairs")
     release_shuffles(spark)
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    texts = written(usable.join(asked.hint("shuffle_hash"), "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")), "neardup-texts")
-    release_shuffles(spark)
-    links = written(verified(pairs, texts), "neardup-links")
-    release_shuffles(spark)
+    links = linked(pairs, usable)
     # Rows of one id with different words tie their representatives together.
     tied = reps.join(copies.withColumnRenamed("rep", "a"), "doc").select("a", F.col("rep").alias("b")).filter("a <> b")
-    joined = components(links.unionByName(tied))
+    joined = written(components(links.unionByName(tied)), "neardup-joined")
+    # Similar texts that no bucket has brought together.
+    ranked = same.drop("keys").join(joined, F.col("rep") == F.col("node"), "left").withColumn("class", F.coalesce("least", "rep"))
+    runs = ranked.select("rep", "n", "share", "class", F.inline(F.arrays_zip(F.col("rare").alias("key"), F.col("places").alias("place"))))
+    more = written(apart(runs).join(pairs, ["a", "b"], "left_anti"), "neardup-apart")
+    release_shuffles(spark)
+    joined = components(joined.select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(linked(more, usable)))
     found = copies.join(joined, F.col("rep") == F.col("node"), "left").select("doc", "rep", F.coalesce("least", "rep").alias("least"))
     own = docs.select(F.col(id_col).cast("long").alias("doc")).join(found, "doc", "left")
     return own.select(F.col("doc").alias("doc_id"), F.coalesce("least", "doc").alias("class_id"), F.coalesce("rep", "doc").alias("copy_of"))

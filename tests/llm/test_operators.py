@@ -86,6 +86,21 @@ def test_classes_corners(spark):
     assert neardup.classes(docs(spark, [])).count() == 0
 
 
+def test_classes_of_form_letters(spark):
+    """Unlike texts that share a long passage; a few pairs of them differ by edits in their own part."""
+    rnd = random.Random(12)
+    passage = words(rnd, 150).split()
+    rows = [passage + [f"u{rnd.randrange(4000)}" for _ in range(50)] for _ in range(120)]
+    for i in range(6):
+        changed = list(rows[i])
+        for at in rnd.sample(range(150, 200), 10):
+            changed[at] = f"new{i}_{at}"
+        rows.append(changed)
+    found = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs(spark, [(i, " ".join(w), None, None) for i, w in enumerate(rows)])).collect()}
+    assert [found[120 + i] for i in range(6)] == list(range(6))
+    assert all(found[i] == i for i in range(120))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)]
     found = dict(map(tuple, neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()))
