@@ -101,6 +101,24 @@ def test_classes_of_form_letters(spark):
     assert all(found[i] == i for i in range(120))
 
 
+def test_classes_at_the_threshold(spark):
+    """Pairs of edit similarity 0.8 to 0.9, edits at random places and evenly spread, 5 to 300 words: all are found."""
+    rnd, rows, pairs = random.Random(13), [], []
+    for n in (5, 6, 8, 10, 15, 20, 40, 300):
+        for edits in sorted({max(1, n // 10), n * 3 // 20, n // 5} - {0}):
+            for even in (True, False) * 3:
+                text = words(rnd, n, 5000).split()
+                changed = list(text)
+                for k, at in enumerate(range(n // edits // 2, n, n // edits) if even else rnd.sample(range(n), edits)):
+                    if k < edits:
+                        changed[at] = f"new{len(rows)}"
+                pairs.append((len(rows), len(rows) + 1))
+                rows += [text, changed]
+    assert all(neardup.similar(rows[a], rows[b]) for a, b in pairs)
+    found = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs(spark, [(i, " ".join(w), None, None) for i, w in enumerate(rows)])).collect()}
+    assert [(a, b) for a, b in pairs if found[a] != found[b]] == []
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)]
     found = dict(map(tuple, neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()))
