@@ -2,13 +2,14 @@
 
 Each source is cut into blocks by a hash of the document id. A source's blocks stand in a random order that a seed
 fixes; whole passes and the first blocks of a further pass make up the source's target, the last of them cut at the
-document that comes nearest. The draws of all sources (pass, block) are exact quotas; a binary tree halves the set of
+first document that does not fit. What is then missing comes from all documents left out, size class by size class from
+the largest, and at last from single ones, until none that is left fits. The draws of all sources (pass, block) are exact quotas; a binary tree halves the set of
 output shards again and again and deals every node's quotas to its two halves by a multivariate hypergeometric draw,
 so every shard gets its number of draws and every draw goes to one shard. Within a shard, rows are ordered by a hash.
 
 A null text has size 0; null sources are a source of their own, in last place; a null id is an id like any other (such
 documents share a block). Repeated rows are separate documents. An empty table gives an empty mix. The driver holds one
-number per source and shard and a few documents per source, never rows or blocks.
+number per source and shard, one per source and size class and a few documents of each, never rows or blocks.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstack.functions.windows import running_sum
 from quillstack.llm.common import word_count, written
 
 #: Blocks of a source and output shards.
@@ -26,7 +28,8 @@ BLOCKS, SHARDS = 1024, 16
 WEIGHTS = (5, 2, 1)
 #: A source gives at most so many times its own size.
 MOST_PASSES = 3
-#: Documents offered to complete a source, for each power of two of words.
+#: Single documents offered to complete a source, for each power of two of words: so many of the smallest, so many in order.
+#: A gap of more than so many documents of a class is filled by the class's running sum.
 SPARE = 8
 
 
@@ -73,6 +76,18 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def class_shares(gap: float, sums: dict[int, int]) -> tuple[list[int], int | None, float]:
+    """Size classes (powers of two) to take whole, the class to take up to the gap then left, if any, and that gap."""
+    whole = []
+    for power in sorted(sums, reverse=True):
+        if sums[power] <= gap:
+            whole.append(power)
+            gap -= sums[power]
+        elif gap >= SPARE * 2**power:
+            return whole, power, gap
+    return whole, None, gap
+
+
 def completing(gap: float, offers: list[tuple]) -> list[tuple]:
     """Of ``offers`` (words first), the largest that fit ``gap`` one after the other, then one too large if that is nearer."""
     chosen, offers = [], sorted(offers, key=lambda x: (-x[0], x[1]))
@@ -84,6 +99,32 @@ def completing(gap: float, offers: list[tuple]) -> list[tuple]:
     return chosen + larger[-1:]
 
 
+def filled(chosen: DataFrame, key: list[str]) -> tuple[DataFrame, set]:
+    """``chosen`` with more rows taken until no source misses SPARE documents of a size class it has left, and the sources changed."""
+    spark, changed = chosen.sparkSession, set()
+    left = (F.col("taken") == 0) & (F.col("words") > 0)
+    while True:
+        gaps = {(r[0], r[1]): r[2] for r in chosen.groupBy(*key).agg(F.first("more") - F.sum(F.col("words") * F.col("taken"))).collect()}
+        sums: dict[tuple, dict[int, int]] = {}
+        for r in chosen.filter(left).groupBy(*key, "power").agg(F.sum("words")).collect():
+            sums.setdefault((r[0], r[1]), {})[r[2]] = r[3]
+        rows = []
+        for s, by_power in sums.items():
+            whole, part, gap = class_shares(gaps[s], by_power)
+            rows += [(*s, p, float("inf")) for p in whole] + ([(*s, part, float(gap))] if part is not None else [])
+        if not rows:
+            return chosen, changed
+        changed |= {r[:2] for r in rows}
+        room = spark.createDataFrame(rows, "none boolean, name string, power long, room double")
+        met = chosen.join(F.broadcast(room), [*key, "power"], "left")
+        # A class may hold most rows: the sum runs by ranges of the random order.
+        asked = met.filter(left & F.col("room").isNotNull()).withColumn("range", F.shiftright("order", 54))
+        asked = running_sum(asked, [*key, "power"], [F.col(c) for c in ("order", "doc_id", "size")], "range", F.col("words"), "so_far")
+        asked = asked.withColumn("taken", (F.col("so_far") <= F.col("room")).cast("int"))
+        rest = met.filter(~left | F.col("room").isNull())
+        chosen = written(rest.select(*chosen.columns).unionByName(asked.select(*chosen.columns)), "mix-filled")
+
+
 def plan(
     docs: DataFrame, id_col: str = "doc_id", source: str = "source", size: str = "size", weights: tuple[int, ...] = WEIGHTS,
     blocks: int = BLOCKS, shards: int = SHARDS, seed: int = 9,
@@ -127,18 +168,24 @@ def plan(
     within = Window.partitionBy(*key, "block").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     cut = joined.filter("part = 'cut'").withColumn("taken", (F.col("start") + F.sum("words").over(within) <= F.col("more")).cast("int"))
     rest = joined.filter("part <> 'cut'").withColumn("taken", (F.col("part") == "whole").cast("int"))
-    chosen = written(rest.unionByName(cut), "mix-chosen")
-    # A few single documents complete a source: of each power of two of words, some that the last pass left out.
-    left_out = chosen.filter("taken = 0 AND words > 0").withColumn("power", F.floor(F.log2("words")))
+    chosen = rest.unionByName(cut).withColumn("power", F.when(F.col("words") > 0, F.floor(F.log2("words"))).otherwise(0))
+    chosen, changed = filled(written(chosen, "mix-chosen"), key)
+    # Single documents complete a source. Fewer than SPARE of a class fit: if any does, one of the smallest does.
+    left_out = chosen.filter("taken = 0 AND words > 0")
     first = Window.partitionBy(*key, "power").orderBy("order", "doc_id", "size")
-    spare = left_out.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= SPARE)
+    least = Window.partitionBy(*key, "power").orderBy("words", "order", "doc_id", "size")
+    spare = [left_out.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= SPARE) for w in (first, least)]
+    spare = spare[0].unionByName(spare[1]).drop("nth").distinct()
     offers: dict[tuple, list] = {}
     for r in spare.select(*key, "words", "order", "doc_id", "size").collect():
         offers.setdefault((r[0], r[1]), []).append((r["words"], r["order"], r["doc_id"], r["size"]))
     state = chosen.groupBy(*key).agg(
         F.first("passes").alias("passes"), (F.first("more") - F.sum(F.col("words") * F.col("taken"))).alias("gap")
     ).join(ranked.groupBy(*key).agg(F.count("*").alias("all"), F.sum((F.col("part") != "out").cast("long")).alias("some")), key)
-    state = sorted(state.collect(), key=lambda r: (r["none"], r["name"]))
+    # Rows taken beyond the first blocks go with their blocks' draws.
+    state = sorted((r.asDict() for r in state.collect()), key=lambda r: (r["none"], r["name"]))
+    for r in state:
+        r["some"] = r["all"] if (r["none"], r["name"]) in changed else r["some"]
     fills = {(r["none"], r["name"]): completing(r["gap"], offers.get((r["none"], r["name"]), [])) for r in state}
     # Draws of a source: its blocks once for each whole pass, the blocks of the last pass, the completing documents.
     quotas = split_quotas([r["passes"] * r["all"] + r["some"] + len(fills[r["none"], r["name"]]) for r in state], shards, seed)

@@ -372,6 +372,25 @@ def test_mix(spark):
     assert mixing.mix_documents(table.limit(0)).count() == 0
 
 
+def test_mix_with_one_very_long_document(spark):
+    prepared(spark)
+    small = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit("c").alias("source"), F.lit(100).alias("size"))
+    long = spark.createDataFrame([(-1, "c", 900_000)], "doc_id long, source string, size int")
+    other = spark.range(20_000, 21_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit(7200).alias("size"))
+    table = small.unionByName(long).unionByName(other)
+    for seed in range(3):
+        # c is wanted half, whatever place the order gives the long document.
+        rows = mixing.plan(table, weights=(9, 1), seed=seed, blocks=4).filter("copies > 0").collect()
+        target = next(r["target"] for r in rows if r["source"] == "c")
+        assert target == 900_000 and abs(sum(r["size"] * r["copies"] for r in rows if r["source"] == "c") - target) <= 50
+        assert all(0 <= x < mixing.SHARDS for r in rows for x in r["shard_of"])
+
+
+def test_class_shares():
+    assert mixing.class_shares(1000, {9: 600, 6: 300, 3: 900}) == ([9, 6], 3, 100)
+    assert mixing.class_shares(10, {9: 600, 3: 90}) == ([], None, 10)
+
+
 # 10
 
 
