@@ -1,9 +1,10 @@
 """Quotation linking: which message answers which, from the passages it quotes. DataFrame functions only.
 
 A line that begins with marks (``>``, blanks between them allowed) is quoted at the level of their number. Lines are
-normalised (lower case, runs of blanks as one) and hashed; a quoted line belongs to the first message of its
-conversation that has it as own text. A message answers the earlier message to which most of its lines of level 1
-belong, of equals the latest. Following the answers up gives each message its root and depth; root, depth and turn
+normalised (lower case, runs of blanks as one) and hashed; a quoted line belongs to the last earlier message of its
+conversation that has it as own text. All own lines of a message, and all its lines of level 1, are also hashed as one
+passage, however they are wrapped; it counts as many lines as it has, besides the single lines. A message answers the
+earlier message to which most of its lines of level 1 belong, of equals the latest. Following the answers up gives each message its root and depth; root, depth and turn
 order a conversation by replies.
 
 Empty lines are never linked. A message with a null conversation or turn, or without a linked quote, is a root. Rows
@@ -12,7 +13,7 @@ that share conversation and turn are one message in several rows, each of which
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack.functions.arrays import explode_items
@@ -36,21 +37,41 @@ def own_text(text: Column) -> Column:
 
 
 def quoted_lines(messages: DataFrame) -> DataFrame:
-    """(conv, turn, level, passage): the hash of every line with words; level 0 is own text."""
-    lines = explode_items(messages, F.split(F.coalesce("text", F.lit("")), "\r?\n"), "line", keep=["conv", "turn"])
+    """(conv, turn, level, passage, lines, votes): the hash of every line with words; level 0 is own text.
+
+    The whole own text and the whole text of level 1 are further passages, of 0 lines and as many votes as they have lines.
+    """
+    split = F.split(F.coalesce("text", F.lit("")), "\r?\n")
+    lines = explode_items(messages, split, "line", keep=["conv", "turn"])
     lines = lines.select("conv", "turn", quote_level(F.col("line")).alias("level"), normalised(F.col("line")).alias("norm"))
-    return lines.filter("norm <> '' AND conv IS NOT NULL AND turn IS NOT NULL").select(
-        "conv", "turn", "level", F.xxhash64("norm", F.length("norm")).alias("passage")
+    lines = lines.select("conv", "turn", "level", "norm", F.lit(1).alias("lines"), F.lit(1).alias("votes"), F.lit(0).alias("kind"))
+
+    def whole(level: int) -> Column:
+        own = F.filter(F.transform(F.filter(split, lambda x: quote_level(x) == level), normalised), lambda x: x != "")
+        return F.struct(F.lit(level).alias("level"), F.array_join(own, " ").alias("norm"), F.size(own).alias("votes"))
+
+    texts = messages.select("conv", "turn", F.inline(F.array(whole(0), whole(1))))
+    texts = texts.select("conv", "turn", "level", "norm", F.lit(0).alias("lines"), "votes", F.lit(1).alias("kind"))
+    return lines.unionByName(texts).filter("norm <> '' AND conv IS NOT NULL AND turn IS NOT NULL").select(
+        "conv", "turn", "level", F.xxhash64("norm", F.length("norm"), "kind").alias("passage"), "lines", "votes"
     )
 
 
 def links(messages: DataFrame) -> DataFrame:
-    """(conv, turn, level, origin, n): how many of a message's lines of a level belong to an earlier message."""
-    lines = quoted_lines(messages)
-    first = lines.filter("level = 0").groupBy("conv", "passage").agg(F.min("turn").alias("origin"))
-    asked = lines.filter("level > 0").groupBy("conv", "passage", "turn", "level").agg(F.count("*").alias("n"))
-    met = asked.join(first, ["conv", "passage"]).filter("origin < turn")
-    return met.groupBy("conv", "turn", "level", "origin").agg(F.sum("n").alias("n"))
+    """(conv, turn, level, origin, n, votes): how many of a message's lines of a level belong to an earlier message.
+
+    The last turn before with the passage is carried forward by ranges of 256 turns, so no passage makes pairs.
+    """
+    met = quoted_lines(messages).groupBy("conv", "passage", "turn", "level").agg(F.sum("lines").alias("n"), F.sum("votes").alias("votes"))
+    met = written(met, "quotes")  # read twice
+    met = met.withColumn("range", F.floor(F.col("turn") / 256)).withColumn("own", F.when(F.col("level") == 0, F.col("turn")))
+    keys = ["conv", "passage"]
+    across = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = met.groupBy(*keys, "range").agg(F.max("own").alias("last")).withColumn("carried", F.max("last").over(across)).drop("last")
+    inner = Window.partitionBy(*keys, "range").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    met = met.withColumn("inner", F.max("own").over(inner)).filter("level > 0").join(carried, [*keys, "range"])
+    met = met.withColumn("origin", F.coalesce("inner", "carried")).filter("origin IS NOT NULL")
+    return met.groupBy("conv", "turn", "level", "origin").agg(F.sum("n").alias("n"), F.sum("votes").alias("votes"))
 
 
 def threads(answers: DataFrame) -> DataFrame:
@@ -74,13 +95,13 @@ def threads(answers: DataFrame) -> DataFrame:
 def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """``messages`` with body, quoted, linked, reply_to, root and depth in place of the text and of columns so named.
 
-    ``quoted`` and ``linked`` count lines. Sort by conversation, root, depth and turn for the order of replies.
+    ``quoted`` and ``linked`` count single lines. Sort by conversation, root, depth and turn for the order of replies.
     """
     new = ["body", "quoted", "linked", "reply_to", "root", "depth"]
     kept = [c for c in messages.columns if c != text and c not in new]
     plain = messages.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(text).alias("text"))
     found = written(links(plain), "quotes")
-    answer = found.filter("level = 1").groupBy("conv", "turn").agg(F.max(F.struct("n", "origin"))["origin"].alias("reply_to"))
+    answer = found.filter("level = 1").groupBy("conv", "turn").agg(F.max(F.struct("votes", "origin"))["origin"].alias("reply_to"))
     keys = plain.filter("conv IS NOT NULL AND turn IS NOT NULL").select("conv", "turn").distinct()
     answers = written(keys.join(answer, ["conv", "turn"], "left"), "quotes")
     linked = found.groupBy("conv", "turn").agg(F.sum("n").alias("linked"))

@@ -327,6 +327,16 @@ def test_quotes(spark):
     assert quotes.link_quotes(table.limit(0)).count() == 0
 
 
+def test_quotes_of_recurring_lines(spark):
+    rows = [
+        (1, "Yes."), (2, "Which one?\nThe red one"), (5, "Yes."), (6, "> Yes.\nFine"), (300, "> yes.\nLate"),
+        (301, "Which one?\nThe blue one"), (302, "> Which one?\n> The red one\nThat"), (303, "> which one? the\n> blue one\nWrapped"), (304, "> Late\n> Yes.\nTwo"),
+    ]
+    found = quotes.link_quotes(spark.createDataFrame([("c", *r) for r in rows], "conv_id string, turn long, text string")).collect()
+    got = {r["turn"]: r["reply_to"] for r in found}
+    assert got == {1: None, 2: None, 5: None, 6: 5, 300: 5, 301: None, 302: 2, 303: 301, 304: 300}
+
+
 def test_long_reply_chain(spark):
     rows = [("c", i, f"> line {i - 1}\nline {i}" if i else "line 0") for i in range(60)]
     found = quotes.link_quotes(spark.createDataFrame(rows, "conv_id string, turn long, text string")).collect()
