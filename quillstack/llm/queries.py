@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: thin, whole tables, production parameters."""
+"""The registered queries of the operators: thin, whole tables, production parameters."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.functions.windows import salted_join
-from quillstack.llm import bpe, fingerprint, language, mixing, neardup, quotes, rollups, spans, topk, urls
+from quillstack.llm import bpe, collocation, fingerprint, language, lexical, mixing, neardup, quotes, rollups, simhash, spans, topk, urls
 from quillstack.llm.common import word_count, written
 from quillstack.session import apply_session_conf, load_table, shared_dir
 
@@ -20,6 +20,7 @@ def prepared(spark: SparkSession) -> SparkSession:
     """Session settings of the operators: Arrow batches small enough for long texts."""
     apply_session_conf(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 
@@ -198,3 +199,98 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     """The five best rows by integer inner product for every 50th vector."""
     rows = load_table(spark, folder, "embeddings")
     return topk.top_k(rows, rows.filter(F.col("vec_id") % 50 == 0))
+
+
+LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+@query(
+    "op11_presence_mask_search",
+    rf"""
+    WITH cut AS (
+        SELECT doc_id, list_transform(regexp_extract_all(text, '{TERM}'), lambda x: translate(x, {LETTERS})) AS terms
+        FROM documents WHERE text IS NOT NULL
+    ), docs AS (
+        SELECT row_number() OVER () AS d, doc_id, terms, CAST(len(terms) AS BIGINT) AS n FROM cut WHERE len(terms) > 0
+    ), totals AS (
+        SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM docs
+    ), asked AS (
+        SELECT i, term, count(*) AS times FROM (
+            SELECT row_number() OVER () AS i, unnest(list_transform(regexp_extract_all(text, '{TERM}'), lambda x: translate(x, {LETTERS}))) AS term
+            FROM benchmark WHERE text IS NOT NULL
+        ) GROUP BY ALL
+    ), named AS (
+        SELECT row_number() OVER () AS i, item_id FROM benchmark WHERE text IS NOT NULL
+    ), counts AS (
+        SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(terms) AS term FROM docs)
+        WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+    ), weights AS (
+        SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+        FROM counts, totals GROUP BY term, docs
+    ), shares AS (
+        SELECT d, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // length))) AS share
+        FROM counts JOIN weights USING (term) JOIN docs USING (d), totals
+    ), scored AS (
+        SELECT i, d, CAST(sum(times * share) AS BIGINT) AS score FROM asked JOIN shares USING (term) GROUP BY i, d
+    ), ranked AS (
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM scored JOIN docs USING (d) JOIN named USING (i) WHERE score > 0 AND doc_id IS NOT NULL
+    )
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical.rank_documents(load_table(spark, folder, "documents"), load_table(spark, folder, "benchmark"))
+
+
+@query("op12_simhash_components")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """The fingerprint of every whole text, and the component of fingerprints that it belongs to."""
+    return simhash.near_components(load_table(spark, folder, "documents"))
+
+
+@query(
+    "op13_stream_collocations",
+    rf"""
+    WITH pieces AS (
+        SELECT row_number() OVER () AS p, lang, words FROM (
+            SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM (
+                SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, {LETTERS}), '[.,;:!?\x0A-\x0D]')) AS piece
+                FROM documents WHERE text IS NOT NULL
+            )
+        ) WHERE len(words) > 0
+    ), totals AS (
+        SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM pieces GROUP BY lang
+    ), places AS (
+        SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM pieces
+    ), counts AS (
+        SELECT lang, phrase, count(*) AS a FROM (
+            SELECT lang, unnest(list_transform(range(i, least(i + 5, len(words) + 1)), lambda j: words[i:j])) AS phrase FROM places
+        ) GROUP BY ALL HAVING count(*) >= 100
+    ), cuts AS (
+        SELECT lang, phrase, a, unnest(range(1, len(phrase))) AS k FROM counts WHERE len(phrase) > 1
+    ), scored AS (
+        SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, n,
+               CAST((1000 * CAST(c.a AS HUGEINT) * n) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+        FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = c.phrase[1:k]
+        JOIN counts r ON r.lang = c.lang AND r.phrase = c.phrase[k + 1:len(c.phrase)] JOIN totals t ON t.lang = c.lang
+    ), lowest AS (
+        SELECT DISTINCT ON (lang, phrase) * FROM scored ORDER BY lang, phrase, score, k
+    ), inside AS (
+        SELECT lang, phrase[1:len(phrase) - 1] AS phrase, a FROM counts WHERE len(phrase) > 2
+        UNION ALL SELECT lang, phrase[2:len(phrase)], a FROM counts WHERE len(phrase) > 2
+    ), kept AS (
+        SELECT * FROM lowest p WHERE NOT EXISTS (SELECT 1 FROM inside x WHERE x.lang = p.lang AND x.phrase = p.phrase AND 100 * x.a >= 100 * p.a)
+    ), named AS (
+        SELECT lang, array_to_string(phrase, ' ') AS phrase, a, l, r, n, score FROM kept
+    ), ranked AS (
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM named
+    )
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """The collocations of every language."""
+    return collocation.collocations(load_table(spark, folder, "documents"))
