@@ -109,14 +109,16 @@ def bm25_weight(tf: Column, df: Column, doc_len: Column, docs: Column, mean_len:
     return idf * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * doc_len / mean_len))
 
 
-def score_hits(hits: DataFrame, totals: DataFrame, ids: list[str], k: int) -> DataFrame:
+def score_hits(hits: DataFrame, totals: DataFrame, ids: list[str], k: int, frequencies: DataFrame | None = None) -> DataFrame:
     """Best ``k`` documents by BM25, score ``s / (1 + s)``.
 
-    ``totals`` has one row (docs, mean_len). Document frequencies have one row per query term, so they are broadcast.
+    ``totals`` has one row (docs, mean_len). Document frequencies have one row per query term, so they are broadcast;
+    they are counted from the hits unless the caller has left some hits out and gives them.
     """
     docs, mean_len = totals.select("docs").scalar(), totals.select("mean_len").scalar()
-    # Counting by tf keeps that column, so both uses of the hits share one shuffle instead of scanning the texts twice.
-    frequencies = hits.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    if frequencies is None:
+        # Counting by tf keeps that column, so both uses of the hits share one shuffle instead of scanning the texts twice.
+        frequencies = hits.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     weight = bm25_weight(F.col("tf"), F.col("df"), F.col("doc_len"), docs, mean_len)
     weighted = hits.join(F.broadcast(frequencies), "term").withColumn("w", weight)
     scored = weighted.groupBy(*ids).agg(F.round(F.sum("w"), 9).alias("bm25"))

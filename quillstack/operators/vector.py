@@ -103,9 +103,12 @@ def dense_search(
     filters: dict | None = None,
     max_distance: float | None = None,
 ) -> DataFrame:
-    """Exact ``k`` nearest rows: each task keeps its best ``k`` and only those are merged."""
+    """Exact ``k`` nearest rows: each task keeps its best ``k`` and only those are merged.
+
+    Vectors that are null, have another length, or hold nulls, NaN or infinity are not compared.
+    """
     literal = query_literal(query)
-    rows = corpus.filter(filter_condition(filters)).filter(F.size(vector) == len(query))
+    rows = corpus.filter(filter_condition(filters)).filter(vector_problem(F.col(vector), len(query)).isNull())
     rows = rows.withColumn("distance", distance(F.col(vector), literal, metric)).drop(vector)
     if max_distance is not None:
         rows = rows.filter(F.col("distance") <= max_distance)
@@ -123,7 +126,7 @@ def dense_search_many(
     """
     def usable(df: DataFrame, name: str) -> DataFrame:
         rows = df.select(F.col(name).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-        return rows.filter((F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+        return rows.filter((F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
 
     asked, rows = usable(queries, query_id), usable(corpus, vector_id)
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))

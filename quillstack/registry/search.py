@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quillstack.operators import fusion
+from quillstack.operators import textindex as tix
 from quillstack.operators import textsearch as ts
 from quillstack.operators import vector as vec
 from quillstack.plans import search as plans
@@ -100,6 +103,54 @@ def f2_index(spark, folder):
     return text_out(index.search(spark, query_text(spark, folder), 20))
 
 
+@register(
+    "f1_changed_index_search",
+    f"""
+WITH changed AS (
+  SELECT doc_id, CASE WHEN lang = 'fr' THEN text || ' ' || text ELSE text END AS text FROM documents
+  WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) OR lang = 'es'
+), {bm25_sql('changed')}
+SELECT doc_id, round(bm25, 6) AS bm25, round(bm25 / (1 + bm25), 6) AS score FROM bm ORDER BY bm.bm25 DESC, doc_id LIMIT 20
+""",
+)
+def f1_changed(spark, folder):
+    """Texts come in batches, French ones are replaced, toxic ones deleted, all is merged, Spanish ones are written again."""
+    docs = documents(spark, folder).select("doc_id", "lang", "text")
+    index = tix.LiveTextIndex(spark, shared_dir(spark, "textindex"), ["doc_id"], buckets=16)
+    index.upsert(docs.filter("lang IN ('en', 'fr')"))
+    index.upsert(docs.filter("lang NOT IN ('en', 'fr')"))
+    index.upsert(docs.filter("lang = 'fr'").withColumn("text", F.concat_ws(" ", "text", "text")))
+    index.delete(load_table(spark, folder, "labels").filter("toxic = 1"))
+    index.merge()
+    index.upsert(docs.filter("lang = 'es'"))
+    return text_out(index.search(query_text(spark, folder), 20))
+
+
+@register(
+    "f1_phrase_search",
+    f"""
+WITH ph AS (SELECT {WORDS}[1:2] AS p, (SELECT {WORDS} FROM benchmark WHERE item_id = 0) AS rest FROM documents WHERE doc_id = 0),
+src AS (SELECT doc_id, {WORDS} AS w FROM documents),
+tot AS (SELECT count(*) AS n, avg(len(w)) AS mean_len FROM src),
+ptf AS (SELECT doc_id, len(w) AS dl, len(list_filter(range(1, len(w)), lambda i: w[i:i + 1] = p)) AS tf FROM src, ph),
+hit AS (SELECT doc_id, dl, '' AS term, tf FROM ptf WHERE tf > 0),
+ttf AS (SELECT doc_id, len(w) AS dl, term, len(list_filter(w, lambda x: x = term)) AS tf FROM src, (SELECT DISTINCT unnest(rest) AS term FROM ph)),
+every AS (SELECT * FROM hit UNION ALL SELECT * FROM ttf WHERE tf > 0 AND doc_id IN (SELECT doc_id FROM hit)),
+df AS (SELECT term, count(*) AS df FROM every GROUP BY term),
+bm AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean_len))), 9) AS bm25
+       FROM every JOIN df USING (term) CROSS JOIN tot GROUP BY doc_id)
+SELECT doc_id, round(bm25, 6) AS bm25, round(bm25 / (1 + bm25), 6) AS score FROM bm ORDER BY bm.bm25 DESC, doc_id LIMIT 20
+""",
+)
+def f1_phrase(spark, folder):
+    """The first two words of a document as a phrase, and the words of a benchmark text."""
+    docs = documents(spark, folder).select("doc_id", "text")
+    words = re.findall(r"[^\W_]+", docs.filter("doc_id = 0").first()["text"])
+    index = tix.LiveTextIndex(spark, shared_dir(spark, "textindex"), ["doc_id"], buckets=16)
+    index.upsert(docs)
+    return text_out(index.search(f'"{" ".join(words[:2])}" {query_text(spark, folder)}', 20))
+
+
 @register("f2_text_search", TEXT_TOP)
 def f2(spark, folder):
     return text_out(ts.bm25_scan(documents(spark, folder), query_text(spark, folder), 20, ["doc_id"]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstack.operators import vector as vec
+from quillstack.operators import vectorindex as vix
 from quillstack.operators.upsert import delete_keys
 from quillstack.registry import register
 from quillstack.session import load_table, shared_dir
@@ -177,6 +178,65 @@ def d7_all(spark, folder):
     return out(index.search(spark, query_vector(spark, folder), 25, ["vec_id"], 8))
 
 
+@register(
+    "d7_refined_search",
+    f"SELECT vec_id, label, round(d, 6) AS distance, round(1 / (1 + d), 6) AS score FROM "
+    f"(SELECT vec_id, label, {L2} AS d {FROM_Q}) ORDER BY d, vec_id LIMIT 15",
+)
+def d7_refined(spark, folder):
+    """Codes of eight bytes choose the candidates; refining all rows of all cells must give the exact result."""
+    rows = vectors(spark, folder)
+    index = vix.VectorIndex.build(rows, shared_dir(spark, "vector-index"), "vec_id", cells=12)
+    return out(index.search(query_vector(spark, folder), 15, probes=12, refine=-(-rows.count() // 15)), "label")
+
+
+CHANGED = """
+changed AS (
+  SELECT e.vec_id, e.label, CASE WHEN d.lang = 'de' THEN list_reverse(e.embedding) ELSE e.embedding END AS embedding
+  FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id
+  WHERE e.vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) OR d.lang = 'es'
+)
+"""
+
+
+def changed_index(spark, folder):
+    """English and German rows are indexed; the others come later, German ones are replaced, toxic ones deleted, Spanish ones written again."""
+    lang = load_table(spark, folder, "documents").select(F.col("doc_id").alias("vec_id"), "lang")
+    rows = vectors(spark, folder).join(lang, "vec_id")
+    index = vix.VectorIndex.build(rows.filter("lang IN ('en', 'de')"), shared_dir(spark, "vector-index"), "vec_id", cells=12)
+    index.upsert(rows.filter("lang NOT IN ('en', 'de')"))
+    index.upsert(rows.filter("lang = 'de'").withColumn("vector", F.reverse("vector")))
+    index.delete(load_table(spark, folder, "labels").filter("toxic = 1").select(F.col("doc_id").alias("vec_id")))
+    index.upsert(rows.filter("lang = 'es'"))
+    return index
+
+
+@register(
+    "d7_changed_rows_search",
+    f"WITH {CHANGED} SELECT vec_id, label, round(d, 6) AS distance, round(1 / (1 + d), 6) AS score FROM "
+    f"(SELECT vec_id, label, {L2} AS d {FROM_Q.replace('embeddings e', 'changed e')}) ORDER BY d, vec_id LIMIT 30",
+)
+def d7_changed(spark, folder):
+    """Indexed rows and the changes since, read together: what a fresh index of the live rows gives."""
+    index = changed_index(spark, folder)
+    return out(index.search(query_vector(spark, folder), 30, probes=12, refine=1000), "label")
+
+
+@register(
+    "d8_maintained_index",
+    f"WITH {CHANGED} SELECT label, count(*) AS rows, sum(vec_id)::BIGINT AS ids, round(sum(embedding[1]::DOUBLE), 6) AS first, true AS folded FROM changed GROUP BY label",
+)
+def d8_maintained(spark, folder):
+    """The changes exceed the thresholds, so they are folded in and no batch is left outside."""
+    index = changed_index(spark, folder)
+    done = index.maintain(least=16)
+    left = index.plan().first()
+    rows = index.rows().groupBy("label").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("vec_id").alias("ids"), F.round(F.sum(F.col("vector")[0].cast("double")), 6).alias("first")
+    )
+    return rows.withColumn("folded", F.lit(done and left["changed"] == 0))
+
+
 @register(
     "d8_index_plan",
     """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 class SnapshotTable:
@@ -35,18 +36,24 @@ class SnapshotTable:
     def versions(self) -> list[int]:
         return sorted(v for v, done in self._folders().items() if done)
 
-    def read(self, version: int | None = None) -> DataFrame:
+    def read(self, version: int | None = None, schema: StructType | None = None) -> DataFrame:
+        """The newest snapshot, or ``version``; ``schema`` is for snapshots that may hold no row and so no file."""
         known = self.versions()
         if not known:
             raise FileNotFoundError(f"no finished snapshot below {self.root}")
-        return self.spark.read.parquet(f"{self.root}/v={known[-1] if version is None else version}")
+        reader = self.spark.read.schema(schema) if schema else self.spark.read
+        return reader.parquet(f"{self.root}/v={known[-1] if version is None else version}")
 
-    def write(self, df: DataFrame) -> int:
+    def next_version(self) -> int:
+        """A number above every folder's, that of a write that broke off too."""
+        return max(self._folders(), default=0) + 1
+
+    def write(self, df: DataFrame, version: int | None = None) -> int:
         """Write the next snapshot and return its number; fails when another writer took the same number.
 
-        The number is above every folder's, that of a write that broke off too. Of older snapshots the last ``keep`` stay.
+        Of older snapshots the last ``keep`` stay. ``version`` is for tables that share one numbering.
         """
-        version = max(self._folders(), default=0) + 1
+        version = version or self.next_version()
         writer = df.write.mode("errorifexists")
         if self.partition_by:
             writer = writer.partitionBy(*self.partition_by)
