@@ -31,88 +31,196 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstack.functions.windows import top_per_group
-from quillstack.llm.common import written
+from quillstack.llm.common import U64, mix, written
 
 LEAST, LONGEST, UNKNOWN = 100, 5, "und"
 #: Ends every word of a key, so that all keys that begin with a phrase lie together; the next byte closes that range.
 END, AFTER = b"\t", b"\n"
-#: Bits of a bitmap, counts held by a task before it passes them on, and bytes of a piece cut at once.
-BITMAP, HELD, SLICE = 1 << 25, 200_000, 1 << 20
-_FLAT = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\v\f\r" else 32 if c == 9 else c for c in range(256))
-
-
-def pieces(text: bytes | None, carry: int):
-    """(words, n) of each piece: n-grams are to begin at the first n; a long piece comes in slices that overlap by ``carry`` words."""
-    for piece in (text or b"").translate(_FLAT).split(b"\n"):
-        held, at = [], 0
-        while len(piece) - at > SLICE:
-            end = piece.find(b" ", at + SLICE)
-            if end < 0:
-                break
-            words = held + [w for w in piece[at:end].split(b" ") if w]
-            yield words, max(0, len(words) - carry)
-            held, at = words[max(0, len(words) - carry) :], end
-        words = held + [w for w in piece[at:].split(b" ") if w]
-        if words:
-            yield words, len(words)
-
-
-def _bit(key: bytes) -> int:
-    return xxhash.xxh64_intdigest(key, 7) % BITMAP
-
-
-class Known(dict):
-    """Whether a bitmap may hold a key; answers are remembered, a bounded number of them."""
-
-    def __init__(self, bitmap: np.ndarray, lang: bytes) -> None:
-        self.bitmap, self.lang = bitmap, lang + AFTER
-
-    def __missing__(self, key: bytes) -> bool:
-        bit = _bit(self.lang + key)
-        if len(self) >= HELD:
-            self.clear()
-        self[key] = out = bool(self.bitmap[bit >> 3] >> (bit & 7) & 1)
+#: Bits of a bitmap, counts held by a task before it passes them on, and bytes of text cut at once.
+BITMAP, HELD, SLICE = 1 << 25, 400_000, 1 << 20
+#: A-Z lower-cased, each end of a piece a comma, tabs blanks.
+_FLAT = bytes(c + 32 if 65 <= c <= 90 else 44 if c in b".,;:!?\n\v\f\r" else 32 if c == 9 else c for c in range(256))
+BREAK = b","
+
+
+def slices(data: bytes, carry: int):
+    """(tokens, n) of joined texts: words, and BREAK between pieces. Runs of tokens are to begin at the first n; slices overlap by ``carry``."""
+    data, held, at = data.translate(_FLAT), [], 0
+    while at < len(data):
+        end = data.find(b" ", at + SLICE) if len(data) - at > SLICE else -1
+        tokens = held + data[at : len(data) if end < 0 else end].replace(BREAK, b" , ").split()
+        if end < 0:
+            yield tokens, len(tokens)
+            return
+        keep = min(carry, len(tokens))
+        yield tokens, len(tokens) - keep
+        held, at = tokens[len(tokens) - keep :], end
+
+
+def _hash(lang: bytes, word: bytes) -> int:
+    return xxhash.xxh64_intdigest(lang + AFTER + word, 7)
+
+
+def _pair_bits(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return (mix(first + mix(second)) % U64(BITMAP)).astype(np.int64)
+
+
+class Lexicon(dict):
+    """Numbers of the words that a bitmap may hold; all others are 0. Numbers last until ``clear``."""
+
+    def __init__(self, lang: bytes, bitmap: np.ndarray) -> None:
+        self.lang, self.bitmap = lang, bitmap
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self[BREAK] = 0
+        self.names, self.hashes = [b""], [0]
+
+    def __missing__(self, word: bytes) -> int:
+        key = _hash(self.lang, word)
+        bit, out = key % BITMAP, 0
+        if self.bitmap[bit >> 3] >> (bit & 7) & 1:
+            out = len(self.names)
+            self.names.append(word + END)
+            self.hashes.append(key)
+        self[word] = out
         return out
 
 
-def _tally(texts: DataFrame, keys_of, carry: int) -> DataFrame:
-    """(lang, key, a): counts of the keys that ``keys_of(lang)`` makes of (words, n), added up."""
+class Words:
+    """Counts of words."""
+
+    carry = 0
+
+    def __init__(self, lang: bytes) -> None:
+        self.counts: Counter = Counter()
+
+    def add(self, tokens: list[bytes], n: int) -> None:
+        self.counts.update(tokens[:n])
+
+    def size(self) -> int:
+        return len(self.counts)
+
+    def take(self) -> tuple[list[bytes], list[int]]:
+        del self.counts[BREAK]
+        out = [w + END for w in self.counts], list(self.counts.values())
+        self.counts.clear()
+        return out
+
+
+class Pairs:
+    """Counts of pairs of words that may be frequent, kept as numbers."""
+
+    carry = 1
+
+    def __init__(self, lang: bytes, words: np.ndarray) -> None:
+        self.lexicon = Lexicon(lang, words)
+        self.codes, self.counts, self.open, self.waiting = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+
+    def numbers(self, tokens: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.lexicon.__getitem__, tokens), np.int64, len(tokens))
+
+    def add(self, tokens: list[bytes], n: int) -> None:
+        ids = self.numbers(tokens)
+        first, second = ids[: min(n, len(ids) - 1)], ids[1 : n + 1]
+        both = (first > 0) & (second > 0)
+        self.open.append(first[both] << 32 | second[both])
+        self.waiting += len(self.open[-1])
+        if self.waiting > 2 * HELD:
+            self.merge()
+
+    def merge(self) -> None:
+        codes, counts = np.unique(np.concatenate([np.empty(0, np.int64), *self.open]), return_counts=True)
+        self.open, self.waiting = [], 0
+        every = np.concatenate([self.codes, codes])
+        self.codes, place = np.unique(every, return_inverse=True)
+        self.counts = np.bincount(place, np.concatenate([self.counts, counts]), len(self.codes)).astype(np.int64)
+
+    def size(self) -> int:
+        """Pairs as numbers take a fifth of what words take."""
+        return max(len(self.codes) // 5, len(self.lexicon))
+
+    def take(self) -> tuple[list[bytes], list[int]]:
+        self.merge()
+        names = self.lexicon.names
+        out = [names[a] + names[b] for a, b in zip((self.codes >> 32).tolist(), (self.codes & 0xFFFFFFFF).tolist())], self.counts.tolist()
+        self.codes, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.lexicon.clear()
+        return out
+
+
+class Windows:
+    """Counts of windows of three to five words in runs of pairs that may be frequent, one for each place."""
+
+    carry = LONGEST - 1
+
+    def __init__(self, lang: bytes, words: np.ndarray, pairs: np.ndarray) -> None:
+        self.lexicon, self.pairs, self.counts = Lexicon(lang, words), pairs, Counter()
+
+    def add(self, tokens: list[bytes], n: int) -> None:
+        ids = np.fromiter(map(self.lexicon.__getitem__, tokens), np.int64, len(tokens))
+        hashes = np.array(self.lexicon.hashes, U64)[ids]
+        bits = _pair_bits(hashes[:-1], hashes[1:])
+        bad = np.flatnonzero((ids[:-1] == 0) | (ids[1:] == 0) | (self.pairs[bits >> 3] >> (bits & 7).astype(np.uint8) & 1 == 0))
+        starts = np.arange(min(n, max(0, len(ids) - 1)))
+        # The run of good pairs from a place on ends with the first word of the next bad pair, or the last word.
+        ends = np.append(bad, len(ids) - 1)[np.searchsorted(bad, starts)]
+        sizes = np.minimum(ends - starts + 1, LONGEST)
+        long_ = sizes > 2
+        join = b"".join
+        names = [self.lexicon.names[i] for i in ids.tolist()]
+        self.counts.update(join(names[i : i + k]) for i, k in zip(starts[long_].tolist(), sizes[long_].tolist()))
+
+    def size(self) -> int:
+        return max(len(self.counts), len(self.lexicon))
+
+    def take(self) -> tuple[list[bytes], list[int]]:
+        out = list(self.counts), list(self.counts.values())
+        self.counts.clear()
+        self.lexicon.clear()
+        return out
+
+
+def _tally(texts: DataFrame, make) -> DataFrame:
+    """(lang, key, a): the counts that ``make(lang)`` keeps of tokens, added up."""
 
     def run(batches):
-        held: dict[str, Counter] = {}
-        made: dict[str, object] = {}
-        size = 0
+        held: dict[str, object] = {}
 
         def rows():
             for lang, counts in held.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["lang", "key", "a"]
-                )
+                keys, times = counts.take()
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.binary()), pa.array(times, pa.int64())], ["lang", "key", "a"])
             held.clear()
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
-                if lang not in made:
-                    made[lang] = keys_of(lang.encode())
-                for words, n in pieces(text.as_buffer().to_pybytes(), carry):
-                    counts = held.setdefault(lang, Counter())
-                    before = len(counts)
-                    counts.update(made[lang](words, n))
-                    size += len(counts) - before
-                    if size >= HELD:
+            by: dict[str, list[bytes]] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
+                by.setdefault(lang, []).append(text)
+            for lang, parts in by.items():
+                if lang not in held:
+                    held[lang] = make(lang.encode())
+                for tokens, n in slices(BREAK.join(parts), held[lang].carry):
+                    held[lang].add(tokens, n)
+                    if sum(x.size() for x in held.values()) >= HELD:
                         yield from rows()
-                        size = 0
+                        held[lang] = make(lang.encode())
         yield from rows()
 
     return texts.mapInArrow(run, "lang string, key binary, a long").groupBy("lang", "key").agg(F.sum("a").alias("a"))
 
 
 def _bitmap(frequent: DataFrame) -> np.ndarray:
-    """The bits of all (lang, key); what comes to the driver is bounded by the size of the bitmap."""
+    """The bits of all words or pairs (lang, key); what comes to the driver is bounded by the size of the bitmap."""
 
     def bits(batches):
         for batch in batches:
-            at = np.array([_bit(lang.encode() + AFTER + key) for lang, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], np.int64)
+            keys = [(lang.encode(), key.split(END)[:-1]) for lang, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            first = np.array([_hash(lang, words[0]) for lang, words in keys], U64)
+            second = np.array([_hash(lang, words[-1]) for lang, words in keys], U64)
+            single = np.array([len(words) == 1 for _, words in keys], bool)
+            at = np.where(single, (first % U64(BITMAP)).astype(np.int64), _pair_bits(first, second))
             yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], ["word", "bits"])
 
     words = frequent.select("lang", "key").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
@@ -123,44 +231,15 @@ def _bitmap(frequent: DataFrame) -> np.ndarray:
 
 def counted(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST) -> DataFrame:
     """(lang, key, a): the phrases of up to five words that occur ``least`` times, and all words of a language as the empty phrase."""
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).cast("string").alias("text")).filter("text IS NOT NULL")
-    words = written(_tally(texts, lambda _: lambda words, n: [w + END for w in words[:n]], 0), "phrase-words")
+    words = written(_tally(texts, Words), "phrase-words")
     total = words.groupBy("lang").agg(F.sum("a").alias("a")).select("lang", F.lit(b"").alias("key"), "a")
     words = words.filter(F.col("a") >= least)
-    known = spark.sparkContext.broadcast(_bitmap(words))
-
-    def pairs_of(name):
-        ok = Known(known.value, name)
-
-        def pairs(words, n):
-            words = [w + END for w in words]
-            return [a + b for a, b in zip(words[:n], words[1:]) if ok[a] and ok[b]]
-
-        return pairs
-
-    pairs = written(_tally(texts, pairs_of, 1).filter(F.col("a") >= least), "phrase-pairs")
-    known_pairs = spark.sparkContext.broadcast(_bitmap(pairs))
-
-    def windows_of(name):
-        ok, both = Known(known.value, name), Known(known_pairs.value, name)
-
-        def windows(words, n):
-            words = [w + END for w in words]
-            runs = [0] * len(words)  # the last word of the run of frequent pairs that begins here
-            end = len(words) - 1
-            out = []
-            for i in range(len(words) - 2, -1, -1):
-                a, b = words[i], words[i + 1]
-                if not (ok[a] and ok[b] and both[a + b]):
-                    end = i
-                elif i < n and end - i >= 2:
-                    out.append(b"".join(words[i : min(end + 1, i + LONGEST)]))
-            return out
-
-        return windows
-
-    windows = _tally(texts, windows_of, LONGEST - 1)
+    known = context.broadcast(_bitmap(words))
+    pairs = written(_tally(texts, lambda name: Pairs(name, known.value)).filter(F.col("a") >= least), "phrase-pairs")
+    both = context.broadcast(_bitmap(pairs))
+    windows = _tally(texts, lambda name: Windows(name, known.value, both.value))
     longer = _prefix_sums(windows, least).groupBy("lang", "key").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
     return written(total.unionByName(words).unionByName(pairs).unionByName(longer), "phrase-counts")
 
