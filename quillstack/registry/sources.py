@@ -8,6 +8,7 @@ from quillstack.operators.upsert import upsert
 from quillstack.registry import register
 from quillstack.session import load_table, shared_dir
 from quillstack.sources import files
+from quillstack.sources.buckets import BucketTable
 from quillstack.sources.snapshots import SnapshotTable
 from quillstack.sources.sqlsource import SqlSource, run_sql
 
@@ -221,3 +222,25 @@ def s15(spark, folder):
     new = changed.unionByName(changed.withColumn("o_totalprice", F.col("o_totalprice") + 1)).unionByName(added)
     table.write(upsert(table.read(), new, ["o_orderkey"], order=["o_totalprice"]))
     return orders_out(table.read())
+
+
+@register(
+    "s15_bucketed_changes",
+    """
+WITH busy AS (SELECT o_custkey, max(o_totalprice) AS most FROM orders GROUP BY o_custkey),
+changed AS (SELECT o.* REPLACE (o_totalprice + 1 AS o_totalprice) FROM orders o JOIN busy b ON b.o_custkey = o.o_custkey AND o_totalprice = most)
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, epoch_us(o_orderdate) AS order_us, o_orderpriority FROM (
+  SELECT * FROM changed UNION ALL SELECT * FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM changed))
+WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49)
+""",
+)
+def s15_buckets(spark, folder):
+    """The dearest order of each customer changes and orders with large returns go; only their buckets are written."""
+    orders = load_table(spark, folder, "orders")
+    table = BucketTable(spark, shared_dir(spark, "orders"), ["o_orderkey"], buckets=16)
+    table.upsert(orders)
+    most = orders.groupBy("o_custkey").agg(F.max("o_totalprice").alias("o_totalprice"))
+    changed = orders.join(most, ["o_custkey", "o_totalprice"], "left_semi").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    table.upsert(changed)
+    table.delete(load_table(spark, folder, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey")))
+    return orders_out(table.read())

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from quillstack.registry import register
 from quillstack.registry import sqltext as q
-from quillstack.session import load_table
+from quillstack.session import load_table, shared_dir
+from quillstack.sources.buckets import BucketTable
 from quillstack.streaming import streams as st
 
 K = "json_extract_string(props, '$.k')::BIGINT"
@@ -39,18 +40,35 @@ def r1(spark, folder):
 @register(
     "r2_paired_events",
     f"""
-WITH e AS (SELECT *, {K} % 10 AS step FROM events WHERE {K} % 10 <> 0)
+WITH e AS (SELECT *, {K} % 10 AS step FROM events)
 SELECT s.user_id, s.step, s.event_id AS start_id, n.event_id AS end_id, (epoch_us(n.ts) - epoch_us(s.ts)) / 1000000 AS seconds
 FROM e s JOIN e n ON s.user_id = n.user_id AND s.step = n.step AND n.ts > s.ts AND epoch_us(n.ts) - epoch_us(s.ts) <= {TEN_DAYS}000000
 WHERE s.event_type = 'view' AND n.event_type = 'purchase'
 """,
 )
 def r2(spark, folder):
-    rows = events(spark, folder).withColumn("step", F.col("k") % 10).filter("step <> 0")
+    rows = events(spark, folder).withColumn("step", F.col("k") % 10)
     starts, ends = rows.filter("event_type = 'view'"), rows.filter("event_type = 'purchase'")
     return st.run_to_files(st.paired_events(starts, ends, ["user_id", "step"], TEN_DAYS), "pairs")
 
 
+@register(
+    "r2_last_ends",
+    f"""
+WITH e AS (SELECT *, {K} % 10 AS step FROM events),
+p AS (SELECT s.user_id, s.step, s.event_id AS start_id, n.event_id AS end_id, (epoch_us(n.ts) - epoch_us(s.ts)) / 1000000 AS seconds
+  FROM e s JOIN e n ON s.user_id = n.user_id AND s.step = n.step AND n.ts > s.ts AND epoch_us(n.ts) - epoch_us(s.ts) <= {TEN_DAYS}000000
+  WHERE s.event_type = 'view' AND n.event_type = 'purchase')
+SELECT DISTINCT ON (start_id) * FROM p ORDER BY start_id, seconds DESC, end_id DESC
+""",
+)
+def r2_last(spark, folder):
+    """Each start with its last end so far: a table that later ends update."""
+    rows = events(spark, folder).withColumn("step", F.col("k") % 10)
+    starts, ends = rows.filter("event_type = 'view'"), rows.filter("event_type = 'purchase'")
+    return st.run_to_table(st.paired_events(starts, ends, ["user_id", "step"], TEN_DAYS), ["start_id"], "append", "ends", best=["seconds", "end_id"])
+
+
 @register(
     "r3_calls_per_day",
     """
@@ -64,6 +82,13 @@ def r3(spark, folder):
     return days.select(F.unix_micros("day").alias("day_us"), "calls")
 
 
+@register("r3_running_days", "SELECT epoch_us(date_trunc('day', ts)) AS day_us, count(*) AS calls FROM events GROUP BY 1")
+def r3_running(spark, folder):
+    """All days, the running one included."""
+    days = st.run_to_table(st.calls_per_day(events(spark, folder), "60 days"), ["day"], label="days")
+    return days.select(F.unix_micros("day").alias("day_us"), "calls")
+
+
 @register(
     "r4_token_totals",
     """
@@ -81,16 +106,17 @@ def r4(spark, folder):
 
 @register(
     "r5_job_progress",
-    """
-SELECT user_id AS job, count(*) AS steps, count(*) FILTER (event_type IN ('purchase', 'signup')) AS finished,
-  count(*) FILTER (event_type IN ('purchase', 'signup')) / count(*) AS progress FROM events GROUP BY user_id
+    f"""
+SELECT job, count(*) AS steps, count(*) FILTER (done) AS finished, count(*) FILTER (done) / count(*) AS progress FROM (
+  SELECT user_id AS job, {K} % 7 AS step, bool_or(event_type IN ('purchase', 'signup')) AS done FROM events GROUP BY 1, 2) GROUP BY job
 """,
 )
 def r5(spark, folder):
-    rows = stream(spark, folder, "events").select(
-        F.col("user_id").alias("job"), "ts", F.col("event_type").isin("purchase", "signup").alias("done")
+    """Seven steps a job; each is reported many times and counts once."""
+    rows = events(spark, folder).select(
+        F.col("user_id").alias("job"), (F.col("k") % 7).alias("step"), "ts", F.col("event_type").isin("purchase", "signup").alias("done")
     )
-    return st.run_to_table(st.job_progress(rows), ["job"], label="jobs")
+    return st.job_totals(st.run_to_table(st.job_progress(rows, "60 days"), ["job", "part"], label="jobs"))
 
 
 @register(
@@ -108,6 +134,39 @@ def r6(spark, folder):
     return closed.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events")
 
 
+@register(
+    "r6_live_segments",
+    """
+WITH s AS (SELECT user_id, event_id AS ord, event_type AS speaker, epoch_us(ts) / 1000000 AS start, epoch_us(ts) / 1000000 + value AS fin FROM events),
+m AS (SELECT *, max(fin) OVER (PARTITION BY user_id ORDER BY start, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS talk FROM s),
+t AS (SELECT *, sum(CASE WHEN talk IS NULL OR start - talk > 43200 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY start, ord) AS session FROM m),
+c AS (SELECT user_id, session FROM t GROUP BY ALL HAVING max(fin) + 43200 < (SELECT max(epoch_us(ts)) / 1000000 - 86400 FROM events)),
+l AS (SELECT *, lag(speaker) OVER w AS ps, lag(fin) OVER w AS pf FROM t SEMI JOIN c USING (user_id, session) WINDOW w AS (PARTITION BY user_id, session ORDER BY start, ord)),
+i AS (SELECT *, sum(CASE WHEN pf IS NULL OR speaker <> ps OR start - pf > 43200 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, session ORDER BY start, ord) AS island FROM l)
+SELECT user_id, any_value(speaker) AS speaker, round(min(start), 3) AS start, round(arg_max(fin, (start, ord)), 3) AS fin,
+  string_agg('t' || ord, ' ' ORDER BY start, ord) AS text,
+  round(list_reduce(list(ord % 11 ORDER BY start, ord)::DOUBLE[], lambda a, c: (a + c) / 2), 6) AS confidence, count(*) AS segments
+FROM i GROUP BY user_id, session, island
+""",
+)
+def r6_live(spark, folder):
+    """Segments of one speaker merged live, pauses of up to twelve hours; talk that the watermark has closed."""
+    start = F.unix_micros("ts") / 1_000_000
+    rows = events(spark, folder).select(
+        "user_id", "ts", F.col("event_id").alias("order"), F.col("event_type").alias("speaker"), start.alias("start"),
+        (start + F.col("value")).alias("end"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("text"),
+        (F.col("event_id") % 11).cast("double").alias("confidence"),
+    )
+    keys = ["user_id"]
+    table = BucketTable(spark, shared_dir(spark, "segments"), [*keys, "session", "island"])
+    talk = st.live_segments(rows, keys, 43_200, "1 day")
+    st.merged_segments_sink(talk, table, keys, 43_200, shared_dir(spark, "segments-checkpoint")).awaitTermination()
+    return table.read().select(
+        "user_id", "speaker", F.round("start", 3).alias("start"), F.round("end", 3).alias("fin"), "text",
+        F.round("confidence", 6).alias("confidence"), "segments",
+    )
+
+
 @register(
     "r7_incremental_chunks",
     f"""

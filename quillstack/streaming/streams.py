@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from quillstack.functions.arrays import explode_items
 from quillstack.operators.chunk import fixed_size_chunks
+from quillstack.operators.runlog import merge_segments
 from quillstack.operators.upsert import upsert
 from quillstack.session import shared_dir
+from quillstack.sources.buckets import BucketTable
 from quillstack.sources.snapshots import SnapshotTable
 
 
@@ -34,22 +36,32 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return df
 
 
+def _started(batch_function, df: DataFrame, checkpoint: str, mode: str, available_now: bool, seconds: int) -> StreamingQuery:
+    writer = df.writeStream.foreachBatch(batch_function).outputMode(mode).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
 def upsert_sink(
-    df: DataFrame, table: SnapshotTable, keys: list[str], checkpoint: str, mode: str = "update", available_now: bool = True,
-    seconds: int = 5,
+    df: DataFrame, table: SnapshotTable | BucketTable, keys: list[str], checkpoint: str, mode: str = "update", available_now: bool = True,
+    seconds: int = 5, best: list | None = None,
 ) -> StreamingQuery:
-    """Keep a snapshot table current. Rows carry absolute values, so a batch that is replayed changes nothing."""
+    """Keep a table current. Rows carry absolute values, so a batch that is replayed changes nothing.
+
+    A bucket table rewrites the buckets of the batch's keys only. ``best`` (bucket tables) keeps the last row of a key in
+    that order, stored ones included.
+    """
 
     def merge(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
-            return
-        if table.versions():
-            table.write(upsert(table.read(), batch, keys))
-        else:
-            table.write(batch)
+        batch = batch.persist()  # the touched buckets and the rows are read from it
+        try:
+            if isinstance(table, BucketTable):
+                table.upsert(batch, best, keep_best=best is not None)
+            elif not batch.isEmpty():
+                table.write(upsert(table.read(), batch, keys) if table.versions() else batch)
+        finally:
+            batch.unpersist()
 
-    writer = df.writeStream.foreachBatch(merge).outputMode(mode).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")).start()
+    return _started(merge, df, checkpoint, mode, available_now, seconds)
 
 
 def parquet_sink(
@@ -60,12 +72,12 @@ def parquet_sink(
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
-def run_to_table(df: DataFrame, keys: list[str], mode: str = "update", label: str = "stream") -> DataFrame:
-    """Work off the stream into a snapshot table in the shared folder and return its final state."""
+def run_to_table(df: DataFrame, keys: list[str], mode: str = "update", label: str = "stream", best: list | None = None) -> DataFrame:
+    """Work off the stream into a bucket table in the shared folder and return its final state."""
     spark = df.sparkSession
-    table = SnapshotTable(spark, shared_dir(spark, label))
-    upsert_sink(df, table, keys, shared_dir(spark, f"{label}-checkpoint"), mode).awaitTermination()
-    return table.read()
+    table = BucketTable(spark, shared_dir(spark, label), keys)
+    upsert_sink(df, table, keys, shared_dir(spark, f"{label}-checkpoint"), mode, best=best).awaitTermination()
+    return table.read() if table.versions() else spark.createDataFrame([], df.schema)
 
 
 def run_to_files(df: DataFrame, label: str = "stream") -> DataFrame:
@@ -107,7 +119,7 @@ def paired_events(
 
 
 def calls_per_day(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Events per day, written once a day can receive no more events."""
+    """Events per day: in append mode written once a day can receive no more events, in update mode the running day as well."""
     windowed = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day")).agg(F.count(F.lit(1)).alias("calls"))
     return windowed.select(F.col("window.start").alias("day"), "calls")
 
@@ -126,6 +138,31 @@ def sessions(events: DataFrame, keys: list[str], gap: str, late: str) -> DataFra
     )
 
 
+def live_segments(segments: DataFrame, keys: list[str], max_gap: float, late: str) -> DataFrame:
+    """Talk of each key without a pause of over ``max_gap`` seconds, once it is closed: its ``session`` start and ``segments``.
+
+    A segment's own session lasts for its duration and the allowed pause (columns ts, order, start, end, speaker, text,
+    confidence), so no two segments that may be merged are in different sessions.
+    """
+    # A microsecond more: a pause of just max_gap belongs to the session.
+    pause = F.make_interval(secs=F.greatest(F.col("end") - F.col("start"), F.lit(0.0)) + F.lit(max_gap + 1e-6))
+    fields = F.struct("order", "start", "end", "speaker", "text", "confidence")
+    grouped = segments.withWatermark("ts", late).groupBy(*keys, F.session_window("ts", pause)).agg(F.collect_list(fields).alias("segments"))
+    return grouped.select(*keys, F.col("session_window.start").alias("session"), "segments")
+
+
+def merged_segments_sink(
+    sessions: DataFrame, table: BucketTable, keys: list[str], max_gap: float, checkpoint: str, available_now: bool = True, seconds: int = 5
+) -> StreamingQuery:
+    """Merge the segments of closed sessions as the batch operator does, into ``table`` by key, session and island."""
+
+    def merge(batch: DataFrame, _: int) -> None:
+        rows = batch.select(*keys, "session", F.inline("segments"))
+        table.upsert(merge_segments(rows, [*keys, "session"], max_gap))
+
+    return _started(merge, sessions, checkpoint, "append", available_now, seconds)
+
+
 def known_events(events: DataFrame, tasks: DataFrame, task: str, late: str = "1 day") -> DataFrame:
     """Events of known tasks, each once even when the source repeats it."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]).join(tasks, task, "left_semi")
@@ -139,35 +176,68 @@ def new_chunks(files: DataFrame, text: str, arrived: str, size: int, overlap: in
     return rows.withColumn("chunk_id", F.sha2(F.concat_ws("|", "content_hash", "index"), 256))
 
 
-PROGRESS = "job long, steps long, finished long, progress double"
-PROGRESS_STATE = "steps long, finished long"
+#: Parts that a job's steps are dealt to, so that a large job is not one task.
+PARTS = 8
+PROGRESS = "job long, part int, steps long, finished long"
 EXPIRY_MS = 24 * 3600 * 1000
-
-
-def _count_steps(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Add a batch's steps to the job's counts; a finished job without events for a day of event time is forgotten."""
-    steps, finished = state.get if state.exists else (0, 0)
-    if state.hasTimedOut:
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+class StepCounts(StatefulProcessor):
+    """For each part of a job its steps and whether they are done; only the steps that a batch names are looked up."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.done = handle.getMapState("done", "step string", "done boolean")
+        self.counts = handle.getValueState("counts", "steps long, finished long")
+
+    def _expire_after(self, ms: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(ms + EXPIRY_MS)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        steps, finished = self.counts.get() if self.counts.exists() else (0, 0)
+        latest = max(0, timerValues.getCurrentWatermarkInMs())
+        for batch in rows:
+            latest = max(latest, int(batch["ts"].max().timestamp() * 1000))
+            for step, done in batch.groupby("step")["done"].any().items():
+                known = self.done.containsKey((step,))
+                before = known and self.done.getValue((step,))[0]
+                steps += not known
+                finished += bool(done) and not before
+                if not known or done and not before:
+                    self.done.updateValue((step,), (bool(done),))
+        self.counts.update((steps, finished))
+        self._expire_after(latest)
+        yield pd.DataFrame({"job": [key[0]], "part": [key[1]], "steps": [steps], "finished": [finished]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A part whose steps are all done is forgotten after a day of event time; others are kept."""
+        steps, finished = self.counts.get() if self.counts.exists() else (0, 0)
         if finished < steps:
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + EXPIRY_MS)
+            self._expire_after(timerValues.getCurrentWatermarkInMs())
         else:
-            state.remove()
-        return
-    latest = 0
-    for batch in batches:
-        steps += len(batch)
-        finished += int(batch["done"].sum())
-        latest = max(latest, int(batch["ts"].max().timestamp() * 1000))
-    state.update((steps, finished))
-    state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + EXPIRY_MS)
-    yield pd.DataFrame({"job": [key[0]], "steps": [steps], "finished": [finished], "progress": [finished / steps]})
+            self.done.clear()
+            self.counts.clear()
+        yield pd.DataFrame({"job": [], "part": [], "steps": [], "finished": []}).astype({"job": "int64", "part": "int32", "steps": "int64", "finished": "int64"})
+
+    def close(self) -> None:
+        pass
 
 
 def job_progress(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Live progress per job (columns job, ts, done). A job's rows arrive in Arrow batches; only its two counts are kept.
+    """Live counts of distinct steps for each part of a job (columns job, step, ts, done); a step is done once any report says so.
 
-    Expiry follows event time: with a processing-time timeout a query that works off its input would never end.
+    A step that is reported twice counts once. Sink the rows by (job, part) and add them up with ``job_totals``. State
+    lies in RocksDB, a row for each step; finished parts are forgotten after a day without reports, by event time.
     """
-    return events.withWatermark("ts", late).groupBy("job").applyInPandasWithState(
-        _count_steps, PROGRESS, PROGRESS_STATE, "update", GroupStateTimeout.EventTimeTimeout
-    )
+    events.sparkSession.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = events.select("job", F.pmod(F.xxhash64("step"), F.lit(PARTS)).cast("int").alias("part"), F.col("step").cast("string").alias("step"), "ts", "done")
+    return rows.withWatermark("ts", late).groupBy("job", "part").transformWithStateInPandas(StepCounts(), PROGRESS, "Update", "EventTime")
+
+
+def job_totals(parts: DataFrame) -> DataFrame:
+    """Steps, finished steps and progress of each job."""
+    sums = parts.groupBy("job").agg(F.sum("steps").alias("steps"), F.sum("finished").alias("finished"))
+    return sums.withColumn("progress", F.col("finished") / F.col("steps"))

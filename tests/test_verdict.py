@@ -96,8 +96,10 @@ def test_unfinished_jobs_are_kept(spark):
     hour = [0, 0, 1, 200, 400, 600]
     for n, h in enumerate(hour):
         ts = datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
-        rows = [("1" if n != 3 else "2", ts, n == 0)]
-        spark.createDataFrame(rows, "job string, ts timestamp, done boolean").selectExpr("cast(job as long) job", "ts", "done").coalesce(1).write.mode("append").parquet(path)
-    events = spark.readStream.schema("job long, ts timestamp, done boolean").option("maxFilesPerTrigger", 1).parquet(path)
-    rows = {r["job"]: (r["steps"], r["finished"]) for r in streams.run_to_table(streams.job_progress(events), ["job"]).collect()}
+        rows = [("1" if n != 3 else "2", f"s{n}", ts, n == 0)]
+        frame = spark.createDataFrame(rows, "job string, step string, ts timestamp, done boolean")
+        frame.selectExpr("cast(job as long) job", "step", "ts", "done").coalesce(1).write.mode("append").parquet(path)
+    events = spark.readStream.schema("job long, step string, ts timestamp, done boolean").option("maxFilesPerTrigger", 1).parquet(path)
+    parts = streams.run_to_table(streams.job_progress(events), ["job", "part"])
+    rows = {r["job"]: (r["steps"], r["finished"]) for r in streams.job_totals(parts).collect()}
     assert rows[1] == (5, 1)
