@@ -8,10 +8,13 @@ a number of comparisons in proportion to its size. A pair is a link if 1 - edits
 0.8, the edits (words inserted, deleted or replaced) counted by a bit-parallel alignment inside a band of the allowed
 width. Classes are connected by links; the class id is the smallest document id.
 
-What the buckets leave apart is completed without chance. An edit changes two labelled word pairs at most, so two similar
-texts agree in a known number of them; of each text, so many of the rarest pairs are kept that similar texts must agree in
-some kept ones (a prefix filter). All texts that agree in enough of them and are not yet in one class are compared. Rarity
-is a count by hash bin: it orders the pairs and decides the cost, never the result.
+What the buckets leave apart is completed without chance. An edit changes ``run`` labelled runs of ``run`` words at most,
+so two similar texts agree in a known number of them; of each text, so many of the rarest runs are kept that similar texts
+must agree in some kept ones (a prefix filter). Rarity is a count by hash bin: it orders the runs and decides the cost,
+never the result. Kept runs that no other text keeps are dropped inside the task by a bitmap of the runs kept twice; only
+the others are joined. Of two texts that are not yet in one class, the one of the smaller class asks; members of a class
+that share a run stand in lists, and a pair is counted inside the task, not once for each run in a join. Texts that would
+meet very many others by pairs of words (form letters) ask by single words instead: own words are then rare enough.
 
 Texts with the same words are copies and share one representative. A null text or one without words is a class of its
 own, and so is a null id (class null). Rows that share an id are one document.
@@ -31,8 +34,10 @@ from quillstack.functions.windows import salted_join
 from quillstack.llm.common import U64, Words, grams, map_batches, mix, release_shuffles, written
 
 GRAM, SKETCHES, LEAST = 5, 32, 0.8
-#: Words of a rare run, how many of them two texts must share (fewer if the texts are too short), and bins of their counts.
-RUN, SHARED, BINS, CHUNK = 2, 4, 1 << 20, 1 << 12
+#: How many kept runs two texts must share (fewer if the texts are too short), and bins of the runs' counts.
+SHARED, BINS, CHUNK = 4, 1 << 20, 1 << 12
+#: Members of a class in a list; meetings for each word from which a text asks by single words; bits for each run met twice, and of a bitmap.
+LISTED, BUSY, SPARSE, BITMAP = 256, 16, 16, 1 << 29
 
 
 def edits_within(a: list, b: list, most: int) -> int | None:
@@ -102,16 +107,16 @@ def _labelled(words: Words, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return run, owner, mix(run + seen * U64(0x9E3779B97F4A7C15))
 
 
-def run_counts(docs: DataFrame) -> np.ndarray:
-    """How often runs of RUN words occur in (doc, text), by hash bin."""
+def run_counts(docs: DataFrame, run: int) -> np.ndarray:
+    """How often runs of ``run`` words occur in (doc, text), by hash bin."""
 
     def count(batches):
         seen = np.zeros(BINS, np.int32)
         for batch in batches:
             words = Words(batch.column(1))
-            runs = grams(words.hashes, RUN, 7)
+            runs = grams(words.hashes, run, 7)
             row = np.repeat(np.arange(batch.num_rows), words.counts())
-            runs = runs[row[: len(runs)] == row[RUN - 1 :]] if len(runs) else runs
+            runs = runs[row[: len(runs)] == row[run - 1 :]] if len(runs) else runs
             seen += np.bincount((runs % U64(BINS)).astype(np.int64), minlength=BINS).astype(np.int32)
         if seen.any():
             yield pa.RecordBatch.from_pydict({"chunk": np.arange(BINS // CHUNK), "counts": [x.tobytes() for x in seen.reshape(-1, CHUNK)]})
@@ -127,53 +132,105 @@ def run_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def shared_runs(sizes: np.ndarray, least: float = LEAST) -> np.ndarray:
-    """The number of labelled runs of RUN words that a text has in common with any similar text at least as long."""
+def shared_runs(sizes: np.ndarray, run: int, least: float = LEAST) -> np.ndarray:
+    """The number of labelled runs of ``run`` words that a text has in common with any similar text at least as long."""
 
     def edits(n):
         return np.floor(n * (1 - least) + 1e-9).astype(np.int64)
 
     def common(n):
-        return n - RUN + 1 - RUN * edits(n)
+        return n - run + 1 - run * edits(n)
 
     # Least where one more edit becomes allowed: at the text's own length or at the next such one.
     following = np.ceil((edits(sizes) + 1) / (1 - least) - 1e-9).astype(np.int64)
     return np.where(following <= sizes / least + 1e-9, np.minimum(common(sizes), common(following)), common(sizes))
 
 
-def rare_runs(words: Words, counts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Of each row, the labels of its rarest runs, their places (-1: not the only such run), and how many it shares with every similar text."""
+def rare_runs(words: Words, counts: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Labels of the rarest runs of all rows, their rows and places (-1: not the only such run), and how many a row shares with every similar text."""
     sizes = words.counts()
-    run, owner, label = _labelled(words, RUN)
-    need = shared_runs(sizes)
+    hashes, owner, label = _labelled(words, run)
+    need = shared_runs(sizes, run)
     share = np.clip(need, 0, SHARED)
-    kept = np.where(need > 0, np.maximum(sizes - RUN + 1, 0) - need + share, 0)
+    kept = np.where(need > 0, np.maximum(sizes - run + 1, 0) - need + share, 0)
     # Any order that the label alone decides will do.
-    rank = counts[(run % U64(BINS)).astype(np.int64)].astype(U64) << U64(32) | label >> U64(32)
+    rank = counts[(hashes % U64(BINS)).astype(np.int64)].astype(U64) << U64(32) | label >> U64(32)
+    order = np.lexsort((rank, owner))
     per = np.bincount(owner, minlength=len(sizes))
-    ends = np.cumsum(per)
-    place = np.arange(len(owner)) - np.repeat(ends - per, per)
-    _, which, times = np.unique(run ^ mix(owner.astype(U64)), return_inverse=True, return_counts=True)
+    first = np.cumsum(per) - per
+    chosen = order[np.arange(len(owner)) - first[owner] < kept[owner]]
+    place = np.arange(len(owner)) - first[owner]
+    _, which, times = np.unique(hashes ^ mix(owner.astype(U64)), return_inverse=True, return_counts=True)
     place[times[which] > 1] = -1
-    out, places = [], []
-    for end, size, k in zip(ends.tolist(), np.diff(ends, prepend=0).tolist(), kept.tolist()):
-        own = slice(end - size, end)
-        first = np.argpartition(rank[own], k - 1)[:k] if 0 < k < size else slice(max(k, 0))
-        out.append(label[own][first])
-        places.append(place[own][first])
-    return out, places, share
+    return label[chosen], owner[chosen], place[chosen], share
 
 
-def sketches(docs: DataFrame, counts: np.ndarray, count: int = SKETCHES, gram: int = GRAM) -> DataFrame:
-    """(doc, same, keys, n, share, rare, places): a digest of the words, a bucket key for each sketch, number of words, rare runs.
+def _bits(label: np.ndarray, size: int) -> np.ndarray:
+    return (label % U64(size)).astype(np.int64)
 
-    Texts without words are left out.
-    """
+
+def kept_labels(docs: DataFrame, counts: np.ndarray, run: int) -> DataFrame:
+    """(key, times): kept labels of (doc, text), counted in each batch."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def make():
         table = shared.value
 
+        def one(batch):
+            labels, times = np.unique(rare_runs(Words(batch.column(1)), table, run)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(labels.view(np.int64)), pa.array(times.astype(np.int32))], ["key", "times"])
+
+        return one
+
+    return map_batches(docs, make, "key long, times int")
+
+
+def bitmap_of(keys: DataFrame) -> np.ndarray:
+    """A bitmap of (key): ``SPARSE`` bits for each, up to ``BITMAP`` bits; a false hit costs a row, never a result."""
+    n = keys.count()
+    size = min(BITMAP, 1 << max(20, (SPARSE * n).bit_length()))
+
+    def mark(batches):
+        for batch in batches:
+            at = _bits(batch.column(0).to_numpy().view(U64), size)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 16), pa.array(at & 65535)], ["part", "at"])
+
+    def collect(table):
+        bits = np.zeros(65536, bool)
+        bits[table.column("at").to_numpy()] = True
+        return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(size // 8, np.uint8)
+    parts = keys.mapInArrow(mark, "part long, at long").distinct().groupBy("part").applyInArrow(collect, "part long, bits binary")
+    for r in parts.toLocalIterator():  # at most BITMAP bits
+        out[r[0] * 8192 : (r[0] + 1) * 8192] = np.frombuffer(r[1], np.uint8)
+    return out
+
+
+def met_labels(docs: DataFrame, counts: np.ndarray, run: int, bitmap: np.ndarray) -> DataFrame:
+    """(key, place, doc): the kept labels that the bitmap holds."""
+    shared = docs.sparkSession.sparkContext.broadcast((counts, bitmap))
+
+    def make():
+        table, bits = shared.value
+
+        def one(batch):
+            label, row, place, _ = rare_runs(Words(batch.column(1)), table, run)
+            at = _bits(label, len(bits) * 8)
+            good = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(label[good].view(np.int64)), pa.array(place[good].astype(np.int32)), batch.column(0).take(pa.array(row[good]))], ["key", "place", "doc"]
+            )
+
+        return one
+
+    return map_batches(docs, make, "key long, place int, doc long")
+
+
+def sketches(docs: DataFrame, count: int = SKETCHES, gram: int = GRAM) -> DataFrame:
+    """(doc, same, keys, n): a digest of the words, a bucket key for each sketch, number of words; texts without words are left out."""
+
+    def make():
         def one(batch):
             words = Words(batch.column(1))
             sizes = words.counts()
@@ -198,19 +255,14 @@ def sketches(docs: DataFrame, counts: np.ndarray, count: int = SKETCHES, gram: i
             at = np.full(len(sizes), -1)
             at[rows] = np.arange(len(rows))
             listed = [made[at[i]].view(np.int64) if at[i] >= 0 else np.empty(0, np.int64) for i in full]
-            rare, places, share = rare_runs(words, table)
-            rare, places = [rare[i].view(np.int64) for i in full], [places[i] for i in full]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(full)), pa.array(digests, pa.binary()), _lists(listed),
-                    pa.array(sizes[full].astype(np.int64)), pa.array(share[full].astype(np.int64)), _lists(rare), _lists(places),
-                ],
-                ["doc", "same", "keys", "n", "share", "rare", "places"],
+                [batch.column(0).take(pa.array(full)), pa.array(digests, pa.binary()), _lists(listed), pa.array(sizes[full].astype(np.int32))],
+                ["doc", "same", "keys", "n"],
             )
 
         return one
 
-    return map_batches(docs, make, "doc long, same binary, keys array<long>, n long, share long, rare array<long>, places array<long>")
+    return map_batches(docs, make, "doc long, same binary, keys array<long>, n int")
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -272,29 +324,68 @@ def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return links
 
 
-def apart(runs: DataFrame, least: float = LEAST) -> DataFrame:
-    """(a, b): the texts of (key, place, rep, n, share, class) that share enough keys to be similar, but no class.
+def members_of(met: DataFrame, facts: DataFrame) -> DataFrame:
+    """``met`` (key, place, doc) with the facts (rep, n, class, size) of representatives, where a key lies in two classes and more."""
+    rows = met.join(facts.hint("shuffle_hash"), F.col("doc") == F.col("rep")).drop("doc")
+    several = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("key")
+    return rows.join(several, "key", "left_semi")
+
+
+def apart(members: DataFrame, asking: DataFrame | None, run: int, least: float = LEAST) -> DataFrame:
+    """(a, b): the texts of different classes that share enough keys to be similar; the one of the smaller class asks.
 
-    In each bucket, the members outside the bucket's largest class are joined with all of other classes, so a large
-    group of near copies is not joined with itself. Runs that occur once in both texts must lie where the allowed edits
-    before and after them can bring them together.
+    ``asking`` (rep) restricts the texts that ask. Runs that occur once in both texts must lie where the allowed edits
+    before and after them can bring them together. Lists hold the members of a class that a hash puts together, so what
+    a task counts at a time is bounded, and every meeting of two texts is counted in one place.
     """
-    runs = runs.repartition("key")  # dealt once for the counts and the join
-    largest = runs.groupBy("key", "class").agg(F.count("*").alias("c")).groupBy("key").agg(
-        F.max(F.struct("c", "class"))["class"].alias("main"), F.count("*").alias("classes")
-    )
-    members = written(runs.join(largest.filter("classes > 1").drop("classes"), "key"), "neardup-members")
-    most = F.floor(F.greatest("x.n", "y.n") * (1 - least) + 1e-9)
-    ahead, longer = F.col("x.place") - F.col("y.place"), F.col("x.n") - F.col("y.n")
-    near = (F.least("x.place", "y.place") < 0) | (F.abs(ahead) + F.abs(longer - ahead) <= most)
-    met = members.filter("class <> main").alias("x").join(members.alias("y"), "key").filter(
-        (F.col("x.class") != F.col("y.class")) & ((F.col("y.class") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-        & (F.abs(longer) <= most) & near
-    )
-    both = met.groupBy(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).agg(
-        F.count("*").alias("met"), F.min(F.least("x.share", "y.share")).alias("share")
-    )
-    return both.filter("met >= share").select("a", "b")
+    lists = F.ceil(F.col("size") / LISTED)
+    chunk = F.pmod(F.xxhash64("rep"), lists).cast("int")
+    listed = members.withColumn("chunk", chunk).groupBy("key", "class", "size", "chunk").agg(F.collect_list(F.struct("rep", "n", "place")).alias("list"))
+    own = members if asking is None else members.join(asking, "rep", "left_semi")
+    x = own.select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("class").alias("ac"), F.col("size").alias("asize"))
+    before = (F.col("asize") < F.col("size")) | ((F.col("asize") == F.col("size")) & (F.col("ac") < F.col("class")))
+    longest = F.array_max("list.n")
+    near = F.array_min("list.n") * least <= F.col("an") + 1
+    rows = x.join(listed, "key").filter(before & near & (F.col("an") * least <= longest + 1)).select("a", "an", "ap", "class", "chunk", "list")
+    rows = rows.repartition("a", "class", "chunk").sortWithinPartitions("a", "class", "chunk")
+
+    def count(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            # The last group may go on in the next batch.
+            place = np.stack([table.column(i).to_numpy() for i in (0, 3, 4)])
+            same = (place == place[:, -1:]).all(0)
+            held = table.slice(int(np.flatnonzero(~same)[-1]) + 1 if (~same).any() else 0).to_batches()[0]
+            if held.num_rows < table.num_rows:
+                yield pairs(table.slice(0, table.num_rows - held.num_rows))
+        if held is not None:
+            yield pairs(pa.Table.from_batches([held]))
+
+    def pairs(table):
+        lists = table.column(5).combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        sizes = np.diff(lists.offsets.to_numpy())
+        a, an, ap = (np.repeat(table.column(i).to_numpy(), sizes).astype(np.int64) for i in range(3))
+        b, bn, bp = (lists.flatten().field(i).to_numpy().astype(np.int64) for i in range(3))
+        most = np.floor(np.maximum(an, bn) * (1 - least) + 1e-9)
+        ahead, longer = ap - bp, an - bn
+        good = (np.abs(longer) <= most) & ((np.minimum(ap, bp) < 0) | (np.abs(ahead) + np.abs(longer - ahead) <= most))
+        if not good.any():
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
+        both, times = np.unique(np.stack([a[good], b[good], an[good], bn[good]]), axis=1, return_counts=True)
+        share = np.clip(np.minimum(shared_runs(both[2], run), shared_runs(both[3], run)), 0, SHARED)
+        keep = times >= share
+        low, high = np.minimum(both[0], both[1])[keep], np.maximum(both[0], both[1])[keep]
+        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+
+    return rows.mapInArrow(count, "a long, b long")
+
+
+def busy(members: DataFrame) -> DataFrame:
+    """(rep): texts that would meet more than BUSY others for each of their words."""
+    each = members.groupBy("key").agg(F.count("*").alias("c"))
+    return salted_join(members.select("key", "rep", "n"), each, ["key"]).groupBy("rep", "n").agg(F.sum("c").alias("c")).filter(F.col("c") > BUSY * F.col("n")).select("rep")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -302,13 +393,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
     usable = base.filter("doc IS NOT NULL AND text IS NOT NULL")
-    made = written(sketches(usable, run_counts(usable)), "neardup-sketches")
-    one = F.min_by(F.struct("keys", "n", "share", "rare", "places"), "doc").alias("one")
-    same = written(made.groupBy("same").agg(one, F.min("doc").alias("rep")).select("same", "rep", "one.*"), "neardup-copies")
+    made = written(sketches(usable), "neardup-sketches")
+    same = written(made.groupBy("same").agg(F.min("doc").alias("rep"), F.max("n").alias("n")), "neardup-copies")
     # A text may have very many copies: their rows are spread.
     reps = written(salted_join(made.select("doc", "same"), same.select("same", "rep"), ["same"]).select("doc", "rep"), "neardup-reps")
     copies = written(reps.groupBy("doc").agg(F.min("rep").alias("rep")), "neardup-copies")
-    buckets = same.select("rep", F.explode("keys").alias("key"))
+    # Rows that share an id may have several texts: a text's sketches are those of its digest.
+    keyed = made.join(same.select("same", F.col("rep").alias("doc")), ["same", "doc"], "left_semi").groupBy("doc", "same").agg(F.first("keys").alias("keys"))
+    buckets = keyed.select(F.col("doc").alias("rep"), F.explode("keys").alias("key"))
     # A bucket of two and more: the member with the least hash, which depends on the bucket, stands for it.
     middle = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep"))["rep"].alias("middle"), F.count("*").alias("n"))
     middle = written(middle.filter("n > 1").select("key", "middle"), "neardup-buckets")
@@ -320,9 +412,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     tied = reps.join(copies.withColumnRenamed("rep", "a"), "doc").select("a", F.col("rep").alias("b")).filter("a <> b")
     joined = written(components(links.unionByName(tied)), "neardup-joined")
     # Similar texts that no bucket has brought together.
-    ranked = same.drop("keys").join(joined, F.col("rep") == F.col("node"), "left").withColumn("class", F.coalesce("least", "rep"))
-    runs = ranked.select("rep", "n", "share", "class", F.inline(F.arrays_zip(F.col("rare").alias("key"), F.col("places").alias("place"))))
-    more = written(apart(runs).join(pairs, ["a", "b"], "left_anti"), "neardup-apart")
+    facts = same.groupBy("rep").agg(F.max("n").alias("n")).join(joined, F.col("rep") == F.col("node"), "left")
+    facts = facts.select("rep", "n", F.coalesce("least", "rep").alias("class"))
+    facts = written(salted_join(facts, facts.groupBy("class").agg(F.count("*").alias("size")), ["class"]), "neardup-facts")
+    counts = run_counts(usable, 2)
+    twice = written(kept_labels(usable, counts, 2).groupBy("key").agg(F.sum("times").alias("times")).filter("times > 1").select("key"), "neardup-twice")
+    release_shuffles(spark)
+    members = written(members_of(met_labels(usable, counts, 2, bitmap_of(twice)), facts), "neardup-members")
+    crowd = written(busy(members), "neardup-busy")
+    more = apart(members, members.select("rep").distinct().join(crowd, "rep", "left_anti"), 2)
+    if not crowd.isEmpty():
+        counts = run_counts(usable, 1)
+        asked = usable.join(crowd.select(F.col("rep").alias("doc")).hint("shuffle_hash"), "doc", "left_semi")
+        asked = written(kept_labels(asked, counts, 1).select("key").distinct(), "neardup-asked")
+        single = written(members_of(met_labels(usable, counts, 1, bitmap_of(asked)), facts), "neardup-members")
+        more = more.unionByName(apart(single, crowd, 1))
+    more = written(more.distinct().join(pairs, ["a", "b"], "left_anti"), "neardup-apart")
     release_shuffles(spark)
     joined = components(joined.select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(linked(more, usable)))
     found = copies.join(joined, F.col("rep") == F.col("node"), "left").select("doc", "rep", F.coalesce("least", "rep").alias("least"))

@@ -101,6 +101,52 @@ def test_classes_of_form_letters(spark):
     assert all(found[i] == i for i in range(120))
 
 
+def test_form_letters_are_not_compared_with_each_other(spark, monkeypatch):
+    """Unlike texts with three quarters in common: candidates grow with the texts, not with their pairs."""
+    seen, linked = [], neardup.linked
+
+    def counting(pairs, texts):
+        seen[-1] += pairs.count()
+        return linked(pairs, texts)
+
+    monkeypatch.setattr(neardup, "linked", counting)
+    for n in (400, 800):
+        rnd = random.Random(n)
+        passage = words(rnd, 150)
+        rows = [(i, f"{passage} {' '.join(f'u{rnd.randrange(10**9)}' for _ in range(50))}", None, None) for i in range(n)]
+        seen.append(0)
+        assert {r["class_id"] for r in neardup.classes(docs(spark, rows)).collect()} == set(range(n))
+    # Each bucket of a sketch compares its members with one of them, at most 32 for each text.
+    assert seen[0] <= 32 * 400 and seen[1] <= 32 * 800 and seen[1] < 2.5 * seen[0]
+
+
+def test_classes_with_a_large_class_and_texts_near_some_of_it(spark, monkeypatch):
+    """Lists of members, larger than one list, and texts that ask by single words give the classes of all pairs."""
+    rnd, rows = random.Random(21), []
+    base = words(rnd, 60, 3000).split()
+    for i in range(90):
+        changed = list(base)
+        for at in rnd.sample(range(60), rnd.choice([1, 3, 12, 16])):
+            changed[at] = f"n{rnd.randrange(40)}"
+        rows.append(changed)
+    monkeypatch.setattr(neardup, "LISTED", 7)
+    ids = range(len(rows))
+    root = {i: i for i in ids}
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    for i in ids:
+        for j in range(i):
+            if neardup.similar(rows[i], rows[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    for busy in (0, 10**6):
+        monkeypatch.setattr(neardup, "BUSY", busy)
+        found = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs(spark, [(i, " ".join(w), None, None) for i, w in enumerate(rows)])).collect()}
+        assert found == {i: top(i) for i in ids}
+
+
 def test_classes_at_the_threshold(spark):
     """Pairs of edit similarity 0.8 to 0.9, edits at random places and evenly spread, 5 to 300 words: all are found."""
     rnd, rows, pairs = random.Random(13), [], []
