@@ -95,7 +95,7 @@ def links(prints: DataFrame, bits: int = BITS, room: int = ROOM) -> DataFrame:
     while True:
         rows = rows.withColumn("key", F.col("print").bitwiseAND(F.col("mask")))
         met = written(rows.groupBy("mask", "key").agg(F.count("*").alias("size")).filter("size > 1"), "simhash-buckets")
-        rows = written(salted_join(rows, met, ["mask", "key"]), "simhash-members")
+        rows = written(salted_join(rows, met.hint("merge"), ["mask", "key"]), "simhash-members")
         small = rows.filter(F.col("size") <= room).groupBy("mask", "key").agg(F.collect_list("print").alias("prints"))
 
         def make():
@@ -125,6 +125,6 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     named = distinct.join(joined, F.col("print") == F.col("node"), "left").withColumn("least", F.coalesce("least", "print"))
     named = written(named.select("print", "least", "first"), "simhash-named")
     least = named.groupBy("least").agg(F.min("first").alias("component_id"))
-    named = salted_join(named.select("print", "least"), least, ["least"]).select("print", "component_id")
-    out = salted_join(rows, named, ["print"])
+    named = salted_join(named.select("print", "least"), least.hint("merge"), ["least"]).select("print", "component_id")
+    out = salted_join(rows, named.hint("merge"), ["print"])
     return out.select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
