@@ -13,16 +13,32 @@ SPACE_CLASS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{20
 EDGE_SPACE = rf"\A[{SPACE_CLASS}]+|[{SPACE_CLASS}]+\z"
 NOT_SPACE = rf"[^{SPACE_CLASS}]"
 
-#: Control characters used as internal marks; they do not occur in text.
-UNIT_MARK = "\u0001"
+#: Control characters used as internal marks; ``escape_marks`` takes them out of a text first.
 OPEN_MARK = "\u0002"
 CLOSE_MARK = "\u0003"
+_ESCAPES = {"\u0004": "\u0004\u0007", OPEN_MARK: "\u0004\u0005", CLOSE_MARK: "\u0004\u0006"}
 
 
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, EDGE_SPACE, "")
 
 
+def escape_marks(text: Column) -> Column:
+    """The text with each mark, and the escape sign itself, as two other control characters."""
+    out = text
+    for sign, pair in _ESCAPES.items():
+        out = F.replace(out, F.lit(sign), F.lit(pair))
+    return F.when(text.rlike("[\\x02-\\x04]"), out).otherwise(text)
+
+
+def unescape_marks(text: Column) -> Column:
+    """What ``escape_marks`` was given; the escape sign comes last, so no pair is made on the way."""
+    out = text
+    for sign, pair in reversed(_ESCAPES.items()):
+        out = F.replace(out, F.lit(pair), F.lit(sign))
+    return F.when(F.contains(text, F.lit("\u0004")), out).otherwise(text)
+
+
 def has_content(text: Column) -> Column:
     """True when the text holds at least one character that is not white space."""
     return F.coalesce(text.rlike(NOT_SPACE), F.lit(False))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillstack.functions.arrays import explode_items, let
 from quillstack.functions.text import (
-    CLOSE_MARK, OPEN_MARK, UNIT_MARK, estimate_tokens, has_content, regex_literal, strip,
+    CLOSE_MARK, OPEN_MARK, escape_marks, estimate_tokens, has_content, regex_literal, strip, unescape_marks,
 )
 
 # Separators, coarsest first.
@@ -110,19 +110,33 @@ def separator_pattern(separators: list[str] | tuple[str, ...]) -> str:
     return "(" + "|".join(regex_literal(s) for s in (separators or DEFAULT_SEPARATORS)) + ")"
 
 
+def unit_pattern(separators: list[str] | tuple[str, ...]) -> str:
+    """Text up to and with the next separator, or to the end.
+
+    Runs without the first character of any separator are passed over at once and never given back, so matching is
+    linear and needs no stack. Empty separators split nothing.
+    """
+    used = [s for s in (separators or DEFAULT_SEPARATORS) if s]
+    if not used:
+        return r"(?s).++"
+    any_of = "|".join(regex_literal(s) for s in used)
+    starts = "".join(dict.fromkeys(f"\\x{{{ord(s[0]):x}}}" for s in used))
+    return f"(?s)[^{starts}]*+(?:(?!{any_of})[{starts}][^{starts}]*+)*+(?:{any_of}|\\z)"
+
+
 def split_units(text: Column, separators: list[str] | tuple[str, ...] = ()) -> Column:
     """Units between separators; a separator stays at the end of the unit before it. Blank units are dropped."""
-    marked = F.regexp_replace(text, separator_pattern(separators), "$1" + UNIT_MARK)
-    return non_blank(F.split(marked, UNIT_MARK))
+    return non_blank(F.regexp_extract_all(text, F.lit(unit_pattern(separators)), F.lit(0)))
 
 
 def protected_segments(text: Column, patterns: list[str] | None = None) -> Column:
     """Alternating free and protected segments; overlapping or touching protected ranges are one segment.
 
     Each pattern puts marks around its matches. Later patterns see the text with the earlier marks, so ranges may nest
-    or cross, and a position is protected while more ranges are open than closed.
+    or cross, and a position is protected while more ranges are open than closed. Control characters of the text that
+    look like marks are escaped before and put back after.
     """
-    marked = text
+    marked = escape_marks(text)
     for pattern in PROTECTED_PATTERNS if patterns is None else patterns:
         marked = F.regexp_replace(marked, f"(?sm)({pattern})", f"{OPEN_MARK}$1{CLOSE_MARK}")
     start = F.struct(
@@ -142,10 +156,13 @@ def protected_segments(text: Column, patterns: list[str] | None = None) -> Colum
         segments = F.when(body == "", done).when((depth > 0) & last["protected"], joined).otherwise(pushed)
         return F.struct(depth.alias("depth"), segments.alias("segments"))
 
+    def plain(segments: Column) -> Column:
+        return F.transform(segments, lambda s: F.struct(s["protected"].alias("protected"), unescape_marks(s["text"]).alias("text")))
+
     def segments_of(m: Column) -> Column:
         pieces = F.split(m, f"(?=[{OPEN_MARK}{CLOSE_MARK}])")
-        single = F.array(F.struct(F.lit(False).alias("protected"), m.alias("text")))
-        return F.when(F.contains(m, F.lit(OPEN_MARK)), F.aggregate(pieces, start, take)["segments"]).otherwise(single)
+        single = F.array(F.struct(F.lit(False).alias("protected"), unescape_marks(m).alias("text")))
+        return F.when(F.contains(m, F.lit(OPEN_MARK)), plain(F.aggregate(pieces, start, take)["segments"])).otherwise(single)
 
     return let(marked, segments_of)
 
@@ -248,7 +265,7 @@ def markdown_sections(text: Column, headers: list[str] | None = None) -> Column:
     else:
         pattern = ATX_HEADER
     lines = F.regexp_replace(F.regexp_replace(text, LINE_BREAKS, "\n"), r"\n\z", "")
-    parts = F.filter(F.split(F.regexp_replace(lines, f"(?m)^({pattern})", UNIT_MARK + "$1"), UNIT_MARK), lambda p: p != "")
+    parts = F.filter(F.split(lines, f"(?m)(?=^(?:{pattern}))"), lambda p: p != "")
     return F.transform(
         parts,
         lambda p: F.struct(
@@ -308,40 +325,72 @@ def merge_by_tokens(units: Column, size: int, overlap: int, counter: Callable[[s
     The last units that fit into ``overlap`` tokens (and leave room for the next unit) open the next chunk.
     ``first`` is the position of the unit a chunk starts with. Longer units are split first. ``counter`` counts the
     tokens of a string; the default is a quarter of its length.
+
+    With the running token counts of the pieces, the piece that ends a chunk and the one that the next chunk begins with
+    follow from comparisons, so one pass over the pieces notes the borders; only a caller's counter runs in Python.
     """
     overlap = min(max(overlap, 0), size - 1)
-    count = counter or (lambda text: len(text) // 4)
 
-    def expand(unit: str) -> list[str]:
-        if count(unit) <= size:
-            return [unit]
+    def pieces_of(text: Column, position: Column) -> Column:
+        def with_tokens(texts: Column) -> Column:
+            return F.transform(texts, lambda t: F.struct(t.alias("text"), F.floor(F.length(t) / 4).cast("long").alias("tokens"), position.alias("first")))
+
+        short = F.floor(F.length(text) / 4) <= size
+        return with_tokens(F.when(short, F.array(text)).otherwise(non_blank(char_windows(text, 4 * size, 4 * overlap))))
+
+    @F.pandas_udf("array<struct<text:string,tokens:bigint,first:int>>")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         width, step = 4 * size, 4 * (size - overlap)
-        starts = range(0, max(len(unit) - width, 0) + step, step)
-        return [piece for piece in (unit[s : s + width] for s in starts) if piece.strip()]
-
-    def merge(items: list[str]) -> list[tuple[str, int]]:
-        out, held, total = [], [], 0
-        for position, unit in enumerate(items):
-            for piece in expand(unit):
-                need = count(piece)
-                if held and total + need > size:
-                    out.append(("".join(p for p, _, _ in held), held[0][2]))
-                    while held and (total > overlap or total + need > size):
-                        total -= held.pop(0)[1]
-                held.append((piece, need, position))
-                total += need
-        if held:
-            out.append(("".join(p for p, _, _ in held), held[0][2]))
-        return out
-
-    @F.pandas_udf("array<struct<text:string,first:int>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+        def cut(unit: str) -> list[str]:
+            if counter(unit) <= size:
+                return [unit]
+            starts = range(0, max(len(unit) - width, 0) + step, step)
+            return [piece for piece in (unit[s : s + width] for s in starts) if piece.strip()]
+
         for batch in batches:
-            yield pd.Series(
-                [[{"text": t.strip(), "first": f} for t, f in merge(list(items)) if t.strip()] for items in batch]
+            yield pd.Series([None if items is None else [{"text": t, "tokens": counter(t), "first": i} for i, u in enumerate(items) for t in cut(u)] for items in batch])
+
+    def chunks_of(pieces: Column) -> Column:
+        return let(running(F.transform(pieces, lambda p: p["tokens"])), lambda total: cut_at(pieces, total))
+
+    def running(counts: Column) -> Column:
+        """Tokens before each piece, and of all."""
+        empty = F.array(F.lit(0).cast("long"))
+        return F.aggregate(counts, empty, lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+    def cut_at(pieces: Column, total: Column) -> Column:
+        state = F.struct(F.lit(0).alias("begin"), F.array().cast("array<struct<begin:int,end:int>>").alias("chunks"))
+        none = F.sequence(F.lit(1), F.size(pieces) - 1)
+        places = F.when(F.size(pieces) > 1, none).otherwise(F.array().cast("array<int>"))
+
+        def step(acc: Column, i: Column) -> Column:
+            begin, after = acc["begin"], total[i + 1]
+            # The first piece from which what is held fits into the overlap and leaves room for piece i.
+            bound = F.greatest(total[i] - overlap, after - size)
+            held = F.slice(total, begin + 1, i - begin + 1)
+            later = begin + F.size(F.filter(held, lambda t: t < bound))
+            ended = F.concat(acc["chunks"], F.array(F.struct(begin.alias("begin"), i.alias("end"))))
+            full = after - total[begin] > size
+            return F.struct(
+                F.when(full, F.least(later, i)).otherwise(begin).alias("begin"), F.when(full, ended).otherwise(acc["chunks"]).alias("chunks")
             )
 
-    return run(units)
+        def texts(done: Column) -> Column:
+            last = F.array(F.struct(done["begin"].alias("begin"), F.size(pieces).alias("end")))
+            joined = F.transform(
+                F.concat(done["chunks"], last),
+                lambda c: F.struct(
+                    strip(F.array_join(F.transform(F.slice(pieces, c["begin"] + 1, c["end"] - c["begin"]), lambda p: p["text"]), "")).alias("text"),
+                    pieces[c["begin"]]["first"].alias("first"),
+                ),
+            )
+            return F.filter(joined, lambda c: has_content(c["text"]))
+
+        found = let(F.aggregate(places, state, step), texts)
+        return F.when(F.size(pieces) > 0, found).otherwise(F.array().cast("array<struct<text:string,first:int>>"))
+
+    return let(counted(units) if counter else F.flatten(F.transform(units, pieces_of)), chunks_of)
 
 
 def attach_media_context(chunks: Column, table_size: int = 0, image_size: int = 0) -> Column:

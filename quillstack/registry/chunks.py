@@ -138,9 +138,30 @@ def c5_units(spark, folder):
     return chunks.select("doc_id", "index", "text", F.col("metadata")["n"].alias("paragraph"))
 
 
-@register("c6_token_chunks")
+@register(
+    "c6_token_chunks",
+    f"""
+WITH RECURSIVE p AS (SELECT doc_id, {PARAGRAPHS} AS l FROM documents),
+e AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS x FROM p),
+u AS (SELECT doc_id, n, {q.units('x', SEPARATORS)} AS l FROM e),
+f AS (SELECT doc_id, n, unnest(range(0, len(l))) AS i, unnest(l) AS text FROM u),
+w AS (SELECT doc_id, n, i, CASE WHEN length(text) // 4 <= 120 THEN [text]
+        ELSE list_filter({q.windows('text', 480, 80)}, lambda x: {q.has_content('x')}) END AS l FROM f),
+g AS (SELECT doc_id, n, i, unnest(range(0, len(l))) AS j, unnest(l) AS t FROM w),
+d AS (SELECT doc_id, list(n ORDER BY n, i, j) AS ns, list(t ORDER BY n, i, j) AS ts, list(length(t) // 4 ORDER BY n, i, j) AS c FROM g GROUP BY doc_id),
+r AS (SELECT doc_id, ns, ts, len(ts) AS k, list_transform(range(0, len(c) + 1), lambda m: coalesce(list_sum(c[1:m]), 0)::BIGINT) AS s FROM d),
+walk AS (
+  SELECT doc_id, 0::BIGINT AS b, coalesce(list_filter(range(1, k), lambda m: s[m + 2] - s[1] > 120)[1], k) AS e FROM r
+  UNION ALL
+  SELECT doc_id, b, coalesce(list_filter(range(b + 1, k), lambda m: s[m + 2] - s[b + 1] > 120)[1], k) AS e FROM (
+    SELECT r.doc_id, k, s, list_filter(range(walk.b, walk.e + 1), lambda m: s[m + 1] >= greatest(s[walk.e + 1] - 20, s[walk.e + 2] - 120))[1] AS b
+    FROM walk JOIN r ON r.doc_id = walk.doc_id WHERE walk.e < k)),
+o AS (SELECT doc_id, b, e, {q.strip("array_to_string(ts[b + 1:e], '')")} AS text, CAST(ns[b + 1] AS VARCHAR) AS paragraph FROM walk JOIN r USING (doc_id))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b, e) - 1 AS index, text, paragraph FROM o WHERE {q.has_content('text')}
+""",
+)
 def c6(spark, folder):
-    """Greedy merge of sentences up to 120 tokens with 20 tokens carried over; a fold, so it has no SQL counterpart."""
+    """Greedy merge of sentences up to 120 tokens with 20 tokens carried over."""
     rows = docs(spark, folder).select(
         "doc_id",
         F.transform(
@@ -148,7 +169,7 @@ def c6(spark, folder):
             lambda p, i: F.struct(p.alias("text"), F.create_map(F.lit("n"), (i + 1).cast("string")).alias("metadata")),
         ).alias("paragraphs"),
     )
-    config = ck.ChunkConfig(size=120, overlap=20, separators=tuple(SEPARATORS), use_token_count=True)
+    config = ck.ChunkConfig(size=120, overlap=20, separators=tuple(SEPARATORS), protect=False, use_token_count=True)
     return ck.recursive_chunks(rows, config).select("doc_id", "index", "text", F.col("metadata")["n"].alias("paragraph"))
 
 

@@ -59,6 +59,70 @@ def test_token_merge(spark):
     assert all(len(m["text"]) <= 25 for m in merged) and len(merged) > 3
 
 
+def plain_merge(units, size, overlap, count):
+    """The greedy merge written out."""
+    overlap, pieces = min(max(overlap, 0), size - 1), []
+    for position, unit in enumerate(units):
+        if count(unit) <= size:
+            pieces.append((unit, position))
+        else:
+            width, step = 4 * size, 4 * (size - overlap)
+            starts = range(0, max(len(unit) - width, 0) + step, step)
+            pieces += [(unit[s : s + width], position) for s in starts if unit[s : s + width].strip()]
+    out, held, total = [], [], 0
+    for text, position in pieces:
+        need = count(text)
+        if held and total + need > size:
+            out.append(held)
+            held = list(held)
+            while held and (total > overlap or total + need > size):
+                total -= count(held.pop(0)[0])
+        held.append((text, position))
+        total += need
+    out += [held] if held else []
+    joined = [("".join(t for t, _ in h).strip(), h[0][1]) for h in out]
+    return [x for x in joined if x[0]]
+
+
+@pytest.mark.parametrize("size,overlap", [(3, 1), (5, 4), (8, 0), (20, 50), (1, 0)])
+def test_token_merge_against_a_plain_fold(spark, size, overlap):
+    rnd = random.Random(size)
+    rows = [(i, [rnd.choice("abc \u00e9") * rnd.randrange(0, 60) for _ in range(rnd.randrange(0, 30))]) for i in range(40)]
+    rows = [(i, [u for u in units if u.strip()]) for i, units in rows] + [(99, [])]
+    df = spark.createDataFrame(rows, "id int, u array<string>")
+    for counter in (None, lambda text: len(text) // 3 + 1):
+        made = df.select("id", ck.merge_by_tokens(F.col("u"), size, overlap, counter).alias("m")).collect()
+        for r in made:
+            units = dict(rows)[r["id"]]
+            assert [(m["text"], m["first"]) for m in r["m"]] == plain_merge(units, size, overlap, counter or (lambda text: len(text) // 4))
+
+
+def test_units_of_texts_with_control_characters(spark):
+    """Units put together give the text, whatever control characters it holds; each ends with its first separator."""
+    rnd, seps = random.Random(9), [". ", "\u0001", "\n", "]]", "]"]
+    texts = ["".join(rnd.choice("ab. \n]\u0001\u0002\u0003\u0004\u0005\u0006\u0007$`|[(") for _ in range(rnd.randrange(0, 80))) for _ in range(150)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for separators in (seps, [". "], ["\u0002", "aba", "ab"]):
+        for r in df.select("t", ck.split_units(F.col("t"), separators).alias("u")).collect():
+            want, at = [], 0
+            while at < len(r.t):
+                hits = [(r.t.find(s, at), n) for n, s in enumerate(separators) if r.t.find(s, at) >= 0]
+                end = min(hits)[0] + len(separators[min(hits)[1]]) if hits else len(r.t)
+                want.append(r.t[at:end])
+                at = end
+            assert r.u == [w for w in want if w.strip()]
+    for r in df.select("t", ck.protected_segments(F.col("t")).alias("s")).collect():
+        assert "".join(x["text"] for x in r.s) == r.t
+    text = "a\u0001b. ```c\u0002. d\u0003``` e\u0004. f"
+    assert one(spark, text, ck.split_units_protected(F.col("t"), [". "])) == ["a\u0001b. ", "```c\u0002. d\u0003```", " e\u0004. ", "f"]
+    assert [x["text"] for x in one(spark, "x\u0001y\n# h\u0001\nz", ck.markdown_sections(F.col("t")))] == ["x\u0001y", "# h\u0001\nz"]
+
+
+def test_units_of_a_long_text(spark):
+    text = "x" * 200_000 + "." * 200_000 + ". " + "y" * 1000
+    assert [len(u) for u in one(spark, text, ck.split_units(F.col("t"), [". "]))] == [400_002, 1000]
+
+
 def test_markdown_headers(spark):
     text = "intro\n# One\nbody\r\n###### Six\n#no header\n## Two\nx\n"
     sections = one(spark, text, ck.markdown_sections(F.col("t")))
