@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstack.functions.arrays import explode_items
@@ -139,9 +139,10 @@ def substring_search(corpus: DataFrame, query: str, k: int, ids: list[str], text
 
 
 def with_fallback(primary: DataFrame, fallback: DataFrame) -> DataFrame:
-    """``primary``, or ``fallback`` when it has no row; decided inside the query, without a job in between."""
-    found = primary.agg(F.count(F.lit(1))).scalar()
-    return primary.unionByName(fallback.filter(found == 0))
+    """``primary``, or ``fallback`` when it has no row. Both are short lists, each planned once: the first source that has rows stays."""
+    both = primary.withColumn("__source", F.lit(0)).unionByName(fallback.withColumn("__source", F.lit(1)))
+    first = F.min("__source").over(Window.partitionBy())
+    return both.withColumn("__first", first).filter("__source = __first").drop("__source", "__first")
 
 
 def text_search(corpus: DataFrame, query: str, k: int, ids: list[str], text: str = "text") -> DataFrame:

@@ -8,12 +8,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillstack.functions.text import has_content, words
 from quillstack.functions.windows import top_per_group
@@ -120,17 +123,22 @@ def dense_search_many(
 ) -> DataFrame:
     """Exact ``k`` nearest rows for each of many queries (squared L2), in one job.
 
-    Queries are dealt to blocks; every corpus row goes to one slot of each block, where the block's queries come first
-    and the rows stream past them. A slot keeps the best ``k`` of each query and emits only those. Vectors that are
-    null, hold nulls or have another length than the query are not compared.
+    Up to QUERY_BLOCK queries go to every task, which reads its part of the corpus where it lies. More queries are dealt
+    to blocks; every corpus row goes to one slot of each block, where the block's queries come first and the rows
+    stream past them. A task keeps the best ``k`` of each query and emits only those. Vectors that are null, hold nulls,
+    NaN or infinity, or have another length than the query are not compared.
     """
     def usable(df: DataFrame, name: str) -> DataFrame:
         rows = df.select(F.col(name).alias("id"), F.col(vector).cast("array<double>").alias("v"))
         return rows.filter((F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
 
     asked, rows = usable(queries, query_id), usable(corpus, vector_id)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     query_type, id_type = queries.schema[query_id].dataType, corpus.schema[vector_id].dataType
+    few = asked.limit(QUERY_BLOCK + 1).collect()
+    if len(few) <= QUERY_BLOCK:
+        found = _nearest_in_place(rows, [(r["id"], r["v"]) for r in few], k, query_id, query_type, vector_id, id_type)
+        return top_per_group(found, [query_id], [F.col("distance"), F.col(vector_id)], k)
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = asked.select(
         F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot"),
         F.lit(0).alias("kind"), F.col("id").alias("query"), F.lit(None).cast(id_type).alias("row"), "v",
@@ -173,6 +181,49 @@ def dense_search_many(
     return top_per_group(found, [query_id], [F.col("distance"), F.col(vector_id)], k)
 
 
+def _nearest_in_place(
+    rows: DataFrame, asked: list[tuple], k: int, query_id: str, query_type: T.DataType, vector_id: str, id_type: T.DataType
+) -> DataFrame:
+    """(query, row, distance): each task's ``k`` nearest of (id, v) for each of a bounded number of queries."""
+    by_size: dict[int, tuple[list, np.ndarray]] = {}
+    for size in {len(v) for _, v in asked}:
+        same = [(i, v) for i, v in asked if len(v) == size]
+        by_size[size] = [i for i, _ in same], np.array([v for _, v in same])
+    shared = rows.sparkSession.sparkContext.broadcast(by_size)
+    schema = T.StructType(
+        [T.StructField(query_id, query_type), T.StructField(vector_id, id_type), T.StructField("distance", T.DoubleType())]
+    )
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for size, (_, points) in shared.value.items():
+                at = np.flatnonzero(sizes == size)
+                if not len(at):
+                    continue
+                part = batch if len(at) == batch.num_rows else batch.take(pa.array(at))
+                matrix = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(at), size)
+                own = np.array(part.column(0).to_pylist())
+                # The product proposes, with room for rounding; the distance itself decides.
+                squares, lengths = (matrix**2).sum(1), (points**2).sum(1)
+                rough = squares[:, None] - 2 * (matrix @ points.T)
+                for q in range(len(points)):
+                    room = 1e-9 * (1 + lengths[q] + squares.max())
+                    limit = np.partition(rough[:, q], k - 1)[k - 1] + room if len(at) > k else np.inf
+                    near = np.flatnonzero(rough[:, q] <= limit)
+                    distances, ids = ((matrix[near] - points[q]) ** 2).sum(axis=1), own[near]
+                    if (size, q) in best:
+                        distances, ids = np.concatenate([best[size, q][0], distances]), np.concatenate([best[size, q][1], ids])
+                    order = np.lexsort((ids, distances))[:k]
+                    best[size, q] = distances[order], ids[order]
+        for (size, q), (distances, ids) in best.items():
+            yield pa.RecordBatch.from_pydict({query_id: [shared.value[size][0][q]] * len(ids), vector_id: ids.tolist(), "distance": distances}, schema=arrow)
+
+    arrow = to_arrow_schema(schema)
+    return rows.mapInArrow(nearest, schema)
+
+
 def vector_problem(vector: Column, dim: int) -> Column:
     """Why a vector cannot be stored; null when it can."""
     broken = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

@@ -57,7 +57,10 @@ def unescape(text: Column) -> Column:
         digits = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 7))
         code = digits.cast("int")
         fits = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        sign = F.when(fits, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).when(~name.startswith("#"), F.element_at(table, name))
+        # The few common names are looked at first: a literal map is searched from its start.
+        common = F.when(name == "amp", "&").when(name == "lt", "<").when(name == "gt", ">").when(name == "quot", '"').when(name == "nbsp", " ")
+        named = common.when(~name.startswith("#") & (name != ""), F.element_at(table, name))
+        sign = F.coalesce(named, F.when(fits, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
         return F.coalesce(F.concat(sign, F.substr(piece, F.length(name) + 2)), F.concat(F.lit("&"), piece))
 
     def joined(parts: Column) -> Column:

@@ -14,14 +14,14 @@ parses_t AS (SELECT collection, d.doc_id, md5(quality || '-' || toxic) AS parse_
 chunks_t AS (SELECT collection, doc_id, md5(CAST(i % 2 AS VARCHAR)) AS parse_hash, i AS chunk_id, substring(text, 1 + 1000 * i, 1000) AS text,
              (doc_id * 13 + i) % 1000 AS created_s,
              CASE WHEN doc_id % 4 <> 0 THEN user_id END AS user_id
-             FROM (SELECT *, unnest(range(0, CAST(ceil(length(text) / 1000.0) AS BIGINT))) AS i FROM documents_t WHERE doc_id % 5 <> 0)),
+             FROM (SELECT *, unnest(range(0, CAST(ceil(length(text) / 1000.0) AS BIGINT))) AS i FROM documents_t)),
 embeddings_t AS (SELECT collection, d.doc_id, 0 AS chunk_id, md5(CAST(label % 2 AS VARCHAR)) AS parse_hash, 'model-' || label AS model,
                  embedding AS vector FROM documents_t d JOIN embeddings e ON d.doc_id = e.vec_id)
 """
 
 
 def kb_tables(spark, folder):
-    """documents; parses of the labelled ones; chunks of 1000 characters for four fifths; one vector where one is given."""
+    """documents; parses of the labelled ones; chunks of 1000 characters, none of an empty text; one vector where one is given."""
     i = F.col("doc_id")
     documents = load_table(spark, folder, "documents").select(
         F.col("source").alias("collection"), "doc_id",
@@ -35,7 +35,7 @@ def kb_tables(spark, folder):
         F.timestamp_seconds((i * 7) % 1000).alias("created_at"),
     )
     starts = F.sequence(F.lit(0), F.ceil(F.length("text") / 1000).cast("int") - 1)
-    parts = documents.filter((i % 5 != 0) & (F.length("text") > 0)).select("*", F.explode(starts).alias("chunk_id"))
+    parts = documents.filter(F.length("text") > 0).select("*", F.explode(starts).alias("chunk_id"))
     chunks = parts.select(
         "collection", "doc_id", F.md5((F.col("chunk_id") % 2).cast("string")).alias("parse_hash"), "chunk_id",
         F.substring("text", F.col("chunk_id") * 1000 + 1, F.lit(1000)).alias("text"),

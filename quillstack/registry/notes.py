@@ -206,11 +206,11 @@ def n11_lines(spark, folder):
 
 @register(
     "n11_rendered_transcript",
-    f"WITH {CLEAN}, {TRUNCATED} SELECT conv_id, string_agg(upper(role) || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM tc GROUP BY conv_id",
+    f"WITH {CLEAN} SELECT conv_id, string_agg(upper(role) || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM cl GROUP BY conv_id",
 )
 def n11_text(spark, folder):
-    """The transcripts that go into a prompt: cut to three messages (N10), then rendered."""
-    return tr.rendered_transcript(tr.truncate_messages(clean(spark, folder), 3))
+    """Whole conversations as text."""
+    return tr.rendered_transcript(clean(spark, folder))
 
 
 @register(
