@@ -65,10 +65,24 @@ def inferred_status(explicit: Column, chunks: Column, embeddings: Column) -> Col
     )
 
 
+def _with_times(overview: DataFrame, documents: DataFrame | None, runs: DataFrame | None) -> DataFrame:
+    """Creation is the upload; the last update that of the recorded status, else the upload."""
+    keys, at = ["collection", "doc_id"], F.lit(None).cast("timestamp")
+    uploaded = documents is not None and "uploaded_at" in documents.columns
+    if uploaded:
+        overview = overview.join(documents.groupBy(*keys).agg(F.min("uploaded_at").alias("created_at")), keys, "left")
+    else:
+        overview = overview.withColumn("created_at", at)
+    if runs is None or "updated_at" not in runs.columns:
+        return overview.withColumn("updated_at", F.col("created_at"))
+    times = runs.groupBy(*keys).agg(F.max("updated_at").alias("__updated"))
+    return overview.join(times, keys, "left").withColumn("updated_at", F.coalesce("__updated", "created_at")).drop("__updated")
+
+
 def document_overview(tables: dict[str, DataFrame], runs: DataFrame | None = None) -> DataFrame:
-    """Counts and status per document over all tables; ``runs`` holds the latest recorded status."""
+    """Counts, status and times per document over all tables; ``runs`` holds the latest recorded status."""
     keys = ["collection", "doc_id"]
-    counts = _tagged(tables, keys).groupBy(*keys).agg(*_kind_counts())
+    counts = _with_times(_tagged(tables, keys).groupBy(*keys).agg(*_kind_counts()), tables.get("documents"), runs)
     if runs is None:
         return counts.withColumn("status", inferred_status(F.lit(None).cast("string"), F.col("chunks"), F.col("embeddings")))
     joined = counts.join(runs.select(*keys, F.col("status").alias("__status"), "message"), keys, "left")

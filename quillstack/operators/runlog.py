@@ -133,10 +133,19 @@ def dashboard(tasks: DataFrame, updated: str, as_of: datetime.datetime) -> DataF
 
 def filter_tasks(
     tasks: DataFrame, title: str | None = None, include: list[str] | None = None, exclude: list[str] | None = None,
-    kind: str = "agent_type", default_kind: str = "standard",
+    kind: str = "agent_type", default_kind: str = "standard", owner: int | None = None, is_admin: bool = True,
+    mode: str | None = None, not_mode: str | None = None,
 ) -> DataFrame:
-    """Title part regardless of case; kinds to include (a missing kind counts as standard) or exclude."""
-    rows = tasks
+    """Title part regardless of case; kinds to include (a missing kind counts as standard) or exclude; one mode, or all but one.
+
+    Admins see all tasks, others those whose ``user_id`` is ``owner``, nobody none. A task without a mode is in neither
+    selection by mode; ``mode`` hides ``not_mode``.
+    """
+    rows = tasks if is_admin else tasks.filter(F.col("user_id") == F.lit(owner).cast("long"))
+    if mode:
+        rows = rows.filter(F.col("mode") == mode)
+    elif not_mode:
+        rows = rows.filter(F.col("mode") != not_mode)
     if title:
         escaped = title.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
         rows = rows.filter(F.col("title").ilike(f"%{escaped}%"))
@@ -215,11 +224,19 @@ def tool_summary(tool: Column, success: Column, result: Column) -> Column:
     return F.when(usable, F.concat(F.lit("- Tool "), name, F.lit(" previously returned: "), cut))
 
 
+TOOL_END = "tool_execution_end"
+
+
 def execution_context(events: DataFrame, task: str, last: int = 8) -> DataFrame:
     """One context message per task from its last ``last`` tool results (columns ts, event_id, tool, success, result).
 
-    At most ``last`` rows per task leave a task's window; repeated lines keep their newest place.
+    Where the events have them, an ``event_type`` other than the end of a tool call and a ``build_id`` (a build, not the
+    task itself) leave a row out. At most ``last`` rows per task leave a task's window; repeated lines keep their newest place.
     """
+    if "event_type" in events.columns:
+        events = events.filter(F.col("event_type") == TOOL_END)
+    if "build_id" in events.columns:
+        events = events.filter(F.col("build_id").isNull())
     recent = top_per_group(events, [task], [F.col("ts").desc(), F.col("event_id").desc()], last, "__n")
     lines = recent.withColumn("__line", tool_summary(F.col("tool"), F.col("success"), F.col("result"))).filter("__line IS NOT NULL")
     newest = lines.groupBy(task, "__line").agg(F.min("__n").alias("__n"))

@@ -18,27 +18,35 @@ def semantic_id(step: str, method: Column, technical: Column) -> Column:
     return F.concat_ws("_", F.lit(step), method, F.substring(technical, 1, 8))
 
 
+def _listed(candidates: DataFrame) -> DataFrame:
+    """Candidates as lists and promotions read them: none is more than a candidate, and nobody is on record for it."""
+    return candidates.withColumn("state", F.lit("candidate")).withColumn("operator", F.lit("unknown"))
+
+
 def parse_candidates(parses: DataFrame) -> DataFrame:
-    return parses.select(
+    return _listed(parses.select(
         "collection", "doc_id", F.col("parse_hash").alias("technical_id"),
         semantic_id("parse", F.col("parser"), F.col("parse_hash")).alias("semantic_id"), "created_at",
-    )
+    ))
 
 
 def chunk_candidates(chunks: DataFrame) -> DataFrame:
     """Per document and parse: chunks, whole mean length and first creation time."""
-    return chunks.groupBy("collection", "doc_id", F.col("parse_hash").alias("technical_id")).agg(
+    return _listed(chunks.groupBy("collection", "doc_id", F.col("parse_hash").alias("technical_id")).agg(
         F.count(F.lit(1)).alias("chunks"),
         F.avg(F.length("text")).cast("int").alias("mean_length"),
         F.min("created_at").alias("created_at"),
-    ).withColumn("semantic_id", semantic_id("chunk", F.lit(None).cast("string"), F.col("technical_id")))
+    ).withColumn("semantic_id", semantic_id("chunk", F.lit(None).cast("string"), F.col("technical_id"))))
 
 
-def embed_candidates(embeddings: DataFrame) -> DataFrame:
-    """Per model and parse: vectors and their dimension."""
-    return embeddings.groupBy("collection", "model", "parse_hash").agg(
-        F.count(F.lit(1)).alias("vectors"), F.max(F.size("vector")).alias("dimension")
+def embed_candidates(embeddings: DataFrame, model_tag: str | None = None) -> DataFrame:
+    """Per document, model and parse: vectors, their dimension and first creation time; of one model's table if a tag is given."""
+    rows = embeddings if model_tag is None else embeddings.filter(F.col("model_tag") == model_tag)
+    created = F.min("created_at") if "created_at" in rows.columns else F.lit(None).cast("timestamp")
+    found = rows.groupBy("collection", "doc_id", "model", F.col("parse_hash").alias("technical_id")).agg(
+        F.count(F.lit(1)).alias("vectors"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dimension"), created.alias("created_at")
     )
+    return _listed(found.withColumn("semantic_id", semantic_id("embed", F.col("model"), F.col("technical_id"))))
 
 
 def list_candidates(
@@ -145,18 +153,40 @@ def cascade_delete(tables: dict[str, DataFrame], conditions: dict[str, Column])
 
 @dataclass
 class Promotion:
-    """Outcome of a promotion: the planned deletions, and with ``confirm`` the next tables."""
+    """Outcome of a promotion: the planned deletions, what has to be done again, and with ``confirm`` the next tables."""
 
     technical_id: str
+    semantic_id: str | None
+    operator: str
     plan: DataFrame
+    notes: list[str]
     tables: dict[str, DataFrame] | None
 
+    @property
+    def promoted(self) -> bool:
+        return self.tables is not None
+
+
+#: Longest name of an operator.
+OPERATOR_LENGTH = 32
+
 
 def promote(
     tables: dict[str, DataFrame], candidates: DataFrame, step: str, collection: str, doc_id, selected: str, at: Column,
-    confirm: bool = False, model_tag: str | None = None,
+    confirm: bool = False, model_tag: str | None = None, operator: str = "unknown",
 ) -> Promotion:
-    """Make a version the current one: resolve it, plan the clean-up of its rivals, and on ``confirm`` apply it."""
+    """Make a version the current one: resolve it, plan the clean-up of its rivals, and on ``confirm`` apply it.
+
+    An embedding version is promoted within one model (``model_tag``): the document's vectors of that model that come
+    from other parses go. The plan has a row for each table.
+    """
+    scope = {"parse": "parse", "chunk": "chunk", "embed": "embeddings"}.get(step)
+    if scope is None:
+        raise ValueError(f"unknown step {step}")
+    if step == "embed" and not model_tag:
+        raise ValueError("an embedding version needs a model tag")
+    if len(operator) > OPERATOR_LENGTH:
+        raise ValueError(f"the operator's name is longer than {OPERATOR_LENGTH} characters")
     spark = candidates.sparkSession
     wanted = spark.range(1).select(F.lit(collection).alias("collection"), F.lit(doc_id).alias("doc_id"), F.lit(selected).alias("selected"))
     one = candidates.filter((F.col("collection") == collection) & (F.col("doc_id") == doc_id))
@@ -164,18 +194,31 @@ def promote(
     if found is None or found["technical_id"] is None:
         raise ValueError(f"no {step} version {selected}")
     technical = found["technical_id"]
-    scope = {"parse": "parse", "chunk": "chunk", "embed": "embeddings"}[step]
+    chosen = one.filter(F.col("technical_id") == technical).orderBy((F.col("semantic_id") == selected).desc(), "semantic_id").limit(1)
     conditions = cascade_conditions(scope, collection, doc_id, new_parse=technical, model_tag=model_tag)
-    plan = cascade_preview(tables, conditions)
+    if step == "embed":
+        conditions["embeddings"] = conditions["embeddings"] & (F.col("parse_hash") != technical)
+    lost = cascade_preview(tables, conditions).collect()  # a row for each table
+    plan = spark.createDataFrame(lost, "table_name string, rows long")
+    counts = {r["table_name"]: r["rows"] for r in lost}
+    notes = []
+    if step == "parse" and counts.get("chunks", 0) > 0:
+        notes.append("Requires re-chunk/embed")
+    elif step == "chunk" and counts.get("embeddings", 0) > 0:
+        notes.append("Requires re-embed")
+    semantic = chosen.select("semantic_id").first()[0]
     if not confirm:
-        return Promotion(technical, plan, None)
+        return Promotion(technical, semantic, operator, plan, notes, None)
     after = cascade_delete(tables, conditions)
-    row = one.filter(F.col("technical_id") == technical).limit(1).select(
+    row = chosen.select(
         "collection", "doc_id", F.lit(step).alias("step_type"), F.lit(model_tag).cast("string").alias("model_tag"), "semantic_id",
-        "technical_id", at.alias("created_at"), at.alias("updated_at"),
+        "technical_id", F.lit(operator).alias("operator"), at.alias("created_at"), at.alias("updated_at"),
     )
-    after["main_pointers"] = set_pointers(tables["main_pointers"], row)
-    return Promotion(technical, plan, after)
+    pointers = tables["main_pointers"]
+    if "operator" not in pointers.columns:
+        pointers = pointers.withColumn("operator", F.lit(None).cast("string"))
+    after["main_pointers"] = set_pointers(pointers, row)
+    return Promotion(technical, semantic, operator, plan, notes, after)
 
 
 def backfill_owner(rows: DataFrame, documents: DataFrame) -> DataFrame:

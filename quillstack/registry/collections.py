@@ -58,11 +58,17 @@ def runs(spark, folder):
     "m3_document_overview",
     f"""
 WITH {KB}, {TAGGED}, r AS ({RUNS}), c AS (SELECT collection, doc_id, {COUNTS} FROM tagged GROUP BY collection, doc_id)
-SELECT c.*, r.message, coalesce(r.status, {STATUS}) AS status FROM c LEFT JOIN r USING (collection, doc_id)
+SELECT c.*, r.message, coalesce(r.status, {STATUS}) AS status, length(text) AS created_s,
+  CASE WHEN r.status IS NULL THEN length(text) ELSE doc_id END AS updated_s
+FROM c LEFT JOIN r USING (collection, doc_id) LEFT JOIN (SELECT collection, doc_id, text FROM documents_t) USING (collection, doc_id)
 """,
 )
 def m3(spark, folder):
-    return co.document_overview(kb_tables(spark, folder), runs(spark, folder))
+    """Documents were uploaded at a second that their length tells."""
+    tables = kb_tables(spark, folder)
+    tables["documents"] = tables["documents"].withColumn("uploaded_at", F.timestamp_seconds(F.length("text")))
+    found = co.document_overview(tables, runs(spark, folder))
+    return found.withColumn("created_s", F.unix_timestamp("created_at")).withColumn("updated_s", F.unix_timestamp("updated_at")).drop("created_at", "updated_at")
 
 
 @register(

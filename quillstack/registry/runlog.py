@@ -190,6 +190,23 @@ def e12(spark, folder):
     )
 
 
+@register(
+    "e12_own_tasks",
+    """
+SELECT o_orderkey AS id, o_orderpriority AS title FROM orders
+WHERE o_custkey = (SELECT min(o_custkey) FROM orders) AND o_orderstatus <> 'F' AND o_orderpriority ILIKE '%i%'
+""",
+)
+def e12_own(spark, folder):
+    """The tasks of one user that are not in a mode; what an outsider sees is nothing."""
+    orders = load_table(spark, folder, "orders")
+    tasks = orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_custkey").alias("user_id"), F.col("o_orderstatus").alias("mode"))
+    owner = orders.agg(F.min("o_custkey")).first()[0]
+    mine = rl.filter_tasks(tasks, "I", owner=owner, is_admin=False, not_mode="F")
+    nobody = rl.filter_tasks(tasks, "I", is_admin=False)
+    return mine.unionByName(nobody).select("id", "title")
+
+
 @register(
     "e13_latest_tasks",
     "SELECT o_orderkey AS id, o_orderstatus AS status, epoch_us(o_orderdate) AS updated_us FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10",
@@ -309,7 +326,8 @@ def e18_kept(spark, folder):
     "e19_execution_context",
     f"""
 WITH t AS (SELECT user_id, ts, event_id, event_type AS tool, value > 20 AS success,
-    CASE WHEN event_id % 9 = 0 THEN ' ' WHEN event_id % 4 = 0 THEN repeat('long result ', 30) ELSE 'k is ' || ({K} % 4) END AS result FROM events),
+    CASE WHEN event_id % 9 = 0 THEN ' ' WHEN event_id % 4 = 0 THEN repeat('long result ', 30) ELSE 'k is ' || ({K} % 4) END AS result FROM events
+    WHERE event_type <> 'signup' AND value < 90),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM t QUALIFY n <= 8),
 s AS (SELECT user_id, n, '- Tool ' || tool || ' previously returned: ' || CASE WHEN length(trim(result)) > 240 THEN trim(result)[1:237] || '...' ELSE trim(result) END AS line
       FROM r WHERE success AND trim(result) <> ''),
@@ -318,12 +336,15 @@ SELECT user_id, '{rl.CONTEXT_HEADER}' || string_agg(line, chr(10) ORDER BY n DES
 """,
 )
 def e19(spark, folder):
+    """Signups are starts of calls and dear events belong to builds: neither counts."""
     result = (
         F.when(F.col("event_id") % 9 == 0, F.lit(" ")).when(F.col("event_id") % 4 == 0, F.repeat(F.lit("long result "), F.lit(30)))
         .otherwise(F.concat(F.lit("k is "), (F.col("k") % 4).cast("string")))
     )
+    ended = F.when(F.col("event_type") == "signup", F.lit("tool_execution_start")).otherwise(F.lit(rl.TOOL_END))
     rows = events(spark, folder).select(
-        "user_id", "ts", "event_id", F.col("event_type").alias("tool"), (F.col("value") > 20).alias("success"), result.alias("result")
+        "user_id", "ts", "event_id", F.col("event_type").alias("tool"), (F.col("value") > 20).alias("success"), result.alias("result"),
+        ended.alias("event_type"), F.when(F.col("value") >= 90, F.col("event_id")).alias("build_id"),
     )
     return rl.execution_context(rows, "user_id")
 

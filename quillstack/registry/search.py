@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstack.operators import fusion
@@ -319,6 +320,56 @@ def f10(spark, folder):
     return found.select("collection", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+@register(
+    "f9_outside_rerank",
+    f"""
+WITH {bm25_sql()}, {sparse_sql(12)}, t AS (SELECT sp.rank, sp.score, doc_id, text FROM sp JOIN documents USING (doc_id)),
+o AS (SELECT *, row_number() OVER (ORDER BY length(text), text, rank) AS new_rank FROM t)
+SELECT doc_id, round(score, 6) AS score, new_rank AS rank, 'no query vector: dense search fell back to text search' AS warning FROM o WHERE new_rank <= 6
+""",
+)
+def f9_outside(spark, folder):
+    """A dense search without a vector becomes a text search; an outside model puts shorter texts first."""
+    def shorter_first(results):
+        order = W.partitionBy(F.lit(0)).orderBy(F.length("text"), "text", "rank")
+        return results.withColumn("new_rank", F.row_number().over(order)).select("text", "new_rank")
+
+    config = plans.SearchConfig(kind="dense", top_k=6, rerank=True, rerank_top_k=12)
+    rows = corpus(spark, folder)
+    found, warnings = plans.search_with_warnings(rows, config, None, query_text(spark, folder), is_admin=True, reranker=shorter_first)
+    return found.select("doc_id", F.round("score", 6).alias("score"), "rank", F.lit("; ".join(warnings)).alias("warning"))
+
+
+@register(
+    "f10_hybrid_collections",
+    f"""
+WITH qt AS (SELECT DISTINCT unnest({WORDS}) AS term FROM benchmark WHERE item_id = 0),
+src AS (SELECT source AS collection, doc_id, {WORDS} AS w FROM documents WHERE doc_id % 3 = 2 AND source IN ('src0', 'src2', 'src3')),
+tot AS (SELECT collection, count(*) AS n, avg(len(w)) AS mean_len FROM src GROUP BY collection),
+tf AS (SELECT collection, doc_id, dl, term, count(*) AS tf FROM (SELECT collection, doc_id, len(w) AS dl, unnest(w) AS term FROM src)
+       WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+df AS (SELECT collection, term, count(*) AS df FROM tf GROUP BY ALL),
+bm AS (SELECT collection, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean_len))), 9) AS bm25
+       FROM tf JOIN df USING (collection, term) JOIN tot USING (collection) GROUP BY collection, doc_id),
+sp AS (SELECT collection, doc_id, row_number() OVER (PARTITION BY collection ORDER BY bm25 DESC, doc_id) AS fr FROM bm QUALIFY fr <= 8),
+dn AS (SELECT s.collection, s.doc_id, row_number() OVER (PARTITION BY s.collection ORDER BY {L2}, s.doc_id) AS vr
+       FROM src s JOIN embeddings e ON s.doc_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q QUALIFY vr <= 8),
+mg AS (SELECT collection, doc_id, vr, fr, {RRF_SCORE} AS score FROM dn FULL OUTER JOIN sp USING (collection, doc_id))
+SELECT collection, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY collection ORDER BY mg.score DESC, vr NULLS LAST, fr NULLS LAST, doc_id) AS rank,
+       'none: missing, src1: not allowed' AS left_out FROM mg QUALIFY rank <= 4
+""",
+)
+def f10_hybrid(spark, folder):
+    """Five collections are requested; one is not allowed, one does not exist, the others are searched both ways."""
+    config = plans.SearchConfig(top_k=4)
+    found, problems = plans.search_knowledge(
+        corpus(spark, folder), ["src0", "src1", "src2", "src3", "none"], ["src0", "src2", "src3", "none"], config, query_vector(spark, folder),
+        query_text(spark, folder), user_id=2,
+    )
+    left_out = ", ".join(f"{c}: {reason}" for c, reason in problems)
+    return found.select("collection", "doc_id", F.round("score", 9).alias("score"), "rank", F.lit(left_out).alias("left_out"))
+
+
 @register(
     "f10_collection_checks",
     """

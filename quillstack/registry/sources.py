@@ -198,6 +198,26 @@ def s14(spark, folder):
     return files.unregistered_files(listing, registry).select("path")
 
 
+@register(
+    "s14_register_found",
+    f"""
+WITH p AS ({PATHS_SQL}), f AS (SELECT doc_id, 'files/user_' || (doc_id % 7) || '/' || path AS path, length(path) AS size FROM p)
+SELECT path, regexp_extract(path, '[^/]*$') AS name, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'known' ELSE 'found' END AS origin,
+  doc_id % 7 AS user_id, CASE WHEN doc_id NOT IN (SELECT doc_id FROM labels) THEN size END AS size FROM f
+""",
+)
+def s14_register(spark, folder):
+    """Files in seven users' folders; the registry knows those of labelled documents and learns of the others, once."""
+    user = F.concat(F.lit("files/user_"), (F.col("doc_id") % 7).cast("string"), F.lit("/"))
+    listing = paths_of(spark, folder).select("doc_id", F.concat(user, "path").alias("path"), F.length("path").cast("long").alias("size"))
+    known = listing.join(load_table(spark, folder, "labels").select("doc_id"), "doc_id", "left_semi").select(
+        "path", F.regexp_extract("path", r"[^/]*\z", 0).alias("name"), (F.col("doc_id") % 7).cast("long").alias("user_id"), F.timestamp_seconds(F.lit(0)).alias("registered_at")
+    )
+    at = F.timestamp_seconds(F.lit(1))
+    twice = files.register_found(listing, files.register_found(listing, known, at), at)
+    return twice.select("path", "name", F.when(F.unix_timestamp("registered_at") == 0, "known").otherwise("found").alias("origin"), "user_id", "size")
+
+
 @register(
     "s15_upsert_orders",
     """

@@ -27,7 +27,7 @@ def v1(spark, folder):
     "v2_chunk_candidates",
     f"""
 WITH {KB} SELECT collection, doc_id, parse_hash AS technical_id, count(*) AS chunks, CAST(floor(avg(length(text))) AS INT) AS mean_length,
-  min(created_s) AS created_s, 'chunk_' || parse_hash[1:8] AS semantic_id FROM chunks_t GROUP BY collection, doc_id, parse_hash
+  min(created_s) AS created_s, 'chunk_' || parse_hash[1:8] AS semantic_id, 'candidate' AS state, 'unknown' AS operator FROM chunks_t GROUP BY collection, doc_id, parse_hash
 """,
 )
 def v2(spark, folder):
@@ -37,10 +37,13 @@ def v2(spark, folder):
 
 @register(
     "v3_embed_candidates",
-    f"WITH {KB} SELECT collection, model, parse_hash, count(*) AS vectors, max(len(vector)) AS dimension FROM embeddings_t GROUP BY ALL",
+    f"""
+WITH {KB} SELECT collection, doc_id, model, parse_hash AS technical_id, count(*) AS vectors, max(len(vector)) AS dimension,
+  'embed_' || model || '_' || parse_hash[1:8] AS semantic_id, 'candidate' AS state FROM embeddings_t GROUP BY ALL
+""",
 )
 def v3(spark, folder):
-    return ve.embed_candidates(kb_tables(spark, folder)["embeddings"])
+    return ve.embed_candidates(kb_tables(spark, folder)["embeddings"]).drop("created_at", "operator")
 
 
 @register(
@@ -51,7 +54,7 @@ WITH {KB}, {CAND} SELECT *, count(*) OVER () AS total FROM cand ORDER BY created
 )
 def v4(spark, folder):
     found = ve.parse_candidates(kb_tables(spark, folder)["parses"])
-    return ve.list_candidates(found, "created_at", True, 25).select(
+    return ve.list_candidates(found, "created_at", True, 25, "candidate").select(
         "collection", "doc_id", "technical_id", "semantic_id", seconds(), "total"
     )
 
@@ -164,6 +167,53 @@ def v7(spark, folder):
     return plan.unionByName(size("chunks after", "chunks")).unionByName(size("pointers after", "main_pointers"))
 
 
+EMBEDDED = """
+v AS (SELECT *, replace(model, '-', '_') AS model_tag FROM embeddings_t
+      UNION ALL SELECT collection, doc_id, 1, md5('9'), model, list_reverse(vector), replace(model, '-', '_') FROM embeddings_t),
+one AS (SELECT collection, doc_id, model_tag FROM v ORDER BY doc_id, collection, model_tag LIMIT 1)"""
+
+
+@register(
+    "v7_promote_embedding",
+    f"""
+WITH {KB}, {EMBEDDED}, lost AS (SELECT v.* FROM v JOIN one USING (collection, doc_id, model_tag) WHERE parse_hash <> md5('9'))
+SELECT 'plan embeddings' AS item, (SELECT count(*) FROM lost) AS n, 'embed' AS step, '' AS notes
+UNION ALL SELECT 'embeddings after', (SELECT count(*) FROM v) - (SELECT count(*) FROM lost), 'embed', ''
+UNION ALL SELECT 'pointers by someone', 1, 'embed', ''
+UNION ALL SELECT 'plan chunks', (SELECT count(*) FROM chunks_t JOIN one USING (collection, doc_id)), 'parse', 'Requires re-chunk/embed'
+""",
+)
+def v7_embed(spark, folder):
+    """A second embedding of each document exists; it becomes the current one of a document. Its parse's promotion is previewed."""
+    tables = with_tags(kb_tables(spark, folder))
+    vectors = tables["embeddings"]
+    again = vectors.withColumn("chunk_id", F.lit(1)).withColumn("parse_hash", F.lit(md5_of(9))).withColumn("vector", F.reverse("vector"))
+    tables["embeddings"] = vectors.unionByName(again)
+    tables["main_pointers"] = pointers(spark, folder, 0).limit(0).withColumn("model_tag", F.lit(""))
+    doc = tables["embeddings"].orderBy("doc_id", "collection", "model_tag").first()
+    at, ids = F.timestamp_seconds(F.lit(1)), (doc["collection"], doc["doc_id"])
+    made = ve.promote(
+        tables, ve.embed_candidates(tables["embeddings"], doc["model_tag"]), "embed", *ids, f"embed_{doc['model']}_{md5_of(9)[:8]}", at,
+        confirm=True, model_tag=doc["model_tag"], operator="someone",
+    )
+    # A new parse whose chunks do not exist yet: all present chunks would go.
+    parse = spark.createDataFrame([(*ids, "p-new", "parse_new_p-new")], "collection string, doc_id long, technical_id string, semantic_id string")
+    seen = ve.promote(tables, parse, "parse", *ids, "p-new", at)
+
+    def counted(item, frame, step, notes):
+        return frame.agg(F.count(F.lit(1)).alias("n")).select(F.lit(item).alias("item"), "n", F.lit(step).alias("step"), F.lit("; ".join(notes)).alias("notes"))
+
+    def planned(item, plan, table, step, notes):
+        return plan.filter(F.col("table_name") == table).select(F.lit(item).alias("item"), F.col("rows").alias("n"), F.lit(step).alias("step"), F.lit("; ".join(notes)).alias("notes"))
+
+    return (
+        planned("plan embeddings", made.plan, "embeddings", "embed", made.notes)
+        .unionByName(counted("embeddings after", made.tables["embeddings"], "embed", made.notes))
+        .unionByName(counted("pointers by someone", made.tables["main_pointers"].filter("operator = 'someone'"), "embed", made.notes))
+        .unionByName(planned("plan chunks", seen.plan, "chunks", "parse", seen.notes))
+    )
+
+
 @register(
     "v8_cascade_preview",
     f"""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.functions.text import extension
+from quillstack.functions.text import basename, extension
+from quillstack.sources.listing import list_folder
 
 # Extension -> file type.
 EXTENSION_TYPES = {
@@ -91,12 +92,17 @@ def list_binary(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str, show_hidden: bool = False, glob: str = "*") -> DataFrame:
-    """Path, name, size and time of every file below ``path``; contents are not read."""
+    """Path, name, size and time of every file below ``path``; contents are not read.
+
+    Hidden names (with a leading dot or underscore) are beyond Spark's file sources and come from ``listing``.
+    """
+    if show_hidden:
+        return list_folder(spark, path, True, glob).drop("hidden")
     name = F.regexp_extract("path", r"([^/]*)\z", 1)
     files = list_binary(spark, path, glob).select(
         "path", name.alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at")
     )
-    return files if show_hidden else files.filter(~F.col("name").startswith("."))
+    return files
 
 
 def file_type(path: Column) -> Column:
@@ -152,6 +158,22 @@ def parser_violations(df: DataFrame, path: str = "path", method: str = "method")
     return df.filter(~parser_is_compatible(F.col(path), F.col(method)))
 
 
+def register_found(
+    listing: DataFrame, registry: DataFrame, registered_at: Column, path: str = "path", root: str = r"(?:\A|/)user_([0-9]+)/"
+) -> DataFrame:
+    """The next registry: files it does not know are added with name, type, size and the owner whose folder they lie in.
+
+    A file outside every owner's folder is left out. Running it again adds nothing.
+    """
+    owner = F.regexp_extract(F.col(path), root, 1)
+    found = unregistered_files(listing, registry, path).withColumn("user_id", F.when(owner != "", owner.cast("long"))).filter("user_id IS NOT NULL")
+    rows = found.select(
+        path, basename(F.col(path)).alias("name"), file_type(F.col(path)).alias("file_type"),
+        (F.col("size") if "size" in listing.columns else F.lit(None).cast("long")).alias("size"), "user_id", registered_at.alias("registered_at"),
+    ).dropDuplicates([path])
+    return registry.unionByName(rows, allowMissingColumns=True)
+
+
 def unregistered_files(listing: DataFrame, registry: DataFrame, path: str = "path") -> DataFrame:
     """Stored files the registry does not know."""
     return listing.join(registry.select(path).distinct(), path, "left_anti")
