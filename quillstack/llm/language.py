@@ -26,8 +26,8 @@ from quillstack.llm.common import map_batches
 
 #: Hashed trigrams of a profile, and what is added to each count.
 BINS, SMOOTH = 1 << 17, 0.2
-#: Rounds of EM over all languages and over a chosen set; shares below LEAST are not tried as further languages.
-ROUNDS, ROUNDS_OF_SET, LEAST = 8, 6, 0.02
+#: Rounds of EM over all languages and over a chosen set.
+ROUNDS, ROUNDS_OF_SET = 8, 6
 #: Characters worked on at a time.
 SLICE = 1 << 20
 UNKNOWN = "und"
@@ -145,7 +145,8 @@ def mixtures(logs: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     best, size = sums[np.arange(len(sizes)), first], np.ones(len(sizes), np.int64)
     open_ = np.arange(len(sizes))
     for m in range(2, n_langs + 1):
-        open_ = open_[share[open_, order[open_, m - 1]] > LEAST]
+        # A further language is tried if the words expected in it could outweigh its penalty.
+        open_ = open_[share[open_, order[open_, m - 1]] * words[open_] > np.log(words[open_]) / 2]
         if not len(open_):
             break
         own = np.concatenate([np.arange(starts[d], starts[d] + sizes[d]) for d in open_])

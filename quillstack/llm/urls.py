@@ -186,7 +186,8 @@ def judge(
     rows = salted_join(parts, hosts.select("host", F.col("words").alias("host_words")), ["host"], how="left")
     rows = written(rows.select(*parts.columns, F.concat(F.coalesce("host_words", none), path_words(F.col("path"))).alias("words")), "url-tokens")
     of_rules = sorted({w for _, r in rules for w in re.findall(r"[^\W\d_]+", r.lower())})
-    rows = rows.withColumn("tokens", F.array_except("words", F.array(*map(F.lit, of_rules)).cast("array<string>")))
+    # A token that a url repeats counts as often as it stands there.
+    rows = rows.withColumn("tokens", F.filter("words", lambda w: ~F.array_contains(F.array(*map(F.lit, of_rules)).cast("array<string>"), w)))
     odds = learn(rows.filter("ruled IS NOT NULL").select("tokens", F.col("ruled").alias("verdict")))
     shared = pages.sparkSession.sparkContext.broadcast(odds)
 
