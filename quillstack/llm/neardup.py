@@ -8,13 +8,13 @@ a number of comparisons in proportion to its size. A pair is a link if 1 - edits
 0.8, the edits (words inserted, deleted or replaced) counted by a bit-parallel alignment inside a band of the allowed
 width. Classes are connected by links; the class id is the smallest document id.
 
-What the buckets leave apart is completed without chance. An edit changes ``run`` labelled runs of ``run`` words at most,
-so two similar texts agree in a known number of them; of each text, so many of the rarest runs are kept that similar texts
-must agree in some kept ones (a prefix filter). Rarity is a count by hash bin: it orders the runs and decides the cost,
-never the result. Kept runs that no other text keeps are dropped inside the task by a bitmap of the runs kept twice; only
-the others are joined. Of two texts that are not yet in one class, the one of the smaller class asks; members of a class
-that share a run stand in lists, and a pair is counted inside the task, not once for each run in a join. Texts that would
-meet very many others by pairs of words (form letters) ask by single words instead: own words are then rare enough.
+What the buckets leave apart is completed without chance. An edit changes as many labelled runs as a run has words, at
+most, so two similar texts agree in a known number of them; of each text, so many of the rarest runs are kept that similar
+texts must agree in some kept ones (a prefix filter). Rarity is a count by hash bin: it orders the runs and decides the cost, never
+the result. Kept runs that no other text keeps are dropped inside the task by a bitmap of the runs kept twice;
+only the others are joined. Of two texts that are not yet in one class, the one of the smaller class asks; members of a
+class that share a run stand in lists, and a pair is counted inside the task, not once for each run in a join. Texts that
+would meet very many others that way (form letters) ask by single words instead: own words are then rare enough.
 
 Texts with the same words are copies and share one representative. A null text or one without words is a class of its
 own, and so is a null id (class null). Rows that share an id are one document.
@@ -34,10 +34,10 @@ from quillstack.functions.windows import salted_join
 from quillstack.llm.common import U64, Words, grams, map_batches, mix, release_shuffles, written
 
 GRAM, SKETCHES, LEAST = 5, 32, 0.8
-#: How many kept runs two texts must share (fewer if the texts are too short), and bins of the runs' counts.
-SHARED, BINS, CHUNK = 4, 1 << 20, 1 << 12
+#: Words of a run, how many kept runs two texts must share (fewer if the texts are too short), and bins of the runs' counts.
+RUN, SHARED, BINS, CHUNK = 2, 4, 1 << 22, 1 << 14
 #: Members of a class in a list; meetings for each word from which a text asks by single words; bits for each run met twice, and of a bitmap.
-LISTED, BUSY, SPARSE, BITMAP = 256, 16, 16, 1 << 29
+LISTED, BUSY, SPARSE, BITMAP = 256, 32, 16, 1 << 29
 
 
 def edits_within(a: list, b: list, most: int) -> int | None:
@@ -107,29 +107,31 @@ def _labelled(words: Words, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return run, owner, mix(run + seen * U64(0x9E3779B97F4A7C15))
 
 
-def run_counts(docs: DataFrame, run: int) -> np.ndarray:
-    """How often runs of ``run`` words occur in (doc, text), by hash bin."""
+def run_counts(docs: DataFrame, runs: list[int]) -> dict[int, np.ndarray]:
+    """For each length of runs, how often runs occur in (doc, text), by hash bin, up to 255."""
 
     def count(batches):
-        seen = np.zeros(BINS, np.int32)
+        seen = np.zeros((len(runs), BINS), np.uint8)
         for batch in batches:
             words = Words(batch.column(1))
-            runs = grams(words.hashes, run, 7)
             row = np.repeat(np.arange(batch.num_rows), words.counts())
-            runs = runs[row[: len(runs)] == row[run - 1 :]] if len(runs) else runs
-            seen += np.bincount((runs % U64(BINS)).astype(np.int64), minlength=BINS).astype(np.int32)
+            for i, run in enumerate(runs):
+                hashes = grams(words.hashes, run, 7)
+                if len(hashes):
+                    at, times = np.unique((hashes % U64(BINS))[row[: len(hashes)] == row[run - 1 :]].astype(np.int64), return_counts=True)
+                    seen[i, at] = np.minimum(seen[i, at] + times, 255)
         if seen.any():
-            yield pa.RecordBatch.from_pydict({"chunk": np.arange(BINS // CHUNK), "counts": [x.tobytes() for x in seen.reshape(-1, CHUNK)]})
+            yield pa.RecordBatch.from_pydict({"chunk": np.arange(seen.size // CHUNK), "counts": [x.tobytes() for x in seen.reshape(-1, CHUNK)]})
 
     def add(table):
-        total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in table.column("counts").to_pylist())
-        return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
+        total = sum(np.frombuffer(x, np.uint8).astype(np.int64) for x in table.column("counts").to_pylist())
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())})
 
     schema = "chunk long, counts binary"
-    out = np.zeros(BINS, np.int32)
-    for r in docs.select("doc", "text").mapInArrow(count, schema).groupBy("chunk").applyInArrow(add, schema).collect():
-        out[r[0] * CHUNK : (r[0] + 1) * CHUNK] = np.frombuffer(r[1], np.int32)
-    return out
+    out = np.zeros(len(runs) * BINS, np.uint8)
+    for r in docs.select("doc", "text").mapInArrow(count, schema).groupBy("chunk").applyInArrow(add, schema).toLocalIterator():
+        out[r[0] * CHUNK : (r[0] + 1) * CHUNK] = np.frombuffer(r[1], np.uint8)
+    return dict(zip(runs, out.reshape(len(runs), BINS)))
 
 
 def shared_runs(sizes: np.ndarray, run: int, least: float = LEAST) -> np.ndarray:
@@ -146,29 +148,46 @@ def shared_runs(sizes: np.ndarray, run: int, least: float = LEAST) -> np.ndarray
     return np.where(following <= sizes / least + 1e-9, np.minimum(common(sizes), common(following)), common(sizes))
 
 
-def rare_runs(words: Words, counts: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Labels of the rarest runs of all rows, their rows and places (-1: not the only such run), and how many a row shares with every similar text."""
+def rare_runs(words: Words, counts: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels of the rarest runs of all rows, their rows, and their places (-1: not the only such run)."""
     sizes = words.counts()
-    hashes, owner, label = _labelled(words, run)
     need = shared_runs(sizes, run)
-    share = np.clip(need, 0, SHARED)
-    kept = np.where(need > 0, np.maximum(sizes - run + 1, 0) - need + share, 0)
-    # Any order that the label alone decides will do.
-    rank = counts[(hashes % U64(BINS)).astype(np.int64)].astype(U64) << U64(32) | label >> U64(32)
-    order = np.lexsort((rank, owner))
+    kept = np.where(need > 0, np.maximum(sizes - run + 1, 0) - need + np.clip(need, 0, SHARED), 0)
+    hashes = grams(words.hashes, run, 7)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.flatnonzero((row[: len(hashes)] == row[run - 1 :]) & (kept[row[: len(hashes)]] > 0)) if len(hashes) else np.empty(0, np.int64)
+    hashes, owner = hashes[at], row[at]
+    if not len(at):
+        return hashes, owner, owner
+    # Runs that are alike in one text get numbers; which of them has which number is all the same.
+    own = hashes ^ mix(owner.astype(U64))
+    order = np.argsort(own)
+    begin = np.flatnonzero(np.append(True, own[order][1:] != own[order][:-1]))
+    times = np.diff(np.append(begin, len(own)))
+    seen = np.empty(len(own), U64)
+    seen[order] = np.arange(len(own)) - np.repeat(begin, times)
+    alone = np.empty(len(own), bool)
+    alone[order] = np.repeat(times == 1, times)
+    label = mix(hashes + seen * U64(0x9E3779B97F4A7C15))
+    # Any order that the label alone decides will do: rows first, then counts, then the label.
+    count = counts[(hashes % U64(BINS)).astype(np.int64)].astype(U64)
+    order = np.argsort(owner.astype(U64) << U64(52) | count << U64(32) | label >> U64(32))
     per = np.bincount(owner, minlength=len(sizes))
-    first = np.cumsum(per) - per
-    chosen = order[np.arange(len(owner)) - first[owner] < kept[owner]]
-    place = np.arange(len(owner)) - first[owner]
-    _, which, times = np.unique(hashes ^ mix(owner.astype(U64)), return_inverse=True, return_counts=True)
-    place[times[which] > 1] = -1
-    return label[chosen], owner[chosen], place[chosen], share
+    rank = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+    chosen = order[rank < kept[owner]]  # rows are in order before and after
+    return label[chosen], owner[chosen], np.where(alone, at - words.first[owner], -1)[chosen]
 
 
 def _bits(label: np.ndarray, size: int) -> np.ndarray:
     return (label % U64(size)).astype(np.int64)
 
 
+def has_bit(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which unsigned keys a bitmap may hold."""
+    at = _bits(keys, len(bitmap) * 8)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def kept_labels(docs: DataFrame, counts: np.ndarray, run: int) -> DataFrame:
     """(key, times): kept labels of (doc, text), counted in each batch."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
@@ -215,9 +234,8 @@ def met_labels(docs: DataFrame, counts: np.ndarray, run: int, bitmap: np.ndarray
         table, bits = shared.value
 
         def one(batch):
-            label, row, place, _ = rare_runs(Words(batch.column(1)), table, run)
-            at = _bits(label, len(bits) * 8)
-            good = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            label, row, place = rare_runs(Words(batch.column(1)), table, run)
+            good = np.flatnonzero(has_bit(bits, label))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(label[good].view(np.int64)), pa.array(place[good].astype(np.int32)), batch.column(0).take(pa.array(row[good]))], ["key", "place", "doc"]
             )
@@ -326,22 +344,27 @@ def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def members_of(met: DataFrame, facts: DataFrame) -> DataFrame:
     """``met`` (key, place, doc) with the facts (rep, n, class, size) of representatives, where a key lies in two classes and more."""
-    rows = met.join(facts.hint("shuffle_hash"), F.col("doc") == F.col("rep")).drop("doc")
+    # Place and number of words travel as one number, and rows are dealt by key once for the counts and the join.
+    rows = met.join(facts.drop("size").hint("shuffle_hash"), F.col("doc") == F.col("rep"))
+    rows = rows.select("key", "rep", "class", (F.col("place").cast("long") * (1 << 32) + F.col("n")).alias("at")).repartition("key")
     several = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("key")
-    return rows.join(several, "key", "left_semi")
+    rows = rows.join(several.hint("merge"), "key", "left_semi")
+    sizes = facts.groupBy("class").agg(F.first("size").alias("size"))
+    rows = salted_join(rows, sizes, ["class"])
+    return rows.select("key", "rep", "class", "size", F.col("at").bitwiseAND(0xFFFFFFFF).alias("n"), F.shiftright("at", 32).cast("int").alias("place"))
 
 
-def apart(members: DataFrame, asking: DataFrame | None, run: int, least: float = LEAST) -> DataFrame:
+def apart(members: DataFrame, asking: DataFrame, run: int, least: float = LEAST) -> DataFrame:
     """(a, b): the texts of different classes that share enough keys to be similar; the one of the smaller class asks.
 
-    ``asking`` (rep) restricts the texts that ask. Runs that occur once in both texts must lie where the allowed edits
+    Only the texts in ``asking`` (rep) ask. Runs that occur once in both texts must lie where the allowed edits
     before and after them can bring them together. Lists hold the members of a class that a hash puts together, so what
     a task counts at a time is bounded, and every meeting of two texts is counted in one place.
     """
     lists = F.ceil(F.col("size") / LISTED)
     chunk = F.pmod(F.xxhash64("rep"), lists).cast("int")
     listed = members.withColumn("chunk", chunk).groupBy("key", "class", "size", "chunk").agg(F.collect_list(F.struct("rep", "n", "place")).alias("list"))
-    own = members if asking is None else members.join(asking, "rep", "left_semi")
+    own = members.join(asking, "rep", "left_semi")
     x = own.select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("class").alias("ac"), F.col("size").alias("asize"))
     before = (F.col("asize") < F.col("size")) | ((F.col("asize") == F.col("size")) & (F.col("ac") < F.col("class")))
     longest = F.array_max("list.n")
@@ -374,8 +397,7 @@ def apart(members: DataFrame, asking: DataFrame | None, run: int, least: float =
         if not good.any():
             return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
         both, times = np.unique(np.stack([a[good], b[good], an[good], bn[good]]), axis=1, return_counts=True)
-        share = np.clip(np.minimum(shared_runs(both[2], run), shared_runs(both[3], run)), 0, SHARED)
-        keep = times >= share
+        keep = times >= np.clip(np.minimum(shared_runs(both[2], run), shared_runs(both[3], run)), 0, SHARED)
         low, high = np.minimum(both[0], both[1])[keep], np.maximum(both[0], both[1])[keep]
         return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
 
@@ -383,9 +405,12 @@ def apart(members: DataFrame, asking: DataFrame | None, run: int, least: float =
 
 
 def busy(members: DataFrame) -> DataFrame:
-    """(rep): texts that would meet more than BUSY others for each of their words."""
-    each = members.groupBy("key").agg(F.count("*").alias("c"))
-    return salted_join(members.select("key", "rep", "n"), each, ["key"]).groupBy("rep", "n").agg(F.sum("c").alias("c")).filter(F.col("c") > BUSY * F.col("n")).select("rep")
+    """(rep): texts that would meet more than BUSY texts of other classes for each of their words."""
+    own = members.groupBy("key", "class").agg(F.count("*").alias("own"))
+    all_ = own.groupBy("key").agg(F.sum("own").alias("c"))
+    others = own.join(all_, "key").select("key", "class", (F.col("c") - F.col("own")).alias("c"))
+    met = salted_join(members.select("key", "class", "rep", "n"), others, ["key", "class"])
+    return met.groupBy("rep", "n").agg(F.sum("c").alias("c")).filter(F.col("c") > BUSY * F.col("n")).select("rep")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -415,18 +440,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     facts = same.groupBy("rep").agg(F.max("n").alias("n")).join(joined, F.col("rep") == F.col("node"), "left")
     facts = facts.select("rep", "n", F.coalesce("least", "rep").alias("class"))
     facts = written(salted_join(facts, facts.groupBy("class").agg(F.count("*").alias("size")), ["class"]), "neardup-facts")
-    counts = run_counts(usable, 2)
-    twice = written(kept_labels(usable, counts, 2).groupBy("key").agg(F.sum("times").alias("times")).filter("times > 1").select("key"), "neardup-twice")
+    counts = run_counts(usable, [1, RUN])
+    twice = kept_labels(usable, counts[RUN], RUN).groupBy("key").agg(F.sum("times").alias("times")).filter("times > 1").select("key")
+    twice = bitmap_of(written(twice, "neardup-twice"))
+    release_shuffles(spark)
+    members = written(members_of(met_labels(usable, counts[RUN], RUN, twice), facts), "neardup-members")
     release_shuffles(spark)
-    members = written(members_of(met_labels(usable, counts, 2, bitmap_of(twice)), facts), "neardup-members")
     crowd = written(busy(members), "neardup-busy")
-    more = apart(members, members.select("rep").distinct().join(crowd, "rep", "left_anti"), 2)
+    more = apart(members, members.select("rep").distinct().join(crowd, "rep", "left_anti"), RUN)
     if not crowd.isEmpty():
-        counts = run_counts(usable, 1)
         asked = usable.join(crowd.select(F.col("rep").alias("doc")).hint("shuffle_hash"), "doc", "left_semi")
-        asked = written(kept_labels(asked, counts, 1).select("key").distinct(), "neardup-asked")
-        single = written(members_of(met_labels(usable, counts, 1, bitmap_of(asked)), facts), "neardup-members")
-        more = more.unionByName(apart(single, crowd, 1))
+        asked = bitmap_of(written(kept_labels(asked, counts[1], 1).select("key").distinct(), "neardup-asked"))
+        more = more.unionByName(apart(written(members_of(met_labels(usable, counts[1], 1, asked), facts), "neardup-members"), crowd, 1))
     more = written(more.distinct().join(pairs, ["a", "b"], "left_anti"), "neardup-apart")
     release_shuffles(spark)
     joined = components(joined.select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(linked(more, usable)))

@@ -7,20 +7,28 @@ finds them. A piece that has occurred earlier is covered as a whole; the first o
 minimiser is a place where paths branch, and is resolved edge by edge. Covered fragments that continue each other both
 in the document and at their source compact into one span with source coordinates.
 
+Hashes only propose: at last the words of every span are read at both its places and compared by a cryptographic digest;
+a span whose words differ is dropped. Texts that have no part in a step stay where they are: a bitmap of the wanted ids or
+minimisers, of bounded size, is looked at inside the task, and what it lets through by mistake is joined away.
+
 Words are runs without space and U+0009 to U+000D, unchanged. Earlier means a smaller id, or an earlier place in the
 same document. A null text has no words. A document with a null id loses nothing and is no source; ids should be
-unique, rows that share one lose what any of them loses. Identity of windows rests on two 64-bit hashes.
+unique, rows that share one lose what any of them loses, and are no source for each other's spans.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstack.functions.windows import salted_join
 from quillstack.llm.common import U64, Words, grams, keys, map_batches, mix, release_shuffles, written
+from quillstack.llm.neardup import bitmap_of, has_bit
 
 SPAN, CORE = 20, 5
 PIECE = "least long, piece long, doc long, at int, n int, again boolean"
@@ -49,10 +57,31 @@ class Edges:
         self.at = inside - words.first[self.row]
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """PIECE rows of (doc, text): minimiser, hash, place and number of windows; ``again``: a window recurs in its document."""
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of (doc, text) whose id may be among ``ids``, chosen inside the task."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids))
 
     def make():
+        bits = shared.value
+
+        def one(batch):
+            yield batch.filter(pa.array(has_bit(bits, batch.column(0).to_numpy().view(U64))))
+
+        return one
+
+    return map_batches(docs, make, "doc long, text string")
+
+
+def pieces(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """PIECE rows of (doc, text): minimiser, hash, place and number of windows; ``again``: a window recurs in its document.
+
+    ``wanted`` is a bitmap of minimisers; pieces with others are left out.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def make():
+        bits = shared.value
+
         def one(batch):
             e = Edges(batch.column(1))
             if not len(e.hash):
@@ -67,6 +96,8 @@ def pieces(docs: DataFrame) -> DataFrame:
             ordered = np.sort(own)
             twice = ordered[1:][ordered[1:] == ordered[:-1]]
             again = np.logical_or.reduceat(np.isin(own, twice), starts) if len(twice) else np.zeros(len(starts), bool)
+            kept = slice(None) if bits is None else np.flatnonzero(has_bit(bits, e.least[starts]))
+            starts, whole, sizes, again = starts[kept], whole[kept], sizes[kept], again[kept]
             yield pa.RecordBatch.from_pydict({
                 "least": e.least[starts].view(np.int64), "piece": whole.view(np.int64), "doc": batch.column(0).take(pa.array(e.row[starts])),
                 "at": e.at[starts].astype(np.int32), "n": sizes.astype(np.int32), "again": again,
@@ -109,11 +140,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     """(doc, at, n, source, source_at): spans of n windows, so n + 19 words, from word ``at`` on, that occur earlier."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
-    found = pieces(base)
     weight = F.sum(F.when(F.col("again"), 2).otherwise(1))
-    several = written(found.groupBy("least").agg(weight.alias("times")).filter("times > 1").select("least"), "spans-least")
+    several = written(pieces(base).groupBy("least").agg(weight.alias("times")).filter("times > 1").select("least"), "spans-least")
     release_shuffles(spark)
-    found = written(found.join(several, "least", "left_semi"), "spans-pieces")
+    found = written(pieces(base, bitmap_of(several)).join(several, "least", "left_semi"), "spans-pieces")
     release_shuffles(spark)
     # The source of each piece is its first occurrence; a minimiser with several pieces is a branch.
     source = found.groupBy("least", "piece").agg(F.min(F.struct("doc", "at")).alias("source"), F.max("again").alias("again"))
@@ -128,7 +158,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     whole = met.filter(~first).select("doc", "at", "n", F.col("source.doc").alias("source"), F.col("source.at").alias("source_at"))
     # Branches: their windows one by one, from the first occurrences only; an earlier window is always in one of them.
     open_ = met.filter(first & F.col("open")).groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("wanted"))
-    edges = written(windows_of(base.join(open_.hint("shuffle_hash"), "doc").select("doc", "text", "wanted")), "spans-edges")
+    open_ = written(open_, "spans-open")
+    branching = texts_of(base, open_.select("doc")).join(open_.hint("shuffle_hash"), "doc").select("doc", "text", "wanted")
+    edges = written(windows_of(branching), "spans-edges")
     release_shuffles(spark)
     origin = edges.groupBy("least", "hash").agg(F.min(F.struct("doc", "at")).alias("source"), F.count("*").alias("times"))
     origin = written(origin.filter("times > 1").drop("times"), "spans-origins")
@@ -143,7 +175,38 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     spans = both.groupBy("doc", "source", "shift", "path").agg(
         F.min("at").alias("at"), F.sum("n").cast("int").alias("n"), F.min("source_at").alias("source_at")
     )
-    return written(spans.select("doc", "at", "n", "source", "source_at"), "spans")
+    spans = written(spans.select("doc", "at", "n", "source", "source_at"), "spans-proposed")
+    release_shuffles(spark)
+    return written(verified(spans, base), "spans")
+
+
+def verified(spans: DataFrame, base: DataFrame, span: int = SPAN) -> DataFrame:
+    """The spans whose words are the same at both places of (doc, text)."""
+    places = spans.select("doc", "at", "n").unionByName(spans.select(F.col("source").alias("doc"), F.col("source_at").alias("at"), "n")).distinct()
+    asked = written(places.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("places")), "spans-places")
+    rows = texts_of(base, asked.select("doc")).join(asked.hint("shuffle_hash"), "doc").select("doc", "text", "places")
+
+    def make():
+        def one(batch):
+            docs, at, n, digests = [], [], [], []
+            for doc, text, places in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+                words = text.split()
+                for p in places:
+                    docs.append(doc)
+                    at.append(p["at"])
+                    n.append(p["n"])
+                    digests.append(hashlib.blake2b(b" ".join(words[p["at"] : p["at"] + p["n"] + span - 1]), digest_size=32).digest())
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(digests, pa.binary())], ["doc", "at", "n", "words"])
+
+        return one
+
+    # Rows that share an id have several texts at one place: their words count as unequal.
+    read = map_batches(rows, make, "doc long, at int, n int, words binary")
+    read = written(read.groupBy("doc", "at", "n").agg(F.min("words").alias("words"), F.max("words").alias("last")).filter("words = last").drop("last"), "spans-words")
+    there = read.select(F.col("doc").alias("source"), F.col("at").alias("source_at"), "n", F.col("words").alias("source_words"))
+    # A passage may be the source of very many spans.
+    both = salted_join(spans.join(read, ["doc", "at", "n"]), there, ["source", "source_at", "n"])
+    return both.filter("words = source_words").select("doc", "at", "n", "source", "source_at")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
@@ -153,8 +216,29 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
     """
     kept = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     cuts = spans.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("cuts"))
-    rows = docs.select(F.struct(*kept).alias("row")).withColumn("own", F.col("row")[id_col].cast("long"))
+    cuts = written(cuts, "spans-cuts")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(cuts.select("doc")))
+    identity = kept.index(id_col)
+
+    def cut_texts(wanted: bool) -> DataFrame:
+        """The rows that may have spans, or those that have none."""
+
+        def make():
+            bits = shared.value
+
+            def one(batch):
+                ids = batch.column(identity).cast(pa.int64()).fill_null(-1).to_numpy().view(U64)
+                may = has_bit(bits, ids) & batch.column(identity).is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(may == wanted))
+
+            return one
+
+        return map_batches(docs.select(*kept), make, docs.select(*kept).schema)
+
+    rows = cut_texts(True).select(F.struct(*kept).alias("row")).withColumn("own", F.col("row")[id_col].cast("long"))
     rows = rows.join(cuts.hint("shuffle_hash"), F.col("own") == F.col("doc"), "left").select("row.*", F.col("cuts").alias("_cuts_"))
+    untouched = cut_texts(False).select(*kept, F.lit(None).cast(rows.schema["_cuts_"].dataType).alias("_cuts_"))
+    rows = rows.unionByName(untouched)
     schema = docs.select(*kept, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed")).schema
     where = kept.index(text)
 

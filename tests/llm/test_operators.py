@@ -266,6 +266,19 @@ def test_url_rules(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_a_repeated_token_counts_each_time(spark):
+    """Multinomial: of two words with opposite odds, the one that a url repeats decides."""
+    ruled = [(i, f"http://a.example.com/en/{'red' if i % 2 else 'grey'}") for i in range(40)] + [(100 + i, f"http://b.com/{'blue' if i % 2 else 'grey'}") for i in range(40)]
+    asked = [(200, "http://x.org/red/blue/blue/blue"), (201, "http://x.org/blue/red/red/red"), (202, "http://x.org/red/blue")]
+    rows = [(i, u, None, "h") for i, u in [*ruled, *asked]]
+    found = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()}
+    assert found[200]["words"].count("blue") == 3
+    assert (found[200]["verdict"], found[201]["verdict"]) == ("allow", "block")
+    # Scores are sums over the tokens: two more of each word move the score alike.
+    blue, red = found[200]["score"] - found[202]["score"], found[201]["score"] - found[202]["score"]
+    assert blue < -1 and red > 1
+
+
 def test_segmentation():
     counts = {"water": 50, "law": 40, "la": 30, "w": 5, "waterlaw": 0}
     assert urls.segment("waterlaw", counts, 200) == ["water", "law"]
@@ -305,6 +318,54 @@ def test_languages(spark):
     assert [r["lang_pred"] for r in language.predict(docs(spark, asked), empty).collect()] == ["und"] * 5
 
 
+def test_a_small_share_of_a_long_text(spark):
+    """A hundredth of a long text in another language outweighs the penalty; a single odd word does not."""
+    rnd = random.Random(6)
+    sounds = {"aa": ["ba", "bo", "bi"], "bb": ["shu", "sha", "shi"]}
+
+    def text(lang, n):
+        return " ".join("".join(rnd.choice(sounds[lang]) for _ in range(rnd.randrange(2, 5))) for _ in range(n))
+
+    profiles = language.learn(docs(spark, [(i, text(lang, 40), lang, "s") for i, lang in enumerate(list(sounds) * 30)]))
+    asked = [(1, f"{text('aa', 9900)} {text('bb', 100)}", None, None), (2, f"{text('aa', 300)} {text('bb', 1)}", None, None)]
+    found = {r["doc_id"]: r for r in language.predict(docs(spark, asked), profiles).collect()}
+    assert found[1]["languages"] == ["aa", "bb"] and abs(found[1]["shares"][1] - 0.01) < 0.005
+    assert found[2]["languages"] == ["aa"]
+
+
+def test_mixtures_against_plain_em():
+    """Chosen set and shares against expectation-maximisation written out, over all sets of languages."""
+    import itertools
+
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+
+    def plain(logs, chosen, rounds):
+        share = {c: 1 / len(chosen) for c in chosen}
+        for _ in range(rounds):
+            parts = [{c: share[c] * math.exp(row[c]) for c in chosen} for row in logs]
+            share = {c: sum(p[c] / sum(p.values()) for p in parts) / len(logs) for c in chosen}
+        return share, sum(math.log(sum(share[c] * math.exp(row[c]) for c in chosen)) for row in logs)
+
+    sizes, logs, want = [], [], []
+    for shares in ([1, 0, 0], [0.7, 0.3, 0], [0.4, 0.3, 0.3], [0, 0.9, 0.1]):
+        n = 200
+        lang = rnd.choice(3, size=n, p=shares)
+        rows = rnd.normal(-8, 1, (n, 3))
+        rows[np.arange(n), lang] += 6
+        best = max(
+            (plain(rows, c, 200)[1] - (len(c) - 1) / 2 * math.log(n), c) for k in (1, 2, 3) for c in itertools.combinations(range(3), k)
+        )[1]
+        want.append((best, plain(rows, best, 200)[0]))
+        sizes.append(n)
+        logs.append(rows)
+    found, size = language.mixtures(np.concatenate(logs).astype(np.float32), np.array(sizes))
+    for row, m, (best, share) in zip(found, size, want):
+        assert set(np.flatnonzero(row)) == set(best) and m == len(best)
+        assert all(abs(row[c] - share[c]) < 0.03 for c in best)
+
+
 # 6
 
 
@@ -333,6 +394,28 @@ def test_spans_brute_force(spark, corpus):
     assert spans.remove_spans(rows.limit(0), spans.repeated_spans(rows.limit(0))).count() == 0
 
 
+def test_a_hash_clash_is_no_repeat(spark, monkeypatch):
+    """With word hashes that clash all the time, words at the source decide: nothing that does not repeat is removed."""
+    rnd = random.Random(17)
+    texts = [words(rnd, 60, 5000) for _ in range(6)]
+    texts.append(f"{words(rnd, 10)} {' '.join(texts[0].split()[:30])}")
+    plain = spans.Words.__init__
+
+    def weak(self, column):
+        plain(self, column)
+        self.hashes = self.hashes * 0 + spans.U64(7)
+
+    class Weak(spans.Words):
+        __init__ = weak
+
+    monkeypatch.setattr(spans, "Words", Weak)
+    rows = docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    for r in spans.repeated_spans(rows).collect():
+        n = r["n"] + 19
+        own, source = texts[r["doc"]].split(), texts[r["source"]].split()
+        assert own[r["at"] : r["at"] + n] == source[r["source_at"] : r["source_at"] + n]
+
+
 # 7
 
 
