@@ -37,9 +37,12 @@ def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix takes."""
+    """A row for each copy that the mix takes, written by shard and in each file in random order."""
     prepared(spark)
-    return mixing.mix_documents(docs).select(*docs.columns)
+    mixed = mixing.mix_documents(docs)
+    # The local shuffle: a hash deals a shard's rows to files, their random places order them.
+    dealt = mixed.repartition("shard", F.pmod(F.col("place"), F.lit(8))).sortWithinPartitions("shard", "place")
+    return dealt.select(*docs.columns)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
