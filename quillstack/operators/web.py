@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstack.functions.arrays import explode_items, let
-from quillstack.functions.text import has_content, strip
+from quillstack.functions.text import CLOSE_MARK, OPEN_MARK, escape_marks, has_content, strip, unescape_marks
 from quillstack.functions.windows import salted_join
 
 # Elements whose content is never text.
@@ -70,28 +70,75 @@ def unescape(text: Column) -> Column:
     return F.when(text.contains("&"), let(F.split(text, "&"), joined)).otherwise(text)
 
 
-def remove_unwanted(html: Column, selectors: list[str] | None = None) -> Column:
-    """Drop scripts, styles and the like, and elements named by ``tag``, ``.class`` or ``#id`` selectors.
+#: Elements without content or a closing tag.
+VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
+TAG_NAME = r"\A</?([A-Za-z][A-Za-z0-9-]*)"
+
+
+def _tag_pieces(html: Column) -> Column:
+    """The page cut before each tag: every piece but the first begins with one."""
+    return F.split(html, r"(?=</?[A-Za-z])")
+
+
+def _popped(stack: Column, name: Column) -> Column:
+    """Open elements left once ``name`` is closed: those above its last opening end with it; -1 if it is not open."""
+    place = F.array_position(F.reverse(stack), name).cast("int")
+    return F.when(place > 0, F.size(stack) - place).otherwise(F.lit(-1))
+
+
+def remove_elements(html: Column, selected: str) -> Column:
+    """Drop the elements whose opening tag matches ``selected``, with all they hold.
 
-    An element ends at the next closing tag of its name, so selected elements should not nest in themselves.
+    One pass over the tags keeps the names of the open elements. An element ends at its own closing tag, however many of
+    its name it holds, or where an element around it ends.
     """
+    start = F.struct(F.array().cast("array<string>").alias("open"), F.lit(0).alias("skip"), F.array().cast("array<string>").alias("kept"))
+
+    def step(state: Column, piece: Column) -> Column:
+        name = F.lower(F.regexp_extract(piece, TAG_NAME, 1))
+        opened, skip, kept = state["open"], state["skip"], state["kept"]
+        closing, plain = piece.startswith("</"), name == ""
+        single = name.isin(VOID_TAGS) | piece.rlike(r"\A<[^>]*/>")
+        hit = piece.rlike(rf"(?is)\A<(?!/){selected}")
+        after = F.regexp_replace(piece, r"\A<[^>]*>?", "")
+        left = _popped(opened, name)
+        # Closed: the element itself, or one around it; its own closing tag goes with it.
+        ends = closing & (skip > 0) & (left >= 0) & (left < skip)
+        own = ends & (left == skip - 1)
+        stack = F.when(plain | (~closing & single), opened).when(~closing, F.concat(opened, F.array(name))).when(left >= 0, F.slice(opened, F.lit(1), F.greatest(left, F.lit(0)))).otherwise(opened)
+        begins = ~closing & ~plain & ~single & hit & (skip == 0)
+        now = F.when(begins, F.size(opened) + 1).when(ends, F.lit(0)).otherwise(skip)
+        shown = F.when((skip == 0) & single & hit & ~closing, after).when((skip == 0) & ~begins, piece).when(own, after).when(ends, piece)
+        return F.struct(stack.alias("open"), now.alias("skip"), F.when(shown.isNull(), kept).otherwise(F.concat(kept, F.array(shown))).alias("kept"))
+
+    cleaned = F.array_join(F.aggregate(_tag_pieces(html), start, step)["kept"], "")
+    return F.when(html.rlike(rf"(?is)<{selected}"), cleaned).otherwise(html)
+
+
+def remove_unwanted(html: Column, selectors: list[str] | None = None) -> Column:
+    """Drop scripts, styles and the like, and elements named by ``tag``, ``.class`` or ``#id`` selectors, nested ones too."""
     html = F.regexp_replace(html, COMMENT, "")
     for tag in UNWANTED_TAGS:
         html = F.regexp_replace(html, tag_pattern(tag), "")
     for selector in selectors or []:
         if selector.startswith("."):
-            wanted = rf'class\s*=\s*"(?:[^"]*\s)?{selector[1:]}(?:\s[^"]*)?"'
+            name = selector[1:]
+            wanted = rf"""[a-z0-9-]+\b[^>]*?\sclass\s*=\s*(?:"(?:[^"]*\s)?{name}(?:\s[^"]*)?"|'(?:[^']*\s)?{name}(?:\s[^']*)?'|{name}(?=[\s>]))"""
         elif selector.startswith("#"):
-            wanted = rf'id\s*=\s*"{selector[1:]}"'
+            name = selector[1:]
+            wanted = rf"""[a-z0-9-]+\b[^>]*?\sid\s*=\s*(?:"{name}"|'{name}'|{name}(?=[\s>]))"""
         elif selector.replace("-", "").isalnum():
-            html = F.regexp_replace(html, tag_pattern(selector), "")
-            continue
+            wanted = rf"{selector}(?![a-z0-9-])"
         else:
             raise ValueError(f"selector {selector} is not a tag, .class or #id")
-        html = F.regexp_replace(html, rf"(?is)<([a-z0-9]+)\b[^>]*\b{wanted}[^>]*>.*?</\1\s*>", "")
+        html = _let_removed(html, wanted)
     return html
 
 
+def _let_removed(html: Column, wanted: str) -> Column:
+    return let(html, lambda page: remove_elements(page, wanted))
+
+
 def page_title(html: Column) -> Column:
     """Text of the title, else of the first heading, else the og:title; null when there is none."""
 
@@ -136,6 +183,70 @@ def _table_line(cells: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
 
+#: Pages that need more than the rules: ordered or nested lists and preformatted text.
+STRUCTURED = r"(?i)<(?:ol|pre)\b|<ul\b[^<]*+(?:<(?!/?[uo]l\b)[^<]*+)*+<[uo]l\b"
+#: Single-quoted and bare values of the attributes that the rules read.
+BARE_ATTRIBUTE = r"""(?i)<[a-z][^>]*?\s(?:href|src|alt)\s*=\s*(?:'|[^\s"'>]|\s+")"""
+
+
+def _quoted_attributes(html: Column) -> Column:
+    """Values of href, src and alt in double quotes."""
+    out = html
+    for _ in range(2):  # an image has two of them
+        out = F.regexp_replace(out, r"""(?i)(<[a-z][^>]*?\s)(href|src|alt)\s*=\s*'([^'">]*)'""", '$1$2="$3"')
+        out = F.regexp_replace(out, r"""(?i)(<[a-z][^>]*?\s)(href|src|alt)\s*=\s*([^\s"'>]+)""", '$1$2="$3"')
+    return F.when(html.rlike(BARE_ATTRIBUTE), out).otherwise(html)
+
+
+def _structured(html: Column) -> Column:
+    """Lists with their depth and numbers, and preformatted lines, written so that the rules leave them as they are.
+
+    Marks stand for line breaks and blanks until the rules are done.
+    """
+    none = F.array()
+    start = F.struct(
+        none.cast("array<string>").alias("lists"), none.cast("array<int>").alias("counts"), F.lit(0).alias("pre"), none.cast("array<string>").alias("out")
+    )
+
+    def fixed(text: Column) -> Column:
+        lines = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), "\t", "    ")
+        return F.replace(F.replace(lines, F.lit("\n"), F.lit(OPEN_MARK + "    ")), F.lit(" "), F.lit(CLOSE_MARK))
+
+    def step(state: Column, piece: Column) -> Column:
+        name, closing = F.lower(F.regexp_extract(piece, TAG_NAME, 1)), piece.startswith("</")
+        lists, counts, pre = state["lists"], state["counts"], state["pre"]
+        rest, depth = F.regexp_replace(piece, r"\A<[^>]*>", ""), F.size(state["lists"])
+        is_list, is_item = name.isin("ul", "ol"), (name == "li") & ~closing & (F.size(state["lists"]) > 0)
+        count = F.when(depth > 0, F.element_at(counts, -1)).otherwise(0) + 1
+        sign = F.when(F.element_at(lists, -1) == "ol", F.concat(count.cast("string"), F.lit(". "))).otherwise(F.lit("* "))
+        item = F.concat(F.lit(OPEN_MARK), F.repeat(F.lit(CLOSE_MARK * 2), depth), sign, F.ltrim(rest))
+        border = F.when((depth == 0) | (closing & (depth == 1)), F.lit("<p>")).otherwise(F.lit(""))
+        shorter = F.greatest(depth - 1, F.lit(0))
+        last = F.greatest(F.size(counts) - 1, F.lit(0))
+        return F.struct(
+            F.when(is_list & ~closing, F.concat(lists, F.array(name))).when(is_list, F.slice(lists, F.lit(1), shorter)).otherwise(lists).alias("lists"),
+            F.when(is_list & ~closing, F.concat(counts, F.array(F.lit(0)))).when(is_list, F.slice(counts, F.lit(1), last))
+            .when(is_item, F.concat(F.slice(counts, F.lit(1), last), F.array(count))).otherwise(counts).alias("counts"),
+            F.when(name == "pre", F.when(closing, F.lit(0)).otherwise(F.lit(1))).otherwise(pre).alias("pre"),
+            F.concat(
+                state["out"],
+                F.array(
+                    F.when((name == "pre") & ~closing, F.concat(F.lit("<p>" + CLOSE_MARK * 4), fixed(F.regexp_replace(rest, r"\A\r?\n", ""))))
+                    .when(name == "pre", F.concat(F.lit("<p>"), rest))
+                    .when(pre > 0, F.concat(F.regexp_extract(piece, r"\A<[^>]*>", 0), fixed(rest)))
+                    .when(is_list, F.concat(border, rest)).when(is_item, item).when((name == "li") & closing, rest).otherwise(piece)
+                ),
+            ).alias("out"),
+        )
+
+    return F.array_join(F.aggregate(_tag_pieces(escape_marks(html)), start, step)["out"], "")
+
+
+def _restored(markdown: Column) -> Column:
+    lines = F.regexp_replace(markdown, f"[ \\t{CLOSE_MARK}]*{OPEN_MARK}", "\n")
+    return unescape_marks(F.regexp_replace(F.replace(lines, F.lit(CLOSE_MARK), F.lit(" ")), r"\n{3,}", "\n\n"))
+
+
 def html_to_markdown(html: Column, selectors: list[str] | None = None) -> Column:
     """Markdown with headings, links, images, emphasis, lists and tables; lines are not wrapped."""
     body = F.regexp_replace(remove_unwanted(html, selectors), tag_pattern("head"), "")
@@ -151,7 +262,11 @@ def html_to_markdown(html: Column, selectors: list[str] | None = None) -> Column
         )
         return F.when(page.rlike(r"(?i)<table\b"), F.array_join(mixed, "")).otherwise(_apply(page, MARKDOWN_RULES))
 
-    return strip(_apply(unescape(let(body, converted)), TIDY_RULES))
+    def written(page: Column) -> Column:
+        plain = lambda p: _apply(unescape(converted(p)), TIDY_RULES)
+        return F.when(page.rlike(STRUCTURED), _restored(let(_structured(page), plain))).otherwise(plain(page))
+
+    return strip(let(_quoted_attributes(body), written))
 
 
 def is_valid_content(text: Column, min_length: int = 100) -> Column:

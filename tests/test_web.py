@@ -53,6 +53,62 @@ def test_markdown(spark):
     )
 
 
+def test_lists_and_preformatted_text(spark):
+    html = """<p>Before</p><ol><li>one</li><li>two <b>bold</b><ul><li>in</li><li>deeper<ol><li>x</li></ol></li></ul></li><li>three</li></ol>
+    <p>Then   text</p><pre>line 1
+      line  2 &lt;x&gt;
+
+last</pre><ul>
+    <li> a </li>
+    <li>b</li>
+    </ul>end \u0002 sign"""
+    assert value(spark, wb.html_to_markdown(F.col("h")), h=html) == (
+        "Before\n\n  1. one\n  2. two **bold**\n    * in\n    * deeper\n      1. x\n  3. three\n\nThen text\n\n"
+        "    line 1\n          line  2 <x>\n\n    last\n\n  * a\n  * b\n\nend \u0002 sign"
+    )
+
+
+def test_attributes_without_double_quotes(spark):
+    html = """<a href=/x>one</a> <a class=b href='/y z'>two</a> <img alt=pic src=p.png> <img src='q.png' alt='two words'> a href=no"""
+    assert value(spark, wb.html_to_markdown(F.col("h")), h=html) == "[one](/x) [two](/y z) ![pic](p.png) ![two words](q.png) a href=no"
+
+
+def test_removed_elements_end_at_their_own_closing_tag(spark):
+    remove = lambda html, *selectors: value(spark, wb.remove_unwanted(F.col("h"), list(selectors)), h=html)
+    nested = '<div>a<div class="ad x">b<div>c<div>d</div></div>e<br>f</div>g</div>h'
+    assert remove(nested, ".ad") == "<div>a" + "g</div>h"
+    assert remove(nested, "div") == "h"
+    assert remove("<ul><li>a<li class=ad>b</ul>c", ".ad") == "<ul><li>a</ul>c"
+    assert remove("<section id='s'><p>x</section>y<navigator>z</navigator><nav>q</nav>", "#s", "nav") == "y<navigator>z</navigator>"
+    assert remove("a</div>b<div class=adx>c</div>", ".ad") == "a</div>b<div class=adx>c</div>"
+    assert remove("x<img class='ad'>y<p class='ad'/>z", ".ad") == "xyz"
+    assert remove("<div class='ad'>never closed", ".ad") == "" and remove("<p>1 < 2</p>", "p", "i") == ""
+
+
+def test_removal_against_a_tree(spark):
+    """Random well-formed pages: what is left is what a recursive walk leaves."""
+    import random
+
+    rnd, names = random.Random(3), ["div", "p", "ul", "b"]
+
+    def tree(depth):
+        out = []
+        for _ in range(rnd.randrange(4)):
+            if depth and rnd.random() < 0.7:
+                out.append((rnd.choice(names), rnd.random() < 0.2, tree(depth - 1)))
+            else:
+                out.append(rnd.choice(["x", "1 < 2", " ", "y&amp;"]))
+        return out
+
+    def text(nodes, cut):
+        return "".join(n if isinstance(n, str) else "" if cut and n[1] else f"<{n[0]}{' class=ad' if n[1] else ''}>{text(n[2], cut)}</{n[0]}>" for n in nodes)
+
+    pages = [tree(6) for _ in range(60)]
+    df = spark.createDataFrame([(i, text(p, False)) for i, p in enumerate(pages)], "i int, h string")
+    for r in df.select("i", wb.remove_unwanted(F.col("h"), [".ad"]).alias("x")).collect():
+        assert r["x"] == text(pages[r["i"]], True)
+
+
 def test_titles(spark):
     cases = {
         "<title> A </title><h1>B</h1>": "A", "<title></title><h1>B &lt;</h1>": "B <",
