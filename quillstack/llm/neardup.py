@@ -27,11 +27,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack.functions.windows import salted_join
-from quillstack.llm.common import U64, Words, grams, map_batches, mix, release_shuffles, written
+from quillstack.llm.common import U64, Words, discard, grams, map_batches, mix, release_shuffles, written
 
 GRAM, SKETCHES, LEAST = 5, 32, 0.8
 #: Words of a run, how many kept runs two texts must share (fewer if the texts are too short), and bins of the runs' counts.
@@ -332,40 +332,60 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFr
     return map_batches(rows, make, "a long, b long")
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of (doc, text) whose id may be among ``ids``, chosen inside the task; texts that nobody asks for are not shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids))
+
+    def make():
+        bits = shared.value
+
+        def one(batch):
+            yield batch.filter(pa.array(has_bit(bits, batch.column(0).to_numpy().view(U64))))
+
+        return one
+
+    return map_batches(docs, make, "doc long, text string")
+
+
 def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar, written; ``docs`` has their texts (doc, text)."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    texts = written(docs.join(asked.hint("shuffle_hash"), "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")), "neardup-texts")
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "neardup-asked")
+    texts = texts_of(docs.select("doc", "text"), asked).join(asked.hint("shuffle_hash"), "doc", "left_semi")
+    texts = written(texts.groupBy("doc").agg(F.min("text").alias("text")), "neardup-texts")
     release_shuffles(docs.sparkSession)
     links = written(verified(pairs, texts), "neardup-links")
+    discard(texts, asked)
     release_shuffles(docs.sparkSession)
     return links
 
 
 def members_of(met: DataFrame, facts: DataFrame) -> DataFrame:
-    """``met`` (key, place, doc) with the facts (rep, n, class, size) of representatives, where a key lies in two classes and more."""
-    # Place and number of words travel as one number, and rows are dealt by key once for the counts and the join.
-    rows = met.join(facts.drop("size").hint("shuffle_hash"), F.col("doc") == F.col("rep"))
-    rows = rows.select("key", "rep", "class", (F.col("place").cast("long") * (1 << 32) + F.col("n")).alias("at")).repartition("key")
-    several = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("key")
-    rows = rows.join(several.hint("merge"), "key", "left_semi")
-    sizes = facts.groupBy("class").agg(F.first("size").alias("size"))
-    rows = salted_join(rows, sizes, ["class"])
-    return rows.select("key", "rep", "class", "size", F.col("at").bitwiseAND(0xFFFFFFFF).alias("n"), F.shiftright("at", 32).cast("int").alias("place"))
+    """``met`` (key, place, doc) with the facts (rep, n, class, size) of representatives; ``others``: members of the key in other classes.
+
+    Keys that lie in one class only are left out.
+    """
+    # Place and number of words travel as one number; the rows are dealt by key once.
+    rows = met.join(facts.hint("shuffle_hash"), F.col("doc") == F.col("rep"))
+    rows = rows.select("key", "rep", "class", "size", (F.col("place").cast("long") * (1 << 32) + F.col("n")).alias("at")).repartition("key")
+    every, own = F.count("*").over(Window.partitionBy("key")), F.count("*").over(Window.partitionBy("key", "class"))
+    rows = rows.withColumn("own", own).withColumn("others", every - F.col("own")).filter("others > 0")
+    return rows.select(
+        "key", "rep", "class", "size", F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("n"), F.shiftright("at", 32).cast("int").alias("place"),
+        F.least("others", F.lit(2**31 - 1)).cast("int").alias("others"),
+    )
 
 
 def apart(members: DataFrame, asking: DataFrame, run: int, least: float = LEAST) -> DataFrame:
     """(a, b): the texts of different classes that share enough keys to be similar; the one of the smaller class asks.
 
-    Only the texts in ``asking`` (rep) ask. Runs that occur once in both texts must lie where the allowed edits
+    ``asking`` are the members whose texts ask. Runs that occur once in both texts must lie where the allowed edits
     before and after them can bring them together. Lists hold the members of a class that a hash puts together, so what
     a task counts at a time is bounded, and every meeting of two texts is counted in one place.
     """
     lists = F.ceil(F.col("size") / LISTED)
     chunk = F.pmod(F.xxhash64("rep"), lists).cast("int")
     listed = members.withColumn("chunk", chunk).groupBy("key", "class", "size", "chunk").agg(F.collect_list(F.struct("rep", "n", "place")).alias("list"))
-    own = members.join(asking, "rep", "left_semi")
-    x = own.select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("class").alias("ac"), F.col("size").alias("asize"))
+    x = asking.select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("class").alias("ac"), F.col("size").alias("asize"))
     before = (F.col("asize") < F.col("size")) | ((F.col("asize") == F.col("size")) & (F.col("ac") < F.col("class")))
     longest = F.array_max("list.n")
     near = F.array_min("list.n") * least <= F.col("an") + 1
@@ -406,11 +426,18 @@ def apart(members: DataFrame, asking: DataFrame, run: int, least: float = LEAST)
 
 def busy(members: DataFrame) -> DataFrame:
     """(rep): texts that would meet more than BUSY texts of other classes for each of their words."""
-    own = members.groupBy("key", "class").agg(F.count("*").alias("own"))
-    all_ = own.groupBy("key").agg(F.sum("own").alias("c"))
-    others = own.join(all_, "key").select("key", "class", (F.col("c") - F.col("own")).alias("c"))
-    met = salted_join(members.select("key", "class", "rep", "n"), others, ["key", "class"])
-    return met.groupBy("rep", "n").agg(F.sum("c").alias("c")).filter(F.col("c") > BUSY * F.col("n")).select("rep")
+    met = members.groupBy("rep").agg(F.sum(F.col("others").cast("long")).alias("met"), F.first("n").alias("n"))
+    return met.filter(F.col("met") > BUSY * F.col("n")).select("rep")
+
+
+#: Ids that are sent to every task rather than shuffled for.
+FEW = 100_000
+
+
+def split_by(members: DataFrame, crowd: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members whose texts are in ``crowd`` (rep), and the others."""
+    side = F.broadcast(crowd) if crowd.count() <= FEW else crowd.hint("merge")
+    return members.join(side, "rep", "left_semi"), members.join(side, "rep", "left_anti")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -431,6 +458,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     middle = written(middle.filter("n > 1").select("key", "middle"), "neardup-buckets")
     pairs = buckets.join(middle, "key").filter("rep <> middle").select(F.least("rep", "middle").alias("a"), F.greatest("rep", "middle").alias("b"))
     pairs = written(pairs.distinct(), "neardup-pairs")
+    discard(made)
     release_shuffles(spark)
     links = linked(pairs, usable)
     # Rows of one id with different words tie their representatives together.
@@ -442,16 +470,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     facts = written(salted_join(facts, facts.groupBy("class").agg(F.count("*").alias("size")), ["class"]), "neardup-facts")
     counts = run_counts(usable, [1, RUN])
     twice = kept_labels(usable, counts[RUN], RUN).groupBy("key").agg(F.sum("times").alias("times")).filter("times > 1").select("key")
-    twice = bitmap_of(written(twice, "neardup-twice"))
+    twice = written(twice, "neardup-twice")
     release_shuffles(spark)
-    members = written(members_of(met_labels(usable, counts[RUN], RUN, twice), facts), "neardup-members")
+    members = written(members_of(met_labels(usable, counts[RUN], RUN, bitmap_of(twice)), facts), "neardup-members")
+    discard(twice)
     release_shuffles(spark)
     crowd = written(busy(members), "neardup-busy")
-    more = apart(members, members.select("rep").distinct().join(crowd, "rep", "left_anti"), RUN)
+    more = written(apart(members, split_by(members, crowd)[1], RUN).distinct(), "neardup-more")
+    discard(members)
+    release_shuffles(spark)
     if not crowd.isEmpty():
-        asked = usable.join(crowd.select(F.col("rep").alias("doc")).hint("shuffle_hash"), "doc", "left_semi")
-        asked = bitmap_of(written(kept_labels(asked, counts[1], 1).select("key").distinct(), "neardup-asked"))
-        more = more.unionByName(apart(written(members_of(met_labels(usable, counts[1], 1, asked), facts), "neardup-members"), crowd, 1))
+        asked = written(kept_labels(texts_of(usable, crowd.select(F.col("rep").alias("doc"))), counts[1], 1).select("key").distinct(), "neardup-asked")
+        single = written(members_of(met_labels(usable, counts[1], 1, bitmap_of(asked)), facts), "neardup-members")
+        release_shuffles(spark)
+        more = written(more.unionByName(apart(single, split_by(single, crowd)[0], 1)), "neardup-more")
+        discard(single)
+        release_shuffles(spark)
     more = written(more.distinct().join(pairs, ["a", "b"], "left_anti"), "neardup-apart")
     release_shuffles(spark)
     joined = components(joined.select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(linked(more, usable)))

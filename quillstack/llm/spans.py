@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quillstack.functions.windows import salted_join
 from quillstack.llm.common import U64, Words, grams, keys, map_batches, mix, release_shuffles, written
-from quillstack.llm.neardup import bitmap_of, has_bit
+from quillstack.llm.neardup import bitmap_of, has_bit, texts_of
 
 SPAN, CORE = 20, 5
 PIECE = "least long, piece long, doc long, at int, n int, again boolean"
@@ -57,21 +57,6 @@ class Edges:
         self.at = inside - words.first[self.row]
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of (doc, text) whose id may be among ``ids``, chosen inside the task."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids))
-
-    def make():
-        bits = shared.value
-
-        def one(batch):
-            yield batch.filter(pa.array(has_bit(bits, batch.column(0).to_numpy().view(U64))))
-
-        return one
-
-    return map_batches(docs, make, "doc long, text string")
-
-
 def pieces(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
     """PIECE rows of (doc, text): minimiser, hash, place and number of windows; ``again``: a window recurs in its document.
 
