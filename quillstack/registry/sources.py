@@ -118,6 +118,25 @@ def s9(spark, folder):
     return docs.select("doc_id", files.decode_bytes(raw).alias("text"))
 
 
+@register(
+    "s1_affected_rows",
+    """
+SELECT 'update' AS statement, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 1000) AS n, 0 AS total
+UNION ALL SELECT 'delete', (SELECT count(*) FROM orders WHERE o_orderpriority LIKE '5%'), 0
+UNION ALL SELECT 'left', count(*), floor(sum(CASE WHEN o_orderstatus = 'O' AND o_totalprice > 1000 THEN 1 ELSE 0 END))::INT FROM orders WHERE o_orderpriority NOT LIKE '5%'
+""",
+)
+def s1_affected(spark, folder):
+    """Rows that an update and a deletion touch, counted by the writes themselves."""
+    table = SnapshotTable(spark, shared_dir(spark, "orders"))
+    table.write(load_table(spark, folder, "orders"))
+    updated = table.update("o_orderstatus = 'O' AND o_totalprice > 1000", {"o_orderstatus": "'X'", "o_totalprice": "o_totalprice * 2"})
+    deleted = table.delete("o_orderpriority LIKE '5%'")
+    left = table.read().agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "X").cast("int").alias("total")).select(F.lit("left").alias("statement"), "n", "total")
+    done = spark.createDataFrame([("update", updated, 0), ("delete", deleted, 0)], "statement string, n long, total int")
+    return done.unionByName(left)
+
+
 @register("s10_list_files")
 def s10(spark, folder):
     """Names and sizes of the table files below the given folder."""

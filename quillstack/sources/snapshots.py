@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -61,6 +62,30 @@ class SnapshotTable:
         self._drop_before(version)
         return version
 
+    def delete(self, where: str | Column) -> int:
+        """Write the next snapshot without the rows that ``where`` holds for, and return their number.
+
+        They are counted in the pass that writes, so the table is read once.
+        """
+        doomed = F.coalesce(F.expr(where) if isinstance(where, str) else where, F.lit(False))
+        seen = Observation()
+        rows = self.read().observe(seen, F.count_if(doomed).alias("affected"))
+        self.write(rows.filter(~doomed))
+        return seen.get["affected"]
+
+    def update(self, where: str | Column, values: dict[str, str | Column]) -> int:
+        """Write the next snapshot with new ``values`` where ``where`` holds, and return the number of rows changed.
+
+        Values are computed from the row as it was.
+        """
+        hit = F.coalesce(F.expr(where) if isinstance(where, str) else where, F.lit(False))
+        old = self.read()
+        seen = Observation()
+        counted = old.observe(seen, F.count_if(hit).alias("affected"))
+        made = {c: F.when(hit, F.expr(v) if isinstance(v, str) else v).otherwise(F.col(c)).cast(old.schema[c].dataType) for c, v in values.items()}
+        self.write(counted.withColumns(made))
+        return seen.get["affected"]
+
     def _drop_before(self, version: int) -> None:
         jvm = self.spark._jvm
         for old in sorted(v for v, done in self._folders().items() if done and v < version)[: -self.keep]:

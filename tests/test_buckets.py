@@ -132,3 +132,14 @@ def test_live_segments_equal_the_batch(spark):
     columns = ["room", "speaker", "start", "end", "text", "confidence", "segments"]
     batch = merge_segments(every.filter("order <> 999"), ["room"], 4.0)
     assert sorted(map(str, table.read().select(*columns).collect())) == sorted(map(str, batch.select(*columns).collect()))
+
+
+def test_rows_are_counted_by_the_write(spark):
+    from quillstack.sources.snapshots import SnapshotTable
+
+    table = SnapshotTable(spark, shared_dir(spark, "counted"))
+    table.write(frame(spark, [(k, None if k == 9 else k * 10) for k in range(10)]))
+    assert table.update("v >= 50", {"v": "v + k", "k": F.col("k") + 100}) == 4
+    assert state(table) == {0: 0, 1: 10, 2: 20, 3: 30, 4: 40, 105: 55, 106: 66, 107: 77, 108: 88, 9: None}
+    assert table.delete(F.col("v") > 60) == 3 and table.delete("v > 60") == 0
+    assert sorted(state(table)) == [0, 1, 2, 3, 4, 9, 105]
