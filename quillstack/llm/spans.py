@@ -26,8 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstack.functions.windows import salted_join
-from quillstack.llm.common import U64, Words, grams, keys, map_batches, mix, release_shuffles, written
+from quillstack.llm.common import U64, Words, discard, grams, keys, map_batches, mix, release_shuffles, written
 from quillstack.llm.neardup import bitmap_of, has_bit, texts_of
 
 SPAN, CORE = 20, 5
@@ -129,15 +128,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     several = written(pieces(base).groupBy("least").agg(weight.alias("times")).filter("times > 1").select("least"), "spans-least")
     release_shuffles(spark)
     found = written(pieces(base, bitmap_of(several)).join(several, "least", "left_semi"), "spans-pieces")
+    discard(several)
     release_shuffles(spark)
     # The source of each piece is its first occurrence; a minimiser with several pieces is a branch.
     source = found.groupBy("least", "piece").agg(F.min(F.struct("doc", "at")).alias("source"), F.max("again").alias("again"))
-    source = written(source, "spans-sources")
-    branch = written(source.groupBy("least").agg(F.count("*").alias("k")).filter("k > 1").select("least"), "spans-branches")
-    source = source.join(branch.withColumn("branches", F.lit(True)), "least", "left").select(
+    first_met = written(source, "spans-sources")
+    branch = written(first_met.groupBy("least").agg(F.count("*").alias("k")).filter("k > 1").select("least"), "spans-branches")
+    source = first_met.join(branch.withColumn("branches", F.lit(True)), "least", "left").select(
         "least", "piece", "source", (F.coalesce("branches", F.lit(False)) | F.col("again")).alias("open")
     )
-    met = written(found.drop("again").join(written(source, "spans-sources"), ["least", "piece"]), "spans-met")
+    met = written(found.drop("again").join(source, ["least", "piece"]), "spans-met")
+    discard(found, first_met, branch)
     release_shuffles(spark)
     first = (F.col("source.doc") == F.col("doc")) & (F.col("source.at") == F.col("at"))
     whole = met.filter(~first).select("doc", "at", "n", F.col("source.doc").alias("source"), F.col("source.at").alias("source_at"))
@@ -146,12 +147,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     open_ = written(open_, "spans-open")
     branching = texts_of(base, open_.select("doc")).join(open_.hint("shuffle_hash"), "doc").select("doc", "text", "wanted")
     edges = written(windows_of(branching), "spans-edges")
+    discard(open_)
     release_shuffles(spark)
     origin = edges.groupBy("least", "hash").agg(F.min(F.struct("doc", "at")).alias("source"), F.count("*").alias("times"))
     origin = written(origin.filter("times > 1").drop("times"), "spans-origins")
     single = edges.join(origin, ["least", "hash"]).filter(~first).select(
         "doc", "at", F.lit(1).alias("n"), F.col("source.doc").alias("source"), F.col("source.at").alias("source_at")
     )
+    single = written(single, "spans-single")
+    discard(edges, origin)
+    release_shuffles(spark)
     # Fragments on one line of (place, source place) that touch are one path.
     line = Window.partitionBy("doc", "source", "shift").orderBy("at")
     both = whole.unionByName(single).withColumn("shift", F.col("at") - F.col("source_at"))
@@ -161,8 +166,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
         F.min("at").alias("at"), F.sum("n").cast("int").alias("n"), F.min("source_at").alias("source_at")
     )
     spans = written(spans.select("doc", "at", "n", "source", "source_at"), "spans-proposed")
+    discard(met, single)
+    release_shuffles(spark)
+    out = written(verified(spans, base), "spans")
+    discard(spans)
     release_shuffles(spark)
-    return written(verified(spans, base), "spans")
+    return out
 
 
 def verified(spans: DataFrame, base: DataFrame, span: int = SPAN) -> DataFrame:
@@ -180,7 +189,7 @@ def verified(spans: DataFrame, base: DataFrame, span: int = SPAN) -> DataFrame:
                     docs.append(doc)
                     at.append(p["at"])
                     n.append(p["n"])
-                    digests.append(hashlib.blake2b(b" ".join(words[p["at"] : p["at"] + p["n"] + span - 1]), digest_size=32).digest())
+                    digests.append(hashlib.blake2b(b" ".join(words[p["at"] : p["at"] + p["n"] + span - 1]), digest_size=16).digest())
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(digests, pa.binary())], ["doc", "at", "n", "words"])
 
         return one
@@ -188,9 +197,11 @@ def verified(spans: DataFrame, base: DataFrame, span: int = SPAN) -> DataFrame:
     # Rows that share an id have several texts at one place: their words count as unequal.
     read = map_batches(rows, make, "doc long, at int, n int, words binary")
     read = written(read.groupBy("doc", "at", "n").agg(F.min("words").alias("words"), F.max("words").alias("last")).filter("words = last").drop("last"), "spans-words")
+    discard(asked)
+    release_shuffles(base.sparkSession)
     there = read.select(F.col("doc").alias("source"), F.col("at").alias("source_at"), "n", F.col("words").alias("source_words"))
-    # A passage may be the source of very many spans.
-    both = salted_join(spans.join(read, ["doc", "at", "n"]), there, ["source", "source_at", "n"])
+    # A passage may be the source of very many spans: Spark splits the larger partitions of a merge join.
+    both = spans.join(read, ["doc", "at", "n"]).join(there.hint("merge"), ["source", "source_at", "n"])
     return both.filter("words = source_words").select("doc", "at", "n", "source", "source_at")
 
 
