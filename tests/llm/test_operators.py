@@ -466,6 +466,64 @@ def test_quotes_of_recurring_lines(spark):
     assert got == {1: None, 2: None, 5: None, 6: 5, 300: 5, 301: None, 302: 2, 303: 301, 304: 300}
 
 
+def test_quotes_between_replies(spark):
+    """Quote, reply, wrapped quote, reply: every run finds its own origin."""
+    rows = [
+        (1, "Shall we meet at noon"), (2, "The red door\nis open all day"), (3, "> Shall we meet at noon\nYes\n\n> The red door is\n> open all day\nGood"),
+        (4, "> Good\n>> The red door is\n>> open all day\nFine"), (5, "> Yes\n> Good\nBoth"),
+    ]
+    found = quotes.link_quotes(spark.createDataFrame([("c", *r) for r in rows], "conv_id string, turn long, text string"))
+    got = {r["turn"]: r for r in found.collect()}
+    assert got[3]["answers"] == [1, 2] and got[3]["reply_to"] == 2 and got[3]["body"] == "Yes\n\nGood"
+    assert got[4]["answers"] == [3] and got[5]["reply_to"] == 3 and (got[5]["root"], got[5]["depth"]) == (2, 2)
+    threads = {r["root"]: [m["turn"] for m in r["messages"]] for r in quotes.conversations(found).collect()}
+    assert threads == {1: [1], 2: [2, 3, 4, 5]}
+
+
+def test_quotes_against_brute_force(spark):
+    """Random conversations: the origin with most votes, found by looking at all earlier messages."""
+    rnd, rows = random.Random(31), []
+    for turn in range(60):
+        parts = []
+        for _ in range(rnd.randrange(1, 4)):
+            if turn and rnd.random() < 0.6:
+                own = [x for x in rnd.choice(rows)[1].split("\n") if not x.startswith(">")]
+                text = " ".join(own) if rnd.random() < 0.5 else "\n".join(own)
+                words_ = text.split(" ")
+                cut = rnd.randrange(1, len(words_) + 1)
+                parts += [f"> {x}" for x in (" ".join(words_[:cut]) + "\n" + " ".join(words_[cut:])).split("\n") if x]
+            parts.append(" ".join(f"w{rnd.randrange(12)}" for _ in range(rnd.randrange(1, 5))))
+        rows.append((turn, "\n".join(parts)))
+
+    def runs(text):
+        out = []
+        for line in text.split("\n"):
+            level, norm = int(line.startswith(">")), " ".join(line.lstrip("> ").lower().split())
+            if out and out[-1][0] == level:
+                out[-1][1].append(norm)
+            else:
+                out.append((level, [norm]))
+        return out
+
+    want = {}
+    for turn, text in rows:
+        votes = {}
+        for level, lines in runs(text):
+            if level:
+                for passage, n in [((x,), 1) for x in lines] + [(" ".join(lines), len(lines))]:
+                    origin = None
+                    for earlier, other in rows[:turn]:
+                        own = [r for lev, r in runs(other) if lev == 0]
+                        whole = [" ".join(x) for x in own] + [" ".join(" ".join(x) for x in own)]
+                        if passage in whole if isinstance(passage, str) else any(passage[0] in x for x in own):
+                            origin = earlier
+                    if origin is not None:
+                        votes[origin] = votes.get(origin, 0) + n
+        want[turn] = max(votes, key=lambda o: (votes[o], o)) if votes else None
+    found = quotes.link_quotes(spark.createDataFrame([("c", *r) for r in rows], "conv_id string, turn long, text string")).collect()
+    assert {r["turn"]: r["reply_to"] for r in found} == want and any(v is not None for v in want.values())
+
+
 def test_long_reply_chain(spark):
     rows = [("c", i, f"> line {i - 1}\nline {i}" if i else "line 0") for i in range(60)]
     found = quotes.link_quotes(spark.createDataFrame(rows, "conv_id string, turn long, text string")).collect()
