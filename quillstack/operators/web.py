@@ -263,10 +263,10 @@ def html_to_markdown(html: Column, selectors: list[str] | None = None) -> Column
         return F.when(page.rlike(r"(?i)<table\b"), F.array_join(mixed, "")).otherwise(_apply(page, MARKDOWN_RULES))
 
     def written(page: Column) -> Column:
-        plain = lambda p: _apply(unescape(converted(p)), TIDY_RULES)
+        plain = lambda p: _apply(let(converted(p), unescape), TIDY_RULES)
         return F.when(page.rlike(STRUCTURED), _restored(let(_structured(page), plain))).otherwise(plain(page))
 
-    return strip(let(_quoted_attributes(body), written))
+    return strip(let(let(body, _quoted_attributes), written))
 
 
 def is_valid_content(text: Column, min_length: int = 100) -> Column:
