@@ -106,7 +106,7 @@ def threads(answers: DataFrame) -> DataFrame:
     while True:
         up = state.filter("depth > 0").select("conv", F.col("turn").alias("root"), F.col("root").alias("above"), F.col("depth").alias("more"))
         # In the end all messages of a long conversation point to one root.
-        step = salted_join(state, up, ["conv", "root"], how="left").select(
+        step = salted_join(state, up.hint("merge"), ["conv", "root"], how="left").select(
             "conv", "turn", F.coalesce("above", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
             F.col("above").isNotNull().alias("moved"),
         )
