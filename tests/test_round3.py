@@ -30,3 +30,16 @@ def test_context_reads_every_event(spark, folder, tmp_path):
 def test_context_sql_covers_every_event(spark, folder):
     ok, message, _, _ = compare(spark, duck(folder), folder, "e19", entry.queries()["e19_execution_context"], entry.oracle_sql()["e19_execution_context"])
     assert ok, message
+
+
+def test_pages_of_one_url_and_time_give_one_document(spark):
+    """w11: the hash that is reported is that of the text that is chunked, the greatest of equally late ones."""
+    at = datetime.datetime(2024, 1, 1)
+    texts = [f"{chr(97 + i)} " * (40 * (i + 1)) for i in range(12)]
+    rows = [("web", f"http://a.com/{u}", t, at) for u in range(6) for t in texts[u:] + texts[:u]]
+    incoming = spark.createDataFrame(rows, "collection string, source_path string, content string, uploaded_at timestamp").repartition(5)
+    done = ingest(empty_state(incoming), incoming, ck.ChunkConfig(80, 10))
+    want = spark.range(1).select(F.sha2(F.lit(max(texts)), 256)).first()[0]
+    assert {(r["content_hash"], r["chunks"] > 10) for r in done.report.collect()} == {(want, True)}
+    assert {r["text"][0] for r in done.chunks.collect()} == {"l"}
+    assert {r["content_hash"] for r in done.documents.collect()} == {want}
