@@ -76,11 +76,15 @@ class LiveTextIndex:
     def _write(self, version: int, postings: DataFrame | None, documents: DataFrame) -> None:
         if postings is not None:
             rows = postings.withColumn("bucket", self._bucket(F.col("term")))
-            # Frequent terms would make one writer per bucket slow, so each bucket has several.
-            spread = rows.repartition("bucket", F.pmod(F.xxhash64(*self.ids), F.lit(8)))
-            self.postings.write(spread.sortWithinPartitions("bucket", "term"), version)
+            # Postings are written where their texts were dealt to: a file for each bucket and task, nothing is shuffled again.
+            self.postings.write(rows.sortWithinPartitions("bucket", "term"), version)
             bounds = self.postings.read(version, rows.schema).groupBy("bucket", "term").agg(F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"))
             self.terms.write(bounds.repartition("bucket").sortWithinPartitions("bucket", "term"), version)
+        if postings is not None and "doc_len" not in documents.columns:
+            # The postings tell the lengths: texts are read once.
+            lengths = self.postings.read(version, rows.schema).groupBy(*self.ids).agg(F.max("doc_len").alias("doc_len"))
+            known = documents.join(lengths, self.ids, "left")
+            documents = known.select(*self.ids, F.coalesce("doc_len", F.lit(0).cast("long")).alias("doc_len"), F.lit(False).alias("gone"))
         self.documents.write(documents, version)
 
     def _documents(self, first: int, last: int) -> DataFrame | None:
@@ -112,8 +116,7 @@ class LiveTextIndex:
 
     def upsert(self, corpus: DataFrame, text: str = "text") -> None:
         """Add or replace documents; ids are unique in a batch."""
-        documents = corpus.select(*self.ids, F.coalesce(ts.count_words(F.col(text)).cast("long"), F.lit(0)).alias("doc_len"), F.lit(False).alias("gone"))
-        self._change(ts.postings(corpus, self.ids, text), documents)
+        self._change(ts.postings(corpus, self.ids, text), corpus.select(*self.ids))
 
     def delete(self, ids: DataFrame) -> None:
         self._change(None, ids.select(*self.ids).distinct().select("*", F.lit(0).cast("long").alias("doc_len"), F.lit(True).alias("gone")))
