@@ -2,6 +2,7 @@
 
 import datetime
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -10,6 +11,7 @@ from quillstack.operators import chunk as ck
 from quillstack.operators import runlog as rl
 from quillstack.operators import textsearch as ts
 from quillstack.plans.ingest import empty_state, ingest
+from quillstack.streaming import streams as st
 
 
 def test_context_reads_every_event(spark, folder, tmp_path):
@@ -59,3 +61,26 @@ def test_postings_move_texts_not_words(spark):
     found = ts.postings(df, ["id"])  # planned anew: a plan that has run shows its stages twice
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan, plan
+
+
+def test_a_new_part_looks_nothing_up():
+    """r5: a part's first report costs no look-up of its steps or timers; repeated steps of a batch are written once."""
+    calls = []
+
+    class Store:
+        def __init__(self, name, found):
+            self.name, self.found = name, found
+
+        def __getattr__(self, what):
+            return lambda *args: (calls.append((self.name, what)), self.found)[1]
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    step_counts = st.StepCounts()
+    step_counts.done, step_counts.counts, step_counts.handle = Store("done", None), Store("counts", None), Store("timers", None)
+    rows = pd.DataFrame({"step": ["a", "b", "a", None], "done": [False, True, True, True], "at": [1, 2, 3, 4], "ts": pd.to_datetime([1, 2, 3, 4], unit="ms")})
+    out = next(step_counts.handleInputRows((7, 0), iter([rows]), Times()))
+    assert out.values.tolist() == [[7, 0, 2, 2]]
+    assert calls == [("counts", "get"), ("done", "updateValue"), ("done", "updateValue"), ("counts", "update"), ("timers", "registerTimer")]
