@@ -23,10 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import map_batches, once_per_worker
+from quillstack.llm.common import map_batches, once_per_worker, parts_of
 
 #: Pieces of text, words and pairs of tokens that a worker remembers: the first it meets, the frequent ones among them.
 KEPT = 150_000
+#: Bytes of text encoded at a time: ids and decoded texts of so much stand beside the batch.
+PART = 1 << 20
 
 
 def byte_letters() -> list[str]:
@@ -220,19 +222,20 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, out: st
         encoder = once_per_worker(f"bpe {name}", lambda: Encoder(spec.value))
         tokens = once_per_worker(f"tokens {name}", lambda: _tokens(spec.value)) if decoded else None
 
-        def one(batch):
-            ids = [encoder.encode(t or "") for t in batch.column(where).to_pylist()]
-            sizes = np.array([len(x) // 4 for x in ids], np.int64)
-            flat = np.frombuffer(b"".join(ids), np.int32)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            columns = [*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(flat))]
-            if decoded:
-                columns.append(_texts(tokens, flat, sizes))
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *new])
+        def one(whole):
+            for batch in parts_of(whole, where, PART):
+                ids = [encoder.encode(t or "") for t in batch.column(where).to_pylist()]
+                sizes = np.array([len(x) // 4 for x in ids], np.int64)
+                flat = np.frombuffer(b"".join(ids), np.int32)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                columns = [*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(flat))]
+                if decoded:
+                    columns.append(_texts(tokens, flat, sizes))
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *new])
 
         return one
 
-    return map_batches(kept, make, schema)
+    return map_batches(kept, make, schema, keeps=True)
 
 
 def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, out: str = "decoded") -> DataFrame:
@@ -253,4 +256,4 @@ def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, out: str
 
         return one
 
-    return map_batches(kept, make, schema)
+    return map_batches(kept, make, schema, keeps=True)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +42,14 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
-    """mapInArrow with state made once per task by ``make``."""
+def map_batches(
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str, keeps: bool = False
+) -> DataFrame:
+    """mapInArrow with state made once per task by ``make``; only with ``keeps`` does the worker go on keeping what earlier tasks kept."""
 
     def run(batches):
+        if not keeps:
+            forget_kept()
         one = make()
         for batch in batches:
             if batch.num_rows:
@@ -52,15 +59,31 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
 
 
 def once_per_worker(name: str, make: Callable[[], object]) -> object:
-    """``make()``, kept for later tasks of the same Python worker; it must depend on ``name`` alone."""
-    import sys
-
+    """``make()``, kept for later tasks of the same Python worker until a step that keeps nothing runs there; it must depend on ``name`` alone."""
     kept = vars(sys).setdefault("_quillstack_kept", {})
     if name not in kept:
         kept[name] = make()
     return kept[name]
 
 
+def forget_kept() -> None:
+    """Drop what tasks of other steps have kept in this Python worker: Spark reuses workers, and their memory is the executor's."""
+    if vars(sys).pop("_quillstack_kept", None):
+        gc.collect()
+
+
+def parts_of(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``most`` bytes in a text column; a longer row is a run of its own."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    begin, held = 0, 0
+    for row, size in enumerate(sizes.tolist()):
+        if held and held + size > most:
+            yield batch.slice(begin, row - begin)
+            begin, held = row, 0
+        held += size
+    yield batch.slice(begin)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x + _GOLD

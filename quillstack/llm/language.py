@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import map_batches
+from quillstack.llm.common import forget_kept, map_batches
 
 #: Hashed trigrams of a profile, and what is added to each count.
 BINS, SMOOTH = 1 << 17, 0.2
@@ -89,6 +89,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
 
     def count(batches):
+        forget_kept()
         letters, found = Letters(), {}
         for batch in batches:
             texts, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
