@@ -160,7 +160,8 @@ def r6_live(spark, folder):
     keys = ["user_id"]
     table = BucketTable(spark, shared_dir(spark, "segments"), [*keys, "session", "island"])
     talk = st.live_segments(rows, keys, 43_200, "1 day")
-    st.merged_segments_sink(talk, table, keys, 43_200, shared_dir(spark, "segments-checkpoint")).awaitTermination()
+    parts = st.partitions_for(spark, f"{folder}/{{events.parquet}}")
+    st.merged_segments_sink(talk, table, keys, 43_200, shared_dir(spark, "segments-checkpoint"), partitions=parts).awaitTermination()
     return table.read().select(
         "user_id", "speaker", F.round("start", 3).alias("start"), F.round("end", 3).alias("fin"), "text",
         F.round("confidence", 6).alias("confidence"), "segments",
