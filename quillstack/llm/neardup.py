@@ -8,7 +8,12 @@ a number of comparisons in proportion to its size. A pair is a link if 1 - edits
 0.8, the edits (words inserted, deleted or replaced) counted by a bit-parallel alignment inside a band of the allowed
 width. Classes are connected by links; the class id is the smallest document id.
 
-What the buckets leave apart is completed without chance. An edit changes as many labelled runs as a run has words, at
+What the buckets leave apart is completed without chance. An edit breaks one of a text's disjoint runs at most, and what it
+leaves whole stands in the other text too. So a text with more disjoint runs (words and runs of three) that no other class
+has than its length allows edits is like no text of another class, and is done. Which runs two classes have is found by
+sorted hashes, dealt by hash; a bitmap tells it to the tasks, and its false hits only keep a text.
+
+The texts that are left (long common passages, few words) meet by their rare runs. An edit changes as many labelled runs as a run has words, at
 most, so two similar texts agree in a known number of them; of each text, so many of the rarest runs are kept that similar
 texts must agree in some kept ones (a prefix filter). Rarity is a count by hash bin: it orders the runs and decides the cost, never
 the result. Kept runs that no other text keeps are dropped inside the task by a bitmap of the runs kept twice;
@@ -31,13 +36,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack.functions.windows import salted_join
-from quillstack.llm.common import U64, Words, discard, grams, map_batches, mix, release_shuffles, written
+from quillstack.llm.common import U64, Words, discard, forget_kept, grams, map_batches, mix, release_shuffles, written
 
 GRAM, SKETCHES, LEAST = 5, 32, 0.8
 #: Words of a run, how many kept runs two texts must share (fewer if the texts are too short), and bins of the runs' counts.
 RUN, SHARED, BINS, CHUNK = 2, 4, 1 << 22, 1 << 14
 #: Members of a class in a list; meetings for each word from which a text asks by single words; bits for each run met twice, and of a bitmap.
 LISTED, BUSY, SPARSE, BITMAP = 256, 32, 16, 1 << 29
+#: Words of the runs that classes are told apart by, runs that a task gathers before it sends them, and runs of all texts for each part.
+OWN, GATHERED, PART = (1, 3), 1 << 20, 1 << 19
 
 
 def edits_within(a: list, b: list, most: int) -> int | None:
@@ -245,6 +252,147 @@ def met_labels(docs: DataFrame, counts: np.ndarray, run: int, bitmap: np.ndarray
     return map_batches(docs, make, "key long, place int, doc long")
 
 
+def with_classes(docs: DataFrame, reps: DataFrame, facts: DataFrame) -> DataFrame:
+    """(doc, class, text): each different text of (doc, text) with its class; only texts that copies or a class may tie to others are shuffled."""
+    tied = reps.filter("doc <> rep").select("doc").unionByName(facts.filter("size > 1").select(F.col("rep").alias("doc"))).distinct()
+    bits = bitmap_of(written(tied, "neardup-tied"))
+    several = texts_of(docs, bits).join(facts.select(F.col("rep").alias("doc"), "class").hint("shuffle_hash"), "doc")
+    several = written(several.select("doc", "class", "text"), "neardup-tied")
+    return texts_of(docs, bits, False).select("doc", F.col("doc").alias("class"), "text").unionByName(several)
+
+
+def _own_runs(words: Words, run: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and keys (the first ``bits`` and 32 more bits of the hash) of the runs of ``run`` words."""
+    hashes = grams(words.hashes, run, 7)
+    row = np.repeat(np.arange(len(words.first) - 1), words.counts())
+    at = np.flatnonzero(row[: len(hashes)] == row[run - 1 :]) if len(hashes) else np.empty(0, np.int64)
+    return at, hashes[at] >> U64(32 - bits)
+
+
+def _least_most(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys in order, and the least and the largest class of each."""
+    order = np.argsort(keys)
+    keys, classes = keys[order], classes[order]
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[begin], np.minimum.reduceat(classes, begin), np.maximum.reduceat(classes, begin)
+
+
+def shared_between_classes(texts: DataFrame, bits: int, width: int) -> DataFrame:
+    """(part, keys): of each of 2 ** bits parts, the keys of runs that texts (doc, class, text) of two classes have; classes have ``width`` bytes."""
+
+    def deal(keys, classes):
+        keys, least, most = _least_most(np.concatenate(keys), np.concatenate(classes))
+        # A key goes once for the class that has it, twice if several have: never once for each text.
+        twice = least != most
+        at = np.cumsum(1 + twice) - 1
+        sent = np.repeat(least, 1 + twice)
+        sent[at] = most
+        keys = np.repeat(keys, 1 + twice)
+        part = (keys >> U64(32)).astype(np.int64)
+        begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        ends = np.append(begin, len(part)).astype(np.int32)
+        low = (keys & U64(0xFFFFFFFF)).astype("<u4")
+        trimmed = np.ascontiguousarray(sent.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width])
+        blobs = [pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends * np.int32(n)), pa.py_buffer(x)]) for n, x in ((4, low), (width, trimmed))]
+        return pa.RecordBatch.from_arrays([pa.array(part[begin]), *blobs], ["part", "keys", "classes"])
+
+    def gather(batches):
+        forget_kept()
+        keys, classes, held = [], [], 0
+        for batch in batches:
+            words = Words(batch.column(2))
+            own = np.repeat(batch.column(1).to_numpy(), words.counts())
+            for run in OWN:
+                at, key = _own_runs(words, run, bits)
+                keys.append(key)
+                classes.append(own[at])
+                held += len(at)
+            if held >= GATHERED:
+                yield deal(keys, classes)
+                keys, classes, held = [], [], 0
+        if held:
+            yield deal(keys, classes)
+
+    def meet(table):
+        low = np.frombuffer(b"".join(table.column("keys").to_pylist()), "<u4")
+        trimmed = np.frombuffer(b"".join(table.column("classes").to_pylist()), np.uint8).reshape(-1, width)
+        classes = np.zeros((len(trimmed), 8), np.uint8)
+        classes[:, :width] = trimmed
+        keys, least, most = _least_most(low, classes.view("<i8")[:, 0])
+        return pa.table({"part": table.column("part").slice(0, 1), "keys": pa.array([keys[least != most].tobytes()], pa.binary())})
+
+    dealt = texts.mapInArrow(gather, "part long, keys binary, classes binary")
+    return dealt.groupBy("part").applyInArrow(meet, "part long, keys binary")
+
+
+def bitmap_of_parts(parts: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap by the first bits of the keys of (part, keys), each part marking its own stretch; at most ``BITMAP`` bits."""
+    n = parts.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
+    size = min(BITMAP, 1 << max(20, bits + 3, (SPARSE * n).bit_length()))
+    each, shift = size >> bits, 32 + bits - (size.bit_length() - 1)
+
+    def mark(batches):
+        for batch in batches:
+            for part, keys in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                marks = np.zeros(each, bool)
+                marks[np.frombuffer(keys, "<u4") >> np.uint32(shift)] = True
+                yield pa.RecordBatch.from_pydict({"part": [part], "bits": [np.packbits(marks, bitorder="little").tobytes()]})
+
+    out = np.zeros(size // 8, np.uint8)
+    for r in parts.mapInArrow(mark, "part long, bits binary").toLocalIterator():  # at most BITMAP bits
+        out[r[0] * each // 8 : (r[0] + 1) * each // 8] = np.frombuffer(r[1], np.uint8)
+    return out
+
+
+def disjoint(starts: np.ndarray, run: int) -> np.ndarray:
+    """Of runs of ``run`` words that begin at these places in order, some that share no word."""
+    if not len(starts) or run == 1:
+        return starts
+    # Stretches of consecutive places: each begins where the runs of the one before have surely ended.
+    begin = np.flatnonzero(np.append(True, np.diff(starts) > 1))
+    first, last = starts[begin], starts[np.append(begin[1:], len(starts)) - 1]
+    first = first + np.append(0, np.maximum(0, run - first[1:] + last[:-1]))
+    ahead = starts - np.repeat(first, np.diff(np.append(begin, len(starts))))
+    return starts[(ahead >= 0) & (ahead % run == 0)]
+
+
+def most_edits(sizes: np.ndarray, least: float = LEAST) -> np.ndarray:
+    """The most edits between texts of so many words and any similar text."""
+    return np.floor(np.floor(sizes / least + 1e-6) * (1 - least) + 1e-6).astype(np.int64)
+
+
+def not_alone(texts: DataFrame, bitmap: np.ndarray, bits: int) -> DataFrame:
+    """(doc, text): the texts of (doc, class, text) that may be similar to one of another class: too few disjoint runs are their class's own."""
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+    shift = 32 + bits - ((len(bitmap) * 8).bit_length() - 1)
+
+    def make():
+        marks = shared.value
+
+        def one(batch):
+            words = Words(batch.column(2))
+            sizes = words.counts()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            covered = np.zeros(len(row), bool)
+            own = np.zeros(len(sizes), np.int64)
+            for run in OWN:
+                at, keys = _own_runs(words, run, bits)
+                good = ~has_bit(marks, keys >> U64(shift))
+                for j in range(run):
+                    good &= ~covered[at + j]
+                chosen = disjoint(at[good], run)
+                for j in range(run):
+                    covered[chosen + j] = True
+                own += np.bincount(row[chosen], minlength=len(sizes))
+            most = most_edits(sizes)
+            left = batch.filter(pa.array((most > 0) & (own <= most)))
+            yield pa.RecordBatch.from_arrays([left.column(0), left.column(2)], ["doc", "text"])
+
+        return one
+
+    return map_batches(texts, make, "doc long, text string")
+
+
 def sketches(docs: DataFrame, count: int = SKETCHES, gram: int = GRAM) -> DataFrame:
     """(doc, same, keys, n): a digest of the words, a bucket key for each sketch, number of words; texts without words are left out."""
 
@@ -332,15 +480,15 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFr
     return map_batches(rows, make, "a long, b long")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of (doc, text) whose id may be among ``ids``, chosen inside the task; texts that nobody asks for are not shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids))
+def texts_of(docs: DataFrame, bitmap: np.ndarray, hit: bool = True) -> DataFrame:
+    """The rows of (doc, text) whose id the bitmap may hold (or surely does not), chosen inside the task; the others are not shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def make():
         bits = shared.value
 
         def one(batch):
-            yield batch.filter(pa.array(has_bit(bits, batch.column(0).to_numpy().view(U64))))
+            yield batch.filter(pa.array(has_bit(bits, batch.column(0).to_numpy().view(U64)) == hit))
 
         return one
 
@@ -350,7 +498,7 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar, written; ``docs`` has their texts (doc, text)."""
     asked = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "neardup-asked")
-    texts = texts_of(docs.select("doc", "text"), asked).join(asked.hint("shuffle_hash"), "doc", "left_semi")
+    texts = texts_of(docs.select("doc", "text"), bitmap_of(asked)).join(asked.hint("shuffle_hash"), "doc", "left_semi")
     texts = written(texts.groupBy("doc").agg(F.min("text").alias("text")), "neardup-texts")
     release_shuffles(docs.sparkSession)
     links = written(verified(pairs, texts), "neardup-links")
@@ -468,11 +616,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     facts = same.groupBy("rep").agg(F.max("n").alias("n")).join(joined, F.col("rep") == F.col("node"), "left")
     facts = facts.select("rep", "n", F.coalesce("least", "rep").alias("class"))
     facts = written(salted_join(facts, facts.groupBy("class").agg(F.count("*").alias("size")), ["class"]), "neardup-facts")
-    counts = run_counts(usable, [1, RUN])
-    twice = kept_labels(usable, counts[RUN], RUN).groupBy("key").agg(F.sum("times").alias("times")).filter("times > 1").select("key")
+    most = same.agg(F.sum("n")).first()[0] or 0
+    bits = min(20, max(4, (most * len(OWN) // PART).bit_length()))
+    lowest, highest = facts.agg(F.min("class"), F.max("class")).first()
+    width = 8 if (lowest or 0) < 0 else max(1, ((highest or 0).bit_length() + 7) // 8)
+    texts = with_classes(usable, reps, facts)
+    shared = written(shared_between_classes(texts, bits, width), "neardup-shared")
+    release_shuffles(spark)
+    left = written(not_alone(texts, bitmap_of_parts(shared, bits), bits), "neardup-left")
+    discard(shared)
+    counts = run_counts(left, [1, RUN])
+    twice = kept_labels(left, counts[RUN], RUN).groupBy("key").agg(F.sum("times").alias("times")).filter("times > 1").select("key")
     twice = written(twice, "neardup-twice")
     release_shuffles(spark)
-    members = written(members_of(met_labels(usable, counts[RUN], RUN, bitmap_of(twice)), facts), "neardup-members")
+    members = written(members_of(met_labels(left, counts[RUN], RUN, bitmap_of(twice)), facts), "neardup-members")
     discard(twice)
     release_shuffles(spark)
     crowd = written(busy(members), "neardup-busy")
@@ -480,15 +637,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     discard(members)
     release_shuffles(spark)
     if not crowd.isEmpty():
-        asked = written(kept_labels(texts_of(usable, crowd.select(F.col("rep").alias("doc"))), counts[1], 1).select("key").distinct(), "neardup-asked")
-        single = written(members_of(met_labels(usable, counts[1], 1, bitmap_of(asked)), facts), "neardup-members")
+        asked = written(kept_labels(texts_of(left, bitmap_of(crowd.select(F.col("rep").alias("doc")))), counts[1], 1).select("key").distinct(), "neardup-asked")
+        single = written(members_of(met_labels(left, counts[1], 1, bitmap_of(asked)), facts), "neardup-members")
         release_shuffles(spark)
         more = written(more.unionByName(apart(single, split_by(single, crowd)[0], 1)), "neardup-more")
         discard(single)
         release_shuffles(spark)
     more = written(more.distinct().join(pairs, ["a", "b"], "left_anti"), "neardup-apart")
     release_shuffles(spark)
-    joined = components(joined.select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(linked(more, usable)))
+    joined = components(joined.select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(linked(more, left)))
     found = copies.join(joined, F.col("rep") == F.col("node"), "left").select("doc", "rep", F.coalesce("least", "rep").alias("least"))
     own = docs.select(F.col(id_col).cast("long").alias("doc")).join(found, "doc", "left")
     return own.select(F.col("doc").alias("doc_id"), F.coalesce("least", "doc").alias("class_id"), F.coalesce("rep", "doc").alias("copy_of"))

@@ -147,6 +147,23 @@ def test_classes_with_a_large_class_and_texts_near_some_of_it(spark, monkeypatch
         assert found == {i: top(i) for i in ids}
 
 
+def test_texts_with_own_runs_do_not_meet_by_chance(spark, monkeypatch):
+    """Unlike texts of few words share many pairs of words; only those too like others for their own runs to tell apart meet."""
+    rnd, seen, apart = random.Random(31), [], neardup.apart
+    rows = [words(rnd, 150, 300).split() for _ in range(200)]
+    passage = words(rnd, 120, 300).split()
+    rows += [passage + words(rnd, 30, 300).split() for _ in range(2)]
+
+    def counting(members, asking, run, *more):
+        seen.extend(r[0] for r in members.select("rep").distinct().collect())
+        return apart(members, asking, run, *more)
+
+    monkeypatch.setattr(neardup, "apart", counting)
+    found = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs(spark, [(i, " ".join(w), None, None) for i, w in enumerate(rows)])).collect()}
+    assert found == {i: 200 if i == 201 else i for i in range(202)}
+    assert len(set(seen) - {200, 201}) <= 20
+
+
 def test_classes_at_the_threshold(spark):
     """Pairs of edit similarity 0.8 to 0.9, edits at random places and evenly spread, 5 to 300 words: all are found."""
     rnd, rows, pairs = random.Random(13), [], []
