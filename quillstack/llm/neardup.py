@@ -11,7 +11,8 @@ width. Classes are connected by links; the class id is the smallest document id.
 What the buckets leave apart is completed without chance. An edit breaks one of a text's disjoint runs at most, and what it
 leaves whole stands in the other text too. So a text with more disjoint runs (words and runs of three) that no other class
 has than its length allows edits is like no text of another class, and is done. Which runs two classes have is found by
-sorted hashes, dealt by hash; a bitmap tells it to the tasks, and its false hits only keep a text.
+sorted hashes, dealt by hash; a bitmap tells it to the tasks, and its false hits only keep a text. Both texts of a pair are
+kept, so those kept are looked at among themselves again while most of them go.
 
 The texts that are left (long common passages, few words) meet by their rare runs. An edit changes as many labelled runs as a run has words, at
 most, so two similar texts agree in a known number of them; of each text, so many of the rarest runs are kept that similar
@@ -362,7 +363,7 @@ def most_edits(sizes: np.ndarray, least: float = LEAST) -> np.ndarray:
 
 
 def not_alone(texts: DataFrame, bitmap: np.ndarray, bits: int) -> DataFrame:
-    """(doc, text): the texts of (doc, class, text) that may be similar to one of another class: too few disjoint runs are their class's own."""
+    """The texts of (doc, class, text) that may be similar to one of another class: too few disjoint runs are their class's own."""
     shared = texts.sparkSession.sparkContext.broadcast(bitmap)
     shift = 32 + bits - ((len(bitmap) * 8).bit_length() - 1)
 
@@ -385,12 +386,11 @@ def not_alone(texts: DataFrame, bitmap: np.ndarray, bits: int) -> DataFrame:
                     covered[chosen + j] = True
                 own += np.bincount(row[chosen], minlength=len(sizes))
             most = most_edits(sizes)
-            left = batch.filter(pa.array((most > 0) & (own <= most)))
-            yield pa.RecordBatch.from_arrays([left.column(0), left.column(2)], ["doc", "text"])
+            yield batch.filter(pa.array((most > 0) & (own <= most)))
 
         return one
 
-    return map_batches(texts, make, "doc long, text string")
+    return map_batches(texts, make, "doc long, class long, text string")
 
 
 def sketches(docs: DataFrame, count: int = SKETCHES, gram: int = GRAM) -> DataFrame:
@@ -620,11 +620,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     bits = min(20, max(4, (most * len(OWN) // PART).bit_length()))
     lowest, highest = facts.agg(F.min("class"), F.max("class")).first()
     width = 8 if (lowest or 0) < 0 else max(1, ((highest or 0).bit_length() + 7) // 8)
-    texts = with_classes(usable, reps, facts)
-    shared = written(shared_between_classes(texts, bits, width), "neardup-shared")
-    release_shuffles(spark)
-    left = written(not_alone(texts, bitmap_of_parts(shared, bits), bits), "neardup-left")
-    discard(shared)
+    # Both texts of a pair are left, so the left ones are looked at among themselves again while most of them go.
+    left, before, now = with_classes(usable, reps, facts), 0, facts.count()
+    while not before or 0 < 2 * now < before:
+        shared = written(shared_between_classes(left, bits, width), "neardup-shared")
+        release_shuffles(spark)
+        left = written(not_alone(left, bitmap_of_parts(shared, bits), bits), "neardup-left")
+        discard(shared)
+        before, now = now or 1, left.count()
+    left = left.select("doc", "text")
     counts = run_counts(left, [1, RUN])
     twice = kept_labels(left, counts[RUN], RUN).groupBy("key").agg(F.sum("times").alias("times")).filter("times > 1").select("key")
     twice = written(twice, "neardup-twice")
