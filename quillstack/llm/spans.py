@@ -145,7 +145,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     # Branches: their windows one by one, from the first occurrences only; an earlier window is always in one of them.
     open_ = met.filter(first & F.col("open")).groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("wanted"))
     open_ = written(open_, "spans-open")
-    branching = texts_of(base, open_.select("doc")).join(open_.hint("shuffle_hash"), "doc").select("doc", "text", "wanted")
+    branching = texts_of(base, bitmap_of(open_.select("doc"))).join(open_.hint("shuffle_hash"), "doc").select("doc", "text", "wanted")
     edges = written(windows_of(branching), "spans-edges")
     discard(open_)
     release_shuffles(spark)
@@ -178,7 +178,7 @@ def verified(spans: DataFrame, base: DataFrame, span: int = SPAN) -> DataFrame:
     """The spans whose words are the same at both places of (doc, text)."""
     places = spans.select("doc", "at", "n").unionByName(spans.select(F.col("source").alias("doc"), F.col("source_at").alias("at"), "n")).distinct()
     asked = written(places.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("places")), "spans-places")
-    rows = texts_of(base, asked.select("doc")).join(asked.hint("shuffle_hash"), "doc").select("doc", "text", "places")
+    rows = texts_of(base, bitmap_of(asked.select("doc"))).join(asked.hint("shuffle_hash"), "doc").select("doc", "text", "places")
 
     def make():
         def one(batch):

@@ -411,6 +411,17 @@ def test_spans_brute_force(spark, corpus):
     assert spans.remove_spans(rows.limit(0), spans.repeated_spans(rows.limit(0))).count() == 0
 
 
+def test_spans_where_paths_branch(spark):
+    """A passage between different words: its windows are resolved one by one, and the spans' words read at both places."""
+    passage = [f"p{i}" for i in range(30)]
+    texts = {1: [f"a{i}" for i in range(9)] + passage + [f"b{i}" for i in range(9)], 2: [f"c{i}" for i in range(5)] + passage + [f"d{i}" for i in range(5)], 3: [f"e{i}" for i in range(40)]}
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    cut = spans.repeated_spans(rows)
+    assert [tuple(r) for r in cut.collect()] == [(2, 5, 11, 1, 9)]
+    left = {r["doc_id"]: (r["n_removed"], r["text"]) for r in spans.remove_spans(rows, cut).collect()}
+    assert left == {i: (30 * (i == 2), " ".join(w for w in words if i != 2 or w[0] != "p")) for i, words in texts.items()}
+
+
 def test_a_hash_clash_is_no_repeat(spark, monkeypatch):
     """With word hashes that clash all the time, words at the source decide: nothing that does not repeat is removed."""
     rnd = random.Random(17)
