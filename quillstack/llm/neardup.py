@@ -10,7 +10,8 @@ width. Classes are connected by links; the class id is the smallest document id.
 
 What the buckets leave apart is completed without chance. An edit breaks one of a text's disjoint runs at most, and what it
 leaves whole stands in the other text too. So a text with more disjoint runs (words and runs of three) that no other class
-has than its length allows edits is like no text of another class, and is done. Which runs two classes have is found by
+has than its length allows edits is like no text of another class, and is done. The longer text of a pair allows fewer edits for its
+length than the shorter, so a text may be left for one role only, and is held against texts of the other role. Which runs two classes have is found by
 sorted hashes, dealt by hash; a bitmap tells it to the tasks, and its false hits only keep a text. Both texts of a pair are
 kept, so those kept are looked at among themselves again while most of them go.
 
@@ -46,6 +47,10 @@ RUN, SHARED, BINS, CHUNK = 2, 4, 1 << 22, 1 << 14
 LISTED, BUSY, SPARSE, BITMAP = 256, 32, 16, 1 << 29
 #: Words of the runs that classes are told apart by, runs that a task gathers before it sends them, and runs of all texts for each part.
 OWN, GATHERED, PART = (1, 3), 1 << 20, 1 << 19
+#: The same for the texts left by that, with runs of four for the longer text of a pair; expected values of a text that a sketch looks at.
+FINER, FEWEST = (1, 2, 3, 4), 16
+#: Roles of a text: it may be the shorter, or the longer text of a similar pair (of two as long, each is both).
+SHORTER, LONGER = 1, 2
 
 
 def edits_within(a: list, b: list, most: int) -> int | None:
@@ -235,7 +240,7 @@ def bitmap_of(keys: DataFrame) -> np.ndarray:
 
 
 def met_labels(docs: DataFrame, counts: np.ndarray, run: int, bitmap: np.ndarray) -> DataFrame:
-    """(key, place, doc): the kept labels that the bitmap holds."""
+    """(key, place, doc, role): the kept labels of (doc, text, role) that the bitmap holds."""
     shared = docs.sparkSession.sparkContext.broadcast((counts, bitmap))
 
     def make():
@@ -245,21 +250,23 @@ def met_labels(docs: DataFrame, counts: np.ndarray, run: int, bitmap: np.ndarray
             label, row, place = rare_runs(Words(batch.column(1)), table, run)
             good = np.flatnonzero(has_bit(bits, label))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(label[good].view(np.int64)), pa.array(place[good].astype(np.int32)), batch.column(0).take(pa.array(row[good]))], ["key", "place", "doc"]
+                [pa.array(label[good].view(np.int64)), pa.array(place[good].astype(np.int32)), *(batch.column(i).take(pa.array(row[good])) for i in (0, 2))],
+                ["key", "place", "doc", "role"],
             )
 
         return one
 
-    return map_batches(docs, make, "key long, place int, doc long")
+    return map_batches(docs, make, "key long, place int, doc long, role int")
 
 
 def with_classes(docs: DataFrame, reps: DataFrame, facts: DataFrame) -> DataFrame:
-    """(doc, class, text): each different text of (doc, text) with its class; only texts that copies or a class may tie to others are shuffled."""
+    """(doc, class, role, text): each different text of (doc, text) with its class and both roles; only texts that copies or a class may tie to others are shuffled."""
     tied = reps.filter("doc <> rep").select("doc").unionByName(facts.filter("size > 1").select(F.col("rep").alias("doc"))).distinct()
     bits = bitmap_of(written(tied, "neardup-tied"))
     several = texts_of(docs, bits).join(facts.select(F.col("rep").alias("doc"), "class").hint("shuffle_hash"), "doc")
     several = written(several.select("doc", "class", "text"), "neardup-tied")
-    return texts_of(docs, bits, False).select("doc", F.col("doc").alias("class"), "text").unionByName(several)
+    both = texts_of(docs, bits, False).select("doc", F.col("doc").alias("class"), "text").unionByName(several)
+    return both.select("doc", "class", F.lit(SHORTER | LONGER).cast("int").alias("role"), "text")
 
 
 def _own_runs(words: Words, run: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -270,73 +277,82 @@ def _own_runs(words: Words, run: int, bits: int) -> tuple[np.ndarray, np.ndarray
     return at, hashes[at] >> U64(32 - bits)
 
 
-def _least_most(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different keys in order, and the least and the largest class of each."""
+def _least_most(keys: np.ndarray, classes: np.ndarray, roles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys in order, the least and the largest class of each, and the roles that its texts have."""
     order = np.argsort(keys)
-    keys, classes = keys[order], classes[order]
+    keys, classes, roles = keys[order], classes[order], roles[order]
     begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[begin], np.minimum.reduceat(classes, begin), np.maximum.reduceat(classes, begin)
+    return keys[begin], np.minimum.reduceat(classes, begin), np.maximum.reduceat(classes, begin), np.bitwise_or.reduceat(roles, begin)
 
 
-def shared_between_classes(texts: DataFrame, bits: int, width: int) -> DataFrame:
-    """(part, keys): of each of 2 ** bits parts, the keys of runs that texts (doc, class, text) of two classes have; classes have ``width`` bytes."""
+def shared_between_classes(texts: DataFrame, bits: int, width: int, runs: tuple[int, ...]) -> DataFrame:
+    """(part, keys, roles): of each of 2 ** bits parts, the keys of runs that texts (doc, class, role, text) of two classes have, and which roles these texts have.
 
-    def deal(keys, classes):
-        keys, least, most = _least_most(np.concatenate(keys), np.concatenate(classes))
+    Classes have ``width`` bytes.
+    """
+
+    def deal(keys, classes, roles):
+        keys, least, most, roles = _least_most(np.concatenate(keys), np.concatenate(classes), np.concatenate(roles))
         # A key goes once for the class that has it, twice if several have: never once for each text.
         twice = least != most
         at = np.cumsum(1 + twice) - 1
         sent = np.repeat(least, 1 + twice)
         sent[at] = most
-        keys = np.repeat(keys, 1 + twice)
+        keys, roles = np.repeat(keys, 1 + twice), np.repeat(roles, 1 + twice)
         part = (keys >> U64(32)).astype(np.int64)
         begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         ends = np.append(begin, len(part)).astype(np.int32)
         low = (keys & U64(0xFFFFFFFF)).astype("<u4")
         trimmed = np.ascontiguousarray(sent.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width])
-        blobs = [pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends * np.int32(n)), pa.py_buffer(x)]) for n, x in ((4, low), (width, trimmed))]
-        return pa.RecordBatch.from_arrays([pa.array(part[begin]), *blobs], ["part", "keys", "classes"])
+        # As long as all texts have both roles, none are sent.
+        marked = 0 if (roles == SHORTER | LONGER).all() else 1
+        sizes = ((4, low), (width, trimmed), (marked, roles))
+        blobs = [pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends * np.int32(n)), pa.py_buffer(x)]) for n, x in sizes]
+        return pa.RecordBatch.from_arrays([pa.array(part[begin]), *blobs], ["part", "keys", "classes", "roles"])
 
     def gather(batches):
         forget_kept()
-        keys, classes, held = [], [], 0
+        found, held = ([], [], []), 0
         for batch in batches:
-            words = Words(batch.column(2))
-            own = np.repeat(batch.column(1).to_numpy(), words.counts())
-            for run in OWN:
+            words = Words(batch.column(3))
+            sizes = words.counts()
+            own, role = np.repeat(batch.column(1).to_numpy(), sizes), np.repeat(batch.column(2).to_numpy().astype(np.uint8), sizes)
+            for run in runs:
                 at, key = _own_runs(words, run, bits)
-                keys.append(key)
-                classes.append(own[at])
+                for column, values in zip(found, (key, own[at], role[at])):
+                    column.append(values)
                 held += len(at)
             if held >= GATHERED:
-                yield deal(keys, classes)
-                keys, classes, held = [], [], 0
+                yield deal(*found)
+                found, held = ([], [], []), 0
         if held:
-            yield deal(keys, classes)
+            yield deal(*found)
 
     def meet(table):
-        low = np.frombuffer(b"".join(table.column("keys").to_pylist()), "<u4")
+        low = table.column("keys").to_pylist()
+        roles = b"".join(r or bytes([SHORTER | LONGER]) * (len(k) // 4) for k, r in zip(low, table.column("roles").to_pylist()))
         trimmed = np.frombuffer(b"".join(table.column("classes").to_pylist()), np.uint8).reshape(-1, width)
         classes = np.zeros((len(trimmed), 8), np.uint8)
         classes[:, :width] = trimmed
-        keys, least, most = _least_most(low, classes.view("<i8")[:, 0])
-        return pa.table({"part": table.column("part").slice(0, 1), "keys": pa.array([keys[least != most].tobytes()], pa.binary())})
+        keys, least, most, roles = _least_most(np.frombuffer(b"".join(low), "<u4"), classes.view("<i8")[:, 0], np.frombuffer(roles, np.uint8))
+        several = least != most
+        return pa.table({"part": table.column("part").slice(0, 1), "keys": pa.array([keys[several].tobytes()], pa.binary()), "roles": pa.array([roles[several].tobytes()], pa.binary())})
 
-    dealt = texts.mapInArrow(gather, "part long, keys binary, classes binary")
-    return dealt.groupBy("part").applyInArrow(meet, "part long, keys binary")
+    dealt = texts.mapInArrow(gather, "part long, keys binary, classes binary, roles binary")
+    return dealt.groupBy("part").applyInArrow(meet, "part long, keys binary, roles binary")
 
 
-def bitmap_of_parts(parts: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap by the first bits of the keys of (part, keys), each part marking its own stretch; at most ``BITMAP`` bits."""
+def bitmap_of_parts(parts: DataFrame, bits: int, role: int = SHORTER | LONGER) -> np.ndarray:
+    """A bitmap by the first bits of those keys of (part, keys, roles) that texts of a ``role`` have, each part marking its own stretch; at most ``BITMAP`` bits."""
     n = parts.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
     size = min(BITMAP, 1 << max(20, bits + 3, (SPARSE * n).bit_length()))
     each, shift = size >> bits, 32 + bits - (size.bit_length() - 1)
 
     def mark(batches):
         for batch in batches:
-            for part, keys in zip(*(batch.column(i).to_pylist() for i in range(2))):
+            for part, keys, roles in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 marks = np.zeros(each, bool)
-                marks[np.frombuffer(keys, "<u4") >> np.uint32(shift)] = True
+                marks[np.frombuffer(keys, "<u4")[np.frombuffer(roles, np.uint8) & role > 0] >> np.uint32(shift)] = True
                 yield pa.RecordBatch.from_pydict({"part": [part], "bits": [np.packbits(marks, bitorder="little").tobytes()]})
 
     out = np.zeros(size // 8, np.uint8)
@@ -362,35 +378,49 @@ def most_edits(sizes: np.ndarray, least: float = LEAST) -> np.ndarray:
     return np.floor(np.floor(sizes / least + 1e-6) * (1 - least) + 1e-6).astype(np.int64)
 
 
-def not_alone(texts: DataFrame, bitmap: np.ndarray, bits: int) -> DataFrame:
-    """The texts of (doc, class, text) that may be similar to one of another class: too few disjoint runs are their class's own."""
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
-    shift = 32 + bits - ((len(bitmap) * 8).bit_length() - 1)
+def not_alone(texts: DataFrame, bitmaps: list[np.ndarray], bits: int, runs: tuple[int, ...]) -> DataFrame:
+    """The texts of (doc, class, role, text) that may be similar to one of another class, with the roles they may have in that.
+
+    Too few of their disjoint runs are their class's own: of the runs that longer, or shorter, texts have by ``bitmaps``
+    (one for both, or one for each role that a text may have).
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(bitmaps)
+    shift = 32 + bits - ((len(bitmaps[0]) * 8).bit_length() - 1)
 
     def make():
         marks = shared.value
 
-        def one(batch):
-            words = Words(batch.column(2))
-            sizes = words.counts()
-            row = np.repeat(np.arange(len(sizes)), sizes)
+        def own_runs(words, row, sizes, bitmap):
             covered = np.zeros(len(row), bool)
             own = np.zeros(len(sizes), np.int64)
-            for run in OWN:
+            for run in runs:
                 at, keys = _own_runs(words, run, bits)
-                good = ~has_bit(marks, keys >> U64(shift))
+                good = ~has_bit(bitmap, keys >> U64(shift))
                 for j in range(run):
                     good &= ~covered[at + j]
                 chosen = disjoint(at[good], run)
                 for j in range(run):
                     covered[chosen + j] = True
                 own += np.bincount(row[chosen], minlength=len(sizes))
-            most = most_edits(sizes)
-            yield batch.filter(pa.array((most > 0) & (own <= most)))
+            return own
+
+        def one(batch):
+            words = Words(batch.column(3))
+            sizes = words.counts()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            own = [own_runs(words, row, sizes, bitmap) for bitmap in marks]
+            roles = np.zeros(len(sizes), np.int32)
+            for role, count, most in ((SHORTER, own[0], most_edits(sizes)), (LONGER, own[-1], np.floor(sizes * (1 - LEAST) + 1e-6))):
+                roles[(most > 0) & (count <= most)] |= role
+            roles &= batch.column(2).to_numpy()
+            kept = pa.array(roles > 0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).filter(kept), batch.column(1).filter(kept), pa.array(roles).filter(kept), batch.column(3).filter(kept)], ["doc", "class", "role", "text"]
+            )
 
         return one
 
-    return map_batches(texts, make, "doc long, class long, text string")
+    return map_batches(texts, make, "doc long, class long, role int, text string")
 
 
 def sketches(docs: DataFrame, count: int = SKETCHES, gram: int = GRAM) -> DataFrame:
@@ -407,13 +437,17 @@ def sketches(docs: DataFrame, count: int = SKETCHES, gram: int = GRAM) -> DataFr
             run, label, size = run[keep], label[keep], per[rows]
             starts = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
             made = np.empty((len(rows), count), U64)
+            # The two least values of nearly every text are below this; a text with fewer such values is looked at whole.
+            small = np.repeat((FEWEST / np.maximum(size, FEWEST) * (2.0**64 - 2048)).astype(U64), size)
+            group = np.repeat(np.arange(len(rows)), size)
             for j in range(count if len(rows) else 0):
                 value = mix(label ^ U64((j + 1) * 0x632BE59BD9B4E019 % 2**64))
-                least = np.minimum.reduceat(value, starts)
-                one_at = _first(value == np.repeat(least, size), starts)
-                value[one_at] = U64(2**64 - 1)
-                two_at = _first(value == np.repeat(np.minimum.reduceat(value, starts), size), starts)
-                a, b = np.minimum(one_at, two_at), np.maximum(one_at, two_at)
+                at = np.flatnonzero(value <= small)
+                few = np.bincount(group[at], minlength=len(rows)) < 2
+                if few.any():
+                    at = np.flatnonzero((value <= small) | few[group])
+                a, b = _two_least(value[at], np.searchsorted(at, starts))
+                a, b = at[np.minimum(a, b)], at[np.maximum(a, b)]
                 made[:, j] = mix(mix(run[a] + U64(j)) + run[b])
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             full = np.flatnonzero(sizes)
@@ -436,6 +470,14 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *rows])))
 
 
+def _two_least(value: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the least value of each group and of the least among its others."""
+    size = np.diff(np.append(starts, len(value)))
+    one_at = _first(value == np.repeat(np.minimum.reduceat(value, starts), size), starts)
+    value[one_at] = U64(2**64 - 1)
+    return one_at, _first(value == np.repeat(np.minimum.reduceat(value, starts), size), starts)
+
+
 def _first(hit: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The first place that hits, for each group; every group has one."""
     at = np.flatnonzero(hit)
@@ -508,17 +550,17 @@ def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def members_of(met: DataFrame, facts: DataFrame) -> DataFrame:
-    """``met`` (key, place, doc) with the facts (rep, n, class, size) of representatives; ``others``: members of the key in other classes.
+    """``met`` (key, place, doc, role) with the facts (rep, n, class, size) of representatives; ``others``: members of the key in other classes.
 
     Keys that lie in one class only are left out.
     """
     # Place and number of words travel as one number; the rows are dealt by key once.
     rows = met.join(facts.hint("shuffle_hash"), F.col("doc") == F.col("rep"))
-    rows = rows.select("key", "rep", "class", "size", (F.col("place").cast("long") * (1 << 32) + F.col("n")).alias("at")).repartition("key")
+    rows = rows.select("key", "rep", "class", "size", "role", (F.col("place").cast("long") * (1 << 32) + F.col("n")).alias("at")).repartition("key")
     every, own = F.count("*").over(Window.partitionBy("key")), F.count("*").over(Window.partitionBy("key", "class"))
     rows = rows.withColumn("own", own).withColumn("others", every - F.col("own")).filter("others > 0")
     return rows.select(
-        "key", "rep", "class", "size", F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("n"), F.shiftright("at", 32).cast("int").alias("place"),
+        "key", "rep", "class", "size", "role", F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("n"), F.shiftright("at", 32).cast("int").alias("place"),
         F.least("others", F.lit(2**31 - 1)).cast("int").alias("others"),
     )
 
@@ -527,17 +569,24 @@ def apart(members: DataFrame, asking: DataFrame, run: int, least: float = LEAST)
     """(a, b): the texts of different classes that share enough keys to be similar; the one of the smaller class asks.
 
     ``asking`` are the members whose texts ask. Runs that occur once in both texts must lie where the allowed edits
-    before and after them can bring them together. Lists hold the members of a class that a hash puts together, so what
+    before and after them can bring them together, and the roles must allow it. Lists hold the members of a class that a hash puts together, so what
     a task counts at a time is bounded, and every meeting of two texts is counted in one place.
     """
     lists = F.ceil(F.col("size") / LISTED)
     chunk = F.pmod(F.xxhash64("rep"), lists).cast("int")
-    listed = members.withColumn("chunk", chunk).groupBy("key", "class", "size", "chunk").agg(F.collect_list(F.struct("rep", "n", "place")).alias("list"))
-    x = asking.select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("class").alias("ac"), F.col("size").alias("asize"))
+    listed = members.withColumn("chunk", chunk).groupBy("key", "class", "size", "chunk").agg(F.collect_list(F.struct("rep", "n", "place", "role")).alias("list"))
+    x = asking.select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("class").alias("ac"), F.col("size").alias("asize"), F.col("role").alias("ar"))
     before = (F.col("asize") < F.col("size")) | ((F.col("asize") == F.col("size")) & (F.col("ac") < F.col("class")))
-    longest = F.array_max("list.n")
-    near = F.array_min("list.n") * least <= F.col("an") + 1
-    rows = x.join(listed, "key").filter(before & near & (F.col("an") * least <= longest + 1)).select("a", "an", "ap", "class", "chunk", "list")
+
+    def fits(y):
+        longer, ahead = F.col("an") - y["n"], F.col("ap") - y["place"]
+        most = F.floor(F.greatest("an", y["n"]) * (1 - least) + 1e-9)
+        placed = (F.least("ap", y["place"]) < 0) | (F.abs(ahead) + F.abs(longer - ahead) <= most)
+        shorter = (longer <= 0) & F.col("ar").isin(SHORTER, SHORTER | LONGER) & y["role"].isin(LONGER, SHORTER | LONGER)
+        return (F.abs(longer) <= most) & placed & (shorter | (longer >= 0) & F.col("ar").isin(LONGER, SHORTER | LONGER) & y["role"].isin(SHORTER, SHORTER | LONGER))
+
+    rows = x.join(listed, "key").filter(before & F.exists("list", fits))
+    rows = rows.select("a", "an", "ap", "class", "chunk", F.filter("list", fits).alias("list"))
     rows = rows.repartition("a", "class", "chunk").sortWithinPartitions("a", "class", "chunk")
 
     def count(batches):
@@ -557,14 +606,9 @@ def apart(members: DataFrame, asking: DataFrame, run: int, least: float = LEAST)
         lists = table.column(5).combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         sizes = np.diff(lists.offsets.to_numpy())
-        a, an, ap = (np.repeat(table.column(i).to_numpy(), sizes).astype(np.int64) for i in range(3))
-        b, bn, bp = (lists.flatten().field(i).to_numpy().astype(np.int64) for i in range(3))
-        most = np.floor(np.maximum(an, bn) * (1 - least) + 1e-9)
-        ahead, longer = ap - bp, an - bn
-        good = (np.abs(longer) <= most) & ((np.minimum(ap, bp) < 0) | (np.abs(ahead) + np.abs(longer - ahead) <= most))
-        if not good.any():
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
-        both, times = np.unique(np.stack([a[good], b[good], an[good], bn[good]]), axis=1, return_counts=True)
+        a, an = (np.repeat(table.column(i).to_numpy(), sizes).astype(np.int64) for i in range(2))
+        b, bn = (lists.flatten().field(i).to_numpy().astype(np.int64) for i in range(2))
+        both, times = np.unique(np.stack([a, b, an, bn]), axis=1, return_counts=True)
         keep = times >= np.clip(np.minimum(shared_runs(both[2], run), shared_runs(both[3], run)), 0, SHARED)
         low, high = np.minimum(both[0], both[1])[keep], np.maximum(both[0], both[1])[keep]
         return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
@@ -621,14 +665,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     lowest, highest = facts.agg(F.min("class"), F.max("class")).first()
     width = 8 if (lowest or 0) < 0 else max(1, ((highest or 0).bit_length() + 7) // 8)
     # Both texts of a pair are left, so the left ones are looked at among themselves again while most of them go.
-    left, before, now = with_classes(usable, reps, facts), 0, facts.count()
-    while not before or 0 < 2 * now < before:
-        shared = written(shared_between_classes(left, bits, width), "neardup-shared")
+    left, runs, before, now = with_classes(usable, reps, facts), OWN, 0, facts.count()
+    while not before or now and (runs == OWN or 2 * now < before):
+        runs = FINER if before else OWN
+        shared = written(shared_between_classes(left, bits, width, runs), "neardup-shared")
         release_shuffles(spark)
-        left = written(not_alone(left, bitmap_of_parts(shared, bits), bits), "neardup-left")
+        # A text that may be the shorter one needs a longer one that has its runs, and the other way round.
+        marks = [bitmap_of_parts(shared, bits, role) for role in (LONGER, SHORTER)] if before else [bitmap_of_parts(shared, bits)]
+        left = written(not_alone(left, marks, bits, runs), "neardup-left")
         discard(shared)
         before, now = now or 1, left.count()
-    left = left.select("doc", "text")
+    left = left.select("doc", "text", "role")
     counts = run_counts(left, [1, RUN])
     twice = kept_labels(left, counts[RUN], RUN).groupBy("key").agg(F.sum("times").alias("times")).filter("times > 1").select("key")
     twice = written(twice, "neardup-twice")
@@ -641,7 +688,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     discard(members)
     release_shuffles(spark)
     if not crowd.isEmpty():
-        asked = written(kept_labels(texts_of(left, bitmap_of(crowd.select(F.col("rep").alias("doc")))), counts[1], 1).select("key").distinct(), "neardup-asked")
+        asked = written(kept_labels(texts_of(left.select("doc", "text"), bitmap_of(crowd.select(F.col("rep").alias("doc")))), counts[1], 1).select("key").distinct(), "neardup-asked")
         single = written(members_of(met_labels(left, counts[1], 1, bitmap_of(asked)), facts), "neardup-members")
         release_shuffles(spark)
         more = written(more.unionByName(apart(single, split_by(single, crowd)[0], 1)), "neardup-more")

@@ -164,6 +164,21 @@ def test_texts_with_own_runs_do_not_meet_by_chance(spark, monkeypatch):
     assert len(set(seen) - {200, 201}) <= 20
 
 
+def test_a_text_may_be_left_for_the_role_of_the_shorter_one_only(spark):
+    """Its runs of three stand in another text, its runs of four do not: too many edits for the longer text of a pair."""
+    one = [f"w{i}" for i in range(200)]
+    other = [w for i in range(198) for w in [*one[i : i + 3], f"f{i}", f"g{i}"]]
+    rows = spark.createDataFrame([(0, 0, 3, " ".join(one)), (1, 1, 3, " ".join(other))], "doc long, class long, role int, text string")
+    marks = [neardup.bitmap_of_parts(neardup.shared_between_classes(rows, 4, 1, neardup.FINER), 4)]
+    left = neardup.not_alone(rows, marks, 4, neardup.FINER).select("doc", "class", "role", "text").collect()
+    assert [(r["doc"], r["role"], r["text"]) for r in left] == [(0, neardup.SHORTER, " ".join(one))]
+    # Only longer texts count for it: another that is a shorter one at most does not.
+    again = spark.createDataFrame([(0, 0, neardup.SHORTER, " ".join(one)), (1, 1, neardup.SHORTER, " ".join(one[::-1]))], rows.schema)
+    shared = neardup.shared_between_classes(again, 4, 1, neardup.FINER)
+    marks = [neardup.bitmap_of_parts(shared, 4, role) for role in (neardup.LONGER, neardup.SHORTER)]
+    assert neardup.not_alone(again, marks, 4, neardup.FINER).count() == 0
+
+
 def test_classes_at_the_threshold(spark):
     """Pairs of edit similarity 0.8 to 0.9, edits at random places and evenly spread, 5 to 300 words: all are found."""
     rnd, rows, pairs = random.Random(13), [], []
