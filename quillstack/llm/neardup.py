@@ -38,17 +38,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack.functions.windows import salted_join
-from quillstack.llm.common import U64, Words, discard, forget_kept, grams, map_batches, mix, release_shuffles, written
+from quillstack.llm.common import U64, Words, discard, forget_kept, grams, map_batches, mix, parts_of, release_shuffles, written
 
 GRAM, SKETCHES, LEAST = 5, 32, 0.8
 #: Words of a run, how many kept runs two texts must share (fewer if the texts are too short), and bins of the runs' counts.
 RUN, SHARED, BINS, CHUNK = 2, 4, 1 << 22, 1 << 14
+#: The same number for texts of so many words at most: their words' bits tell them apart, and each further run kept is a more frequent one.
+SHORT, SHARED_SHORT = 64, 1
 #: Members of a class in a list; meetings for each word from which a text asks by single words; bits for each run met twice, and of a bitmap.
 LISTED, BUSY, SPARSE, BITMAP = 256, 32, 16, 1 << 29
+#: Odd factors that give a run's marks in a bitmap of runs: with one for each, a bitmap at its bound lets three times as many pass by mistake.
+MARKS = np.array([1, 0x9E3779B1, 0x85EBCA6B], np.uint32)
 #: Words of the runs that classes are told apart by, runs that a task gathers before it sends them, and runs of all texts for each part.
 OWN, GATHERED, PART = (1, 3), 1 << 20, 1 << 19
 #: The same for the texts left by that, with runs of four for the longer text of a pair; expected values of a text that a sketch looks at.
 FINER, FEWEST = (1, 2, 3, 4), 16
+#: Bytes of texts looked at together: the arrays of their words stay in a core's cache, and little stands beside a bitmap.
+HELD = 1 << 19
 #: Roles of a text: it may be the shorter, or the longer text of a similar pair (of two as long, each is both).
 SHORTER, LONGER = 1, 2
 
@@ -93,13 +99,46 @@ def edits_within(a: list, b: list, most: int) -> int | None:
     return distance if distance <= most else None
 
 
+#: Steps (words of a, words of b) that an alignment may take where two texts part, the cheapest first.
+STEPS = sorted(((i, j) for i in range(5) for j in range(5) if i or j), key=lambda x: (max(x), sum(x)))
+
+
+def edits_found(a: list, b: list, most: int, lost: int = 16) -> int | None:
+    """The edits of some alignment of two sequences, if one is found with ``most`` at most: where they part, the cheapest step after which two words agree.
+
+    Without such a step a word of each is left out, ``lost`` times.
+    """
+    i = j = edits = 0
+    m, n = len(a), len(b)
+    while i < m and j < n:
+        if a[i] == b[j]:
+            i += 1
+            j += 1
+            continue
+        for x, y in STEPS:
+            if a[i + x : i + x + 2] == b[j + y : j + y + 2]:
+                break
+        else:
+            if not lost:
+                return None
+            x, y, lost = 1, 1, lost - 1
+        i, j, edits = i + x, j + y, edits + max(x, y)
+        if edits > most:
+            return None
+    # What a step took beyond an end counts as edits that are not needed: too many, never too few.
+    edits += max(m - i, n - j, 0)
+    return edits if edits <= most else None
+
+
 def similar(a: list, b: list, least: float = LEAST) -> bool:
-    """Whether the edit similarity of two word sequences is at least ``least``; a bag of words rules most others out."""
+    """Whether the edit similarity of two word sequences is at least ``least``; any alignment with few edits shows it, a bag of words rules most others out."""
     longer = max(len(a), len(b))
     most = int(longer * (1 - least) + 1e-9)
-    if abs(len(a) - len(b)) > most or sum((Counter(a) & Counter(b)).values()) < longer - most:
+    if abs(len(a) - len(b)) > most:
         return False
-    return edits_within(a, b, most) is not None
+    if edits_found(a, b, most) is not None:
+        return True
+    return sum((Counter(a) & Counter(b)).values()) >= longer - most and edits_within(a, b, most) is not None
 
 
 def _labelled(words: Words, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,10 +160,10 @@ def _labelled(words: Words, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def run_counts(docs: DataFrame, runs: list[int]) -> dict[int, np.ndarray]:
-    """For each length of runs, how often runs occur in (doc, text), by hash bin, up to 255."""
+    """For each length of runs, how often runs occur in (doc, text), by hash bin, as 8 * log2(1 + times)."""
 
     def count(batches):
-        seen = np.zeros((len(runs), BINS), np.uint8)
+        seen = np.zeros((len(runs), BINS), np.uint16)
         for batch in batches:
             words = Words(batch.column(1))
             row = np.repeat(np.arange(batch.num_rows), words.counts())
@@ -132,13 +171,13 @@ def run_counts(docs: DataFrame, runs: list[int]) -> dict[int, np.ndarray]:
                 hashes = grams(words.hashes, run, 7)
                 if len(hashes):
                     at, times = np.unique((hashes % U64(BINS))[row[: len(hashes)] == row[run - 1 :]].astype(np.int64), return_counts=True)
-                    seen[i, at] = np.minimum(seen[i, at] + times, 255)
+                    seen[i, at] = np.minimum(seen[i, at] + times, 65535)
         if seen.any():
             yield pa.RecordBatch.from_pydict({"chunk": np.arange(seen.size // CHUNK), "counts": [x.tobytes() for x in seen.reshape(-1, CHUNK)]})
 
     def add(table):
-        total = sum(np.frombuffer(x, np.uint8).astype(np.int64) for x in table.column("counts").to_pylist())
-        return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())})
+        total = sum(np.frombuffer(x, np.uint16).astype(np.int64) for x in table.column("counts").to_pylist())
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([np.minimum(8 * np.log2(1 + total), 255).astype(np.uint8).tobytes()], pa.binary())})
 
     schema = "chunk long, counts binary"
     out = np.zeros(len(runs) * BINS, np.uint8)
@@ -161,11 +200,16 @@ def shared_runs(sizes: np.ndarray, run: int, least: float = LEAST) -> np.ndarray
     return np.where(following <= sizes / least + 1e-9, np.minimum(common(sizes), common(following)), common(sizes))
 
 
+def shared_kept(sizes: np.ndarray, run: int) -> np.ndarray:
+    """The number of kept runs that a text has in common with any similar text that asks for as many."""
+    return np.clip(shared_runs(sizes, run), 0, np.where(sizes <= SHORT, SHARED_SHORT, SHARED))
+
+
 def rare_runs(words: Words, counts: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Labels of the rarest runs of all rows, their rows, and their places (-1: not the only such run)."""
     sizes = words.counts()
     need = shared_runs(sizes, run)
-    kept = np.where(need > 0, np.maximum(sizes - run + 1, 0) - need + np.clip(need, 0, SHARED), 0)
+    kept = np.where(need > 0, np.maximum(sizes - run + 1, 0) - need + shared_kept(sizes, run), 0)
     hashes = grams(words.hashes, run, 7)
     row = np.repeat(np.arange(len(sizes)), sizes)
     at = np.flatnonzero((row[: len(hashes)] == row[run - 1 :]) & (kept[row[: len(hashes)]] > 0)) if len(hashes) else np.empty(0, np.int64)
@@ -239,24 +283,40 @@ def bitmap_of(keys: DataFrame) -> np.ndarray:
     return out
 
 
+#: Columns with the bits of a text's words.
+SIGNS = [f"s{i}" for i in range(8)]
+
+
+def _signs(words: Words) -> np.ndarray:
+    """For each text 512 bits: those that its words set, each labelled with its number among the text's alike."""
+    _, row, label = _labelled(words, 1)
+    marks = np.zeros((len(words.first) - 1, 64 * len(SIGNS)), bool)
+    marks[row, (label % U64(marks.shape[1])).astype(np.int64)] = True
+    return np.packbits(marks, axis=1).view(np.int64)
+
+
 def met_labels(docs: DataFrame, counts: np.ndarray, run: int, bitmap: np.ndarray) -> DataFrame:
-    """(key, place, doc, role): the kept labels of (doc, text, role) that the bitmap holds."""
+    """(key, place, doc, role) and SIGNS: the kept labels of (doc, text, role) that the bitmap holds."""
     shared = docs.sparkSession.sparkContext.broadcast((counts, bitmap))
 
     def make():
         table, bits = shared.value
 
         def one(batch):
-            label, row, place = rare_runs(Words(batch.column(1)), table, run)
+            words = Words(batch.column(1))
+            label, row, place = rare_runs(words, table, run)
             good = np.flatnonzero(has_bit(bits, label))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(label[good].view(np.int64)), pa.array(place[good].astype(np.int32)), *(batch.column(i).take(pa.array(row[good])) for i in (0, 2))],
-                ["key", "place", "doc", "role"],
+                [
+                    pa.array(label[good].view(np.int64)), pa.array(place[good].astype(np.int32)), *(batch.column(i).take(pa.array(row[good])) for i in (0, 2)),
+                    *map(pa.array, _signs(words)[row[good]].T.copy()),
+                ],
+                ["key", "place", "doc", "role", *SIGNS],
             )
 
         return one
 
-    return map_batches(docs, make, "key long, place int, doc long, role int")
+    return map_batches(docs, make, f"key long, place int, doc long, role int, {', '.join(f'{s} long' for s in SIGNS)}")
 
 
 def with_classes(docs: DataFrame, reps: DataFrame, facts: DataFrame) -> DataFrame:
@@ -313,7 +373,7 @@ def shared_between_classes(texts: DataFrame, bits: int, width: int, runs: tuple[
     def gather(batches):
         forget_kept()
         found, held = ([], [], []), 0
-        for batch in batches:
+        for batch in (part for whole in batches if whole.num_rows for part in parts_of(whole, 3, HELD)):
             words = Words(batch.column(3))
             sizes = words.counts()
             own, role = np.repeat(batch.column(1).to_numpy(), sizes), np.repeat(batch.column(2).to_numpy().astype(np.uint8), sizes)
@@ -342,17 +402,37 @@ def shared_between_classes(texts: DataFrame, bits: int, width: int, runs: tuple[
     return dealt.groupBy("part").applyInArrow(meet, "part long, keys binary, roles binary")
 
 
+def _place(low: np.ndarray, factor: np.uint32, each: int) -> np.ndarray:
+    """A place in a stretch of ``each`` bits, a power of two, for the last 32 bits of each key."""
+    return (low * factor) >> np.uint32(33 - each.bit_length())
+
+
+def has_key(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    """Which keys of runs a bitmap of 2 ** bits parts may hold: those whose marks are all there."""
+    each = len(bitmap) * 8 >> bits
+    begin, low = (keys >> U64(32)).astype(np.int64) * each, keys.astype(np.uint32)
+    left = np.arange(len(keys))
+    for factor in MARKS:
+        at = begin[left] + _place(low[left], factor, each)
+        left = left[(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+    found = np.zeros(len(keys), bool)
+    found[left] = True
+    return found
+
+
 def bitmap_of_parts(parts: DataFrame, bits: int, role: int = SHORTER | LONGER) -> np.ndarray:
     """A bitmap by the first bits of those keys of (part, keys, roles) that texts of a ``role`` have, each part marking its own stretch; at most ``BITMAP`` bits."""
-    n = parts.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
+    n = (parts.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 4
     size = min(BITMAP, 1 << max(20, bits + 3, (SPARSE * n).bit_length()))
-    each, shift = size >> bits, 32 + bits - (size.bit_length() - 1)
+    each = size >> bits
 
     def mark(batches):
         for batch in batches:
             for part, keys, roles in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 marks = np.zeros(each, bool)
-                marks[np.frombuffer(keys, "<u4")[np.frombuffer(roles, np.uint8) & role > 0] >> np.uint32(shift)] = True
+                wanted = np.frombuffer(keys, "<u4")[np.frombuffer(roles, np.uint8) & role > 0]
+                for factor in MARKS:
+                    marks[_place(wanted, factor, each)] = True
                 yield pa.RecordBatch.from_pydict({"part": [part], "bits": [np.packbits(marks, bitorder="little").tobytes()]})
 
     out = np.zeros(size // 8, np.uint8)
@@ -385,7 +465,6 @@ def not_alone(texts: DataFrame, bitmaps: list[np.ndarray], bits: int, runs: tupl
     (one for both, or one for each role that a text may have).
     """
     shared = texts.sparkSession.sparkContext.broadcast(bitmaps)
-    shift = 32 + bits - ((len(bitmaps[0]) * 8).bit_length() - 1)
 
     def make():
         marks = shared.value
@@ -395,7 +474,7 @@ def not_alone(texts: DataFrame, bitmaps: list[np.ndarray], bits: int, runs: tupl
             own = np.zeros(len(sizes), np.int64)
             for run in runs:
                 at, keys = _own_runs(words, run, bits)
-                good = ~has_bit(bitmap, keys >> U64(shift))
+                good = ~has_key(bitmap, keys, bits)
                 for j in range(run):
                     good &= ~covered[at + j]
                 chosen = disjoint(at[good], run)
@@ -405,6 +484,10 @@ def not_alone(texts: DataFrame, bitmaps: list[np.ndarray], bits: int, runs: tupl
             return own
 
         def one(batch):
+            for part in parts_of(batch, 3, HELD):
+                yield kept_of(part)
+
+        def kept_of(batch):
             words = Words(batch.column(3))
             sizes = words.counts()
             row = np.repeat(np.arange(len(sizes)), sizes)
@@ -414,7 +497,7 @@ def not_alone(texts: DataFrame, bitmaps: list[np.ndarray], bits: int, runs: tupl
                 roles[(most > 0) & (count <= most)] |= role
             roles &= batch.column(2).to_numpy()
             kept = pa.array(roles > 0)
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [batch.column(0).filter(kept), batch.column(1).filter(kept), pa.array(roles).filter(kept), batch.column(3).filter(kept)], ["doc", "class", "role", "text"]
             )
 
@@ -428,6 +511,10 @@ def sketches(docs: DataFrame, count: int = SKETCHES, gram: int = GRAM) -> DataFr
 
     def make():
         def one(batch):
+            for part in parts_of(batch, 1, HELD):
+                yield sketched(part)
+
+        def sketched(batch):
             words = Words(batch.column(1))
             sizes = words.counts()
             run, owner, label = _labelled(words, gram)
@@ -455,7 +542,7 @@ def sketches(docs: DataFrame, count: int = SKETCHES, gram: int = GRAM) -> DataFr
             at = np.full(len(sizes), -1)
             at[rows] = np.arange(len(rows))
             listed = [made[at[i]].view(np.int64) if at[i] >= 0 else np.empty(0, np.int64) for i in full]
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(full)), pa.array(digests, pa.binary()), _lists(listed), pa.array(sizes[full].astype(np.int32))],
                 ["doc", "same", "keys", "n"],
             )
@@ -556,12 +643,12 @@ def members_of(met: DataFrame, facts: DataFrame) -> DataFrame:
     """
     # Place and number of words travel as one number; the rows are dealt by key once.
     rows = met.join(facts.hint("shuffle_hash"), F.col("doc") == F.col("rep"))
-    rows = rows.select("key", "rep", "class", "size", "role", (F.col("place").cast("long") * (1 << 32) + F.col("n")).alias("at")).repartition("key")
+    rows = rows.select("key", "rep", "class", "size", "role", *SIGNS, (F.col("place").cast("long") * (1 << 32) + F.col("n")).alias("at")).repartition("key")
     every, own = F.count("*").over(Window.partitionBy("key")), F.count("*").over(Window.partitionBy("key", "class"))
     rows = rows.withColumn("own", own).withColumn("others", every - F.col("own")).filter("others > 0")
     return rows.select(
         "key", "rep", "class", "size", "role", F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("n"), F.shiftright("at", 32).cast("int").alias("place"),
-        F.least("others", F.lit(2**31 - 1)).cast("int").alias("others"),
+        F.least("others", F.lit(2**31 - 1)).cast("int").alias("others"), *SIGNS,
     )
 
 
@@ -569,13 +656,13 @@ def apart(members: DataFrame, asking: DataFrame, run: int, least: float = LEAST)
     """(a, b): the texts of different classes that share enough keys to be similar; the one of the smaller class asks.
 
     ``asking`` are the members whose texts ask. Runs that occur once in both texts must lie where the allowed edits
-    before and after them can bring them together, and the roles must allow it. Lists hold the members of a class that a hash puts together, so what
+    before and after them can bring them together, the roles must allow it, and so must the words of the two texts by their bits. Lists hold the members of a class that a hash puts together, so what
     a task counts at a time is bounded, and every meeting of two texts is counted in one place.
     """
     lists = F.ceil(F.col("size") / LISTED)
     chunk = F.pmod(F.xxhash64("rep"), lists).cast("int")
-    listed = members.withColumn("chunk", chunk).groupBy("key", "class", "size", "chunk").agg(F.collect_list(F.struct("rep", "n", "place", "role")).alias("list"))
-    x = asking.select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("class").alias("ac"), F.col("size").alias("asize"), F.col("role").alias("ar"))
+    listed = members.withColumn("chunk", chunk).groupBy("key", "class", "size", "chunk").agg(F.collect_list(F.struct("rep", "n", "place", "role", *SIGNS)).alias("list"))
+    x = asking.select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("class").alias("ac"), F.col("size").alias("asize"), F.col("role").alias("ar"), *(F.col(s).alias(f"a{s}") for s in SIGNS))
     before = (F.col("asize") < F.col("size")) | ((F.col("asize") == F.col("size")) & (F.col("ac") < F.col("class")))
 
     def fits(y):
@@ -583,10 +670,15 @@ def apart(members: DataFrame, asking: DataFrame, run: int, least: float = LEAST)
         most = F.floor(F.greatest("an", y["n"]) * (1 - least) + 1e-9)
         placed = (F.least("ap", y["place"]) < 0) | (F.abs(ahead) + F.abs(longer - ahead) <= most)
         shorter = (longer <= 0) & F.col("ar").isin(SHORTER, SHORTER | LONGER) & y["role"].isin(LONGER, SHORTER | LONGER)
-        return (F.abs(longer) <= most) & placed & (shorter | (longer >= 0) & F.col("ar").isin(LONGER, SHORTER | LONGER) & y["role"].isin(SHORTER, SHORTER | LONGER))
+        roles = shorter | (longer >= 0) & F.col("ar").isin(LONGER, SHORTER | LONGER) & y["role"].isin(SHORTER, SHORTER | LONGER)
+        # Each edit takes one word of a text at most: the words, so the bits, that only one text has are no more.
+        lost = sum(F.bit_count(F.col(f"a{s}").bitwiseAND(F.bitwise_not(y[s]))) for s in SIGNS)
+        new = sum(F.bit_count(y[s].bitwiseAND(F.bitwise_not(F.col(f"a{s}")))) for s in SIGNS)
+        return (F.abs(longer) <= most) & placed & roles & (lost <= most) & (new <= most)
 
     rows = x.join(listed, "key").filter(before & F.exists("list", fits))
-    rows = rows.select("a", "an", "ap", "class", "chunk", F.filter("list", fits).alias("list"))
+    found = F.transform(F.filter("list", fits), lambda y: F.struct(y["rep"].alias("rep"), y["n"].alias("n")))
+    rows = rows.select("a", "an", "ap", "class", "chunk", found.alias("list"))
     rows = rows.repartition("a", "class", "chunk").sortWithinPartitions("a", "class", "chunk")
 
     def count(batches):
@@ -609,7 +701,7 @@ def apart(members: DataFrame, asking: DataFrame, run: int, least: float = LEAST)
         a, an = (np.repeat(table.column(i).to_numpy(), sizes).astype(np.int64) for i in range(2))
         b, bn = (lists.flatten().field(i).to_numpy().astype(np.int64) for i in range(2))
         both, times = np.unique(np.stack([a, b, an, bn]), axis=1, return_counts=True)
-        keep = times >= np.clip(np.minimum(shared_runs(both[2], run), shared_runs(both[3], run)), 0, SHARED)
+        keep = times >= np.minimum(shared_kept(both[2], run), shared_kept(both[3], run))
         low, high = np.minimum(both[0], both[1])[keep], np.maximum(both[0], both[1])[keep]
         return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
 
