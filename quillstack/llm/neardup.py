@@ -55,6 +55,8 @@ OWN, GATHERED, PART = (1, 3), 1 << 20, 1 << 19
 FINER, FEWEST = (1, 2, 3, 4), 16
 #: Bytes of texts looked at together: the arrays of their words stay in a core's cache, and little stands beside a bitmap.
 HELD = 1 << 19
+#: Jobs that bring a bitmap to the driver, and first bits of the labels that a task looks at together.
+FETCHES, LABELS = 16, 8
 #: Roles of a text: it may be the shorter, or the longer text of a similar pair (of two as long, each is both).
 SHORTER, LONGER = 1, 2
 
@@ -159,6 +161,20 @@ def _labelled(words: Words, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return run, owner, mix(run + seen * U64(0x9E3779B97F4A7C15))
 
 
+def fetched(rows: DataFrame, label: str):
+    """The rows, read in ``FETCHES`` jobs: they are made by all tasks at once and written, where toLocalIterator would run a job for each partition in turn."""
+    table = written(rows, label)
+    yield from table.coalesce(FETCHES).toLocalIterator()
+    discard(table)
+
+
+def blobs_of(keys: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The different parts of sorted keys, and the bytes of the keys of each."""
+    begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, np.int64)
+    ends = (np.append(begin, len(part)) * keys.itemsize).astype(np.int32)
+    return part[begin], pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(keys))])
+
+
 def run_counts(docs: DataFrame, runs: list[int]) -> dict[int, np.ndarray]:
     """For each length of runs, how often runs occur in (doc, text), by hash bin, as 8 * log2(1 + times)."""
 
@@ -181,7 +197,7 @@ def run_counts(docs: DataFrame, runs: list[int]) -> dict[int, np.ndarray]:
 
     schema = "chunk long, counts binary"
     out = np.zeros(len(runs) * BINS, np.uint8)
-    for r in docs.select("doc", "text").mapInArrow(count, schema).groupBy("chunk").applyInArrow(add, schema).toLocalIterator():
+    for r in fetched(docs.select("doc", "text").mapInArrow(count, schema).groupBy("chunk").applyInArrow(add, schema), "neardup-counts"):
         out[r[0] * CHUNK : (r[0] + 1) * CHUNK] = np.frombuffer(r[1], np.uint8)
     return dict(zip(runs, out.reshape(len(runs), BINS)))
 
@@ -245,40 +261,59 @@ def has_bit(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def kept_labels(docs: DataFrame, counts: np.ndarray, run: int) -> DataFrame:
-    """(key, times): kept labels of (doc, text), counted in each batch."""
+def kept_labels(docs: DataFrame, counts: np.ndarray, run: int, times: int) -> DataFrame:
+    """(keys): the kept labels of (doc, text) that are kept ``times`` times (once or twice) at least, as bytes of those with the same first bits."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def make():
         table = shared.value
 
         def one(batch):
-            labels, times = np.unique(rare_runs(Words(batch.column(1)), table, run)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(labels.view(np.int64)), pa.array(times.astype(np.int32))], ["key", "times"])
+            labels, seen = np.unique(rare_runs(Words(batch.column(1)), table, run)[0], return_counts=True)
+            labels = np.repeat(labels, np.minimum(seen, times))
+            part, blobs = blobs_of(labels, (labels >> U64(64 - LABELS)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(part), blobs], ["part", "keys"])
 
         return one
 
-    return map_batches(docs, make, "key long, times int")
+    def meet(table):
+        labels, seen = np.unique(np.frombuffer(b"".join(table.column("keys").to_pylist()), U64), return_counts=True)
+        return pa.table({"keys": pa.array([labels[seen >= times].tobytes()], pa.binary())})
+
+    return map_batches(docs, make, "part long, keys binary").groupBy("part").applyInArrow(meet, "keys binary")
 
 
 def bitmap_of(keys: DataFrame) -> np.ndarray:
-    """A bitmap of (key): ``SPARSE`` bits for each, up to ``BITMAP`` bits; a false hit costs a row, never a result."""
-    n = keys.count()
+    """A bitmap of (key), or of (keys) with the bytes of many: ``SPARSE`` bits for each, up to ``BITMAP`` bits; a false hit costs a row, never a result."""
+    packed = dict(keys.dtypes).get("keys") == "binary"
+    n = (keys.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 8 if packed else keys.count()
     size = min(BITMAP, 1 << max(20, (SPARSE * n).bit_length()))
 
     def mark(batches):
+        held, many = [], 0
         for batch in batches:
-            at = _bits(batch.column(0).to_numpy().view(U64), size)
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 16), pa.array(at & 65535)], ["part", "at"])
+            column = batch.column(0)
+            held.append(_bits(np.frombuffer(b"".join(column.to_pylist()), U64) if packed else column.to_numpy().view(U64), size))
+            many += len(held[-1])
+            if many >= GATHERED:
+                yield marked(held)
+                held, many = [], 0
+        if many:
+            yield marked(held)
+
+    def marked(held):
+        at = np.unique(np.concatenate(held))
+        part, blobs = blobs_of((at & 65535).astype("<u2"), at >> 16)
+        return pa.RecordBatch.from_arrays([pa.array(part), blobs], ["part", "at"])
 
     def collect(table):
         bits = np.zeros(65536, bool)
-        bits[table.column("at").to_numpy()] = True
+        bits[np.frombuffer(b"".join(table.column("at").to_pylist()), "<u2")] = True
         return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
     out = np.zeros(size // 8, np.uint8)
-    parts = keys.mapInArrow(mark, "part long, at long").distinct().groupBy("part").applyInArrow(collect, "part long, bits binary")
-    for r in parts.toLocalIterator():  # at most BITMAP bits
+    parts = keys.mapInArrow(mark, "part long, at binary").groupBy("part").applyInArrow(collect, "part long, bits binary")
+    for r in fetched(parts, "neardup-bits"):  # at most BITMAP bits
         out[r[0] * 8192 : (r[0] + 1) * 8192] = np.frombuffer(r[1], np.uint8)
     return out
 
@@ -296,7 +331,7 @@ def _signs(words: Words) -> np.ndarray:
 
 
 def met_labels(docs: DataFrame, counts: np.ndarray, run: int, bitmap: np.ndarray) -> DataFrame:
-    """(key, place, doc, role) and SIGNS: the kept labels of (doc, text, role) that the bitmap holds."""
+    """(key, place, doc, role, n, class, size) and SIGNS: the kept labels of (doc, text, role, n, class, size) that the bitmap holds."""
     shared = docs.sparkSession.sparkContext.broadcast((counts, bitmap))
 
     def make():
@@ -308,15 +343,15 @@ def met_labels(docs: DataFrame, counts: np.ndarray, run: int, bitmap: np.ndarray
             good = np.flatnonzero(has_bit(bits, label))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(label[good].view(np.int64)), pa.array(place[good].astype(np.int32)), *(batch.column(i).take(pa.array(row[good])) for i in (0, 2)),
+                    pa.array(label[good].view(np.int64)), pa.array(place[good].astype(np.int32)), *(batch.column(i).take(pa.array(row[good])) for i in (0, 2, 3, 4, 5)),
                     *map(pa.array, _signs(words)[row[good]].T.copy()),
                 ],
-                ["key", "place", "doc", "role", *SIGNS],
+                ["key", "place", "doc", "role", "n", "class", "size", *SIGNS],
             )
 
         return one
 
-    return map_batches(docs, make, f"key long, place int, doc long, role int, {', '.join(f'{s} long' for s in SIGNS)}")
+    return map_batches(docs, make, f"key long, place int, doc long, role int, n int, class long, size long, {', '.join(f'{s} long' for s in SIGNS)}")
 
 
 def with_classes(docs: DataFrame, reps: DataFrame, facts: DataFrame) -> DataFrame:
@@ -436,7 +471,7 @@ def bitmap_of_parts(parts: DataFrame, bits: int, role: int = SHORTER | LONGER) -
                 yield pa.RecordBatch.from_pydict({"part": [part], "bits": [np.packbits(marks, bitorder="little").tobytes()]})
 
     out = np.zeros(size // 8, np.uint8)
-    for r in parts.mapInArrow(mark, "part long, bits binary").toLocalIterator():  # at most BITMAP bits
+    for r in fetched(parts.mapInArrow(mark, "part long, bits binary"), "neardup-bits"):  # at most BITMAP bits
         out[r[0] * each // 8 : (r[0] + 1) * each // 8] = np.frombuffer(r[1], np.uint8)
     return out
 
@@ -636,14 +671,13 @@ def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return links
 
 
-def members_of(met: DataFrame, facts: DataFrame) -> DataFrame:
-    """``met`` (key, place, doc, role) with the facts (rep, n, class, size) of representatives; ``others``: members of the key in other classes.
+def members_of(met: DataFrame) -> DataFrame:
+    """``met`` with ``others``: members of the key in other classes; ``rep`` is the text.
 
     Keys that lie in one class only are left out.
     """
     # Place and number of words travel as one number; the rows are dealt by key once.
-    rows = met.join(facts.hint("shuffle_hash"), F.col("doc") == F.col("rep"))
-    rows = rows.select("key", "rep", "class", "size", "role", *SIGNS, (F.col("place").cast("long") * (1 << 32) + F.col("n")).alias("at")).repartition("key")
+    rows = met.select("key", F.col("doc").alias("rep"), "class", "size", "role", *SIGNS, (F.col("place").cast("long") * (1 << 32) + F.col("n")).alias("at")).repartition("key")
     every, own = F.count("*").over(Window.partitionBy("key")), F.count("*").over(Window.partitionBy("key", "class"))
     rows = rows.withColumn("own", own).withColumn("others", every - F.col("own")).filter("others > 0")
     return rows.select(
@@ -767,12 +801,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
         left = written(not_alone(left, marks, bits, runs), "neardup-left")
         discard(shared)
         before, now = now or 1, left.count()
-    left = left.select("doc", "text", "role")
+    # What is known of a text goes with it, so that the rows of its runs need no join.
+    known = facts.select(F.col("rep").alias("doc"), "n", "class", "size").hint("shuffle_hash")
+    left = written(left.select("doc", "text", "role").join(known, "doc").select("doc", "text", "role", "n", "class", "size"), "neardup-left")
     counts = run_counts(left, [1, RUN])
-    twice = kept_labels(left, counts[RUN], RUN).groupBy("key").agg(F.sum("times").alias("times")).filter("times > 1").select("key")
-    twice = written(twice, "neardup-twice")
+    twice = written(kept_labels(left, counts[RUN], RUN, 2), "neardup-twice")
     release_shuffles(spark)
-    members = written(members_of(met_labels(left, counts[RUN], RUN, bitmap_of(twice)), facts), "neardup-members")
+    members = written(members_of(met_labels(left, counts[RUN], RUN, bitmap_of(twice))), "neardup-members")
     discard(twice)
     release_shuffles(spark)
     crowd = written(busy(members), "neardup-busy")
@@ -780,8 +815,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     discard(members)
     release_shuffles(spark)
     if not crowd.isEmpty():
-        asked = written(kept_labels(texts_of(left.select("doc", "text"), bitmap_of(crowd.select(F.col("rep").alias("doc")))), counts[1], 1).select("key").distinct(), "neardup-asked")
-        single = written(members_of(met_labels(left, counts[1], 1, bitmap_of(asked)), facts), "neardup-members")
+        asked = written(kept_labels(texts_of(left.select("doc", "text"), bitmap_of(crowd.select(F.col("rep").alias("doc")))), counts[1], 1, 1), "neardup-asked")
+        single = written(members_of(met_labels(left, counts[1], 1, bitmap_of(asked))), "neardup-members")
         release_shuffles(spark)
         more = written(more.unionByName(apart(single, split_by(single, crowd)[0], 1)), "neardup-more")
         discard(single)

@@ -90,3 +90,27 @@ def test_frequent_runs_keep_their_order(spark):
     counts = neardup.run_counts(spark.createDataFrame([(i, text) for i in range(8)], "doc long, text string"), [1])[1]
     at = lambda w: int(counts[int(Words(pa.array([w])).hashes[0] * np.uint64(0) + neardup.grams(Words(pa.array([w])).hashes, 1, 7)[0]) % neardup.BINS])
     assert max(map(at, often)) < min(map(at, more))
+
+
+def test_bitmaps_come_to_the_driver_in_few_jobs(spark):
+    """Not in one job for each partition, one after the other; packed keys give the bitmap of their rows."""
+    rnd = random.Random(6)
+    keys = [rnd.randrange(-(2**63), 2**63) for _ in range(5000)]
+    rows = spark.createDataFrame([(k,) for k in keys], "key long").repartition(40)
+    blobs = [(bytearray(np.array(keys[i : i + 700], np.int64).tobytes()),) for i in range(0, 5000, 700)] + [(bytearray(),)]
+    settings = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup("bitmap", "bitmap")
+    try:
+        plain = neardup.bitmap_of(rows)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("bitmap"))
+        packed = neardup.bitmap_of(spark.createDataFrame(blobs, "keys binary"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert (plain == packed).all() and neardup.has_bit(plain, np.array(keys, np.int64).view(np.uint64)).all()
+    assert 0 < jobs <= 30
+    assert not neardup.bitmap_of(rows.limit(0)).any()
